@@ -56,10 +56,11 @@ def checkpoint_root(spark: SparkSession) -> str:
 def positions(
     df: DataFrame, by: Sequence[str], t: str, tie: Sequence[str] = (), *,
     days: int = BLOCK_DAYS, name: str = "rn", total: str | None = None,
+    block: Column | None = None,
 ) -> DataFrame:
     """Add the 1-based row number within ``by`` (and the group size as ``total``)."""
     by = list(by)
-    b = df.withColumn("__k", day_block(t, days))
+    b = df.withColumn("__k", day_block(t, days) if block is None else block)
     tot = b.groupBy(*by, "__k").agg(F.count(F.lit(1)).alias("__n"))
     w = Window.partitionBy(*by).orderBy("__k")
     off = tot.select(
@@ -78,7 +79,7 @@ def bounded(
     df: DataFrame, by: Sequence[str], t: str,
     exprs: Callable[[object], Mapping[str, Column]], *,
     back: int = 0, ahead: int = 0, step: int | None = None,
-    tie: Sequence[str] = (), block_rows: int = BLOCK_ROWS,
+    tie: Sequence[str] = (), block_rows: int = BLOCK_ROWS, block: Column | None = None,
 ) -> DataFrame:
     """Evaluate window expressions that reach at most ``back`` / ``ahead`` rows.
 
@@ -90,7 +91,7 @@ def bounded(
     if step:
         unit, src = step * 60, df.withColumn("__p", seconds(t))
     else:
-        unit, src = 1, positions(df, by, t, tie, name="__p").withColumn("__p", F.col("__p").cast("long"))
+        unit, src = 1, positions(df, by, t, tie, name="__p", block=block).withColumn("__p", F.col("__p").cast("long"))
     width = rows * unit
     own = F.floor(F.col("__p") / width)
     off = F.col("__p") - own * width
@@ -167,6 +168,37 @@ def running(
     return out.drop("__k", *[f"__{x}{i}" for x in "co" for i in range(len(specs))])
 
 
+def neighbours(
+    df: DataFrame, by: Sequence[str], t: str, e: Column, prev: str, nxt: str, *, days: int = BLOCK_DAYS,
+) -> DataFrame:
+    """Latest non-null ``e`` at or before each row, and earliest at or after it."""
+    by = list(by)
+    b = df.withColumn("__e", e).withColumn("__k", day_block(t, days))
+    key = F.when(F.col("__e").isNotNull(), F.col(t))
+    tot = b.groupBy(*by, "__k").agg(F.max_by("__e", key).alias("__l"), F.min_by("__e", key).alias("__f"))
+    w = Window.partitionBy(*by).orderBy("__k")
+    carried = tot.select(
+        *by, "__k",
+        F.last("__l", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)).alias("__cl"),
+        F.first("__f", ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("__cf"),
+    )
+    wi = Window.partitionBy(*by, "__k").orderBy(t)
+    before = F.last("__e", ignorenulls=True).over(wi.rowsBetween(Window.unboundedPreceding, 0))
+    after = F.first("__e", ignorenulls=True).over(wi.rowsBetween(0, Window.unboundedFollowing))
+    return (
+        b.join(carried, [*by, "__k"])
+        .withColumn("__p", before).withColumn("__n", after)
+        .withColumn(prev, F.coalesce("__p", "__cl")).withColumn(nxt, F.coalesce("__n", "__cf"))
+        .drop("__e", "__k", "__cl", "__cf", "__p", "__n")
+    )
+
+
+def uniform(seed: int, *keys: Column | str) -> Column:
+    """Repeatable number in [0, 1) from key columns; the same after a task is run again."""
+    text = F.concat_ws("|", F.lit(str(seed)), *[col(k).cast("string") for k in keys])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
+
+
 def value_cuts(df: DataFrame, by: Sequence[str], v: str) -> DataFrame:
     """Approximate quantile cut points per group; only used to form blocks of even size."""
     n = FANOUT * FANOUT

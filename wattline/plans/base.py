@@ -16,8 +16,9 @@ ORACLES: dict[str, str] = {}
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     half = 0.5 * 10 ** -digits
+    nudge = F.lit(3.3e-4 * 10 ** -digits)  # keeps sums of different order on one side of a tie
     return df.select(*[
-        F.when(F.abs(F.col(f.name)) < half, F.lit(0.0)).otherwise(F.round(F.col(f.name), digits)).alias(f.name)
+        F.when(F.abs(F.col(f.name)) < half, F.lit(0.0)).otherwise(F.round(F.col(f.name) + nudge, digits)).alias(f.name)
         if isinstance(f.dataType, T.DoubleType) else F.col(f.name)
         for f in df.schema.fields
     ])
@@ -30,11 +31,12 @@ def query(name: str, sql: str | None = None, rd: str = "", use: str = "", digits
         QUERIES[name] = lambda spark, root: rounded(fn(spark, root), digits)
         QUERIES[name].__name__ = name
         if sql:
+            nudge = f"{3.3e-4 * 10 ** -digits!r}::DOUBLE"
             half = f"{0.5 * 10 ** -digits:.10f}"
             body = sql
             if rd:
                 reps = ", ".join(
-                    f"CASE WHEN abs({c}) < {half} THEN 0.0::DOUBLE ELSE round({c}::DOUBLE, {digits}) END AS {c}" for c in rd.split()
+                    f"CASE WHEN abs({c}) < {half} THEN 0.0::DOUBLE ELSE round({c}::DOUBLE + {nudge}, {digits}) END AS {c}" for c in rd.split()
                 )
                 body = f"SELECT * REPLACE ({reps}) FROM (\n{sql}\n) AS q_"
             ORACLES[name] = with_ctes(use.split(), body)

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 BLOCK_DAYS = 30
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 1024
 FANOUT = 16  # value cuts are looked up in two steps: FANOUT groups of FANOUT
 
 
@@ -79,7 +79,7 @@ def bounded(
     df: DataFrame, by: Sequence[str], t: str,
     exprs: Callable[[object], Mapping[str, Column]], *,
     back: int = 0, ahead: int = 0, step: int | None = None,
-    tie: Sequence[str] = (), block_rows: int = BLOCK_ROWS, block: Column | None = None,
+    tie: Sequence[str] = (), block_rows: int | None = None, block: Column | None = None,
 ) -> DataFrame:
     """Evaluate window expressions that reach at most ``back`` / ``ahead`` rows.
 
@@ -87,7 +87,7 @@ def bounded(
     a time range and only one shuffle is needed. Otherwise rows are numbered first.
     """
     by = list(by)
-    rows = max(block_rows, back, ahead)
+    rows = max(block_rows or BLOCK_ROWS, back, ahead)
     if step:
         unit, src = step * 60, df.withColumn("__p", seconds(t))
     else:

@@ -242,7 +242,7 @@ def inject_gaps(df: DataFrame, by=("area",), t="ts", gap_size: int = 48, num_gap
     starts = n.withColumn("__g", F.explode(F.sequence(F.lit(1), F.lit(num_gaps)))).withColumn(
         "__s", F.floor(uniform(seed, *by, "__g") * F.greatest(F.col("__n") - gap_size + 1, F.lit(1))).cast("int") + 1
     )
-    hit = starts.select(*by, F.explode(F.sequence(F.col("__s"), F.col("__s") + gap_size - 1)).cast("long").alias("__rn")).distinct()
+    hit = starts.select(*by, F.explode(F.sequence(F.col("__s").cast("long"), F.col("__s").cast("long") + gap_size - 1)).alias("__rn")).distinct()
     return p.withColumn("__rn", F.col("__rn").cast("long")).join(hit, [*by, "__rn"], "left_anti").drop("__rn")
 
 

@@ -40,7 +40,7 @@ query("q06_check_sorted", "SELECT o_orderstatus, count(*) AS rows, count(*) FILT
     lambda s, r: Q.check_sorted(tb.load(s, r, "orders"), ["o_orderstatus"], "o_orderdate", "o_orderkey"))
 
 
-@query("q07_validate_load", "SELECT area, ts, load, array_to_string(list_filter([CASE WHEN area NOT IN ('click','purchase','signup','view') THEN 'area' END, CASE WHEN NOT load > 5 THEN 'load' END], x -> x IS NOT NULL), ',') AS errors FROM series", use="series", rd="load")
+@query("q07_validate_load", "SELECT area, ts, load, array_to_string(list_filter([CASE WHEN area NOT IN ('click','purchase','signup','view') THEN 'area' END, CASE WHEN NOT load > 5 THEN 'load' END], lambda x: x IS NOT NULL), ',') AS errors FROM series", use="series", rd="load")
 def q07(s, r):
     d = tb.series(s, r).withColumn("load", F.col("load") - 5)
     return Q.flag_rules(d, Q.load_rules(KNOWN)).select("area", "ts", (F.col("load") + 5).alias("load"), F.concat_ws(",", "errors").alias("errors"))

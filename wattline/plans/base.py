@@ -12,6 +12,7 @@ from wattline.plans.ctes import with_ctes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+PENDING: dict[str, tuple[list[str], str]] = {}  # completed once all CTEs are known
 
 
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -39,7 +40,12 @@ def query(name: str, sql: str | None = None, rd: str = "", use: str = "", digits
                     f"CASE WHEN abs({c}) < {half} THEN 0.0::DOUBLE ELSE round({c}::DOUBLE + {nudge}, {digits}) END AS {c}" for c in rd.split()
                 )
                 body = f"SELECT * REPLACE ({reps}) FROM (\n{sql}\n) AS q_"
-            ORACLES[name] = with_ctes(use.split(), body)
+            PENDING[name] = (use.split(), body)
         return fn
 
     return wrap
+
+
+def finish() -> None:
+    for name, (use, body) in PENDING.items():
+        ORACLES[name] = with_ctes(use, body)

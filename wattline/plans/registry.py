@@ -6,10 +6,12 @@ import importlib
 import pkgutil
 
 import wattline.plans as plans
-from wattline.plans.base import ORACLES, QUERIES
+from wattline.plans.base import ORACLES, QUERIES, finish
 
 for _m in pkgutil.iter_modules(plans.__path__):
     if _m.name.startswith("q_"):
         importlib.import_module(f"wattline.plans.{_m.name}")
 
+finish()
+
 __all__ = ["ORACLES", "QUERIES"]

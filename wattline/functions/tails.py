@@ -153,3 +153,21 @@ def cdf_normal(z: Column) -> Column:
 def p_ks(d: Column, n1: Column, n2: Column) -> Column:
     en = F.sqrt(n1 * n2 / (n1 + n2))
     return _p_ks(_d(d * (en + 0.12 + 0.11 / en)))
+
+
+def t_quantile(p: float, df: float) -> float:
+    """Upper quantile with P(|T| <= q) = p, by bisection."""
+    lo, hi = 0.0, 1e3
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if 1 - t_two_sided(mid, df) < p else (lo, mid)
+    return (lo + hi) / 2
+
+
+@F.pandas_udf("double")
+def _q_t(p: pd.Series, df: pd.Series) -> pd.Series:
+    return _apply(lambda a, b: t_quantile(a, b) if b > 0 else float("nan"), p, df)
+
+
+def q_t(level: Column, df: Column) -> Column:
+    return _q_t(_d(level), _d(df))

@@ -8,6 +8,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -99,27 +100,27 @@ def _apply(fn, *series: pd.Series) -> pd.Series:
     return pd.Series(out, dtype="float64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_t(t: pd.Series, df: pd.Series) -> pd.Series:
     return _apply(lambda a, b: t_two_sided(a, b) if b > 0 else float("nan"), t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_f(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _apply(lambda a, b, c: f_upper(a, b, c) if b > 0 and c > 0 else float("nan"), f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_chi2(x: pd.Series, k: pd.Series) -> pd.Series:
     return _apply(lambda a, b: gamma_upper(b / 2, a / 2) if b > 0 else float("nan"), x, k)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _cdf_norm(z: pd.Series) -> pd.Series:
     return _apply(normal_cdf, z)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _p_ks(x: pd.Series) -> pd.Series:
     return _apply(kolmogorov_tail, x)
 
@@ -164,7 +165,7 @@ def t_quantile(p: float, df: float) -> float:
     return (lo + hi) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _q_t(p: pd.Series, df: pd.Series) -> pd.Series:
     return _apply(lambda a, b: t_quantile(a, b) if b > 0 else float("nan"), p, df)
 

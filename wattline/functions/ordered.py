@@ -89,22 +89,22 @@ def bounded(
     by = list(by)
     rows = max(block_rows or BLOCK_ROWS, back, ahead)
     if step:
-        unit, src = step * 60, df.withColumn("__p", seconds(t))
+        unit, src = step * 60, df.withColumn("__pos", seconds(t))
     else:
-        unit, src = 1, positions(df, by, t, tie, name="__p", block=block).withColumn("__p", F.col("__p").cast("long"))
+        unit, src = 1, positions(df, by, t, tie, name="__pos", block=block).withColumn("__pos", F.col("__pos").cast("long"))
     width = rows * unit
-    own = F.floor(F.col("__p") / width)
-    off = F.col("__p") - own * width
+    own = F.floor(F.col("__pos") / width)
+    off = F.col("__pos") - own * width
     targets = [own]
     if back:
         targets.append(F.when(off >= width - back * unit, own + 1))
     if ahead:
         targets.append(F.when(off < ahead * unit, own - 1))
-    src = src.withColumn("__own", own).withColumn("__b", F.explode(F.array_compact(F.array(*targets))))
-    w = Window.partitionBy(*by, "__b").orderBy(t, *tie)
+    src = src.withColumn("__ownblk", own).withColumn("__blk", F.explode(F.array_compact(F.array(*targets))))
+    w = Window.partitionBy(*by, "__blk").orderBy(t, *tie)
     for name, e in exprs(w).items():
         src = src.withColumn(name, e)
-    return src.where("__b = __own").drop("__b", "__own", "__p")
+    return src.where("__blk = __ownblk").drop("__blk", "__ownblk", "__pos")
 
 
 def _carry(kind: str, carried: Column, inside: Column) -> Column:

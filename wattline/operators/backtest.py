@@ -28,7 +28,8 @@ def backtest_windows(spark: SparkSession, start: str, end: str, step: int = 7, m
 def walk_forward(spark: SparkSession, start: str, end: str, retrain_days: int = 7, train_days: int = 365) -> DataFrame:
     """Test periods of ``retrain_days`` with the training window moving along."""
     one = spark.range(1).select(F.explode(F.sequence(
-        F.date_add(F.lit(start).cast("date"), train_days), F.lit(end).cast("date"), F.make_dt_interval(days=F.lit(retrain_days)))).cast("date").alias("test_start"))
+        F.date_add(F.lit(start).cast("date"), train_days), F.lit(end).cast("date"), F.make_dt_interval(days=F.lit(retrain_days)))).alias("test_start")) \
+        .select(F.col("test_start").cast("date").alias("test_start"))
     return one.select(
         F.floor(F.datediff("test_start", F.lit(start).cast("date")) / retrain_days).cast("int").alias("period_id"),
         F.date_sub("test_start", train_days).alias("train_start"), F.date_sub("test_start", 1).alias("train_end"), "test_start",

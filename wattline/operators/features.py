@@ -65,7 +65,7 @@ def blf_baseline(df: DataFrame, c: str = "load", reference_days: int = 28, by: S
     unit = step * 60 if step else 1
 
     def make(w):
-        same = Window.partitionBy(*by, "__b", F.hour(t), F.weekday(t)).orderBy("__p").rangeBetween(-n * unit, -1)
+        same = Window.partitionBy(*by, "__blk", F.hour(t), F.weekday(t)).orderBy("__pos").rangeBetween(-n * unit, -1)
         return {"baseline": F.coalesce(F.avg(c).over(same), F.avg(c).over(w.rowsBetween(-24, -1)), F.col(c))}
 
     return bounded(df, by, t, make, back=max(n, 24), step=step)

@@ -202,7 +202,7 @@ def compare_outliers(df: DataFrame, by: Sequence[str], v: str, accuracy: int | N
 
 def metrics_by_horizon(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     m = metrics(df, [*by, "horizon"])
-    return m.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("smape", "horizon")))
+    return m.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(F.round("smape", 6), "horizon")))
 
 
 def degradation(m: DataFrame, by: Sequence[str] = ("model",), metric: str = "smape", model: str = "linear") -> DataFrame:

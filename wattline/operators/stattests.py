@@ -98,10 +98,10 @@ def kruskal(df: DataFrame, by: Sequence[str], group: str, v: str) -> DataFrame:
     ranks = average_rank(df, by, v, "__rank")
     counts = df.where(F.col(v).isNotNull()).groupBy(*by, group, v).agg(F.count(F.lit(1)).alias("__c"))
     g = counts.join(ranks, [*by, v]).groupBy(*by, group).agg(
-        F.sum(F.col("__c") * F.col("__rank")).alias("__r"), F.sum("__c").alias("__n"), F.max("n_total").alias("__N"))
+        F.sum(F.col("__c") * F.col("__rank")).alias("__r"), F.sum("__c").alias("__n"), F.max("n_total").alias("__all"))
     tie = ranks.groupBy(*by).agg(F.sum(F.pow(F.col("n").cast("double"), F.lit(3)) - F.col("n")).alias("__tie"))
-    h = g.groupBy(*by).agg(F.count(F.lit(1)).alias("groups"), F.max("__N").cast("double").alias("__N"), F.sum(F.col("__r") * F.col("__r") / F.col("__n")).alias("__s"))
-    n = F.col("__N")
+    h = g.groupBy(*by).agg(F.count(F.lit(1)).alias("groups"), F.max("__all").cast("double").alias("__all"), F.sum(F.col("__r") * F.col("__r") / F.col("__n")).alias("__s"))
+    n = F.col("__all")
     stat = (12 / (n * (n + 1)) * F.col("__s") - 3 * (n + 1)) / (1 - F.col("__tie") / (n * n * n - n))
     h = h.join(tie, by).select(*by, "groups", n.cast("long").alias("n"), stat.alias("statistic"))
     return h.withColumn("p_value", tails.p_chi2(F.col("statistic"), F.col("groups") - 1))

@@ -122,9 +122,9 @@ OUT_M = "SELECT ts, area, model, horizon, e, abs(0.6745 * (e - med) / mad) AS sc
 query("e26_outliers_iqr", OUT_IQR, use="errs", rd="e lower upper score")(lambda s, r: M.outliers_iqr(ERR(s, r), ["model"], "e"))
 query("e27_outliers_z", OUT_Z, use="errs", rd="e score")(lambda s, r: M.outliers_z(ERR(s, r), ["model"], "e"))
 query("e27_outliers_mad", OUT_M, use="errs", rd="e score")(lambda s, r: M.outliers_mad(ERR(s, r), ["model"], "e"))
-query("e28_compare_outliers", "SELECT model, method, count(o.model2) AS outliers, n, count(o.model2) / n::DOUBLE AS share FROM (SELECT model, count(*) AS n FROM errs GROUP BY 1) t CROSS JOIN (VALUES ('iqr'), ('zscore'), ('modified_zscore')) v(method) LEFT JOIN (" + " UNION ALL ".join(f"SELECT '{n}' AS method2, model AS model2 FROM ({q})" for n, q in (("iqr", OUT_IQR), ("zscore", OUT_Z), ("modified_zscore", OUT_M))) + ") o ON o.model2 = t.model AND o.method2 = v.method GROUP BY ALL", use="errs", rd="share")(
+query("e28_compare_outliers", "SELECT model, method, count(o.model2) AS outliers, n, count(o.model2) / n::DOUBLE AS share FROM (SELECT model, count(*) AS n FROM errs GROUP BY 1) t CROSS JOIN (VALUES ('iqr'), ('zscore'), ('modified_zscore')) v(method) LEFT JOIN (" + " UNION ALL ".join(f"SELECT '{n}' AS method2, model AS model2 FROM ({q})" for n, q in (("iqr", OUT_IQR), ("zscore", OUT_Z), ("modified_zscore", OUT_M))) + ") o ON o.model2 = t.model AND o.method2 = v.method GROUP BY model, method, n", use="errs", rd="share")(
     lambda s, r: M.compare_outliers(ERR(s, r), ["model"], "e"))
-query("e29_metrics_by_horizon", "SELECT *, 0::BIGINT AS n_excluded, row_number() OVER (PARTITION BY model ORDER BY smape, horizon) AS rank FROM hmet", use="hmet", rd=RD)(
+query("e29_metrics_by_horizon", "SELECT *, 0::BIGINT AS n_excluded, row_number() OVER (PARTITION BY model ORDER BY round(smape, 6), horizon) AS rank FROM hmet", use="hmet", rd=RD)(
     lambda s, r: M.metrics_by_horizon(SC(s, r)))
 
 

@@ -65,8 +65,12 @@ def add_node(nodes: DataFrame, edges: DataFrame, node: str, parent: str | None,
 
 def summation_matrix(edges: DataFrame) -> DataFrame:
     """S(node, leaf, w)."""
+    return _leaf_weights(closure(edges), edges)
+
+
+def _leaf_weights(c: DataFrame, edges: DataFrame) -> DataFrame:
     parents = edges.select(F.col("parent").alias("descendant")).distinct()
-    return closure(edges).join(parents, "descendant", "left_anti").groupBy("node", F.col("descendant").alias("leaf")).agg(F.sum("w").alias("w"))
+    return c.join(parents, "descendant", "left_anti").groupBy("node", F.col("descendant").alias("leaf")).agg(F.sum("w").alias("w"))
 
 
 def children(edges: DataFrame, node: str) -> DataFrame:
@@ -87,7 +91,7 @@ def path(edges: DataFrame, node: str) -> DataFrame:
 
 def validate_hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row per check: (check, problems, ok)."""
-    c = closure(edges)
+    c = stable(closure(edges))
     roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
     back = c.join(edges, (F.col("descendant") == F.col("parent")) & (F.col("node") == F.col("child")))
     tree = edges.select(F.col("parent").alias("node")).union(edges.select("child")).distinct()
@@ -96,7 +100,7 @@ def validate_hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     many = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     n = F.count(F.lit(1))
     incomplete = nodes.where("node is null or node_type is null or (level is null and node_type <> 'calculated')")
-    no_leaf = nodes.where("node_type <> 'calculated'").select("node").join(summation_matrix(edges).where("w <> 0").select("node").distinct(), "node", "left_anti")
+    no_leaf = nodes.where("node_type <> 'calculated'").select("node").join(_leaf_weights(c, edges).where("w <> 0").select("node").distinct(), "node", "left_anti")
     parts = [
         ("one_root", roots, F.abs(n - 1)), ("no_cycle", back, n), ("no_orphan", orphan, n), ("known_nodes", unknown, n),
         ("single_parent", many, n), ("complete_attributes", incomplete, n), ("summation_rows", no_leaf, n),

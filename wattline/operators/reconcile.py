@@ -28,8 +28,9 @@ DENSE_LIMIT = 4000  # nodes of a dense covariance
 
 # --- aggregation -----------------------------------------------------------------
 def bottom_up(leaf: DataFrame, S: DataFrame, keys: Sequence[str] = ("ts",), y: str = "yhat") -> DataFrame:
-    j = leaf.join(S, F.col("node") == F.col("leaf")).select(*keys, S["node"].alias("n"), (F.col("w") * F.col(y)).alias("v"))
-    return j.groupBy(*keys, F.col("n").alias("node")).agg(F.sum("v").alias(y))
+    up = S.select(F.col("node").alias("__up"), "leaf", "w")
+    j = leaf.join(up, F.col("node") == F.col("leaf"))
+    return j.groupBy(*keys, F.col("__up").alias("node")).agg(F.sum(F.col("w") * F.col(y)).alias(y))
 
 
 def child_sums(fc: DataFrame, edges: DataFrame, keys: Sequence[str] = ("ts",)) -> DataFrame:

@@ -13,6 +13,7 @@ and carry what crosses a block boundary:
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,17 +41,28 @@ def day_block(t: str | Column, days: int = BLOCK_DAYS) -> Column:
     return F.floor(F.unix_date(F.to_date(col(t))) / days)
 
 
-def stable(df: DataFrame) -> DataFrame:
-    """Checkpoint a small table that must not change when a task is run again."""
-    spark = df.sparkSession
+def checkpoint_root(spark: SparkSession) -> str:
+    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where
+    neither it nor a checkpoint directory is set, as in local tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(checkpoint_root(spark))
-    return df.checkpoint(eager=True)
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir()
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-")
+def stable(df: DataFrame) -> DataFrame:
+    """Write a frame to the shared folder and read it back.
+
+    Cuts the lineage, survives lost executors, is computed once, and has a known size, so
+    that small tables are broadcast by the optimizer and large ones are not.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def positions(

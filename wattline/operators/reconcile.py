@@ -76,25 +76,25 @@ def reconcile_wls(fc: DataFrame, edges: DataFrame, weights: DataFrame | None = N
     for level in range(depth, -1, -1):
         cur = x.where(F.col("level") == level).drop("level")
         if below is None:
-            cur = cur.withColumns({"M": F.lit(None).cast("double"), "V": F.lit(None).cast("double")})
+            cur = cur.withColumns({"kids_mean": F.lit(None).cast("double"), "kids_var": F.lit(None).cast("double")})
         else:
             s = below.join(edges, F.col("node") == F.col("child")).groupBy(*keys, F.col("parent").alias("node")).agg(
-                F.sum(F.col("weight") * F.col("m")).alias("M"), F.sum(F.col("weight") * F.col("weight") * F.col("v")).alias("V"))
+                F.sum(F.col("weight") * F.col("m")).alias("kids_mean"), F.sum(F.col("weight") * F.col("weight") * F.col("v")).alias("kids_var"))
             cur = cur.join(s, [*keys, "node"], "full")
         own = F.when(seen, 1 / F.coalesce("var", F.lit(1.0))).otherwise(0.0)
-        kids = F.when(F.col("V") > 0, 1 / F.col("V")).otherwise(0.0)
-        exact = F.col("V") == 0
+        kids = F.when(F.col("kids_var") > 0, 1 / F.col("kids_var")).otherwise(0.0)
+        exact = F.col("kids_var") == 0
         v = F.when(exact, 0.0).otherwise(1 / (own + kids))
-        m = F.when(exact, F.col("M")).otherwise((own * F.coalesce("yhat", F.lit(0.0)) + kids * F.coalesce("M", F.lit(0.0))) / (own + kids))
-        below = cur.select(*keys, "node", m.alias("m"), v.alias("v"), "M", "V")
+        m = F.when(exact, F.col("kids_mean")).otherwise((own * F.coalesce("yhat", F.lit(0.0)) + kids * F.coalesce("kids_mean", F.lit(0.0))) / (own + kids))
+        below = cur.select(*keys, "node", m.alias("m"), v.alias("v"), "kids_mean", "kids_var")
         ups.append(below)
     ups.reverse()
-    done = [ups[0].select(*keys, "node", F.col("m").alias("final"), "M", "V")]
+    done = [ups[0].select(*keys, "node", F.col("m").alias("final"), "kids_mean", "kids_var")]
     for level in range(1, depth + 1):
-        p = done[-1].select(*keys, F.col("node").alias("parent"), (F.col("final") - F.col("M")).alias("gap"), F.col("V").alias("PV"))
+        p = done[-1].select(*keys, F.col("node").alias("parent"), (F.col("final") - F.col("kids_mean")).alias("gap"), F.col("kids_var").alias("PV"))
         c = ups[level].join(edges, F.col("node") == F.col("child")).join(p, [*keys, "parent"])
         share = F.when(F.col("PV") > 0, F.col("weight") * F.col("v") / F.col("PV")).otherwise(0.0)
-        done.append(c.select(*keys, "node", (F.col("m") + share * F.col("gap")).alias("final"), "M", "V"))
+        done.append(c.select(*keys, "node", (F.col("m") + share * F.col("gap")).alias("final"), "kids_mean", "kids_var"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -290,3 +290,31 @@ def average_rank(df: DataFrame, by: Sequence[str], v: str, name: str = "rank") -
     """(by, value) -> rank with ties averaged, and the number of ties ``n``."""
     o = value_order(df, by, v)
     return o.select(*by, v, "n", "n_total", (F.col("n_before") + (F.col("n") + 1) / 2).alias(name))
+
+
+def ema(df: DataFrame, by: Sequence[str], t: str, v: str, alpha: float, name: str, rows: int | None = None) -> DataFrame:
+    """Exponential smoothing s = alpha x + (1 - alpha) s, starting at the first value.
+
+    Blocks are smoothed from zero; what a block inherits decays with the position in it, so
+    only (length, last value) of each block is carried along a series.
+    """
+    by, rows = list(by), rows or 256
+    p = positions(df, by, t, name="__rn").withColumn("__b", F.floor((F.col("__rn") - 1) / rows).cast("long"))
+    keep = 1.0 - alpha
+    start = lambda: F.array().cast("array<struct<t:bigint,s:double>>")
+    cells = F.array_sort(F.collect_list(F.struct(F.col("__rn").cast("long").alias("t"), F.col(v).cast("double").alias("x"))))
+    step = lambda acc, c: F.concat(acc, F.array(F.struct(
+        c["t"].alias("t"), (alpha * c["x"] + keep * F.coalesce(F.try_element_at(acc, F.lit(-1))["s"], F.lit(0.0))).alias("s"))))
+    blocks = p.groupBy(*by, "__b").agg(cells.alias("__c"))  # at most ``rows`` entries
+    blocks = blocks.withColumn("__s", F.aggregate("__c", start(), step)).withColumns({
+        "__n": F.size("__c"), "__last": F.element_at("__s", -1)["s"], "__x0": F.element_at("__c", 1)["x"]})
+    ends = F.array_sort(F.collect_list(F.struct("__b", F.col("__n").cast("double").alias("n"), "__last", "__x0")))
+    run = blocks.groupBy(*by).agg(ends.alias("__e"))  # one entry per block
+    first = F.array(F.element_at("__e", 1)["__x0"])
+    carry = F.aggregate("__e", first, lambda acc, e: F.concat(acc, F.array(e["__last"] + F.pow(F.lit(keep), e["n"]) * F.element_at(acc, -1))))
+    run = run.withColumn("__carry", carry)
+    run = run.select(*by, F.explode(F.arrays_zip(F.col("__e").getField("__b").alias("b"), F.slice("__carry", 1, F.size("__e")).alias("c"))).alias("z"))
+    run = run.select(*by, F.col("z.b").alias("__b"), F.col("z.c").alias("__in"))
+    j = blocks.join(run, [*by, "__b"]).select(*by, "__b", "__in", F.explode("__s").alias("z"))
+    res = j.select(*by, F.col("z.t").alias("__rn"), (F.col("z.s") + F.pow(F.lit(keep), F.col("z.t") - F.col("__b") * rows) * F.col("__in")).alias(name))
+    return p.withColumn("__rn", F.col("__rn").cast("long")).drop("__b").join(res, [*by, "__rn"]).drop("__rn")

@@ -69,7 +69,7 @@ def reconcile_wls(fc: DataFrame, edges: DataFrame, weights: DataFrame | None = N
     else:
         on = [c for c in [*keys, "node"] if c in weights.columns]
         x = x.join(weights.select(*on, "var"), on, "left").withColumn("var", F.coalesce("var", F.lit(1.0)))
-    x = x.join(lv, "node")
+    x = stable(x.join(lv, "node"))
     seen = F.col("yhat").isNotNull()
     ups: list[DataFrame] = []
     below = None
@@ -86,7 +86,7 @@ def reconcile_wls(fc: DataFrame, edges: DataFrame, weights: DataFrame | None = N
         exact = F.col("kids_var") == 0
         v = F.when(exact, 0.0).otherwise(1 / (own + kids))
         m = F.when(exact, F.col("kids_mean")).otherwise((own * F.coalesce("yhat", F.lit(0.0)) + kids * F.coalesce("kids_mean", F.lit(0.0))) / (own + kids))
-        below = cur.select(*keys, "node", m.alias("m"), v.alias("v"), "kids_mean", "kids_var")
+        below = stable(cur.select(*keys, "node", m.alias("m"), v.alias("v"), "kids_mean", "kids_var"))
         ups.append(below)
     ups.reverse()
     done = [ups[0].select(*keys, "node", F.col("m").alias("final"), "kids_mean", "kids_var")]

@@ -21,7 +21,7 @@ define("nfc", "nall", "SELECT ts, node, yhat FROM nall WHERE yhat IS NOT NULL AN
 
 def node_actuals(s, r):
     leaf = tb.daily_filled(s, r).select("ts", F.col("area").alias("node"), F.col("load").alias("yhat"))
-    return R.bottom_up(leaf, H.summation_matrix(E(s, r))).withColumnRenamed("yhat", "y")
+    return stable(R.bottom_up(leaf, H.summation_matrix(E(s, r))).withColumnRenamed("yhat", "y"))
 
 
 def node_fc(s, r):
@@ -37,7 +37,7 @@ def node_fc(s, r):
 
     f = bounded(a, ["node"], "ts", make, back=7, step=tb.DAY).where("yhat is not null").select("ts", "node", "yhat")
     full = f.groupBy("ts").agg(F.count(F.lit(1)).alias("n")).where("n = 31")
-    return f.join(full, "ts", "left_semi")
+    return stable(f.join(full, "ts", "left_semi"))
 
 
 query("h01_hierarchy", "SELECT node, level, node_type FROM nodes", use="nodes")(lambda s, r: H.hierarchy(E(s, r)))
@@ -138,8 +138,8 @@ define("three", "nfc rec nact", "SELECT ts, node, nfc.yhat AS b, rec.yhat AS r,
 
 def trio(s, r):
     """Base, reconciled and actual, written once because several outputs read them."""
-    b = stable(node_fc(s, r))
-    return b, stable(R.reconcile_ols(b, E(s, r))), stable(node_actuals(s, r))
+    b = node_fc(s, r)
+    return b, stable(R.reconcile_ols(b, E(s, r))), node_actuals(s, r)
 
 
 query("h27_recon_quality", "SELECT 100 * avg(abs((y - b) / y)) FILTER (y <> 0) AS mape_base, avg(abs(y - b)) AS mae_base, sqrt(avg((y - b) * (y - b))) AS rmse_base, 100 * avg(abs((y - r) / y)) FILTER (y <> 0) AS mape_reconciled, avg(abs(y - r)) AS mae_reconciled, sqrt(avg((y - r) * (y - r))) AS rmse_reconciled, 0.0::DOUBLE AS max_violation, 0.0::DOUBLE AS mean_violation, 1.0::DOUBLE AS satisfaction, (avg(abs((y - b) / y)) FILTER (y <> 0) - avg(abs((y - r) / y)) FILTER (y <> 0)) / avg(abs((y - b) / y)) FILTER (y <> 0) AS improvement FROM three", use="three",
@@ -179,6 +179,6 @@ query("h32_recon_impact", "SELECT node, 100 * avg(abs((y - b) / y)) FILTER (y <>
     lambda s, r: R.recon_impact(*trio(s, r)))
 query("h32_national_check", "SELECT 0.0::DOUBLE AS max_relative_gap, 0::BIGINT AS violations, true AS ok FROM three LIMIT 1", use="three")(
     lambda s, r: R.national_check(trio(s, r)[1], E(s, r), "TOTAL"))
-query("h33_compare_ols_mint")(lambda s, r: R.compare_ols_mint(stable(node_fc(s, r)), stable(node_actuals(s, r)), E(s, r), stable(H.summation_matrix(E(s, r)))))
+query("h33_compare_ols_mint")(lambda s, r: R.compare_ols_mint(node_fc(s, r), node_actuals(s, r), E(s, r), stable(H.summation_matrix(E(s, r)))))
 query("h34_recon_tests", "SELECT count(*) AS n, avg(d) AS mean_diff, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM (SELECT node, avg(abs(y - b)) - avg(abs(y - r)) AS d FROM three GROUP BY 1)", use="three", rd="mean_diff t", digits=4)(
     lambda s, r: R.recon_tests(*trio(s, r)).select("n", "mean_diff", "t"))

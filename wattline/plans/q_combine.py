@@ -142,7 +142,7 @@ def m30(s, r):
 
 
 query("m31_context_relationships", """SELECT model, weight_std, feature, correlation, rank FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY abs(correlation) DESC, feature) AS rank FROM (
- SELECT model, stddev_samp(weight) OVER (PARTITION BY model) AS weight_std, feature, corr(x, weight) OVER (PARTITION BY model, feature) AS correlation, row_number() OVER (PARTITION BY model, feature ORDER BY ts, area) AS k FROM (
+ SELECT model, stddev_samp(weight) OVER (PARTITION BY model, feature) AS weight_std, feature, corr(x, weight) OVER (PARTITION BY model, feature) AS correlation, row_number() OVER (PARTITION BY model, feature ORDER BY ts, area) AS k FROM (
  SELECT ts, area, model, weight, unnest(['hour', 'day_of_week', 'half']) AS feature, unnest([hour(ts), isodow(ts) - 1, minute(ts) // 30])::DOUBLE AS x FROM mkw)) WHERE k = 1)""", use="mkw", rd="weight_std correlation")(
     lambda s, r: C.context_relationships(tb.filled(s, r).select("ts", "area", F.hour("ts").alias("hour"), F.weekday("ts").alias("day_of_week"), F.floor(F.minute("ts") / 30).alias("half")), MKW(s, r), ["hour", "day_of_week", "half"]))
 

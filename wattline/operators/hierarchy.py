@@ -24,28 +24,35 @@ def from_config(spark: SparkSession, national: str, subsystems: Mapping[str, Seq
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """(node, descendant, w, depth, path) for every node and all below it, itself included."""
+    """(node, descendant, w, depth, path) for every node and all below it, itself included.
+
+    One join per level; each level is written once, so the plan does not grow with depth.
+    """
+    edges = stable(edges.select("parent", "child", "weight"))
     ids = edges.select(F.col("parent").alias("n")).union(edges.select("child")).distinct()
-    front = ids.select(F.col("n").alias("node"), F.col("n").alias("descendant"), F.lit(1.0).alias("w"), F.lit(0).alias("depth"), F.array("n").alias("path"))
-    out = front
+    out = ids.select(F.col("n").alias("node"), F.col("n").alias("descendant"), F.lit(1.0).alias("w"), F.lit(0).alias("depth"), F.array("n").alias("path"))
+    front = edges.select(
+        F.col("parent").alias("node"), F.col("child").alias("descendant"), F.col("weight").alias("w"), F.lit(1).alias("depth"), F.array("parent", "child").alias("path"))
     for _ in range(MAX_DEPTH):
+        out = out.unionByName(front)
         nxt = front.join(edges, F.col("descendant") == F.col("parent")).where(~F.array_contains("path", F.col("child"))).select(
             "node", F.col("child").alias("descendant"), (F.col("w") * F.col("weight")).alias("w"), (F.col("depth") + 1).alias("depth"),
             F.concat("path", F.array("child")).alias("path"))
-        front = stable(nxt)
-        if front.isEmpty():
+        if nxt.isEmpty():
             return out
-        out = out.unionByName(front)
+        front = stable(nxt)
     raise ValueError(f"hierarchy deeper than {MAX_DEPTH} levels")
 
 
+def levels(c: DataFrame) -> DataFrame:
+    """(node, level) from a closure: the longest way down to a node starts at its root."""
+    return c.groupBy(F.col("descendant").alias("node")).agg(F.max("depth").alias("level"))
+
+
 def hierarchy(edges: DataFrame) -> DataFrame:
     """nodes(node, level, node_type) derived from parent/child rows."""
-    c = closure(edges)
     parents = edges.select(F.col("parent").alias("node")).distinct().withColumn("__p", F.lit(True))
-    roots = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
-    lv = c.join(roots, "node", "left_semi").groupBy(F.col("descendant").alias("node")).agg(F.min("depth").alias("level"))
-    return lv.join(parents, "node", "left").select("node", "level", F.when(F.col("__p"), "aggregate").otherwise("bottom").alias("node_type"))
+    return levels(closure(edges)).join(parents, "node", "left").select("node", "level", F.when(F.col("__p"), "aggregate").otherwise("bottom").alias("node_type"))
 
 
 def add_node(nodes: DataFrame, edges: DataFrame, node: str, parent: str | None, node_type: str = "bottom", weight: float = 1.0) -> tuple[DataFrame, DataFrame]:
@@ -65,10 +72,10 @@ def add_node(nodes: DataFrame, edges: DataFrame, node: str, parent: str | None,
 
 def summation_matrix(edges: DataFrame) -> DataFrame:
     """S(node, leaf, w)."""
-    return _leaf_weights(closure(edges), edges)
+    return leaf_weights(closure(edges), edges)
 
 
-def _leaf_weights(c: DataFrame, edges: DataFrame) -> DataFrame:
+def leaf_weights(c: DataFrame, edges: DataFrame) -> DataFrame:
     parents = edges.select(F.col("parent").alias("descendant")).distinct()
     return c.join(parents, "descendant", "left_anti").groupBy("node", F.col("descendant").alias("leaf")).agg(F.sum("w").alias("w"))
 
@@ -100,7 +107,7 @@ def validate_hierarchy(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     many = edges.groupBy("child").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     n = F.count(F.lit(1))
     incomplete = nodes.where("node is null or node_type is null or (level is null and node_type <> 'calculated')")
-    no_leaf = nodes.where("node_type <> 'calculated'").select("node").join(_leaf_weights(c, edges).where("w <> 0").select("node").distinct(), "node", "left_anti")
+    no_leaf = nodes.where("node_type <> 'calculated'").select("node").join(leaf_weights(c, edges).where("w <> 0").select("node").distinct(), "node", "left_anti")
     parts = [
         ("one_root", roots, F.abs(n - 1)), ("no_cycle", back, n), ("no_orphan", orphan, n), ("known_nodes", unknown, n),
         ("single_parent", many, n), ("complete_attributes", incomplete, n), ("summation_rows", no_leaf, n),

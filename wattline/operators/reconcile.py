@@ -52,15 +52,16 @@ def floor_zero(fc: DataFrame) -> DataFrame:
 
 
 def _levels(edges: DataFrame) -> DataFrame:
-    from wattline.operators.hierarchy import hierarchy
+    from wattline.operators.hierarchy import closure, levels
 
-    return hierarchy(edges).select("node", "level")
+    return levels(closure(edges))
 
 
 def reconcile_wls(fc: DataFrame, edges: DataFrame, weights: DataFrame | None = None, keys: Sequence[str] = ("ts",)) -> DataFrame:
     """``weights(node, var)`` (or with the keys too); smaller variance counts more. A missing
     forecast is a forecast of unlimited variance."""
     keys = list(keys)
+    edges = stable(edges.select("parent", "child", "weight"))
     lv = stable(_levels(edges))
     depth = lv.agg(F.max("level")).head()[0]
     x = fc.select(*keys, "node", "yhat")

@@ -19,25 +19,36 @@ define("nall", "nact nodes", """SELECT ts, node, level, CASE level WHEN 0 THEN C
 define("nfc", "nall", "SELECT ts, node, yhat FROM nall WHERE yhat IS NOT NULL AND ts IN (SELECT ts FROM nall WHERE yhat IS NOT NULL GROUP BY ts HAVING count(*) = 31)")
 
 
-def node_actuals(s, r):
+def _actuals(s, r, S):
     leaf = tb.daily_filled(s, r).select("ts", F.col("area").alias("node"), F.col("load").alias("yhat"))
-    return stable(R.bottom_up(leaf, H.summation_matrix(E(s, r))).withColumnRenamed("yhat", "y"))
+    return stable(R.bottom_up(leaf, S).withColumnRenamed("yhat", "y"))
 
 
-def node_fc(s, r):
-    """Incoherent base forecasts: 6-day mean at the top, week lag for regions, day lag for nations."""
+def node_actuals(s, r):
+    return _actuals(s, r, H.summation_matrix(E(s, r)))
+
+
+def forecasts_and_actuals(s, r):
+    """Incoherent base forecasts (6-day mean at the top, week lag for regions, day lag for
+    nations) and the actuals of every node."""
     from wattline.functions.ordered import bounded
 
-    a = node_actuals(s, r).join(H.hierarchy(E(s, r)).select("node", "level"), "node")
+    e = E(s, r)
+    c = stable(H.closure(e))
+    y = _actuals(s, r, H.leaf_weights(c, e))
 
     def make(w):
         past = w.rowsBetween(-6, -1)
         top = F.when(F.count("y").over(past) == 6, F.avg("y").over(past))
         return {"yhat": F.when(F.col("level") == 0, top).when(F.col("level") == 1, F.lag("y", 7).over(w)).otherwise(F.lag("y").over(w))}
 
-    f = bounded(a, ["node"], "ts", make, back=7, step=tb.DAY).where("yhat is not null").select("ts", "node", "yhat")
+    f = bounded(y.join(H.levels(c), "node"), ["node"], "ts", make, back=7, step=tb.DAY).where("yhat is not null").select("ts", "node", "yhat")
     full = f.groupBy("ts").agg(F.count(F.lit(1)).alias("n")).where("n = 31")
-    return stable(f.join(full, "ts", "left_semi"))
+    return stable(f.join(full, "ts", "left_semi")), y
+
+
+def node_fc(s, r):
+    return forecasts_and_actuals(s, r)[0]
 
 
 query("h01_hierarchy", "SELECT node, level, node_type FROM nodes", use="nodes")(lambda s, r: H.hierarchy(E(s, r)))
@@ -61,7 +72,7 @@ query("h08_coherence", "SELECT sqrt(sum((yhat - sm) * (yhat - sm))) / sqrt(sum(y
 query("h09_floor_zero", "SELECT ts, node, greatest(yhat - 5000, 0) AS yhat FROM nfc", use="nfc", rd="yhat", digits=4)(
     lambda s, r: R.floor_zero(node_fc(s, r).withColumn("yhat", F.col("yhat") - 5000)))
 define("res", "nfc nact", "SELECT ts, node, y - yhat AS e FROM nfc JOIN nact USING (ts, node)")
-RES = lambda s, r: R.residuals(node_fc(s, r), node_actuals(s, r))
+RES = lambda s, r: R.residuals(*forecasts_and_actuals(s, r))
 query("h10_residual_cov", "SELECT a.node AS node_i, b.node AS node_j, covar_samp(a.e, b.e) AS c FROM res a JOIN res b USING (ts) GROUP BY 1, 2", use="res", rd="c", digits=3)(
     lambda s, r: R.cov_frame(RES(s, r)))
 query("h10_diagonal_cov", "SELECT a.node AS node_i, b.node AS node_j, CASE WHEN a.node = b.node THEN covar_samp(a.e, b.e) ELSE 0 END AS c FROM res a JOIN res b USING (ts) GROUP BY 1, 2", use="res", rd="c", digits=3)(
@@ -87,10 +98,20 @@ OLS = """WITH lf AS (SELECT f.ts, f.node, r_name AS region, f.yhat AS m, {vl} AS
 OLS1 = OLS.format(vl="1.0::DOUBLE", vr="1.0::DOUBLE", vt="1.0::DOUBLE", jl="", jr="", jt="")
 query("h14_reconcile_ols", OLS1, use="nfc", rd="yhat", digits=4)(lambda s, r: R.reconcile_ols(node_fc(s, r), E(s, r)))
 define("nvar", "res", "SELECT node, greatest(var_samp(e), 1e-10) AS var FROM res GROUP BY 1")
+def _wls(s, r):
+    f, y = forecasts_and_actuals(s, r)
+    return R.reconcile_wls(f, E(s, r), R.variance_weights(f, y))
+
+
+def _with_matrix(s, r, fn):
+    f, y = forecasts_and_actuals(s, r)
+    return fn(f, H.summation_matrix(E(s, r)), R.residuals(f, y))
+
+
 query("h15_reconcile_wls", OLS.format(vl="wv.var", vr="wv.var", vt="wv.var", jl="JOIN nvar wv ON wv.node = f.node", jr="JOIN nvar wv ON wv.node = ra.region", jt="JOIN nvar wv ON wv.node = 'TOTAL'"), use="nfc nvar", rd="yhat", digits=4)(
-    lambda s, r: R.reconcile_wls(node_fc(s, r), E(s, r), R.variance_weights(node_fc(s, r), node_actuals(s, r))))
-query("h16_reconcile_mint")(lambda s, r: R.reconcile_mint(node_fc(s, r), H.summation_matrix(E(s, r)), RES(s, r)))
-query("h17_reconcile_shrink")(lambda s, r: R.reconcile_shrink(node_fc(s, r), H.summation_matrix(E(s, r)), RES(s, r)))
+    _wls)
+query("h16_reconcile_mint")(lambda s, r: _with_matrix(s, r, R.reconcile_mint))
+query("h17_reconcile_shrink")(lambda s, r: _with_matrix(s, r, R.reconcile_shrink))
 query("h18_reconcile_proportional", "SELECT f.ts, f.node, CASE WHEN f.node IN (SELECT r_name FROM region) AND s.s > 0 THEN f.yhat * t.yhat / s.s ELSE f.yhat END AS yhat FROM nfc f JOIN (SELECT ts, sum(yhat) AS s FROM nfc WHERE node IN (SELECT r_name FROM region) GROUP BY 1) s USING (ts) JOIN (SELECT ts, yhat FROM nfc WHERE node = 'TOTAL') t USING (ts)", use="nfc", rd="yhat", digits=4)(
     lambda s, r: R.reconcile_proportional(node_fc(s, r), E(s, r), "TOTAL"))
 query("h19_check_constraints", "SELECT 'agg:' || node AS constraint, max(abs(yhat - expected)) AS max_violation, avg(abs(yhat - expected)) AS mean_violation, max(abs(yhat - expected)) <= 1e-6 AS satisfied FROM ksum GROUP BY node UNION ALL SELECT 'floor', max(greatest(-yhat, 0)), avg(greatest(-yhat, 0)), max(greatest(-yhat, 0)) <= 1e-6 FROM nfc".replace("AS constraint", 'AS "constraint"'), use="ksum nfc", rd="max_violation mean_violation", digits=4)(
@@ -138,8 +159,8 @@ define("three", "nfc rec nact", "SELECT ts, node, nfc.yhat AS b, rec.yhat AS r,
 
 def trio(s, r):
     """Base, reconciled and actual, written once because several outputs read them."""
-    b = node_fc(s, r)
-    return b, stable(R.reconcile_ols(b, E(s, r))), node_actuals(s, r)
+    b, y = forecasts_and_actuals(s, r)
+    return b, stable(R.reconcile_ols(b, E(s, r))), y
 
 
 query("h27_recon_quality", "SELECT 100 * avg(abs((y - b) / y)) FILTER (y <> 0) AS mape_base, avg(abs(y - b)) AS mae_base, sqrt(avg((y - b) * (y - b))) AS rmse_base, 100 * avg(abs((y - r) / y)) FILTER (y <> 0) AS mape_reconciled, avg(abs(y - r)) AS mae_reconciled, sqrt(avg((y - r) * (y - r))) AS rmse_reconciled, 0.0::DOUBLE AS max_violation, 0.0::DOUBLE AS mean_violation, 1.0::DOUBLE AS satisfaction, (avg(abs((y - b) / y)) FILTER (y <> 0) - avg(abs((y - r) / y)) FILTER (y <> 0)) / avg(abs((y - b) / y)) FILTER (y <> 0) AS improvement FROM three", use="three",
@@ -179,6 +200,6 @@ query("h32_recon_impact", "SELECT node, 100 * avg(abs((y - b) / y)) FILTER (y <>
     lambda s, r: R.recon_impact(*trio(s, r)))
 query("h32_national_check", "SELECT 0.0::DOUBLE AS max_relative_gap, 0::BIGINT AS violations, true AS ok FROM three LIMIT 1", use="three")(
     lambda s, r: R.national_check(trio(s, r)[1], E(s, r), "TOTAL"))
-query("h33_compare_ols_mint")(lambda s, r: R.compare_ols_mint(node_fc(s, r), node_actuals(s, r), E(s, r), stable(H.summation_matrix(E(s, r)))))
+query("h33_compare_ols_mint")(lambda s, r: R.compare_ols_mint(*forecasts_and_actuals(s, r), E(s, r), stable(H.summation_matrix(E(s, r)))))
 query("h34_recon_tests", "SELECT count(*) AS n, avg(d) AS mean_diff, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM (SELECT node, avg(abs(y - b)) - avg(abs(y - r)) AS d FROM three GROUP BY 1)", use="three", rd="mean_diff t", digits=4)(
     lambda s, r: R.recon_tests(*trio(s, r)).select("n", "mean_diff", "t"))

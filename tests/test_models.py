@@ -114,7 +114,7 @@ def test_raw_layout_and_strict_rules(spark, tmp_path):
         for area in ("SP", "RJ"):
             p = tmp_path / "2024" / "01"
             p.mkdir(parents=True, exist_ok=True)
-            pd.DataFrame({"data_hora": pd.date_range(day, periods=3, freq="30min"), "area": area, "carga": [1.0, 2.0, 3.0]}).to_parquet(p / f"carga_{area}_{day}.parquet")
+            pd.DataFrame({"data_hora": pd.date_range(day, periods=3, freq="30min").astype("datetime64[us]"), "area": area, "carga": [1.0, 2.0, 3.0]}).to_parquet(p / f"carga_{area}_{day}.parquet")
     got = readers.scan_load(spark, str(tmp_path), ["SP"], "2024-01-01", "2024-01-02", layout="raw")
     assert got.count() == 6 and got.columns == ["timestamp", "cod_area", "carga_mwh"]
     dated = readers.scan_dated_files(spark, str(tmp_path), "2024-01-02", "2024-01-03")

@@ -5,7 +5,7 @@ from check_oracle import compare
 from conftest import ROOT
 
 SAMPLE = [
-    "x01_series_batch", "s01_scan_load", "j08_model_pairs", "q01_complete_days", "q21_inject_gaps", "i03_interpolate_linear", "i04_lag_fill",
+    "x01_series_batch", "s01_scan_load", "j08_model_pairs", "q03_filter_report", "q21_inject_gaps", "i03_interpolate_linear", "i04_lag_fill",
     "d09_period_label", "c04_pre_post_holiday", "w05_blf_baseline", "e05_metrics_cube", "e08_wilcoxon", "e18_rank_models", "r06_cusum",
     "h03_summation_matrix", "m13_combine_best", "m28_smooth_weights", "k15_smooth_profiles", "b02_correction_factors", "x01_stream_load",
 ]

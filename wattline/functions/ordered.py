@@ -238,8 +238,8 @@ def value_order(
     by = list(by)
     weights = weights or {"n": F.lit(1)}
     src = df.where(F.col(v).isNotNull())
-    vc = src.groupBy(*by, v).agg(*[F.sum(e).alias(n) for n, e in weights.items()])
-    b = vc.join(value_cuts(src, by, v), by).withColumn("__k", _cut_block(v)).drop("__cuts")
+    vc = stable(src.groupBy(*by, v).agg(*[F.sum(e).alias(n) for n, e in weights.items()]))  # read twice
+    b = vc.join(value_cuts(vc, by, v), by).withColumn("__k", _cut_block(v)).drop("__cuts")
     tot = b.groupBy(*by, "__k").agg(
         *[F.sum(n).alias(f"__s_{n}") for n in weights], F.min(v).alias("__first")
     )

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.functions.ordered import bounded, neighbours, positions, quantiles, running, seconds
+from wattline.functions.ordered import bounded, neighbours, positions, quantiles, running, seconds, stable
 from wattline.sources.tables import on_grid
 
 
@@ -117,14 +117,15 @@ def fill_both(df: DataFrame, c: str, by: Sequence[str] = ("area",), t: str = "ts
 
 def median_abs_dev(df: DataFrame, c: str, by: Sequence[str], accuracy: int | None = None) -> DataFrame:
     """(by, median, mad) per group."""
-    med = quantiles(df, by, c, {"median": 0.5}, accuracy)
+    med = stable(quantiles(df, by, c, {"median": 0.5}, accuracy))  # one row per group
     dev = df.join(med, list(by)).select(*by, F.abs(F.col(c) - F.col("median")).alias("__d"))
-    return med.join(quantiles(dev, by, "__d", {"mad": 0.5}, accuracy), list(by))
+    return stable(med.join(quantiles(dev, by, "__d", {"mad": 0.5}, accuracy), list(by)))
 
 
 def winsorize(df: DataFrame, c: str, by: Sequence[str] = ("area",), z: float = 3.5, accuracy: int | None = None) -> DataFrame:
     """Values with a modified z above ``z`` are clipped to the 5% / 95% quantiles of the rest."""
     by = list(by)
+    df = stable(df)  # read by three quantile passes
     stats = median_abs_dev(df, c, by, accuracy)
     is_out = F.coalesce((F.col("mad") > 0) & (0.6745 * F.abs(F.col(c) - F.col("median")) / F.col("mad") > z), F.lit(False))
     flagged = df.join(stats, by, "left").withColumn("__out", is_out)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.functions.ordered import bounded, quantiles
+from wattline.functions.ordered import bounded, quantiles, stable
 from wattline.operators.timeparts import PERIOD_KINDS, period_label, season_number
 
 EPS = 1e-8
@@ -178,6 +178,7 @@ def outliers_z(df: DataFrame, by: Sequence[str], v: str, k: float = 3.0) -> Data
 def outliers_mad(df: DataFrame, by: Sequence[str], v: str, k: float = 3.5, accuracy: int | None = None) -> DataFrame:
     from wattline.operators.impute import median_abs_dev
 
+    df = stable(df)  # read by two quantile passes
     s = median_abs_dev(df, v, by, accuracy).where("mad >= 1e-10")
     return (
         df.join(s, list(by)).withColumn("score", F.abs(0.6745 * (F.col(v) - F.col("median")) / F.col("mad")))

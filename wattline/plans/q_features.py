@@ -94,7 +94,7 @@ query("w18_time_context", "SELECT area, ts, hour(ts)::INTEGER AS hour, (isodow(t
     lambda s, r: W.time_context(tb.series(s, r).drop("load")))
 
 
-@query("w19_feature_pipeline", f"SELECT area, ts, load, hour(ts)::INTEGER AS hour, lag(load, 48) OVER ({P}) AS load_lag_48, load / 2 AS half_load FROM filled", use="filled", rd="load load_lag_48 half_load")
+@query("w19_feature_steps", f"SELECT area, ts, load, hour(ts)::INTEGER AS hour, lag(load, 48) OVER ({P}) AS load_lag_48, load / 2 AS half_load FROM filled", use="filled", rd="load load_lag_48 half_load")
 def w19(s, r):
     steps = [
         W.FeatureStep("time", ["hour"], temporal_features, {"t": "ts", "features": ["hour"]}),

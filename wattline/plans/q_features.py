@@ -155,3 +155,20 @@ query("f06_select_combined")(lambda s, r: S.select_combined(
     S.select_by_importance(training_rows(s, r), "target", COLS, 1, min_features=3, max_features=3, threshold=0.05, ppd=1),
     S.select_by_importance(training_rows(s, r), "target", COLS[2:], 1, min_features=3, max_features=3, threshold=0.05, ppd=1)))
 query("f07_selection_report")(lambda s, r: S.selection_report(S.select_by_importance(training_rows(s, r), "target", COLS, 1, min_features=5, ppd=1)))
+
+
+@query("f01_safe_features", "SELECT area, ts, lag(load, 48) OVER w AS load_lag_48, lag(load, 96) OVER w AS load_lag_96 FROM filled WINDOW w AS (PARTITION BY area ORDER BY ts)", use="filled", rd="load_lag_48 load_lag_96")
+def f01_day_ahead(s, r):
+    d = W.lag_features(tb.filled(s, r), ["load"], [24, 48, 96], step=30).withColumn("actual_load", F.col("load"))
+    return d.select("area", "ts", *S.safe_features([c for c in d.columns if c not in ("area", "ts")], 1, 48, "load"))
+
+
+@query("w20_user_step", "SELECT area, ts, load, load - avg(load) OVER (PARTITION BY area, ts::DATE) AS above_day FROM filled", use="filled", rd="load above_day")
+def w20(s, r):
+    """A step written by the user: any DataFrame -> DataFrame function."""
+
+    def above_day(d):
+        m = d.groupBy("area", F.to_date("ts").alias("d")).agg(F.avg("load").alias("m"))
+        return d.withColumn("d", F.to_date("ts")).join(m, ["area", "d"]).withColumn("above_day", F.col("load") - F.col("m")).drop("d", "m")
+
+    return W.feature_pipeline(tb.filled(s, r), [W.FeatureStep("above_day", ["above_day"], above_day)])

@@ -164,3 +164,16 @@ def x07(s, r):
     table = scratch(s, "drift")
     X.stream_drift(X.event_stream(s, r).select(F.col("event_type").alias("area"), "ts", F.col("event_id").alias("id"), "value"), table, 50.0, 50.0)
     return X.latest(s, table, "state").select("area", "page_hinkley", "max_cusum")
+
+
+@query("k02_train_gbt")
+def k02(s, r):
+    m = T.train_gbt(TR(s, r), COLS[:4], "target", iters=3, depth=3)[None]
+    return s.createDataFrame([(f, float(v)) for f, v in zip(COLS, m.featureImportances.toArray())], "feature string, importance double")
+
+
+@query("k04_train_rf")
+def k04(s, r):
+    models = T.train_rf(TR(s, r).drop("target"), "load", COLS, [1, 7], 1, tb.DAY, trees=3, depth=3)
+    rows = [(h, f, float(v)) for h, (m, feats) in models.items() for f, v in zip(feats, m.featureImportances.toArray())]
+    return s.createDataFrame(rows, "horizon int, feature string, importance double")

@@ -12,6 +12,7 @@ and carry what crosses a block boundary:
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Mapping, Sequence
@@ -42,27 +43,39 @@ def day_block(t: str | Column, days: int = BLOCK_DAYS) -> Column:
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder of the cluster (``spark.checkpoint.dir``); a temporary one only where
-    neither it nor a checkpoint directory is set, as in local tests."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    """The shared folder: an explicit ``setCheckpointDir`` first, then ``spark.checkpoint.dir``.
+
+    Only a ``local`` master, whose single process sees one disk, may fall back to a temporary
+    folder; on a cluster every executor would write to a disk of its own, so that is an error.
+    """
+    sc = spark.sparkContext
+    named = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-ckpt-"))
     return sc.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession, kind: str) -> str:
+    """A new path in the shared folder; what is written there goes when the application ends."""
+    path = f"{checkpoint_root(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(target)
+    return path
+
+
 def stable(df: DataFrame) -> DataFrame:
     """Write a frame to the shared folder and read it back.
 
     Cuts the lineage, survives lost executors, is computed once, and has a known size, so
-    that small tables are broadcast by the optimizer and large ones are not.
+    that small tables are broadcast by the optimizer and large ones are not. The table is
+    deleted when the application ends.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    path = shared_folder(df.sparkSession, "table")
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def positions(

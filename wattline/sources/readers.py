@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Mapping, Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.functions.ordered import checkpoint_root
+from wattline.functions.ordered import shared_folder
 
 # Output columns and source-name aliases of the load, temperature,
 # heat-index and holiday files.
@@ -166,4 +165,4 @@ def append_importance(df: DataFrame, path: str) -> None:
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A fresh folder in the shared checkpoint area."""
-    return f"{checkpoint_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, name)

@@ -50,3 +50,14 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
     from wattline.llm.bpe import bpe_digests
 
     return bpe_digests(table(spark, root, "documents"), P.path("byte_bpe_50k.tiktoken"), P.PATTERN).withColumnRenamed("id", "doc_id")
+
+
+@query("op9_language_id")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    from wattline.llm.common import remainder
+    from wattline.llm.language import identify, language_sample
+
+    docs = table(spark, root, "documents")
+    sample = language_sample(docs.where(remainder("doc_id", 4) != 2))
+    found = identify(docs.select("doc_id", "text"), sample).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")

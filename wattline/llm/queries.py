@@ -61,3 +61,10 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
     sample = language_sample(docs.where(remainder("doc_id", 4) != 2))
     found = identify(docs.select("doc_id", "text"), sample).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (remainder("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query("op10_simhash")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    from wattline.llm.simhash import near_groups
+
+    return near_groups(table(spark, root, "documents")).withColumnRenamed("id", "doc_id")

@@ -95,3 +95,21 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
         F.col("id").alias("doc_id"), "n_words", "n_hit", "n_items",
         F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
     )
+
+
+@query("op4_toxicity")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    from wattline.llm.common import remainder
+    from wattline.llm.toxicity import toxicity
+
+    found = toxicity(table(spark, root, "documents"), table(spark, root, "labels"), remainder("doc_id", 3) != 1).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (remainder("doc_id", 3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query("op7_quality")
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    from wattline.llm.common import remainder
+    from wattline.llm.quality import quality
+
+    found = quality(table(spark, root, "documents"), table(spark, root, "labels"), remainder("doc_id", 5) != 0).withColumnRenamed("id", "doc_id")
+    return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

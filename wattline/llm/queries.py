@@ -113,3 +113,24 @@ def op7(spark: SparkSession, root: str) -> DataFrame:
 
     found = quality(table(spark, root, "documents"), table(spark, root, "labels"), remainder("doc_id", 5) != 0).withColumnRenamed("id", "doc_id")
     return found.select("doc_id", (remainder("doc_id", 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op1_warc", """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+g AS (SELECT h, min(page_id) AS first FROM p WHERE strlen(h) >= 100 GROUP BY h)
+SELECT p.page_id, CAST(strlen(p.h) AS BIGINT) AS payload_bytes, sha256(p.h) AS payload_digest,
+       CASE WHEN g.first < p.page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN g.first < p.page_id THEN g.first END AS refers_to
+FROM p LEFT JOIN g ON p.h = g.h""")
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    from wattline.functions.ordered import shared_folder
+    from wattline.llm.common import type_of
+    from wattline.llm.warc import read_warc, write_warc
+
+    pages, path = table(spark, root, "pages"), shared_folder(spark, "warc")
+    kind = type_of(pages, "page_id")
+    write_warc(pages, path)
+    return read_warc(spark, path).select(
+        F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
+        F.col("kind").alias("record_type"), F.col("refers").cast(kind).alias("refers_to"),
+    )

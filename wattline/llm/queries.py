@@ -134,3 +134,10 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
         F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest",
         F.col("kind").alias("record_type"), F.col("refers").cast(kind).alias("refers_to"),
     )
+
+
+@query("op3_kd_shards")
+def op3(spark: SparkSession, root: str) -> DataFrame:
+    from wattline.llm.kdtree import kd_shards
+
+    return kd_shards(table(spark, root, "documents"), shards=40).withColumnRenamed("id", "doc_id")

@@ -35,7 +35,7 @@ def bias_multiplicative(df: DataFrame, by: Sequence[str] = ("model",), max_corre
 PARTS = {"monthly": (lambda: F.month("ts"), 6, 0.10), "weekday": (lambda: F.weekday("ts"), 5, None), "half_hour": (lambda: period_of_day("ts"), 24, 0.05)}
 
 
-def bias_by_time(df: DataFrame, kind: str, by: Sequence[str] = ("model",), min_samples: int = 10, alpha: float = 0.05) -> DataFrame:
+def bias_by_time(df: DataFrame, kind: str, by: Sequence[str] = ("model",), min_samples: int = 20, alpha: float = 0.05) -> DataFrame:
     """Mean error per calendar part, kept where there are enough groups and they differ:
     months and half-hours by their spread against the mean, weekdays by a weekend t-test."""
     by = list(by)
@@ -73,7 +73,7 @@ def bias_report(before: DataFrame, after: DataFrame, keys: Sequence[str], by: Se
     return g.withColumn("mae_improvement_pct", 100 * F.try_divide(F.col("mae_before") - F.col("mae_after"), F.col("mae_before")))
 
 
-def bias_spline(df: DataFrame, knots: int = 5, reg: float = 0.01):
+def bias_spline(df: DataFrame, knots: int = 5, reg: float = 1.0):
     """Ridge on a truncated cubic basis of the forecast; returns (model, assembled-column function)."""
     q = quantiles(df.withColumn("__g", F.lit(1)), ["__g"], "yhat", {f"k{i}": i / (knots + 1) for i in range(1, knots + 1)}).head()
     at = [q[f"k{i}"] for i in range(1, knots + 1)]
@@ -138,7 +138,7 @@ def temporal_share(df: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:
     return parts.select(*by, F.when(F.col("__v") > 0, (F.col("__mo") + F.col("__wd")) / F.col("__v")).otherwise(0.0).alias("temporal_share"))
 
 
-def bias_select(df: DataFrame, folds: int = 3, use_cv: bool = True) -> DataFrame:
+def bias_select(df: DataFrame, folds: int = 5, use_cv: bool = True) -> DataFrame:
     """One row: spline score (R2 on time folds), temporal share, and the chosen type."""
     spark = df.sparkSession
     if not use_cv:
@@ -155,7 +155,7 @@ def bias_select(df: DataFrame, folds: int = 3, use_cv: bool = True) -> DataFrame
     return spark.createDataFrame([(float(s), float(t), choice)], "spline double, temporal double, choice string")
 
 
-def bias_advanced(df: DataFrame, trend: DataFrame | None = None, spline=None, tree=None, times: Sequence[DataFrame] = (), cap: float = 0.2, by: Sequence[str] = ("model",)) -> DataFrame:
+def bias_advanced(df: DataFrame, trend: DataFrame | None = None, spline=None, tree=None, times: Sequence[DataFrame] = (), cap: float = 0.3, by: Sequence[str] = ("model",)) -> DataFrame:
     """Trend, spline, tree, calendar tables; the whole change is at most ``cap`` of the value."""
     x = df.withColumn("__orig", F.col("yhat"))
     if trend is not None:

@@ -17,7 +17,7 @@ from wattline.operators.joins import pivot_models
 
 KEYS = ("ts", "area", "horizon")
 # Performance states with their upper MAPE limits and weight multipliers.
-STATE_LIMITS = [("excellent", 5.0), ("good", 10.0), ("fair", 20.0)]
+STATE_LIMITS = (("excellent", 2.0), ("good", 4.0), ("fair", 8.0))
 STATE_WEIGHT = {"excellent": 4.0, "good": 2.0, "fair": 1.0, "poor": 0.5}
 
 
@@ -92,8 +92,14 @@ def weights_min_mse(df: DataFrame, models: Sequence[str], bounds: tuple[float, f
     q = g + l2 * np.trace(g) / len(g) * np.eye(len(g))
     w = np.full(len(models), 1 / len(models))
     lr = 1.0 / np.linalg.eigvalsh(q)[-1]
-    for _ in range(5000):
-        w = _project(w - lr * (q @ w), *bounds)
+    ahead, t = w, 1.0
+    while True:  # accelerated projected gradient, restarted where it turns back; ends at the minimum
+        nxt = _project(ahead - lr * (q @ ahead), *bounds)
+        t2 = 1.0 if (ahead - nxt) @ (nxt - w) > 0 else (1 + np.sqrt(1 + 4 * t * t)) / 2
+        moved = np.abs(nxt - _project(nxt - lr * (q @ nxt), *bounds)).max()
+        ahead, w, t = nxt + (t - 1) / t2 * (nxt - w) * (t2 > 1), nxt, t2
+        if moved < 1e-10:
+            break
     return df.sparkSession.createDataFrame([(m, float(x)) for m, x in zip(models, w, strict=True)], "model string, weight double")
 
 
@@ -175,7 +181,7 @@ def selection_metrics(df: DataFrame, by: Sequence[str] = (), weights: Mapping[st
     m = df.groupBy(*by, "model").agg(
         (100 * F.avg(F.abs(e / (F.abs(y) + 1e-8)))).alias("mape"), F.avg(F.abs(e)).alias("mae"), F.sqrt(F.avg(e * e)).alias("rmse"),
         (1 - F.sum(e * e) / (F.var_pop(y) * F.count(y) + 1e-8)).alias("r2"))
-    w = weights or {"mape": 0.5, "mae": 0.25, "rmse": 0.25}
+    w = weights or {"mape": 0.4, "mae": 0.3, "rmse": 0.3}
     return m.withColumn("combined", sum((F.col(k) * v for k, v in w.items()), F.lit(0.0)))
 
 
@@ -208,16 +214,19 @@ def combine_best(fc: DataFrame, ranking: DataFrame, fallback: str = "next_best",
 
 
 # --- performance states ----------------------------------------------------------
-def state_of(mape: Column) -> Column:
+def state_of(mape: Column, limits: Sequence[tuple[str, float]] = STATE_LIMITS) -> Column:
+    """State by upper limits. The value is rounded first: a mean that lies on a limit must not
+    depend on the order in which tasks add it up."""
+    mape = F.round(mape, 9)
     c = F.when(mape.isNull(), F.lit(None))
-    for name, lim in STATE_LIMITS:
+    for name, lim in limits:
         c = c.when(mape < lim, name)
     return c.otherwise("poor")
 
 
-def perf_states(df: DataFrame, keys: Sequence[str] = ("ts", "area", "model")) -> DataFrame:
+def perf_states(df: DataFrame, keys: Sequence[str] = ("ts", "area", "model"), limits: Sequence[tuple[str, float]] = STATE_LIMITS) -> DataFrame:
     ape = F.when(F.col("y") != 0, 100 * F.abs((F.col("y") - F.col("yhat")) / F.col("y")))
-    return df.groupBy(*keys).agg(F.avg(ape).alias("mape")).where("mape is not null").withColumn("state", state_of(F.col("mape")))
+    return df.groupBy(*keys).agg(F.avg(ape).alias("mape")).where("mape is not null").withColumn("state", state_of(F.col("mape"), limits))
 
 
 def transitions(states: DataFrame, series: Sequence[str] = ("area", "model"), step: int | None = None) -> DataFrame:
@@ -231,12 +240,12 @@ def next_state(states: DataFrame, trans: DataFrame, series: Sequence[str] = ("ar
     return last.join(trans.drop("n"), ["model", "from_state"])
 
 
-def markov_weights(states: DataFrame, window: int = 48, step: int | None = None, by: Sequence[str] = ("ts", "area")) -> DataFrame:
+def markov_weights(states: DataFrame, window: int = 48, step: int | None = None, by: Sequence[str] = ("ts", "area"), limits: Sequence[tuple[str, float]] = STATE_LIMITS) -> DataFrame:
     """Multiplier of the state over (rolling MAPE + 1); a model without history weighs 1."""
     r = bounded(states, ["area", "model"], "ts", lambda w: {"rolling": F.avg("mape").over(w.rowsBetween(-window, -1))}, back=window, step=step)
-    mult = F.when(state_of(F.col("rolling")) == "excellent", STATE_WEIGHT["excellent"])
+    mult = F.when(state_of(F.col("rolling"), limits) == "excellent", STATE_WEIGHT["excellent"])
     for s in ("good", "fair"):
-        mult = mult.when(state_of(F.col("rolling")) == s, STATE_WEIGHT[s])
+        mult = mult.when(state_of(F.col("rolling"), limits) == s, STATE_WEIGHT[s])
     raw = F.when(F.col("rolling").isNull(), 1.0).otherwise(mult.otherwise(STATE_WEIGHT["poor"]) / (F.col("rolling") + 1))
     return normalize_weights(r.select(*by, "model", raw.alias("weight")), by)
 

@@ -19,7 +19,7 @@ from wattline.operators.stattests import ks_two_sample
 
 EPS = 1e-10
 # Decision limits per method.
-LIMITS = {"psi": 0.2, "kl_divergence": 0.1, "wasserstein": 0.5, "cusum": 5.0, "page_hinkley": 50.0}
+LIMITS = {"psi": 0.1, "kl_divergence": 0.1, "wasserstein": 0.5, "cusum": 5.0, "page_hinkley": 50.0}
 ALPHA = 0.05
 
 

@@ -26,7 +26,7 @@ def recent_errors(obs: DataFrame, decay: float = 0.95, by: Sequence[str] = ("are
     }).drop("__new")
 
 
-def correction_factors(err: DataFrame, hours: float = 24.0, min_obs: int = 4, mode: str = "additive", by: Sequence[str] = ("area",)) -> DataFrame:
+def correction_factors(err: DataFrame, hours: float = 6.0, min_obs: int = 3, mode: str = "additive", by: Sequence[str] = ("area",)) -> DataFrame:
     """All 48 periods per group: own weighted mean error, else the overall one; groups with
     fewer than ``min_obs`` observations get none."""
     by = list(by)

@@ -15,10 +15,10 @@ from wattline.functions.ordered import positions
 class LossConfig:
     # Default share, limits, window and load scale of the loss models.
     default: float = 0.08
-    low: float = 0.04
+    low: float = 0.0
     high: float = 0.15
-    window: int = 30
-    scale: float = 0.01
+    window: int = 168
+    scale: float = 0.001
     reference_load: float = 10000.0
 
 

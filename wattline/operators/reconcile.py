@@ -424,8 +424,8 @@ def compare_recon(methods: Mapping[str, DataFrame], act: DataFrame, folds: int =
     return ranked, t.join(T.wilcoxon(r, keys).select(*keys, F.col("p_value").alias("wilcoxon_p")), keys, "left")
 
 
-def select_recon(methods: Mapping[str, Callable[[], DataFrame]], act: DataFrame, S: DataFrame, weights: tuple[float, float, float] = (0.5, 0.3, 0.2),
-                 history: DataFrame | None = None, mape_threshold: float = 5.0, tolerance: float = 1e-3, target_seconds: float = 5.0) -> DataFrame:
+def select_recon(methods: Mapping[str, Callable[[], DataFrame]], act: DataFrame, S: DataFrame, weights: tuple[float, float, float] = (0.6, 0.3, 0.1),
+                 history: DataFrame | None = None, mape_threshold: float = 5.0, tolerance: float = 1e-6, target_seconds: float = 5.0) -> DataFrame:
     """Weighted accuracy, coherence and time score per method; with earlier rounds as history
     the mean over rounds decides."""
     rows = []

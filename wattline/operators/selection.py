@@ -52,7 +52,7 @@ def _table(spark: SparkSession, rows, horizon: int) -> DataFrame:
     return spark.createDataFrame([(f, float(v), horizon) for f, v in rows], "feature string, importance double, horizon int")
 
 
-def select_by_importance(df: DataFrame, target: str, features: Sequence[str], h: int = 1, threshold: float = 0.001,
+def select_by_importance(df: DataFrame, target: str, features: Sequence[str], h: int = 1, threshold: float = 0.01,
                          max_features: int = 50, min_features: int = 10, ppd: int = 48, **kw) -> DataFrame:
     """Safe features above the threshold, at most ``max_features``, at least the top ``min_features``."""
     safe = safe_features(features, h, ppd, target)

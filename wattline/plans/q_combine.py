@@ -53,8 +53,8 @@ def m10b(s, r):
 
 
 SELM = "100 * avg(abs((y - yhat) / (abs(y) + 1e-8))) AS mape, avg(abs(y - yhat)) AS mae, sqrt(avg((y-yhat)*(y-yhat))) AS rmse, 1 - sum((y-yhat)*(y-yhat)) / (var_pop(y) * count(y) + 1e-8) AS r2"
-define("sel", "scored", f"SELECT *, 0.5 * mape + 0.25 * mae + 0.25 * rmse AS combined FROM (SELECT model, {SELM} FROM scored GROUP BY 1)")
-define("selh", "scored", f"SELECT *, 0.5 * mape + 0.25 * mae + 0.25 * rmse AS combined FROM (SELECT horizon, model, {SELM} FROM scored GROUP BY 1, 2)")
+define("sel", "scored", f"SELECT *, 0.4 * mape + 0.3 * mae + 0.3 * rmse AS combined FROM (SELECT model, {SELM} FROM scored GROUP BY 1)")
+define("selh", "scored", f"SELECT *, 0.4 * mape + 0.3 * mae + 0.3 * rmse AS combined FROM (SELECT horizon, model, {SELM} FROM scored GROUP BY 1, 2)")
 SRD = "mape mae rmse r2 combined"
 query("m11_best_model", "SELECT *, row_number() OVER (ORDER BY mape, model) AS rank FROM sel", use="sel", rd=SRD)(lambda s, r: C.best_model(SC(s, r)))
 query("m11_best_model_r2", "SELECT *, row_number() OVER (ORDER BY r2 DESC, model) AS rank FROM sel", use="sel", rd=SRD)(lambda s, r: C.best_model(SC(s, r), "max_r2"))
@@ -74,8 +74,8 @@ query("m14_bias_additive", 'SELECT model, bias_off AS "offset" FROM boff', use="
 query("m15_bias_multiplicative", "SELECT * FROM bfac", use="bfac", rd="factor")(lambda s, r: B.bias_multiplicative(SC(s, r)))
 for _k, _p, _need, _spread in (("monthly", "month(ts)", 6, 0.10), ("half_hour", "hour(ts) * 2 + minute(ts) // 30", 24, 0.05)):
     _src, _fn = ("dscored", tb.daily_scored) if _k == "monthly" else ("scored", SC)
-    query(f"m16_bias_{_k}", f"""SELECT g.model, '{_k}' AS kind, part, bias, n FROM (SELECT model, ({_p})::INTEGER AS part, avg(y - yhat) AS bias, count(*) AS n FROM {_src} GROUP BY 1, 2 HAVING count(*) >= 10) g
- JOIN (SELECT model FROM (SELECT model, count(*) AS c, stddev_pop(bias) AS sd FROM (SELECT model, ({_p})::INTEGER AS part, avg(y - yhat) AS bias FROM {_src} GROUP BY 1, 2 HAVING count(*) >= 10) GROUP BY 1) JOIN (SELECT model, abs(avg(y - yhat)) AS m FROM {_src} GROUP BY 1) USING (model) WHERE c >= {_need} AND sd > {_spread} * m) k USING (model)""", use=_src, rd="bias")(
+    query(f"m16_bias_{_k}", f"""SELECT g.model, '{_k}' AS kind, part, bias, n FROM (SELECT model, ({_p})::INTEGER AS part, avg(y - yhat) AS bias, count(*) AS n FROM {_src} GROUP BY 1, 2 HAVING count(*) >= 20) g
+ JOIN (SELECT model FROM (SELECT model, count(*) AS c, stddev_pop(bias) AS sd FROM (SELECT model, ({_p})::INTEGER AS part, avg(y - yhat) AS bias FROM {_src} GROUP BY 1, 2 HAVING count(*) >= 20) GROUP BY 1) JOIN (SELECT model, abs(avg(y - yhat)) AS m FROM {_src} GROUP BY 1) USING (model) WHERE c >= {_need} AND sd > {_spread} * m) k USING (model)""", use=_src, rd="bias")(
         lambda s, r, k=_k, f=_fn: B.bias_by_time(f(s, r), k))
 query("m16_bias_weekday")(lambda s, r: B.bias_by_time(tb.daily_scored(s, r), "weekday", alpha=0.9))
 query("m17_apply_bias", "SELECT ts, area, model, horizon, greatest((yhat + bias_off) * factor, 0) AS yhat, y FROM scored JOIN boff USING (model) JOIN bfac USING (model)", use="scored boff bfac", rd="yhat y")(
@@ -97,7 +97,7 @@ query("m21_bias_trend", """SELECT model, origin, slope, intercept, r2, n, sqrt(r
 query("m22_temporal_share", """SELECT model, (mo + wd) / v AS temporal_share FROM (SELECT model, var_pop(y - yhat) AS v FROM scored GROUP BY 1) JOIN (SELECT model, sum(k * pow(a - m, 2)) / max(n) AS mo FROM (SELECT model, month(ts), avg(y - yhat) AS a, count(*) AS k FROM scored GROUP BY 1, 2) JOIN (SELECT model, avg(y - yhat) AS m, count(*) AS n FROM scored GROUP BY 1) USING (model) GROUP BY 1) USING (model)
  JOIN (SELECT model, sum(k * pow(a - m, 2)) / max(n) AS wd FROM (SELECT model, isodow(ts), avg(y - yhat) AS a, count(*) AS k FROM scored GROUP BY 1, 2) JOIN (SELECT model, avg(y - yhat) AS m, count(*) AS n FROM scored GROUP BY 1) USING (model) GROUP BY 1) USING (model)""", use="scored", rd="temporal_share")(
     lambda s, r: B.temporal_share(SC(s, r)))
-query("m22_bias_select")(lambda s, r: B.bias_select(stable(SC(s, r)), 2))
+query("m22_bias_select")(lambda s, r: B.bias_select(stable(SC(s, r))))
 
 
 @query("m23_bias_advanced")
@@ -107,7 +107,7 @@ def m23(s, r):
 
 
 # --- states ------------------------------------------------------------------------
-ST = "CASE WHEN {c} < 5 THEN 'excellent' WHEN {c} < 10 THEN 'good' WHEN {c} < 20 THEN 'fair' ELSE 'poor' END"
+ST = "CASE WHEN round({c}, 9) < 2 THEN 'excellent' WHEN round({c}, 9) < 4 THEN 'good' WHEN round({c}, 9) < 8 THEN 'fair' ELSE 'poor' END"
 define("pst", "scored", f"SELECT ts, area, model, mape, {ST.format(c='mape')} AS state FROM (SELECT ts, area, model, avg(100 * abs((y - yhat) / y)) FILTER (y <> 0) AS mape FROM scored GROUP BY 1, 2, 3) WHERE mape IS NOT NULL")
 PST = lambda s, r: C.perf_states(SC(s, r))
 query("m24_perf_states", "SELECT * FROM pst", use="pst", rd="mape")(PST)
@@ -115,7 +115,7 @@ define("trs", "pst", "SELECT model, from_state, to_state, n, n / sum(n) OVER (PA
 query("m25_transitions", "SELECT * FROM trs", use="trs", rd="probability")(lambda s, r: C.transitions(PST(s, r)))
 query("m26_next_state", "SELECT area, model, from_state, to_state, probability FROM (SELECT area, model, arg_max(state, ts) AS from_state FROM pst GROUP BY 1, 2) JOIN trs USING (model, from_state)", use="pst trs", rd="probability")(
     lambda s, r: C.next_state(PST(s, r), C.transitions(PST(s, r))))
-define("mkw", "pst", """SELECT ts, area, model, raw / sum(raw) OVER (PARTITION BY ts, area) AS weight FROM (SELECT ts, area, model, CASE WHEN m IS NULL THEN 1.0 ELSE CASE WHEN m < 5 THEN 4.0 WHEN m < 10 THEN 2.0 WHEN m < 20 THEN 1.0 ELSE 0.5 END / (m + 1) END::DOUBLE AS raw FROM (
+define("mkw", "pst", """SELECT ts, area, model, raw / sum(raw) OVER (PARTITION BY ts, area) AS weight FROM (SELECT ts, area, model, CASE WHEN m IS NULL THEN 1.0 ELSE CASE WHEN round(m, 9) < 2 THEN 4.0 WHEN round(m, 9) < 4 THEN 2.0 WHEN round(m, 9) < 8 THEN 1.0 ELSE 0.5 END / (m + 1) END::DOUBLE AS raw FROM (
  SELECT *, avg(mape) OVER (PARTITION BY area, model ORDER BY ts ROWS BETWEEN 48 PRECEDING AND 1 PRECEDING) AS m FROM pst))""")
 MKW = lambda s, r: C.markov_weights(PST(s, r))
 query("m27_markov_weights", "SELECT * FROM mkw", use="mkw", rd="weight")(MKW)

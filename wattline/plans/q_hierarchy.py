@@ -137,16 +137,16 @@ ROLES = lambda s, r: L.by_role(energy(s, r))
 LRD = "generation consumption losses"
 query("h21_losses_percentage", "SELECT ts, g AS generation, c AS consumption, g * 0.08 AS losses, abs(g - c - g * 0.08) < 1e-6 * greatest(abs(g), 1) AS balanced FROM roles", use="roles", rd=LRD)(lambda s, r: L.losses(energy(s, r)))
 query("h21_losses_absolute", "SELECT ts, g AS generation, c AS consumption, greatest(g - c, 0) AS losses, true AS balanced FROM roles", use="roles", rd=LRD)(lambda s, r: L.losses(energy(s, r), "absolute"))
-query("h21_losses_historical", "SELECT ts, g AS generation, c AS consumption, g * greatest(least((SELECT avg(x) FROM (SELECT l / g AS x FROM roles ORDER BY ts DESC LIMIT 30)), 0.15), 0.04) AS losses FROM roles", use="roles", rd=LRD)(
+query("h21_losses_historical", "SELECT ts, g AS generation, c AS consumption, g * greatest(least((SELECT avg(x) FROM (SELECT l / g AS x FROM roles ORDER BY ts DESC LIMIT 168)), 0.15), 0.0) AS losses FROM roles", use="roles", rd=LRD)(
     lambda s, r: L.losses(energy(s, r), "historical", history=ROLES(s, r).select("ts", (F.col("losses") / F.col("generation")).alias("share"))).drop("balanced"))
-query("h21_losses_adaptive", "SELECT ts, g AS generation, c AS consumption, g * greatest(least(0.08 + (SELECT avg(c) FROM roles) / 10000.0 * 0.01, 0.15), 0.04) AS losses FROM roles", use="roles", rd=LRD)(
+query("h21_losses_adaptive", "SELECT ts, g AS generation, c AS consumption, g * greatest(least(0.08 + (SELECT avg(c) FROM roles) / 10000.0 * 0.001, 0.15), 0.0) AS losses FROM roles", use="roles", rd=LRD)(
     lambda s, r: L.losses(energy(s, r), "adaptive").drop("balanced"))
 query("h21_losses_rebalanced", "SELECT ts, g * 0.08 AS losses FROM roles", use="roles", rd="losses")(lambda s, r: L.rebalance(L.losses(energy(s, r), "adaptive")).select("ts", "losses"))
 query("h22_distribute_losses", "SELECT e.ts, e.node || '_Losses' AS node, e.y / s.s * r.l AS losses FROM energy e JOIN (SELECT ts, sum(y) AS s FROM energy WHERE role = 'consumption' GROUP BY 1) s USING (ts) JOIN roles r USING (ts) WHERE e.role = 'consumption'", use="energy roles", rd="losses")(
     lambda s, r: L.distribute_losses(ROLES(s, r), energy(s, r).where("role = 'consumption'")))
 query("h23_adjust_losses", "SELECT e.ts, e.node, e.role, CASE WHEN e.role = 'losses' THEN CASE WHEN r.l > 0 THEN e.y / r.l ELSE 1.0 / k.k END * r.g * 0.07 ELSE e.y END AS y FROM energy e JOIN roles r USING (ts) JOIN (SELECT ts, count(*) AS k FROM energy WHERE role = 'losses' GROUP BY 1) k USING (ts)", use="energy roles", rd="y")(
     lambda s, r: L.adjust_losses(energy(s, r), 0.07))
-query("h24_validate_losses", "SELECT *, share > 0.15 AS above_maximum, share < 0.04 AS below_minimum, max_balance_error > 1 AS balance_warning, negative_losses = 0 AND share <= 0.15 AS valid FROM (SELECT count(*) FILTER (l < 0) AS negative_losses, avg(l) / avg(g) AS share, max(abs(g - c - l)) AS max_balance_error FROM roles)".replace("SELECT *, share >", "SELECT negative_losses, share AS mean_share, max_balance_error, share >"), use="roles", rd="mean_share max_balance_error")(
+query("h24_validate_losses", "SELECT *, share > 0.15 AS above_maximum, share < 0.0 AS below_minimum, max_balance_error > 1 AS balance_warning, negative_losses = 0 AND share <= 0.15 AS valid FROM (SELECT count(*) FILTER (l < 0) AS negative_losses, avg(l) / avg(g) AS share, max(abs(g - c - l)) AS max_balance_error FROM roles)".replace("SELECT *, share >", "SELECT negative_losses, share AS mean_share, max_balance_error, share >"), use="roles", rd="mean_share max_balance_error")(
     lambda s, r: L.validate_losses(ROLES(s, r)))
 query("h25_loss_stats", "SELECT avg(p) AS mean_pct, stddev_pop(p) AS std_pct, min(p) AS min_pct, max(p) AS max_pct, corr(c, p) AS load_correlation, 0.0::DOUBLE AS hourly_range, (SELECT max(m) - min(m) FROM (SELECT avg(100 * l / g) AS m FROM roles WHERE g > 0 GROUP BY isodow(ts))) AS weekly_range FROM (SELECT 100 * l / g AS p, c FROM roles WHERE g > 0)", use="roles", rd="mean_pct std_pct min_pct max_pct load_correlation weekly_range")(
     lambda s, r: L.loss_stats(ROLES(s, r)))

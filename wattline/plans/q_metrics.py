@@ -173,7 +173,7 @@ HIST = """SELECT l_returnflag, bin, count(*) FILTER (ref)::DOUBLE AS ref, count(
  JOIN (SELECT l_returnflag, lo - (hi - lo) * 0.01 - 1e-10 AS a, (hi - lo + 2 * ((hi - lo) * 0.01 + 1e-10)) / 10 AS w FROM (SELECT l_returnflag, min(l_extendedprice) AS lo, max(l_extendedprice) AS hi FROM lineitem GROUP BY 1)) USING (l_returnflag)) GROUP BY 1, 2"""
 define("hist", "", HIST)
 define("shares", "hist", "SELECT l_returnflag, ref, test, sum(ref) OVER p AS nr, sum(test) OVER p AS nt, (ref + 1e-10) / (sum(ref) OVER p + 1e-9) AS p, (test + 1e-10) / (sum(test) OVER p + 1e-9) AS q FROM hist WINDOW p AS (PARTITION BY l_returnflag)")
-query("r01_psi", "SELECT l_returnflag, sum((q - p) * ln(q / p)) AS score, sum((q - p) * ln(q / p)) >= 0.2 AS drift_detected FROM shares GROUP BY 1", use="shares", rd="score")(
+query("r01_psi", "SELECT l_returnflag, sum((q - p) * ln(q / p)) AS score, sum((q - p) * ln(q / p)) >= 0.1 AS drift_detected FROM shares GROUP BY 1", use="shares", rd="score")(
     lambda s, r: R.psi(LI(s, r), ["l_returnflag"], "l_extendedprice", REF()))
 query("r02_kl", "SELECT l_returnflag, sum((p - q) * ln(p / q)) / 2 AS score, sum((p - q) * ln(p / q)) / 2 >= 0.1 AS drift_detected FROM shares GROUP BY 1", use="shares", rd="score")(
     lambda s, r: R.kl(LI(s, r), ["l_returnflag"], "l_extendedprice", REF()))
@@ -195,7 +195,7 @@ query("r06_cusum", """WITH s AS (SELECT area, avg(load) AS m, stddev_samp(load)
 query("r07_page_hinkley", """SELECT area, max(u - m) AS score, max(u - m) >= 50 AS drift_detected FROM (SELECT area, u, min(u) OVER (PARTITION BY area ORDER BY ts) AS m FROM (
  SELECT area, ts, sum(load - mean - 0.005) OVER (PARTITION BY area ORDER BY ts) AS u FROM (SELECT area, ts, load, avg(load) OVER (PARTITION BY area ORDER BY ts) AS mean FROM filled))) GROUP BY 1""", use="filled", rd="score")(
     lambda s, r: R.page_hinkley(tb.filled(s, r), ["area"], "load"))
-query("r08_drift_alerts", "SELECT l_returnflag, score, true AS drift_detected, CASE WHEN score < 0.1 THEN 'low' WHEN score < 0.2 THEN 'medium' WHEN score < 0.3 THEN 'high' ELSE 'critical' END AS severity, CASE WHEN score < 0.1 THEN 'keep monitoring' WHEN score < 0.2 THEN 'watch closely' WHEN score < 0.3 THEN 'plan retraining, check data quality' ELSE 'retrain now' END AS action FROM (SELECT l_returnflag, sum((q - p) * ln(q / p)) AS score FROM shares2 GROUP BY 1) WHERE score >= 0.2", use="shares2", rd="score")(
+query("r08_drift_alerts", "SELECT l_returnflag, score, true AS drift_detected, CASE WHEN score < 0.1 THEN 'low' WHEN score < 0.2 THEN 'medium' WHEN score < 0.3 THEN 'high' ELSE 'critical' END AS severity, CASE WHEN score < 0.1 THEN 'keep monitoring' WHEN score < 0.2 THEN 'watch closely' WHEN score < 0.3 THEN 'plan retraining, check data quality' ELSE 'retrain now' END AS action FROM (SELECT l_returnflag, sum((q - p) * ln(q / p)) AS score FROM shares2 GROUP BY 1) WHERE score >= 0.1", use="shares2", rd="score")(
     lambda s, r: R.drift_alerts(R.psi(LI(s, r).withColumn("l_extendedprice", F.when(REF(), F.col("l_extendedprice")).otherwise(F.col("l_extendedprice") * 1.5)), ["l_returnflag"], "l_extendedprice", REF())))
 define("hist2", "", HIST.replace("l_extendedprice AS v FROM lineitem", "CASE WHEN l_shipdate < TIMESTAMP '1998-06-01' THEN l_extendedprice ELSE l_extendedprice * 1.5 END AS v FROM lineitem").replace("min(l_extendedprice) AS lo, max(l_extendedprice) AS hi", "min(CASE WHEN l_shipdate < TIMESTAMP '1998-06-01' THEN l_extendedprice ELSE l_extendedprice * 1.5 END) AS lo, max(CASE WHEN l_shipdate < TIMESTAMP '1998-06-01' THEN l_extendedprice ELSE l_extendedprice * 1.5 END) AS hi"))
 define("shares2", "hist2", "SELECT l_returnflag, ref, test, (ref + 1e-10) / (sum(ref) OVER p + 1e-9) AS p, (test + 1e-10) / (sum(test) OVER p + 1e-9) AS q FROM hist2 WINDOW p AS (PARTITION BY l_returnflag)")

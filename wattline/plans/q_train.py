@@ -97,9 +97,9 @@ define("rerr", "obs", """SELECT area, ts, observed, predicted, observed - predic
 OBS = lambda s, r: SC(s, r).where("model = 'ma' and horizon = 1").select("area", "ts", F.col("y").alias("observed"), F.col("yhat").alias("predicted"))
 ERR = lambda s, r: I.recent_errors(OBS(s, r))
 query("b01_recent_errors", "SELECT * FROM rerr", use="rerr", rd="observed predicted error error_ratio weight age_hours")(ERR)
-define("cfac", "rerr", """SELECT g.area, p::INTEGER AS period, coalesce(o.f, g.f) AS factor, coalesce(o.n, 0) AS n FROM (SELECT area, sum(error * weight) / sum(weight) AS f FROM rerr WHERE age_hours <= 12 GROUP BY 1 HAVING count(*) >= 4) g CROSS JOIN range(48) t(p)
- LEFT JOIN (SELECT area, period, sum(error * weight) / sum(weight) AS f, count(*) AS n FROM rerr WHERE age_hours <= 12 GROUP BY 1, 2) o ON o.area = g.area AND o.period = t.p""")
-FAC = lambda s, r: I.correction_factors(ERR(s, r), 12.0)
+define("cfac", "rerr", """SELECT g.area, p::INTEGER AS period, coalesce(o.f, g.f) AS factor, coalesce(o.n, 0) AS n FROM (SELECT area, sum(error * weight) / sum(weight) AS f FROM rerr WHERE age_hours <= 6 GROUP BY 1 HAVING count(*) >= 3) g CROSS JOIN range(48) t(p)
+ LEFT JOIN (SELECT area, period, sum(error * weight) / sum(weight) AS f, count(*) AS n FROM rerr WHERE age_hours <= 6 GROUP BY 1, 2) o ON o.area = g.area AND o.period = t.p""")
+FAC = lambda s, r: I.correction_factors(ERR(s, r))
 query("b02_correction_factors", "SELECT * FROM cfac", use="cfac", rd="factor")(FAC)
 BASE = lambda s, r: SC(s, r).where("model = 'seasonal'").select("area", "ts", "horizon", "yhat")
 query("b03_apply_correction", "SELECT s.area, s.ts, s.horizon, s.yhat, c.period, greatest(s.yhat + greatest(least(c.factor, abs(s.yhat) * 0.2), -abs(s.yhat) * 0.2), 0) AS corrected FROM scored s JOIN cfac c ON c.area = s.area AND c.period = hour(s.ts) * 2 + minute(s.ts) // 30 WHERE s.model = 'seasonal'", use="scored cfac", rd="yhat corrected")(
@@ -139,7 +139,7 @@ def x04(s, r):
     src, table = scratch(s, "obs"), scratch(s, "correction")
     OBS(s, r).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(src)
     stream = s.readStream.schema("area string, ts timestamp, observed double, predicted double").parquet(src)
-    X.stream_correction(NTZ(stream, "ts"), table, hours=12.0)
+    X.stream_correction(NTZ(stream, "ts"), table)
     return X.latest(s, table, "factors")
 
 

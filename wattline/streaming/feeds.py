@@ -69,7 +69,7 @@ def run_batches(stream: DataFrame, fn) -> None:
     q.awaitTermination()
 
 
-def stream_correction(obs: DataFrame, table: str, max_history_days: int = 7, hours: float = 24.0, decay: float = 0.95) -> None:
+def stream_correction(obs: DataFrame, table: str, max_history_days: int = 7, hours: float = 6.0, decay: float = 0.95) -> None:
     """Each batch of (area, ts, observed, predicted) joins the history, which is read back to
     ``max_history_days`` before the newest row by day partition; factors and the error model
     are worked out again. A batch that is run twice overwrites its own folder."""

@@ -149,3 +149,44 @@ def test_stream_drift_over_batches_equals_one_batch(spark, tmp_path):
         r = feeds.latest(spark, table, "state").head()
         out.append((round(r["page_hinkley"], 6), round(r["max_cusum"], 6), r["n"]))
     assert out[0] == out[1] and out[0][2] == 120
+
+
+def test_projection_with_missing_nodes(spark):
+    """A key with a missing node has a row per node, equal to the projection of the nodes it has."""
+    import pandas as pd
+
+    from wattline.operators.reconcile import reconcile_mint, residuals
+
+    rng = np.random.default_rng(3)
+    names = ["T", "a", "b"]
+    s = np.array([[1, 1], [1, 0], [0, 1]], dtype=float)
+    act = pd.DataFrame([(t, n, float(v)) for t in range(40) for n, v in zip(names, s @ rng.uniform(5, 9, 2))], columns=["ts", "node", "y"])
+    fc = act.assign(yhat=act.y + rng.normal(size=len(act))).drop(columns="y")
+    a, f = spark.createDataFrame(act), spark.createDataFrame(fc)
+    S = spark.createDataFrame([("T", "a", 1.0), ("T", "b", 1.0), ("a", "a", 1.0), ("b", "b", 1.0)], "node string, leaf string, w double")
+    gone = fc[~((fc.ts == 3) & (fc.node == "b")) & ~((fc.ts == 4) & (fc.node != "a"))]
+    got = reconcile_mint(spark.createDataFrame(gone), S, residuals(f, a)).toPandas().set_index(["ts", "node"]).yhat
+    assert len(got) == 120
+    wide = (act.set_index(["ts", "node"]).y - fc.set_index(["ts", "node"]).yhat).unstack()[names]
+    c = np.cov(wide.to_numpy().T)
+    w = np.linalg.inv(c[:2, :2] + 1e-8 * np.trace(c) / 3 * np.eye(2))
+    part = s[:2]
+    y = fc.set_index(["ts", "node"]).yhat
+    want = s @ np.linalg.solve(part.T @ w @ part, part.T @ w @ np.array([y[3, "T"], y[3, "a"]]))
+    assert np.allclose([got[3, n] for n in names], want)
+    assert np.isnan(got[4, "b"]) and np.isnan(got[4, "T"]) and abs(got[4, "a"] - y[4, "a"]) < 1e-6
+    assert all(abs(got[t, "T"] - got[t, "a"] - got[t, "b"]) < 1e-6 for t in range(40) if t != 4)
+
+
+def test_contradicting_constraints_raise(spark):
+    import pytest
+
+    from wattline.operators.reconcile import enforce_constraints
+
+    S = spark.createDataFrame([("T", "a", 1.0), ("a", "a", 1.0)], "node string, leaf string, w double")
+    fc = spark.createDataFrame([(1, "T", 5.0), (1, "a", -2.0)], "ts int, node string, yhat double")
+    assert {r["yhat"] for r in enforce_constraints(fc, S).collect()} == {0.0}
+    roles = spark.createDataFrame([("a", "losses"), ("T", "generation")], "node string, role string")
+    grow = S.where("node = 'a'").union(spark.createDataFrame([("T", "a", 2.0)], "node string, leaf string, w double"))
+    with pytest.raises(ValueError, match="not met"):
+        enforce_constraints(spark.createDataFrame([(1, "T", 5.0), (1, "a", 3.0)], "ts int, node string, yhat double"), grow, roles)

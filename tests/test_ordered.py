@@ -74,3 +74,14 @@ def test_ema_equals_loop(spark):
         for r in df.where(F.col("area") == a).orderBy("ts").collect():
             s = r["load"] if s is None else 0.3 * r["load"] + 0.7 * s
             assert abs(got[a, r["i"]] - s) < 1e-8
+
+
+def test_value_order_over_blocks(spark, monkeypatch):
+    """Many blocks of values give what one block gives, and no block holds more than its share."""
+    df = frame(spark, n=900)
+    make = lambda: O.value_order(df, ["area"], "load", {"n": F.lit(1), "s": F.col("i")}, "nxt")
+    want = sorted(tuple(r) for r in make().fillna(-1.0).collect())
+    monkeypatch.setattr(O, "VALUE_ROWS", 50)
+    assert sorted(tuple(r) for r in make().fillna(-1.0).collect()) == want
+    cut = df.groupBy("area", "load").count().repartitionByRange(-(-len(want) // 50), "area", "load").withColumn("k", F.spark_partition_id())
+    assert cut.groupBy("k").count().agg(F.max("count")).first()[0] <= 4 * 50

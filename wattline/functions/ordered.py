@@ -7,7 +7,7 @@ and carry what crosses a block boundary:
 * ``bounded``        lag / lead / row frames: neighbouring rows are copied over the edge
 * ``running``        cumulative sum, min, max, last: block totals first, then offsets
 * ``positions``      exact row numbers, the same way
-* ``value_order``    cumulative counts in order of a value, blocks from quantile cuts
+* ``value_order``    cumulative counts in order of a value, blocks from ranges of values
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 BLOCK_DAYS = 30
 BLOCK_ROWS = 1024
-FANOUT = 16  # value cuts are looked up in two steps: FANOUT groups of FANOUT
+VALUE_ROWS = 250_000  # distinct values of a block in order of value
 
 
 def col(c: str | Column) -> Column:
@@ -224,21 +224,6 @@ def uniform(seed: int, *keys: Column | str) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / F.lit(float(2**32))
 
 
-def value_cuts(df: DataFrame, by: Sequence[str], v: str) -> DataFrame:
-    """Approximate quantile cut points per group; only used to form blocks of even size."""
-    n = FANOUT * FANOUT
-    probs = [i / n for i in range(1, n)]
-    return stable(df.groupBy(*by).agg(F.percentile_approx(v, probs, 2000).alias("__cuts")))
-
-
-def _cut_block(v: str) -> Column:
-    cuts, x = F.col("__cuts"), F.col(v)
-    heads = F.transform(F.sequence(F.lit(1), F.lit(FANOUT - 1)), lambda i: F.element_at(cuts, i * FANOUT))
-    g = F.size(F.filter(heads, lambda c: c < x))
-    inner = F.size(F.filter(F.slice(cuts, g * FANOUT + 1, FANOUT - 1), lambda c: c < x))
-    return g * FANOUT + inner
-
-
 def value_order(
     df: DataFrame, by: Sequence[str], v: str, weights: Mapping[str, Column] | None = None,
     next_value: str | None = None,
@@ -246,34 +231,39 @@ def value_order(
     """One row per distinct value with, for each weight ``w``: ``w``, ``w_before``, ``w_total``.
 
     Equal values are added up before the shuffle, so a value held by a third of the rows
-    is one row here.
+    is one row here. Blocks are ranges of (group, value) of about VALUE_ROWS distinct values each,
+    as many as the counted rows need; totals of blocks are carried from one to the next.
     """
     by = list(by)
     weights = weights or {"n": F.lit(1)}
     src = df.where(F.col(v).isNotNull())
-    vc = stable(src.groupBy(*by, v).agg(*[F.sum(e).alias(n) for n, e in weights.items()]))  # read twice
-    b = vc.join(value_cuts(vc, by, v), by).withColumn("__k", _cut_block(v)).drop("__cuts")
-    tot = b.groupBy(*by, "__k").agg(
-        *[F.sum(n).alias(f"__s_{n}") for n in weights], F.min(v).alias("__first")
-    )
-    w = Window.partitionBy(*by).orderBy("__k")
-    off = tot.select(
-        *by, "__k",
-        *[F.coalesce(F.sum(f"__s_{n}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__b_{n}") for n in weights],
-        *[F.sum(f"__s_{n}").over(Window.partitionBy(*by)).alias(f"{n}_total") for n in weights],
-        F.lead("__first").over(w).alias("__next"),
-    )
-    wi = Window.partitionBy(*by, "__k").orderBy(v)
-    out = b.join(off, [*by, "__k"])
-    cols = [*by, v, *weights]
-    cols += [
-        (F.coalesce(F.sum(n).over(wi.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + F.col(f"__b_{n}")).alias(f"{n}_before")
-        for n in weights
-    ]
-    cols += [f"{n}_total" for n in weights]
-    if next_value:
-        cols.append(F.coalesce(F.lead(v).over(wi), F.col("__next")).alias(next_value))
-    return out.select(*cols)
+    vc = stable(src.groupBy(*by, v).agg(*[F.sum(e).alias(n) for n, e in weights.items()]))
+    blocks = -(-vc.count() // VALUE_ROWS)  # from the footers of the written table
+    if blocks > 1:
+        vc = stable(vc.repartitionByRange(blocks, *by, v).withColumn("__k", F.spark_partition_id()))
+        inside = Window.partitionBy(*by, "__k").orderBy(v)
+    else:
+        inside = Window.partitionBy(*by).orderBy(v)
+    earlier = inside.rowsBetween(Window.unboundedPreceding, -1)
+    before = {n: F.coalesce(F.sum(n).over(earlier), F.lit(0)) for n in weights}
+    after = F.lead(v).over(inside)
+    if blocks > 1:
+        tot = vc.groupBy(*by, "__k").agg(*[F.sum(n).alias(f"__s_{n}") for n in weights], F.min(v).alias("__first"))
+        w = Window.partitionBy(*by).orderBy("__k")  # one row per block
+        off = tot.select(
+            *by, "__k",
+            *[F.coalesce(F.sum(f"__s_{n}").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(f"__b_{n}") for n in weights],
+            *[F.sum(f"__s_{n}").over(Window.partitionBy(*by)).alias(f"{n}_total") for n in weights],
+            F.lead("__first").over(w).alias("__next"),
+        )
+        vc = vc.join(off, [*by, "__k"])
+        before = {n: e + F.col(f"__b_{n}") for n, e in before.items()}
+        after = F.coalesce(after, F.col("__next"))
+        total = [F.col(f"{n}_total") for n in weights]
+    else:
+        total = [F.sum(n).over(Window.partitionBy(*by)).alias(f"{n}_total") for n in weights]
+    cols = [*by, v, *weights, *[e.alias(f"{n}_before") for n, e in before.items()], *total]
+    return vc.select(*cols, *([after.alias(next_value)] if next_value else []))
 
 
 def quantiles(

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 
 from wattline.functions.ordered import stable
 
-MAX_DEPTH = 64
-
 
 def from_config(spark: SparkSession, national: str, subsystems: Mapping[str, Sequence[str]], losses: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a national / subsystem / area tree; loss nodes are calculated."""
@@ -33,7 +31,7 @@ def closure(edges: DataFrame) -> DataFrame:
     out = ids.select(F.col("n").alias("node"), F.col("n").alias("descendant"), F.lit(1.0).alias("w"), F.lit(0).alias("depth"), F.array("n").alias("path"))
     front = edges.select(
         F.col("parent").alias("node"), F.col("child").alias("descendant"), F.col("weight").alias("w"), F.lit(1).alias("depth"), F.array("parent", "child").alias("path"))
-    for _ in range(MAX_DEPTH):
+    while True:  # a cycle ends where its path would repeat
         out = out.unionByName(front)
         nxt = front.join(edges, F.col("descendant") == F.col("parent")).where(~F.array_contains("path", F.col("child"))).select(
             "node", F.col("child").alias("descendant"), (F.col("w") * F.col("weight")).alias("w"), (F.col("depth") + 1).alias("depth"),
@@ -41,7 +39,6 @@ def closure(edges: DataFrame) -> DataFrame:
         if nxt.isEmpty():
             return out
         front = stable(nxt)
-    raise ValueError(f"hierarchy deeper than {MAX_DEPTH} levels")
 
 
 def levels(c: DataFrame) -> DataFrame:

@@ -134,10 +134,10 @@ def residuals(fc: DataFrame, act: DataFrame) -> DataFrame:
 
 
 def _vectors(df: DataFrame, names: Sequence[str], v: str, keys: Sequence[str] = ("ts",)) -> DataFrame:
-    """One array per key in the order of ``names``; keys with a missing node are left out."""
-    m = df.where(F.col(v).isNotNull()).groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("node", v))).alias("m"))
+    """One array per key in the order of ``names``, null where a node is missing."""
+    m = df.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.when(F.col(v).isNotNull(), F.struct("node", v)))).alias("m"))  # one entry per node
     vec = F.array(*[F.try_element_at("m", F.lit(n)) for n in names])
-    return m.select(*keys, vec.alias("x")).where(~F.exists("x", lambda e: e.isNull()))
+    return m.select(*keys, vec.alias("x"))
 
 
 def node_names(df: DataFrame) -> list[str]:
@@ -163,8 +163,13 @@ def cross_products(vectors: DataFrame, n: int) -> DataFrame:
 
 
 def residual_moments(res: DataFrame, v: str = "e") -> tuple[list[str], int, np.ndarray, np.ndarray]:
+    """Names, count, means and covariance over the time stamps at which every node has a residual;
+    a covariance from pairs of unequal samples need not be positive."""
     names = node_names(res)
-    p = cross_products(_vectors(res, names, v), len(names)).toPandas()
+    whole = _vectors(res, names, v).where(~F.exists("x", lambda e: e.isNull()))
+    p = cross_products(whole, len(names)).toPandas()
+    if p.empty or p.loc[(p["i"] == 0) & (p["j"] == 0), "s"].iloc[0] < 2:
+        raise ValueError("fewer than two time stamps have a residual of every node")
     full = np.zeros((len(names) + 1,) * 2)
     full[p["i"], p["j"]] = p["s"]
     full = full + np.triu(full, 1).T
@@ -273,23 +278,41 @@ def _s_matrix(S: DataFrame, names: Sequence[str]) -> np.ndarray:
     return s
 
 
-def projection(S: np.ndarray, cov: np.ndarray, ridge: float = 1e-8) -> np.ndarray:
-    """S (S' W^-1 S)^-1 S' W^-1."""
-    w = np.linalg.pinv(cov + ridge * np.trace(cov) / len(cov) * np.eye(len(cov)))
-    return S @ np.linalg.solve(S.T @ w @ S, S.T @ w)
+def projection(S: np.ndarray, cov: np.ndarray, ridge: float = 1e-8, seen: np.ndarray | None = None) -> np.ndarray:
+    """S (S' W^-1 S)^-1 S' W^-1, with the rows of the nodes that are ``seen`` only (a missing forecast
+    says nothing). A node that the seen ones leave undetermined gets a row of NaN."""
+    seen = np.ones(len(cov), dtype=bool) if seen is None else seen
+    part, c = S[seen], cov[np.ix_(seen, seen)]
+    w = np.linalg.pinv(c + ridge * np.trace(cov) / len(cov) * np.eye(len(c)))
+    out = S @ np.linalg.pinv(part.T @ w @ part) @ part.T @ w
+    known = np.abs(S @ np.linalg.pinv(part) @ part - S).max(axis=1, initial=0.0) < 1e-8
+    out[~known] = np.nan
+    return out
+
 
+def apply_projection(fc: DataFrame, names: Sequence[str], S: np.ndarray, cov: np.ndarray, keys: Sequence[str] = ("ts",)) -> DataFrame:
+    """Matrix times the node vectors of a batch of keys; each forecast is shuffled once.
 
-def apply_projection(fc: DataFrame, names: Sequence[str], g: np.ndarray, keys: Sequence[str] = ("ts",)) -> DataFrame:
-    """Matrix times the node vectors of a batch of keys; each forecast is shuffled once."""
+    Every key of the input has a row per node. Keys with the same nodes missing share a matrix,
+    made on the worker; undetermined nodes are null.
+    """
     vec = _vectors(fc, names, "yhat", keys)
     types = dict(vec.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", x array<double>"
-    gt = g.T.copy()
 
     def part(batches):
+        made: dict[bytes, np.ndarray] = {}
         for pdf in batches:
             if len(pdf):
-                pdf["x"] = list(np.vstack(pdf["x"].to_numpy()) @ gt)
+                x = np.array([[np.nan if e is None else e for e in row] for row in pdf["x"]], dtype=float)
+                out = np.empty_like(x)
+                seen, which = np.unique(~np.isnan(x), axis=0, return_inverse=True)
+                for i, mask in enumerate(seen):
+                    if (key := mask.tobytes()) not in made:
+                        made[key] = projection(S, cov, seen=mask)
+                    rows = which.ravel() == i
+                    out[rows] = x[rows][:, mask] @ made[key].T
+                pdf["x"] = [[None if np.isnan(e) else e for e in row] for row in out.tolist()]
             yield pdf
 
     out = vec.mapInPandas(part, schema)
@@ -299,12 +322,12 @@ def apply_projection(fc: DataFrame, names: Sequence[str], g: np.ndarray, keys: S
 
 def reconcile_mint(fc: DataFrame, S: DataFrame, res: DataFrame, method: str = "sample", keys: Sequence[str] = ("ts",)) -> DataFrame:
     names, c = residual_cov(res, method, S)
-    return apply_projection(fc, names, projection(_s_matrix(S, names), c), keys)
+    return apply_projection(fc, names, _s_matrix(S, names), c, keys)
 
 
 def reconcile_shrink(fc: DataFrame, S: DataFrame, res: DataFrame, target: str = "diagonal", lam: float | str = "formula", keys: Sequence[str] = ("ts",)) -> DataFrame:
     names, c, _ = shrink_cov(res, target, lam)
-    return apply_projection(fc, names, projection(_s_matrix(S, names), c), keys)
+    return apply_projection(fc, names, _s_matrix(S, names), c, keys)
 
 
 def reconcile_proportional(fc: DataFrame, edges: DataFrame, root: str, keys: Sequence[str] = ("ts",)) -> DataFrame:
@@ -340,13 +363,15 @@ def check_constraints(fc: DataFrame, constraints: DataFrame, tol: float = 1e-6,
     return out.withColumn("satisfied", F.col("max_violation") <= tol)
 
 
-def enforce_constraints(fc: DataFrame, S: DataFrame, roles: DataFrame | None = None, max_iter: int = 10, tol: float = 1e-6, floor: float = 0.0) -> DataFrame:
+def enforce_constraints(fc: DataFrame, S: DataFrame, roles: DataFrame | None = None, tol: float = 1e-6, floor: float = 0.0, patience: int = 5) -> DataFrame:
     """Floor on leaves, sums upward, loss nodes scaled to generation - consumption; repeated
-    until the largest change is below ``tol``. Lineage is cut by a checkpoint per round."""
+    until the largest change is below ``tol``. A change that doesn't shrink for ``patience`` rounds is an
+    error: the constraints contradict each other. Lineage is cut by a written table per round."""
     leaves = S.select(F.col("leaf").alias("node")).distinct()
     tree = S.select("node").distinct()
     cur = fc.select("ts", "node", "yhat")
-    for _ in range(max_iter):
+    best, stuck = float("inf"), 0
+    while True:
         low = cur.withColumn("yhat", F.greatest("yhat", F.lit(floor)))
         up = bottom_up(low.join(leaves, "node", "left_semi"), S)
         nxt = up.unionByName(low.join(tree, "node", "left_anti"))
@@ -362,8 +387,10 @@ def enforce_constraints(fc: DataFrame, S: DataFrame, roles: DataFrame | None = N
         change = nxt.join(cur.withColumnRenamed("yhat", "o"), ["ts", "node"]).agg(F.max(F.abs(F.col("yhat") - F.col("o")))).head()[0] or 0.0
         cur = nxt
         if change < tol:
-            break
-    return cur
+            return cur
+        best, stuck = (change, 0) if change < best else (best, stuck + 1)
+        if stuck >= patience:
+            raise ValueError(f"constraints not met: values still change by {change:g}")
 
 
 # --- quality ---------------------------------------------------------------------

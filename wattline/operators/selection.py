@@ -11,7 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.functions.ordered import quantiles
+from wattline.functions.ordered import quantiles, stable
 from wattline.operators.folds import time_folds
 
 # Name parts that point at the future.
@@ -93,43 +93,43 @@ def select_rfe(df: DataFrame, target: str, features: Sequence[str], folds: int =
     return _table(df.sparkSession, best[1], h)
 
 
-def shuffled_column(df: DataFrame, c: str, key: Sequence[str], seed: int) -> DataFrame:
-    """``c`` permuted over all rows: both orders are numbered by distributed running counts."""
-    from wattline.functions.ordered import uniform
+def shuffled_columns(df: DataFrame, columns: Sequence[str], key: Sequence[str], seed: int) -> DataFrame:
+    """Adds ``__other``: the columns of another row, so that each is permuted over all rows.
 
-    b = df.withColumns({"__u": uniform(seed, *key), "__v": uniform(seed + 1, *key), "__h": F.xxhash64(*key)})
-    return _join_by_rank(b, c)
+    Rows are numbered in two hash orders, in blocks whose number follows from the number of rows;
+    one join takes row k of the second order to row k of the first.
+    """
+    from pyspark.sql import Window
 
+    from wattline.functions.ordered import VALUE_ROWS, uniform
 
-def _join_by_rank(b: DataFrame, c: str) -> DataFrame:
-    from pyspark.sql import Window
+    b = stable(df.withColumns({"__u": uniform(seed, *key), "__v": uniform(seed + 1, *key), "__h": F.xxhash64(*key)}))
+    blocks = -(-b.count() // VALUE_ROWS) or 1
 
-    def ranked(col_: str, out: str) -> DataFrame:
-        blk = b.withColumn("__blk", F.floor(F.col(col_) * 1024))
+    def ranked(order: str) -> DataFrame:
+        blk = b.withColumn("__blk", F.floor(F.col(order) * blocks))
         tot = blk.groupBy("__blk").agg(F.count(F.lit(1)).alias("__c"))
-        off = tot.withColumn("__off", F.sum("__c").over(Window.orderBy("__blk")) - F.col("__c")).drop("__c")
-        r = F.row_number().over(Window.partitionBy("__blk").orderBy(col_, "__h")) + F.col("__off")
-        return blk.join(off, "__blk").withColumn(out, r).drop("__blk", "__off")
+        off = tot.withColumn("__off", F.sum("__c").over(Window.orderBy("__blk")) - F.col("__c")).drop("__c")  # one row per block
+        r = F.row_number().over(Window.partitionBy("__blk").orderBy(order, "__h")) + F.col("__off")
+        return blk.join(off, "__blk").withColumn("__r", r).drop("__blk", "__off")
 
-    rows = ranked("__u", "__r").drop(c)
-    values = ranked("__v", "__r").select("__r", c)
-    return rows.join(values, "__r").drop("__r", "__u", "__v", "__h")
+    others = ranked("__v").select("__r", F.struct(*columns).alias("__other"))
+    return ranked("__u").join(others, "__r").drop("__r", "__u", "__v", "__h")
 
 
 def permutation_importance(model, df: DataFrame, features: Sequence[str], target: str, key: Sequence[str], repeats: int = 10,
                            seed: int = 42, threshold: float | None = None, h: int = 1) -> DataFrame:
     """Rise of the mean squared error when one column is permuted."""
     ev = RegressionEvaluator(metricName="mse")
-    base_df = df.select(*key, *features, target).dropna().persist()
+    base_df = stable(df.select(*key, *features, target).dropna())
     base = ev.evaluate(model.transform(_assembled(base_df, features, target)))
-    rows = []
-    for i, f in enumerate(features):
-        total = 0.0
-        for r in range(repeats):
-            s = shuffled_column(base_df, f, key, seed + 1000 * i + 2 * r)
-            total += ev.evaluate(model.transform(_assembled(s, features, target))) - base
-        rows.append((f, total / repeats))
-    base_df.unpersist()
+    total = dict.fromkeys(features, 0.0)
+    for r in range(repeats):
+        s = stable(shuffled_columns(base_df, features, key, seed + 2 * r))
+        for f in features:
+            one = s.withColumn(f, F.col("__other").getField(f))
+            total[f] += ev.evaluate(model.transform(_assembled(one, features, target))) - base
+    rows = [(f, t / repeats) for f, t in total.items()]
     return _table(df.sparkSession, [r for r in rows if threshold is None or r[1] >= threshold], h)
 
 

@@ -134,7 +134,7 @@ def read_table(spark, path: str) -> DataFrame:
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     if partition_by:
-        df = df.repartition(*partition_by, F.pmod(F.xxhash64(*df.columns), F.lit(8)))
+        df = df.hint("rebalance", *partition_by)  # parts of the advisory size, at any size of a partition value
     df.write.mode(mode).partitionBy(*partition_by).parquet(path)
 
 

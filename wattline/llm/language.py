@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.ordered import stable
-from wattline.llm.common import map_text, type_of
+from wattline.llm.common import map_text, slices, type_of
 
 BLOCK = 256
 SYMBOLS = 64  # 0: run of other characters; the last few: letters that no sample is rich in
@@ -203,19 +203,17 @@ def identify(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", te
 
 
 def keep_identified(docs: DataFrame, sample: dict[str, str], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language (is not ``und``)."""
+    """The rows of ``docs``, all columns, whose text has a language (is not ``und``).
+
+    Rows pass through in slices of bounded bytes.
+    """
     key = name_of(sample)
     shared = docs.sparkSession.sparkContext.broadcast(sample)
 
-    @F.pandas_udf("string")
-    def language(texts):
-        import pandas as pd
-
-        m = model_of(key, shared.value)
-        values = [None if t is None else t for t in texts]
-        out = []
-        for i in range(0, len(values), 512):
-            out += m.predict(values[i:i + 512])[0]
-        return pd.Series(out)
+    def run(batches):
+        for b in batches:
+            for s in slices(b, text_col):
+                lang, _ = model_of(key, shared.value).predict(s.column(text_col).to_pylist())
+                yield s.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
 
-    return docs.where(language(F.col(text_col).cast("string")) != UNKNOWN)
+    return docs.mapInArrow(run, docs.schema)

@@ -1,7 +1,7 @@
 """Forecast reconciliation.
 
-OLS and WLS (diagonal weights) on a tree are solved exactly by one pass up and one pass
-down the levels: what the children say about a parent and the parent's own forecast are
+OLS and WLS (diagonal weights) on a tree are solved exactly by a pass up and a pass
+down: what the children say about a parent and the parent's own forecast are
 combined by precision, then the surplus is handed back in proportion to variance. No
 matrix is formed, so the number of nodes is not limited. Full-covariance methods need an
 n x n matrix and use it on the workers for batches of time stamps.
@@ -59,17 +59,75 @@ def _levels(edges: DataFrame) -> DataFrame:
 
 def reconcile_wls(fc: DataFrame, edges: DataFrame, weights: DataFrame | None = None, keys: Sequence[str] = ("ts",)) -> DataFrame:
     """``weights(node, var)`` (or with the keys too); smaller variance counts more. A missing
-    forecast is a forecast of unlimited variance."""
+    forecast is a forecast of unlimited variance.
+
+    With variances per node the result is linear in the forecasts, with factors that don't depend on the key: they are worked
+    out once, on the node table, and two joins with the closure apply them at any depth. Keys with
+    a missing forecast, and variances per key, need factors of their own and go level by level.
+    """
     keys = list(keys)
     edges = stable(edges.select("parent", "child", "weight"))
     lv = stable(_levels(edges))
-    depth = lv.agg(F.max("level")).head()[0]
-    x = fc.select(*keys, "node", "yhat")
+    fc = fc.select(*keys, "node", "yhat")
+    if weights is not None and any(k in weights.columns for k in keys):
+        return _by_level(fc, edges, lv, weights, keys)
     if weights is None:
-        x = x.withColumn("var", F.lit(1.0))
-    else:
-        on = [c for c in [*keys, "node"] if c in weights.columns]
-        x = x.join(weights.select(*on, "var"), on, "left").withColumn("var", F.coalesce("var", F.lit(1.0)))
+        weights = lv.select("node", F.lit(1.0).alias("var"))
+    nodes = lv.count()
+    fc = stable(fc.join(lv.select("node"), "node", "left_semi"))
+    part = fc.groupBy(*keys).agg(F.count("yhat").alias("__n")).where(F.col("__n") < nodes).select(*keys)
+    part = stable(part)
+    if part.isEmpty():
+        return _by_factors(fc, edges, lv, weights, keys)
+    whole = _by_factors(fc.join(part, keys, "left_anti"), edges, lv, weights, keys)
+    return whole.unionByName(_by_level(fc.join(part, keys, "left_semi"), edges, lv, weights, keys))
+
+
+def _by_factors(fc: DataFrame, edges: DataFrame, lv: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """Up: what a node's own forecast and its children say, by precision. Down: an ancestor's surplus
+    over its children, in proportion to variance. Both are products along paths."""
+    depth = lv.agg(F.max("level")).head()[0]
+    own = lv.join(weights.select("node", "var"), "node", "left").select("node", "level", F.coalesce("var", F.lit(1.0)).alias("var"))
+    own = stable(own)
+    below, done = None, None
+    for level in range(depth, -1, -1):  # node table only
+        cur = own.where(F.col("level") == level)
+        if below is None:
+            cur = cur.withColumn("kv", F.lit(None).cast("double"))
+        else:
+            s = below.join(edges, F.col("node") == F.col("child")).groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("weight") * F.col("weight") * F.col("v")).alias("kv"))
+            cur = cur.join(s, "node", "left")
+        exact = F.col("kv") == 0
+        v = F.when(exact, 0.0).when(F.col("kv").isNull(), F.col("var")).otherwise(1 / (1 / F.col("var") + 1 / F.col("kv")))
+        cur = cur.withColumn("v", v)
+        cur = cur.select("node", "v", "kv", F.when(exact, 0.0).otherwise(F.col("v") / F.col("var")).alias("alpha"),
+                         F.when(exact, 1.0).when(F.col("kv").isNull(), 0.0).otherwise(F.col("v") / F.col("kv")).alias("beta"))
+        below = stable(cur)
+        done = below if done is None else done.unionByName(below)
+    node = stable(done)
+    top, kid = node.select(F.col("node").alias("parent"), "beta", F.col("kv").alias("pkv")), node.select(F.col("node").alias("child"), F.col("v").alias("cv"))
+    step = edges.join(top, "parent").join(kid, "child").select(
+        F.col("parent").alias("from"), F.col("child").alias("to"), (F.col("beta") * F.col("weight")).alias("up_step"),
+        F.when(F.col("pkv") > 0, F.col("weight") * F.col("cv") / F.col("pkv")).otherwise(0.0).alias("down_step"))
+    step = stable(step)
+    front = node.select(F.col("node").alias("above"), "node", F.lit(1.0).alias("up"), F.lit(1.0).alias("down"))
+    paths = front
+    for _ in range(depth):
+        front = front.join(step, F.col("node") == F.col("from")).select("above", F.col("to").alias("node"), (F.col("up") * F.col("up_step")).alias("up"), (F.col("down") * F.col("down_step")).alias("down"))
+        paths = paths.unionByName(front)
+    paths = stable(paths.join(node.select("node", "alpha"), "node").join(node.select(F.col("node").alias("above"), F.col("beta").alias("above_beta")), "above"))
+    said = F.col("up") * F.col("alpha") * F.col("yhat")
+    rest = F.coalesce(F.sum(F.when(F.col("above") != F.col("node"), said / F.col("above_beta"))), F.lit(0.0))
+    ups = fc.join(paths, "node").groupBy(*keys, "above").agg(F.sum(said).alias("m"), rest.alias("kids_mean"))
+    j = ups.join(paths.select("above", "node", "down"), "above")
+    own_m = F.sum(F.when(F.col("above") == F.col("node"), F.col("m")).otherwise(F.col("down") * (F.col("m") - F.col("kids_mean"))))
+    return j.groupBy(*keys, "node").agg(own_m.alias("yhat"))
+
+
+def _by_level(fc: DataFrame, edges: DataFrame, lv: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    depth = lv.agg(F.max("level")).head()[0]
+    on = [c for c in [*keys, "node"] if c in weights.columns]
+    x = fc.join(weights.select(*on, "var"), on, "left").withColumn("var", F.coalesce("var", F.lit(1.0)))
     x = stable(x.join(lv, "node"))
     seen = F.col("yhat").isNotNull()
     ups: list[DataFrame] = []

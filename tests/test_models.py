@@ -190,3 +190,68 @@ def test_contradicting_constraints_raise(spark):
     grow = S.where("node = 'a'").union(spark.createDataFrame([("T", "a", 2.0)], "node string, leaf string, w double"))
     with pytest.raises(ValueError, match="not met"):
         enforce_constraints(spark.createDataFrame([(1, "T", 5.0), (1, "a", 3.0)], "ts int, node string, yhat double"), grow, roles)
+
+
+def test_covariances_equal_numpy(spark):
+    """Sample, shrunk and factor covariance on residuals with a common part."""
+    import pandas as pd
+
+    rng = np.random.default_rng(5)
+    names, n = ["a", "b", "c", "d"], 60
+    e = rng.normal(size=(n, 1)) @ np.array([[1.0, 2.0, -1.0, 0.5]]) + rng.normal(size=(n, 4))
+    day = pd.Timestamp("2024-01-01")
+    res = spark.createDataFrame(pd.DataFrame([(day + pd.Timedelta(days=t), m, float(e[t, i])) for t in range(n) for i, m in enumerate(names)], columns=["ts", "node", "e"]))
+    c = np.cov(e.T)
+    got, sample = R.residual_cov(res)
+    assert got == names and np.allclose(sample, c)
+    assert np.allclose(R.residual_cov(res, "diagonal")[1], np.diag(np.diag(c)))
+    w, u = np.linalg.eigh(c)
+    common = w[-1] * np.outer(u[:, -1], u[:, -1])
+    assert np.allclose(R.residual_cov(res, "factor")[1], common + np.diag(np.maximum(np.diag(c - common), 1e-6)))
+    x = e - e.mean(axis=0)
+    b = x.T @ x / n
+    mu = np.trace(b) / 4
+    d2 = ((b - mu * np.eye(4)) ** 2).sum() / 4
+    b2 = sum(((np.outer(r, r) - b) ** 2).sum() for r in x) / n**2 / 4
+    lam = min(b2, d2) / d2
+    assert np.allclose(R.residual_cov(res, "ledoit_wolf")[1], (1 - lam) * b + lam * mu * np.eye(4))
+    for target in ("identity", "diagonal", "constant_correlation", "factor"):
+        _, shrunk, lam = R.shrink_cov(res, target, "holdout")
+        assert 0 <= lam <= 1 and np.allclose(np.trace(shrunk), np.trace(c), rtol=0.2)
+
+
+def test_minimum_error_weights_are_minima(spark):
+    """No feasible step lowers the error; two models that are nearly alike don't stall it."""
+    rng = np.random.default_rng(7)
+    y = rng.normal(100, 10, 300)
+    fc = {"p": y + rng.normal(0, 2, 300), "q": y + rng.normal(1, 3, 300)}
+    fc["r"] = fc["p"] + rng.normal(0, 0.01, 300)
+    rows = [(i, "x", 0, m, float(v[i]), float(y[i])) for m, v in fc.items() for i in range(300)]
+    df = spark.createDataFrame(rows, "ts int, area string, horizon int, model string, yhat double, y double")
+    w = {r["model"]: r["weight"] for r in C.weights_min_mse(df, list(fc)).collect()}
+    mse = lambda w: np.mean((sum(w[m] * fc[m] for m in fc) - y) ** 2)
+    assert abs(sum(w.values()) - 1) < 1e-9 and min(w.values()) >= 0
+    for a in fc:
+        for b in fc:
+            step = min(w[a], 1e-3)
+            assert mse(w) <= mse(w | {a: w[a] - step, b: w[b] + step}) + 1e-9 if a != b else True
+
+
+def test_states_on_a_limit_do_not_depend_on_order(spark):
+    """0.1 + 0.2 + 0.3 and its permutations have one state."""
+    limit = (("good", 0.2),)
+    rows = [(a, "m", 1, 100.0, 100.0 - v) for a, p in (("x", (0.1, 0.2, 0.3)), ("y", (0.3, 0.2, 0.1)), ("z", (0.2, 0.3, 0.1))) for v in p]
+    df = spark.createDataFrame(rows, "area string, model string, ts int, y double, yhat double").coalesce(1)
+    assert {r["state"] for r in C.perf_states(df, limits=limit).collect()} == {"poor"}
+
+
+def test_error_model_equals_ridge_on_scaled_columns(spark):
+    from wattline.operators.intraday import error_model
+
+    rng = np.random.default_rng(2)
+    p, d, wt = rng.integers(0, 48, 400), rng.integers(0, 7, 400), rng.uniform(0.1, 1, 400)
+    e = 3 + 0.2 * p - 0.5 * d + rng.normal(size=400)
+    m = error_model(spark.createDataFrame([(float(a), int(b), int(c), float(w)) for a, b, c, w in zip(e, p, d, wt)], "error double, period int, weekday int, weight double"), alpha=0.0)
+    x = np.column_stack([np.ones(400), p, d])
+    want = np.linalg.solve(x.T @ (wt[:, None] * x), x.T @ (wt * e))
+    assert np.allclose([m.intercept, *m.coefficients.toArray()], want, atol=1e-6)

@@ -76,9 +76,9 @@ def reconcile_wls(fc: DataFrame, edges: DataFrame, weights: DataFrame | None = N
     nodes = lv.count()
     fc = stable(fc.join(lv.select("node"), "node", "left_semi"))
     part = fc.groupBy(*keys).agg(F.count("yhat").alias("__n")).where(F.col("__n") < nodes).select(*keys)
-    part = stable(part)
     if part.isEmpty():
         return _by_factors(fc, edges, lv, weights, keys)
+    part = stable(part)
     whole = _by_factors(fc.join(part, keys, "left_anti"), edges, lv, weights, keys)
     return whole.unionByName(_by_level(fc.join(part, keys, "left_semi"), edges, lv, weights, keys))
 
@@ -88,7 +88,6 @@ def _by_factors(fc: DataFrame, edges: DataFrame, lv: DataFrame, weights: DataFra
     over its children, in proportion to variance. Both are products along paths."""
     depth = lv.agg(F.max("level")).head()[0]
     own = lv.join(weights.select("node", "var"), "node", "left").select("node", "level", F.coalesce("var", F.lit(1.0)).alias("var"))
-    own = stable(own)
     below, done = None, None
     for level in range(depth, -1, -1):  # node table only
         cur = own.where(F.col("level") == level)
@@ -104,12 +103,11 @@ def _by_factors(fc: DataFrame, edges: DataFrame, lv: DataFrame, weights: DataFra
                          F.when(exact, 1.0).when(F.col("kv").isNull(), 0.0).otherwise(F.col("v") / F.col("kv")).alias("beta"))
         below = stable(cur)
         done = below if done is None else done.unionByName(below)
-    node = stable(done)
+    node = done
     top, kid = node.select(F.col("node").alias("parent"), "beta", F.col("kv").alias("pkv")), node.select(F.col("node").alias("child"), F.col("v").alias("cv"))
     step = edges.join(top, "parent").join(kid, "child").select(
         F.col("parent").alias("from"), F.col("child").alias("to"), (F.col("beta") * F.col("weight")).alias("up_step"),
         F.when(F.col("pkv") > 0, F.col("weight") * F.col("cv") / F.col("pkv")).otherwise(0.0).alias("down_step"))
-    step = stable(step)
     front = node.select(F.col("node").alias("above"), "node", F.lit(1.0).alias("up"), F.lit(1.0).alias("down"))
     paths = front
     for _ in range(depth):

@@ -110,6 +110,30 @@ def _with_matrix(s, r, fn):
 
 query("h15_reconcile_wls", OLS.format(vl="wv.var", vr="wv.var", vt="wv.var", jl="JOIN nvar wv ON wv.node = f.node", jr="JOIN nvar wv ON wv.node = ra.region", jt="JOIN nvar wv ON wv.node = 'TOTAL'"), use="nfc nvar", rd="yhat", digits=4)(
     _wls)
+define("ivar", "nfc", "SELECT node, greatest(pow(avg(0.2 * yhat / (2 * 1.96)), 2), 1e-10) AS var FROM nfc GROUP BY 1")
+define("evar", "nfc", "SELECT node, greatest(avg(pow(0.1 * yhat, 2)), 1e-10) AS var FROM nfc GROUP BY 1")
+define("cvar", "nfc", "SELECT node, 1 / greatest(avg(CASE WHEN node = 'TOTAL' THEN 0.9 ELSE 0.5 + 0.001 * length(node) END), 1e-6)::DOUBLE AS var FROM nfc GROUP BY 1")
+THREE = lambda: F.explode(F.array(*[F.lit(x) for x in (0.9, 1.0, 1.1)]))
+WEIGHTS = {  # weights of WLS from interval widths, the spread of an ensemble, and stated confidence
+    "interval": ("ivar", lambda f: R.interval_weights(f.withColumns({"lo": F.col("yhat") * 0.9, "hi": F.col("yhat") * 1.1}))),
+    "ensemble": ("evar", lambda f: R.ensemble_weights(f.withColumn("__f", THREE()).withColumn("yhat", F.col("yhat") * F.col("__f")))),
+    "confidence": ("cvar", lambda f: R.confidence_weights(f.withColumn("confidence", F.when(F.col("node") == "TOTAL", 0.9).otherwise(0.5 + 0.001 * F.length("node"))))),
+}
+
+
+def _wls_by(kind):
+    cte, weigh = WEIGHTS[kind]
+
+    def run(s, r):
+        f = stable(node_fc(s, r))
+        return R.reconcile_wls(f, E(s, r), weigh(f))
+
+    sql = OLS.format(vl="wv.var", vr="wv.var", vt="wv.var", jl=f"JOIN {cte} wv ON wv.node = f.node", jr=f"JOIN {cte} wv ON wv.node = ra.region", jt=f"JOIN {cte} wv ON wv.node = 'TOTAL'")
+    query(f"h15_wls_{kind}", sql, use=f"nfc {cte}", rd="yhat", digits=4)(run)
+
+
+for _kind in WEIGHTS:
+    _wls_by(_kind)
 query("h16_reconcile_mint")(lambda s, r: _with_matrix(s, r, R.reconcile_mint))
 query("h17_reconcile_shrink")(lambda s, r: _with_matrix(s, r, R.reconcile_shrink))
 query("h18_reconcile_proportional", "SELECT f.ts, f.node, CASE WHEN f.node IN (SELECT r_name FROM region) AND s.s > 0 THEN f.yhat * t.yhat / s.s ELSE f.yhat END AS yhat FROM nfc f JOIN (SELECT ts, sum(yhat) AS s FROM nfc WHERE node IN (SELECT r_name FROM region) GROUP BY 1) s USING (ts) JOIN (SELECT ts, yhat FROM nfc WHERE node = 'TOTAL') t USING (ts)", use="nfc", rd="yhat", digits=4)(

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from wattline.functions.ordered import stable
 from wattline.operators import joins as J
 from wattline.operators import reshape as Z
 from wattline.operators.impute import daily_mean
@@ -82,6 +83,13 @@ def s07(spark, root):
     return R.scan_any(spark, p, "csv", "utf-8").groupBy("area").agg(F.count(F.lit(1)).alias("n"), F.sum("load").alias("total"))
 
 
+@query("s07_scan_any_latin1", "SELECT 'é' || area AS area, load FROM series", use="series", rd="load")
+def s07_latin1(spark, root):
+    p = R.scratch(spark, "csv")
+    tb.series(spark, root).select(F.concat(F.lit("é"), "area").alias("area"), "load").write.option("header", "true").option("encoding", "ISO-8859-1").csv(p)
+    return R.scan_any(spark, p, "csv")
+
+
 @query("s08_table_round_trip", "SELECT area, ts, load FROM series", use="series", rd="load")
 def s08(spark, root):
     p = R.scratch(spark, "table")
@@ -102,6 +110,15 @@ def s10(spark, root):
     return tb.series(spark, root).select("area", "ts", R.file_date(F.date_format("ts", "'pred_'yyyy_MM_dd'.parquet'")).alias("file_date"))
 
 
+@query("s10_scan_dated_files", "SELECT area, ts, load, ts::DATE AS file_date FROM series WHERE ts::DATE BETWEEN '2024-01-03' AND '2024-01-06'", use="series", rd="load")
+def s10_scan(spark, root):
+    p = R.scratch(spark, "dated")
+    d = stable(tb.series(spark, root))
+    for day in ("2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05", "2024-01-06", "2024-01-07"):
+        d.where(F.to_date("ts") == day).write.parquet(f"{p}/pred_{day.replace('-', '_')}.parquet")
+    return R.scan_dated_files(spark, p, "2024-01-03", "2024-01-06").select("area", "ts", "load", "file_date")
+
+
 @query("s11_append_importance", "SELECT p_brand AS feature, avg(p_retailprice) AS score, 'tree' AS type, p_type AS model_id, TIMESTAMP '2024-01-01' AS timestamp FROM part GROUP BY ALL", rd="score")
 def s11(spark, root):
     p = R.scratch(spark, "importance")

@@ -152,6 +152,13 @@ def x05(s, r):
     return X.run_available(X.stream_align(obs, stable(SC(s, r))))
 
 
+@query("x05_stream_align_both", """SELECT a.event_type AS area, a.ts, b.model, b.horizon, b.yhat, a.value AS load FROM events a JOIN (SELECT event_type AS area, ts, 'last' AS model, 0::INTEGER AS horizon, value * 2 AS yhat FROM events) b ON b.area = a.event_type AND b.ts = a.ts""", rd="yhat load")
+def x05_both(s, r):
+    obs = X.event_stream(s, r).select(F.col("event_type").alias("area"), "ts", F.col("value").alias("load"))
+    fc = X.event_stream(s, r).select(F.col("event_type").alias("area"), "ts", F.lit("last").alias("model"), F.lit(0).alias("horizon"), (F.col("value") * 2).alias("yhat"))
+    return NTZ(X.run_available(X.stream_align_both(obs, fc)), "ts")
+
+
 @query("x06_stream_performance", """SELECT model, st AS start, st + INTERVAL 1 DAY AS "end", avg(ae) AS mae, count(*) AS n FROM (SELECT event_type AS model, abs(value - 50) AS ae, time_bucket(INTERVAL 30 MINUTE, ts) - k.k * INTERVAL 30 MINUTE AS st FROM events, range(48) k(k)) WHERE st + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2""", rd="mae")
 def x06(s, r):
     err = X.event_stream(s, r).select("ts", F.col("event_type").alias("model"), F.abs(F.col("value") - 50).alias("abs_error"))

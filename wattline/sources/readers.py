@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from datetime import date
 
@@ -113,11 +114,19 @@ def scan_holidays(spark, root, years: Sequence[int]) -> DataFrame:
     return df.where(F.year("date").isin(list(years)))
 
 
-def scan_any(spark, path: str, fmt: str | None = None, encoding: str = "utf-8") -> DataFrame:
+def csv_encoding(spark, path: str) -> str:
+    """utf-8 if every line of the files is valid, else latin-1, in which every byte is a character."""
+    bad = spark.read.text(path).where(~F.is_valid_utf8("value"))
+    return "utf-8" if bad.isEmpty() else "latin-1"
+
+
+def scan_any(spark, path: str, fmt: str | None = None, encoding: str | None = None) -> DataFrame:
+    """Format by extension; without an encoding a CSV file is read once more to find it."""
     fmt = fmt or path.rsplit(".", 1)[-1].lower()
     if fmt == "parquet":
         return spark.read.parquet(path)
     if fmt == "csv":
+        encoding = encoding or csv_encoding(spark, path)
         if encoding.lower() not in CSV_ENCODINGS:
             raise ValueError(f"encoding {encoding!r} not in {CSV_ENCODINGS}")
         names = {"latin-1": "ISO-8859-1", "cp1252": "windows-1252"}
@@ -152,11 +161,24 @@ def file_date(name: Column) -> Column:
 
 
 def scan_dated_files(spark, root: str, start, end, fmt: str = "parquet") -> DataFrame:
-    df = spark.read.option("recursiveFileLookup", "true").format(fmt).load(root)
-    d = file_date(F.col("_metadata.file_name"))
-    return df.withColumn("file_date", d).where(
-        F.col("file_date").between(F.lit(str(start)).cast("date"), F.lit(str(end)).cast("date"))
-    )
+    """Files, or folders that Spark wrote, below ``root`` whose name carries a date from ``start``
+    to ``end``; others are not opened. Adds ``file_date``."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    lo, hi = (date.fromisoformat(str(d)[:10]) for d in (start, end))
+    paths = []
+    for x in fs.listStatus(target):
+        m = re.search(r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})", x.getPath().getName())
+        try:
+            if m and lo <= date(*map(int, m.groups())) <= hi:
+                paths.append(x.getPath().toString())
+        except ValueError:  # digits that are no date
+            continue
+    if not paths:
+        raise ValueError(f"no file of {lo} to {hi} in {root}")
+    # the first dated part of the path below the root
+    below = F.substring_index(F.col("_metadata.file_path"), f"/{target.getName()}/", -1)
+    return spark.read.option("recursiveFileLookup", "true").format(fmt).load(paths).withColumn("file_date", file_date(below))
 
 
 def append_importance(df: DataFrame, path: str) -> None:

@@ -91,21 +91,34 @@ query("k29_two_stage_checks", """SELECT area, 'energy' AS test, max(abs(total -
     lambda s, r: P.two_stage_checks(TWO(s, r), RAT(s, r)))
 
 # --- intraday -------------------------------------------------------------------------
-define("obs", "scored", "SELECT area, ts, y AS observed, yhat AS predicted FROM scored WHERE model = 'ma' AND horizon = 1")
-define("rerr", "obs", """SELECT area, ts, observed, predicted, observed - predicted AS error, CASE WHEN predicted = 0 THEN 0 ELSE greatest(least(observed / predicted - 1, 0.5), -0.5) END AS error_ratio, (hour(ts) * 2 + minute(ts) // 30)::INTEGER AS period, (isodow(ts) - 1)::INTEGER AS weekday,
- pow(0.95, epoch(max(ts) OVER (PARTITION BY area) - ts) / 3600.0::DOUBLE) AS weight, epoch(max(ts) OVER (PARTITION BY area) - ts) / 3600.0::DOUBLE AS age_hours FROM obs""")
-OBS = lambda s, r: SC(s, r).where("model = 'ma' and horizon = 1").select("area", "ts", F.col("y").alias("observed"), F.col("yhat").alias("predicted"))
-ERR = lambda s, r: I.recent_errors(OBS(s, r))
+# every model and horizon is a series of its own
+GRP = "area, model, horizon"
+BY = ("area", "model", "horizon")
+RERR = """SELECT {g}, ts, observed, predicted, observed - predicted AS error, CASE WHEN predicted = 0 THEN 0 ELSE greatest(least(observed / predicted - 1, 0.5), -0.5) END AS error_ratio,
+ (hour(ts) * 2 + minute(ts) // 30)::INTEGER AS period, (isodow(ts) - 1)::INTEGER AS weekday,
+ pow(0.95, epoch(max(ts) OVER (PARTITION BY {g}) - ts) / 3600.0::DOUBLE) AS weight, epoch(max(ts) OVER (PARTITION BY {g}) - ts) / 3600.0::DOUBLE AS age_hours FROM {src}"""
+CFAC = """SELECT {g}, p::INTEGER AS period, coalesce(o.f, g.f) AS factor, coalesce(o.n, 0) AS n
+ FROM (SELECT {g}, sum(error * weight) / sum(weight) AS f FROM {src} WHERE age_hours <= 6 GROUP BY {g} HAVING count(*) >= 3) g CROSS JOIN (SELECT unnest(range(48)) AS period, unnest(range(48)) AS p)
+ LEFT JOIN (SELECT {g}, period, sum(error * weight) / sum(weight) AS f, count(*) AS n FROM {src} WHERE age_hours <= 6 GROUP BY {g}, period) o USING ({g}, period)"""
+define("obs", "scored", f"SELECT {GRP}, ts, y AS observed, yhat AS predicted FROM scored")
+define("rerr", "obs", RERR.format(g=GRP, src="obs"))
+define("obs1", "scored", "SELECT area, ts, y AS observed, yhat AS predicted FROM scored WHERE model = 'ma' AND horizon = 1")
+define("rerr1", "obs1", RERR.format(g="area", src="obs1"))
+define("cfac1", "rerr1", CFAC.format(g="area", src="rerr1"))
+OBS = lambda s, r: SC(s, r).select(*BY, "ts", F.col("y").alias("observed"), F.col("yhat").alias("predicted"))
+ERR = lambda s, r: I.recent_errors(OBS(s, r), by=BY)
 query("b01_recent_errors", "SELECT * FROM rerr", use="rerr", rd="observed predicted error error_ratio weight age_hours")(ERR)
-define("cfac", "rerr", """SELECT g.area, p::INTEGER AS period, coalesce(o.f, g.f) AS factor, coalesce(o.n, 0) AS n FROM (SELECT area, sum(error * weight) / sum(weight) AS f FROM rerr WHERE age_hours <= 6 GROUP BY 1 HAVING count(*) >= 3) g CROSS JOIN range(48) t(p)
- LEFT JOIN (SELECT area, period, sum(error * weight) / sum(weight) AS f, count(*) AS n FROM rerr WHERE age_hours <= 6 GROUP BY 1, 2) o ON o.area = g.area AND o.period = t.p""")
-FAC = lambda s, r: I.correction_factors(ERR(s, r))
+define("cfac", "rerr", CFAC.format(g=GRP, src="rerr"))
+FAC = lambda s, r: I.correction_factors(ERR(s, r), by=BY)
 query("b02_correction_factors", "SELECT * FROM cfac", use="cfac", rd="factor")(FAC)
-BASE = lambda s, r: SC(s, r).where("model = 'seasonal'").select("area", "ts", "horizon", "yhat")
-query("b03_apply_correction", "SELECT s.area, s.ts, s.horizon, s.yhat, c.period, greatest(s.yhat + greatest(least(c.factor, abs(s.yhat) * 0.2), -abs(s.yhat) * 0.2), 0) AS corrected FROM scored s JOIN cfac c ON c.area = s.area AND c.period = hour(s.ts) * 2 + minute(s.ts) // 30 WHERE s.model = 'seasonal'", use="scored cfac", rd="yhat corrected")(
-    lambda s, r: I.apply_correction(BASE(s, r), FAC(s, r)))
-query("b04_correction_bounds", "SELECT s.area, s.ts, s.horizon, s.yhat, greatest(s.yhat - 1.96 * e.sd * [1.0, 1.5, 1.8, 2.0, 2.1, 2.2][horizon + 1], 0) AS lo, s.yhat + 1.96 * e.sd * [1.0, 1.5, 1.8, 2.0, 2.1, 2.2][horizon + 1] AS hi FROM scored s JOIN (SELECT area, stddev_samp(error) AS sd FROM rerr GROUP BY 1) e USING (area) WHERE s.model = 'seasonal'", use="scored rerr", rd="yhat lo hi")(
-    lambda s, r: I.correction_bounds(BASE(s, r), ERR(s, r)))
+BASE = lambda s, r: SC(s, r).select(*BY, "ts", "yhat")
+query("b03_apply_correction", f"""SELECT {GRP}, s.ts, s.yhat, hour(s.ts) * 2 + minute(s.ts) // 30 AS period,
+ greatest(s.yhat + greatest(least(coalesce(c.factor, 0), abs(s.yhat) * 0.2), -abs(s.yhat) * 0.2), 0) AS corrected
+ FROM scored s LEFT JOIN (SELECT {GRP}, period AS cp, factor FROM cfac) c USING ({GRP}) WHERE c.cp IS NULL OR c.cp = hour(s.ts) * 2 + minute(s.ts) // 30""", use="scored cfac", rd="yhat corrected")(
+    lambda s, r: I.apply_correction(BASE(s, r), FAC(s, r), by=BY).withColumn("period", F.col("period").cast("bigint")))
+query("b04_correction_bounds", f"""SELECT {GRP}, s.ts, s.yhat, greatest(s.yhat - 1.96 * e.sd * [1.0, 1.5, 1.8, 2.0, 2.1, 2.2][horizon + 1], 0) AS lo,
+ s.yhat + 1.96 * e.sd * [1.0, 1.5, 1.8, 2.0, 2.1, 2.2][horizon + 1] AS hi FROM scored s JOIN (SELECT {GRP}, coalesce(stddev_samp(error), 0) AS sd FROM rerr GROUP BY {GRP}) e USING ({GRP})""", use="scored rerr", rd="yhat lo hi")(
+    lambda s, r: I.correction_bounds(BASE(s, r), ERR(s, r), by=BY))
 
 
 @query("b05_error_model")
@@ -115,8 +128,8 @@ def b05(s, r):
     return s.createDataFrame([(float(m.intercept), float(m.coefficients[0]), float(m.coefficients[1]))], "intercept double, w_period double, w_weekday double")
 
 
-query("b06_correction_summary", "SELECT area, period, count(*) AS n, avg(error) AS mean_error, stddev_samp(error) AS std_error, avg(abs(error)) AS mae, avg(error_ratio) AS mean_ratio FROM rerr GROUP BY 1, 2", use="rerr", rd="mean_error std_error mae mean_ratio")(
-    lambda s, r: I.correction_summary(ERR(s, r)))
+query("b06_correction_summary", f"SELECT {GRP}, period, count(*) AS n, avg(error) AS mean_error, stddev_samp(error) AS std_error, avg(abs(error)) AS mae, avg(error_ratio) AS mean_ratio FROM rerr GROUP BY {GRP}, period", use="rerr", rd="mean_error std_error mae mean_ratio")(
+    lambda s, r: I.correction_summary(ERR(s, r), BY))
 
 # --- streams --------------------------------------------------------------------------
 NTZ = lambda d, *cs: d.withColumns({c: F.col(c).cast("timestamp_ntz") for c in cs})
@@ -137,13 +150,13 @@ query("x03_stream_validate", "SELECT event_id, value, event_type IN ('click','pu
 @query("x04_stream_correction", "SELECT area, period, factor, n FROM cfac7", use="cfac7", rd="factor")
 def x04(s, r):
     src, table = scratch(s, "obs"), scratch(s, "correction")
-    OBS(s, r).withColumn("ts", F.col("ts").cast("timestamp")).write.parquet(src)
+    OBS(s, r).where("model = 'ma' and horizon = 1").select("area", F.col("ts").cast("timestamp").alias("ts"), "observed", "predicted").write.parquet(src)
     stream = s.readStream.schema("area string, ts timestamp, observed double, predicted double").parquet(src)
     X.stream_correction(NTZ(stream, "ts"), table)
     return X.latest(s, table, "factors")
 
 
-define("cfac7", "cfac", "SELECT * FROM cfac")
+define("cfac7", "cfac1", "SELECT * FROM cfac1")
 
 
 @query("x05_stream_align", "SELECT e.event_id, e.event_type AS area, s.ts, s.model, s.horizon, s.yhat FROM events e JOIN scored s ON s.area = e.event_type AND s.ts = time_bucket(INTERVAL 30 MINUTE, e.ts)", use="scored", rd="yhat")

@@ -93,6 +93,15 @@ def test_warc_magic_over_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.openCostInBytes")
 
 
+def test_warc_names(spark, tmp_path):
+    from wattline.llm.warc import read_warc, write_warc
+
+    rows = [("a:b>c", "u", "x" * 200), ("b", "u\r\nContent-Length: 1", "x" * 200), ("", None, None)]
+    write_warc(spark.createDataFrame(rows, "page_id string, url string, html string"), str(tmp_path / "w"))
+    got = by_row(read_warc(spark, str(tmp_path / "w")).collect(), "id", "kind", "refers", "payload_bytes")
+    assert got == sorted([("a:b>c", "response", None, 200), ("b", "revisit", "a:b>c", 200), (None, "response", None, 0)], key=repr)
+
+
 def test_warc_broken_chain(spark, tmp_path):
     from wattline.llm.warc import MAGIC, read_warc
 

@@ -134,7 +134,8 @@ def candidates(rows: DataFrame) -> DataFrame:
 
 
 def strip(urn: str) -> str | None:
-    return urn[urn.rfind(":") + 1:].rstrip(">") or None if urn else None
+    """The id in a record's name; names that this module didn't write keep their scheme."""
+    return urn.removeprefix("<").removesuffix(">").removeprefix("urn:page:") or None
 
 
 def placed(found: DataFrame) -> DataFrame:

@@ -16,7 +16,9 @@ from __future__ import annotations
 
 import base64
 import re
+from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +29,18 @@ from wattline.llm.common import map_text, text_of, type_of
 
 WIDE = 64
 PART_CHARS = 1 << 20
-MEMO = 500_000
+MEMO = 250_000
+MANY = 2048  # pieces whose trees stand side by side
 NONE = np.int64(1) << 62
 _CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
 _coders: dict[tuple[str, str], Coder] = {}
 
 
 class Coder:
-    """Ranks, the table of mergeable pairs, and the pieces encoded so far."""
+    """Ranks, the table of mergeable pairs, and the pieces encoded so far.
+
+    The pair tables are made when a piece is first merged, so decoding doesn't hold them.
+    """
 
     def __init__(self, path: str, pattern: str) -> None:
         import regex
@@ -45,22 +51,33 @@ class Coder:
         self.bytes_of = {v: k for k, v in self.ranks.items()}
         self.start = np.array([self.ranks[bytes([i])] for i in range(256)], dtype=np.int64)
         self.base = max(self.bytes_of) + 1
-        pairs = {}
+        self.memo: dict[str, bytes] = {}
+
+    @cached_property
+    def table(self) -> tuple[np.ndarray, np.ndarray]:
+        """Keys (left id x base + right id) in order, and the rank of each pair."""
+        keys, values = array("q"), array("q")
         for token, rank in self.ranks.items():
             for i in range(1, len(token)):
-                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
-                if a is not None and b is not None:
-                    pairs[a * self.base + b] = rank
-        self.pairs = pairs
-        self.keys = np.array(sorted(pairs), dtype=np.int64)
-        self.values = np.array([pairs[k] for k in self.keys.tolist()], dtype=np.int64)
-        self.memo: dict[str, bytes] = {}
+                left, right = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if left is not None and right is not None:
+                    keys.append(left * self.base + right)
+                    values.append(rank)
+        k, v = np.array(keys, dtype=np.int64), np.array(values, dtype=np.int64)
+        order = np.argsort(k)
+        return k[order], v[order]
+
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        """The same as a dictionary, for long pieces."""
+        return dict(zip(*(x.tolist() for x in self.table), strict=True))
 
     def rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Rank of each pair of ids; NONE where the pair doesn't merge."""
         key = left * self.base + right
-        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-        return np.where(self.keys[at] == key, self.values[at], NONE)
+        keys, values = self.table
+        at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+        return np.where(keys[at] == key, values[at], NONE)
 
     def merge_many(self, pieces: list[bytes], width: int) -> list[list[int]]:
         """Ids of pieces of 2 to ``width`` bytes; ``width`` is a power of two."""
@@ -170,8 +187,8 @@ class Coder:
             else:
                 classes.setdefault(1 << (len(raw) - 1).bit_length(), []).append((p, raw))
         for width, held in classes.items():
-            for i in range(0, len(held), 8192):
-                some = held[i:i + 8192]
+            for i in range(0, len(held), MANY):
+                some = held[i:i + MANY]
                 for (p, _), ids in zip(some, self.merge_many([r for _, r in some], width), strict=True):
                     self.memo[p] = np.array(ids, dtype="<u4").tobytes()
 
@@ -181,9 +198,16 @@ class Coder:
         for part in parts(text):
             pieces = self.find(part)
             self.know(pieces)
-            out.append(b"".join(map(self.memo.__getitem__, pieces)))
+            out.append(self.join(pieces))
         return b"".join(out)
 
+    def join(self, pieces: list[str]) -> bytes:
+        try:
+            return b"".join(map(self.memo.__getitem__, pieces))
+        except KeyError:  # the table was cleared for a long text of the same slice
+            self.know(pieces)
+            return b"".join(map(self.memo.__getitem__, pieces))
+
     def know(self, pieces: list[str]) -> None:
         distinct = set(pieces)
         new = [p for p in distinct if p not in self.memo]
@@ -215,22 +239,26 @@ def coder(path: str, pattern: str) -> Coder:
     return _coders[path, pattern]
 
 
-def bpe_encode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: id, ids (binary, little-endian unsigned 32-bit integers)."""
+def ids_of(c: Coder, texts: list[str]) -> list[bytes]:
+    """Ids of texts of one slice; the new pieces of all of them are merged together."""
+    found = [c.find(t) if len(t) <= PART_CHARS else None for t in texts]
+    c.know([p for f in found if f for p in f])
+    return [c.encode(t) if f is None else c.join(f) for t, f in zip(texts, found, strict=True)]
+
+
+def bpe_encode(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", *, decode: bool = False) -> DataFrame:
+    """One row per row of ``docs``: id, ids (binary, little-endian unsigned 32-bit integers).
+
+    ``decode`` adds the bytes that the ids decode to, in the same worker.
+    """
 
     def run(batch: pa.RecordBatch) -> dict:
         c = coder(vocab, pattern)
-        texts = batch.column("text").to_pylist()
-        if sum(map(len, texts)) <= PART_CHARS * 8:  # new pieces of all rows are merged together
-            found = [c.find(t) if len(t) <= PART_CHARS else None for t in texts]
-            c.know([p for f in found if f for p in f])
-            ids = [c.encode(t) if f is None else b"".join(map(c.memo.__getitem__, f)) for t, f in zip(texts, found, strict=True)]
-        else:
-            ids = [c.encode(t) for t in texts]
-        return {"id": batch.column("id"), "ids": ids}
+        ids = ids_of(c, batch.column("text").to_pylist())
+        return {"id": batch.column("id"), "ids": ids, "decoded": [c.decode(x) for x in ids] if decode else None}
 
-    kind = type_of(docs, id_col)
-    return map_text(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), "text", f"id {kind}, ids binary", run)
+    schema = f"id {type_of(docs, id_col)}, ids binary" + ", decoded binary" * decode
+    return map_text(docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")), "text", schema, run)
 
 
 def bpe_decode(encoded: DataFrame, vocab: str, pattern: str) -> DataFrame:
@@ -246,7 +274,7 @@ def bpe_decode(encoded: DataFrame, vocab: str, pattern: str) -> DataFrame:
 
 def bpe_digests(docs: DataFrame, vocab: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode, decode the ids, and digest both: id, n_tokens, ids_sha256, decoded_sha256."""
-    both = bpe_decode(bpe_encode(docs, vocab, pattern, id_col, text_col), vocab, pattern)
+    both = bpe_encode(docs, vocab, pattern, id_col, text_col, decode=True)
     return both.select(
         "id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-SLICE_BYTES = 4 << 20  # text that a Python worker holds as objects at one time
+SLICE_BYTES = 2 << 20  # text that a Python worker holds as objects at one time
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:

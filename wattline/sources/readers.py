@@ -162,18 +162,21 @@ def file_date(name: Column) -> Column:
 
 def scan_dated_files(spark, root: str, start, end, fmt: str = "parquet") -> DataFrame:
     """Files, or folders that Spark wrote, below ``root`` whose name carries a date from ``start``
-    to ``end``; others are not opened. Adds ``file_date``."""
+    to ``end``; others are not opened. Folders without a date in their name are looked into. Adds ``file_date``."""
     target = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     lo, hi = (date.fromisoformat(str(d)[:10]) for d in (start, end))
-    paths = []
-    for x in fs.listStatus(target):
-        m = re.search(r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})", x.getPath().getName())
-        try:
-            if m and lo <= date(*map(int, m.groups())) <= hi:
-                paths.append(x.getPath().toString())
-        except ValueError:  # digits that are no date
-            continue
+    paths, todo = [], [target]
+    while todo:
+        for x in fs.listStatus(todo.pop()):
+            m = re.search(r"(\d{4})[-_]?(\d{2})[-_]?(\d{2})", x.getPath().getName())
+            try:
+                if m and lo <= date(*map(int, m.groups())) <= hi:
+                    paths.append(x.getPath().toString())
+            except ValueError:  # digits that are no date
+                m = None
+            if not m and x.isDirectory():
+                todo.append(x.getPath())
     if not paths:
         raise ValueError(f"no file of {lo} to {hi} in {root}")
     # the first dated part of the path below the root

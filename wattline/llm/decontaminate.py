@@ -58,7 +58,8 @@ def _marked(bits: bytes, word: bytes) -> bool:
 
 
 def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(seq, words): the distinct word sequences of the items, and (item, seq) pairs as the second frame."""
+    """(item, words, seq): the words of every item that has any, and the digest that names the sequence."""
+
     def run(batch: pa.RecordBatch) -> dict:
         found = [b" ".join(words_of(t)).decode() for t in batch.column("text").cast(pa.binary()).to_pylist()]
         return {"item": batch.column("item"), "words": found}

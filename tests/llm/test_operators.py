@@ -362,6 +362,38 @@ def test_cross_parsing():
     assert m.phrases(coded).tolist() == [[phrases(c.tobytes(), m.encode(sample[k]).tobytes()) for k in m.langs] for c in coded]
 
 
+def test_letters_and_phrases_whole():
+    """No letters are merged, other languages change nothing, phrases cross the edges of lanes."""
+    from wattline.llm.language import BLOCK, Model
+
+    def text(seed, start, letters, n):
+        r = random.Random(seed)
+        return "".join(" " if r.random() < 0.2 else chr(start + r.randrange(letters)) for _ in range(n))
+
+    scripts = {"zh": (0x4E00, 3000), "ko": (0xAC00, 2000), "ru": (0x430, 32), "el": (0x3B1, 25), "en": (0x61, 26)}
+    sample = {k: text(1, *v, 1500) for k, v in scripts.items()} | {"xx": "aaa"}
+    sample |= {f"l{i}": text(i, 0x61, 26, 300) for i in range(60)}
+    m = Model(sample, block=None)
+    assert len({m.encode(c)[0] for k, v in sample.items() for c in v if c != " "}) == len(set("".join(sample.values()))) - 1
+    assert m.bits[m.langs.index("zh")] == np.log2(len(m.encode(sample["zh"])))
+    texts = [sample["zh"][10:700], text(3, 0x430, 32, 2000), sample["en"][:900] + "日" * 600, "a" * 2000, "ab" * 700 + sample["ru"], "", "!"] + [text(9, *v, BLOCK + 1) for v in scripts.values()]
+
+    def phrases(s, model):
+        n = i = 0
+        while i < len(s):
+            j = i + 1
+            while j <= len(s) and s[i:j] in model:
+                j += 1
+            n, i = n + 1, max(i + 1, j - 1)
+        return n
+
+    plain = lambda t: re.sub(r"[\W\d_]+", " ", t.lower())
+    got = m.phrases([m.encode(t) for t in texts])
+    assert got[:, [m.langs.index(k) for k in [*scripts, "xx"]]].tolist() == [[phrases(plain(t), plain(sample[k])) for k in [*scripts, "xx"]] for t in texts]
+    few = Model({k: sample[k] for k in scripts}, block=None)
+    assert few.phrases([few.encode(t) for t in texts]).tolist() == got[:, [m.langs.index(k) for k in few.langs]].tolist()
+
+
 def test_language(spark, docs, empty):
     from wattline.llm.language import identify, keep_identified, language_sample
 

@@ -178,6 +178,41 @@ def test_projection_with_missing_nodes(spark):
     assert all(abs(got[t, "T"] - got[t, "a"] - got[t, "b"]) < 1e-6 for t in range(40) if t != 4)
 
 
+def test_reconcile_incomplete_queries(spark, tmp_path):
+    """A nation without orders: the queries still return every node of every day, equal to numpy."""
+    from wattline.operators import reconcile as R
+    from wattline.plans import q_hierarchy as Q
+    from wattline.plans.registry import QUERIES
+
+    for t in ("region", "nation", "orders", "customer"):
+        d = spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet")
+        (d.where("c_nationkey <> 3") if t == "customer" else d).write.parquet(f"{tmp_path}/{t}.parquet")
+    root = str(tmp_path)
+    f, y = (d.toPandas() for d in Q.forecasts_and_actuals(spark, root, whole=False))
+    names = sorted(f["node"].unique())
+    at = {n: i for i, n in enumerate(names)}
+    leaves = sorted(r["n_name"] for r in spark.read.parquet(f"{root}/nation.parquet").collect())
+    s = np.zeros((len(names), len(leaves)))
+    for r in Q.H.summation_matrix(Q.E(spark, root)).collect():
+        s[at[r["node"]], leaves.index(r["leaf"])] = r["w"]
+    wide = f.pivot(index="ts", columns="node", values="yhat").reindex(columns=names)
+    res = y.pivot(index="ts", columns="node", values="y").reindex(columns=names) - wide
+    var = res.var().clip(lower=1e-10).fillna(1.0).to_numpy()
+    assert len(names) == 31 and wide.isna().any(axis=1).all()
+    for name, v in (("h14_ols_incomplete", np.ones(31)), ("h15_wls_incomplete", var)):
+        got = QUERIES[name](spark, root).toPandas().pivot(index="ts", columns="node", values="yhat").reindex(columns=names)
+        assert got.shape == wide.shape
+        for day in [*range(9), 40, 400, len(wide) - 1]:
+            x = wide.iloc[day].to_numpy()
+            seen = ~np.isnan(x)
+            part = s[seen] / np.sqrt(v[seen])[:, None]
+            want = s @ np.linalg.pinv(part) @ (x[seen] / np.sqrt(v[seen]))
+            known = np.abs(s @ np.linalg.pinv(s[seen]) @ s[seen] - s).max(axis=1) < 1e-8
+            assert (~np.isnan(got.iloc[day].to_numpy()) == known).all(), (name, day)
+            assert np.allclose(got.iloc[day].to_numpy()[known], want[known], rtol=1e-5, atol=1e-2), (name, day)
+    assert R.reconcile_ols(spark.createDataFrame([(1, "T", 9.0), (1, "a", 4.0)], "ts int, node string, yhat double"), spark.createDataFrame([("T", "a", 1.0), ("T", "b", 1.0)], "parent string, child string, weight double")).where("node = 'b'").head()["yhat"] == 5.0
+
+
 def test_contradicting_constraints_raise(spark):
     import pytest
 

@@ -59,7 +59,7 @@ def _levels(edges: DataFrame) -> DataFrame:
 
 def reconcile_wls(fc: DataFrame, edges: DataFrame, weights: DataFrame | None = None, keys: Sequence[str] = ("ts",)) -> DataFrame:
     """``weights(node, var)`` (or with the keys too); smaller variance counts more. A missing
-    forecast is a forecast of unlimited variance.
+    forecast is a forecast of unlimited variance; nodes that the rest doesn't determine are null.
 
     With variances per node the result is linear in the forecasts, with factors that don't depend on the key: they are worked
     out once, on the node table, and two joins with the closure apply them at any depth. Keys with
@@ -123,35 +123,43 @@ def _by_factors(fc: DataFrame, edges: DataFrame, lv: DataFrame, weights: DataFra
 
 
 def _by_level(fc: DataFrame, edges: DataFrame, lv: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
+    """A row for every node of every key. A node of which neither its forecast nor its children say
+    anything is open (``v`` is null); the only open child of a parent gets what its siblings leave,
+    more than one stay null."""
     depth = lv.agg(F.max("level")).head()[0]
     on = [c for c in [*keys, "node"] if c in weights.columns]
-    x = fc.join(weights.select(*on, "var"), on, "left").withColumn("var", F.coalesce("var", F.lit(1.0)))
-    x = stable(x.join(lv, "node"))
+    every = fc.select(*keys).distinct().crossJoin(lv)
+    x = every.join(fc.select(*keys, "node", "yhat"), [*keys, "node"], "left").join(weights.select(*on, "var"), on, "left")
+    x = stable(x.withColumn("var", F.coalesce("var", F.lit(1.0))))
     seen = F.col("yhat").isNotNull()
     ups: list[DataFrame] = []
     below = None
     for level in range(depth, -1, -1):
         cur = x.where(F.col("level") == level).drop("level")
         if below is None:
-            cur = cur.withColumns({"kids_mean": F.lit(None).cast("double"), "kids_var": F.lit(None).cast("double")})
+            cur = cur.withColumns({"kids_mean": F.lit(None).cast("double"), "kids_var": F.lit(None).cast("double"), "kids_open": F.lit(0).cast("long")})
         else:
             s = below.join(edges, F.col("node") == F.col("child")).groupBy(*keys, F.col("parent").alias("node")).agg(
-                F.sum(F.col("weight") * F.col("m")).alias("kids_mean"), F.sum(F.col("weight") * F.col("weight") * F.col("v")).alias("kids_var"))
-            cur = cur.join(s, [*keys, "node"], "full")
-        own = F.when(seen, 1 / F.coalesce("var", F.lit(1.0))).otherwise(0.0)
-        kids = F.when(F.col("kids_var") > 0, 1 / F.col("kids_var")).otherwise(0.0)
-        exact = F.col("kids_var") == 0
-        v = F.when(exact, 0.0).otherwise(1 / (own + kids))
-        m = F.when(exact, F.col("kids_mean")).otherwise((own * F.coalesce("yhat", F.lit(0.0)) + kids * F.coalesce("kids_mean", F.lit(0.0))) / (own + kids))
-        below = stable(cur.select(*keys, "node", m.alias("m"), v.alias("v"), "kids_mean", "kids_var"))
+                F.sum(F.col("weight") * F.col("m")).alias("kids_mean"), F.sum(F.col("weight") * F.col("weight") * F.col("v")).alias("kids_var"),
+                F.count_if(F.col("v").isNull() & (F.col("weight") != 0)).alias("kids_open"))
+            cur = cur.join(s, [*keys, "node"], "left").withColumn("kids_open", F.coalesce("kids_open", F.lit(0)))
+        said = F.col("kids_var").isNotNull() & (F.col("kids_open") == 0)
+        exact = said & (F.col("kids_var") == 0)
+        own, kids = 1 / F.col("var"), 1 / F.col("kids_var")
+        v = F.when(exact, 0.0).when(seen & said, 1 / (own + kids)).when(seen, F.col("var")).when(said, F.col("kids_var"))
+        m = F.when(exact, F.col("kids_mean")).when(seen & said, (own * F.col("yhat") + kids * F.col("kids_mean")) / (own + kids)).when(seen, F.col("yhat")).when(said, F.col("kids_mean"))
+        below = stable(cur.select(*keys, "node", m.alias("m"), v.alias("v"), "kids_mean", "kids_var", "kids_open"))
         ups.append(below)
     ups.reverse()
-    done = [ups[0].select(*keys, "node", F.col("m").alias("final"), "kids_mean", "kids_var")]
+    done = [ups[0].select(*keys, "node", F.col("m").alias("final"), "kids_mean", "kids_var", "kids_open")]
     for level in range(1, depth + 1):
-        p = done[-1].select(*keys, F.col("node").alias("parent"), (F.col("final") - F.col("kids_mean")).alias("gap"), F.col("kids_var").alias("PV"))
+        gap = F.col("final") - F.coalesce("kids_mean", F.lit(0.0))
+        p = done[-1].select(*keys, F.col("node").alias("parent"), gap.alias("gap"), F.col("kids_var").alias("PV"), F.col("kids_open").alias("open"))
         c = ups[level].join(edges, F.col("node") == F.col("child")).join(p, [*keys, "parent"])
-        share = F.when(F.col("PV") > 0, F.col("weight") * F.col("v") / F.col("PV")).otherwise(0.0)
-        done.append(c.select(*keys, "node", (F.col("m") + share * F.col("gap")).alias("final"), "kids_mean", "kids_var"))
+        share = F.when((F.col("open") == 0) & (F.col("PV") > 0), F.col("weight") * F.col("v") / F.col("PV") * F.col("gap")).otherwise(0.0)
+        alone = (F.col("open") == 1) & (F.col("weight") != 0)
+        final = F.when(F.col("v").isNotNull(), F.col("m") + share).when(alone, F.col("gap") / F.col("weight"))
+        done.append(c.select(*keys, "node", final.alias("final"), "kids_mean", "kids_var", "kids_open"))
     out = done[0]
     for d in done[1:]:
         out = out.unionByName(d)

@@ -28,9 +28,12 @@ def node_actuals(s, r):
     return _actuals(s, r, H.summation_matrix(E(s, r)))
 
 
-def forecasts_and_actuals(s, r):
+def forecasts_and_actuals(s, r, whole=True):
     """Incoherent base forecasts (6-day mean at the top, week lag for regions, day lag for
-    nations) and the actuals of every node."""
+    nations) and the actuals of every node.
+
+    ``whole``: only time stamps with a forecast of every node, which is what the SQL states. Otherwise
+    every node of every time stamp, null where there is no forecast."""
     from wattline.functions.ordered import bounded
 
     e = E(s, r)
@@ -42,8 +45,11 @@ def forecasts_and_actuals(s, r):
         top = F.when(F.count("y").over(past) == 6, F.avg("y").over(past))
         return {"yhat": F.when(F.col("level") == 0, top).when(F.col("level") == 1, F.lag("y", 7).over(w)).otherwise(F.lag("y").over(w))}
 
-    f = bounded(y.join(H.levels(c), "node"), ["node"], "ts", make, back=7, step=tb.DAY).where("yhat is not null").select("ts", "node", "yhat")
-    full = f.groupBy("ts").agg(F.count(F.lit(1)).alias("n")).where("n = 31")
+    nodes = stable(H.levels(c))
+    f = bounded(y.join(nodes, "node"), ["node"], "ts", make, back=7, step=tb.DAY).where("yhat is not null").select("ts", "node", "yhat")
+    if not whole:
+        return stable(y.select("ts").distinct().crossJoin(nodes.select("node")).join(f, ["ts", "node"], "left")), y
+    full = f.groupBy("ts").agg(F.count(F.lit(1)).alias("n")).join(nodes.agg(F.count(F.lit(1)).alias("n")), "n", "left_semi")
     return stable(f.join(full, "ts", "left_semi")), y
 
 
@@ -136,6 +142,22 @@ for _kind in WEIGHTS:
     _wls_by(_kind)
 query("h16_reconcile_mint")(lambda s, r: _with_matrix(s, r, R.reconcile_mint))
 query("h17_reconcile_shrink")(lambda s, r: _with_matrix(s, r, R.reconcile_shrink))
+
+
+def _incomplete(name, fn):
+    """Every node of every time stamp, those without a forecast included; tests hold it against numpy."""
+
+    def run(s, r):
+        f, y = forecasts_and_actuals(s, r, whole=False)
+        return f.select("ts", "node").join(fn(s, r, f, y), ["ts", "node"], "left")
+
+    query(name, digits=4)(run)
+
+
+_incomplete("h14_ols_incomplete", lambda s, r, f, y: R.reconcile_ols(f, E(s, r)))
+_incomplete("h15_wls_incomplete", lambda s, r, f, y: R.reconcile_wls(f, E(s, r), R.variance_weights(f, y)))
+_incomplete("h16_mint_incomplete", lambda s, r, f, y: R.reconcile_mint(f, H.summation_matrix(E(s, r)), R.residuals(f, y)))
+_incomplete("h17_shrink_incomplete", lambda s, r, f, y: R.reconcile_shrink(f, H.summation_matrix(E(s, r)), R.residuals(f, y)))
 query("h18_reconcile_proportional", "SELECT f.ts, f.node, CASE WHEN f.node IN (SELECT r_name FROM region) AND s.s > 0 THEN f.yhat * t.yhat / s.s ELSE f.yhat END AS yhat FROM nfc f JOIN (SELECT ts, sum(yhat) AS s FROM nfc WHERE node IN (SELECT r_name FROM region) GROUP BY 1) s USING (ts) JOIN (SELECT ts, yhat FROM nfc WHERE node = 'TOTAL') t USING (ts)", use="nfc", rd="yhat", digits=4)(
     lambda s, r: R.reconcile_proportional(node_fc(s, r), E(s, r), "TOTAL"))
 query("h19_check_constraints", "SELECT 'agg:' || node AS constraint, max(abs(yhat - expected)) AS max_violation, avg(abs(yhat - expected)) AS mean_violation, max(abs(yhat - expected)) <= 1e-6 AS satisfied FROM ksum GROUP BY node UNION ALL SELECT 'floor', max(greatest(-yhat, 0)), avg(greatest(-yhat, 0)), max(greatest(-yhat, 0)) <= 1e-6 FROM nfc".replace("AS constraint", 'AS "constraint"'), use="ksum nfc", rd="max_violation mean_violation", digits=4)(

@@ -35,7 +35,7 @@ query("m08_weights_min_mae")(lambda s, r: C.weights_min_mae(SC(s, r), MODELS))
 
 @query("m09_stack_fold_scores")
 def m09(s, r):
-    _, sc = C.stack_fit(stable(SC(s, r)), MODELS, [1, 2], "ridge", 2)
+    _, sc = C.stack_fit(stable(SC(s, r)), MODELS, [1, 2, 3], "ridge", 2)
     return s.createDataFrame(sc, "horizon int, fold int, rmse double")
 
 

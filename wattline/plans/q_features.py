@@ -141,13 +141,13 @@ def training_rows(s, r):
 
 COLS = ["load", "load_lag_1", "load_lag_2", "load_lag_7", "load_lag_14", "day_of_week", "day_of_month", "month"]
 query("f03_select_by_importance")(lambda s, r: S.select_by_importance(training_rows(s, r).drop("area"), "target", COLS, 1, min_features=5, ppd=1))
-query("f04_select_rfe")(lambda s, r: S.select_rfe(training_rows(s, r), "target", COLS, folds=2, min_features=4, trees=5, depth=3))
+query("f04_select_rfe")(lambda s, r: S.select_rfe(training_rows(s, r), "target", COLS, min_features=4))
 
 
 def _perm(s, r):
     d = training_rows(s, r).persist()
-    model, _ = S.forest_importance(d, COLS[:4], "target", trees=5, depth=3)
-    return S.permutation_importance(model, d, COLS[:4], "target", ["area", "ts"], repeats=2)
+    model, _ = S.forest_importance(d, COLS, "target")
+    return S.permutation_importance(model, d, COLS, "target", ["area", "ts"])
 
 
 query("f05_permutation_importance")(_perm)

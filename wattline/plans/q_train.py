@@ -27,14 +27,14 @@ TR = lambda s, r: stable(training_rows(s, r))
 def k03(s, r):
     d = TR(s, r)
     x = T.index_areas(d).transform(d)
-    m = T.train_gbt(x, [*COLS, "area_index"], "target", iters=5, depth=3)
+    m = T.train_gbt(x, [*COLS, "area_index"], "target")
     return T.predict_gbt(m, x, [*COLS, "area_index"], 1)
 
 
 @query("k05_predict_rf")
 def k05(s, r):
     d = TR(s, r).drop("target")
-    return T.predict_rf(T.train_rf(d, "load", ["load", "load_lag_1", "load_lag_7", "day_of_week", "month"], [1, 2], 1, tb.DAY, trees=5, depth=4), d)
+    return T.predict_rf(T.train_rf(d, "load", ["load", "load_lag_1", "load_lag_7", "day_of_week", "month"], [1, 2], 1, tb.DAY), d)
 
 
 query("k06_fit_daily_ar", """SELECT area, ts AS origin, horizon, n, greatest(b0 + b1 * last + b2 * week, 0) AS yhat FROM (
@@ -77,15 +77,15 @@ query("k21_seasonal_consistency", "SELECT area, avg(sd) AS mean_std, max(sd) AS
     lambda s, r: P.seasonal_consistency(RAT(s, r)))
 query("k22_decompose_forecast", "SELECT area, ts, load, avg(load) OVER p AS daily_mean, greatest(least(load / (avg(load) OVER p + 1e-8), 10), 0.01) AS ratio FROM filled WINDOW p AS (PARTITION BY area, ts::DATE)", use="filled", rd="load daily_mean ratio")(
     lambda s, r: P.decompose_forecast(tb.filled(s, r)))
-query("k23_train_all")(lambda s, r: T.train_all(TR(s, r), COLS, "target", 1, iters=3, depth=3)[1])
-query("k24_tune")(lambda s, r: T.tune(TR(s, r), COLS[:4], "target", {"depth": [2, 4]}, 1))
+query("k23_train_all")(lambda s, r: T.train_all(TR(s, r), COLS, "target")[1])
+query("k24_tune")(lambda s, r: T.tune(TR(s, r), COLS, "target", {"depth": [2, 4]}))
 query("k25_model_report", "SELECT area, model, count(*) AS n, avg(y - yhat) AS mean_error, stddev_samp(y - yhat) AS std_error, avg(abs(y - yhat)) AS mae, max(abs(y - yhat)) AS max_error, min(ts) AS first, max(ts) AS last FROM scored GROUP BY 1, 2", use="scored", rd="mean_error std_error mae max_error")(
     lambda s, r: T.model_report(SC(s, r)))
 query("k26_simple_intervals", "SELECT area, ts, model, horizon, yhat, y, yhat - 1.96 * abs(yhat) * 0.05 * (1 + 0.1 * horizon) AS lo, yhat + 1.96 * abs(yhat) * 0.05 * (1 + 0.1 * horizon) AS hi FROM scored", use="scored", rd="yhat y lo hi")(
     lambda s, r: P.simple_intervals(SC(s, r)))
 query("k27_predict_job", "SELECT ts, horizon, node, yhat, yhat - 1.96 * abs(yhat) * 0.05 * 1.1 AS lo, yhat + 1.96 * abs(yhat) * 0.05 * 1.1 AS hi FROM (SELECT f.ts, 1 AS horizon, f.node, CASE WHEN f.node IN (SELECT r_name FROM region) AND s.s > 0 THEN f.yhat * t.yhat / s.s ELSE f.yhat END AS yhat FROM nfc f JOIN (SELECT ts, sum(yhat) AS s FROM nfc WHERE node IN (SELECT r_name FROM region) GROUP BY 1) s USING (ts) JOIN (SELECT ts, yhat FROM nfc WHERE node = 'TOTAL') t USING (ts))", use="nfc", rd="yhat lo hi", digits=4)(
     lambda s, r: T.predict_job(node_fc(s, r).withColumn("horizon", F.lit(1)), E(s, r), "TOTAL", scratch(s, "predict")))
-query("k28_train_job")(lambda s, r: T.train_job(TR(s, r), COLS, "target", 1, iters=3, depth=3))
+query("k28_train_job")(lambda s, r: T.train_job(TR(s, r), COLS, "target"))
 query("k29_two_stage_checks", """SELECT area, 'energy' AS test, max(abs(total - expected) / expected) AS value, max(abs(total - expected) / expected) <= 0.05 AS passed FROM (SELECT area, day, sum(load) AS total, 48 * max(daily_mean) AS expected FROM two GROUP BY 1, 2) GROUP BY 1
  UNION ALL SELECT area, 'bounds', avg((ratio < 0.3 OR ratio > 2.5)::INTEGER), avg((ratio < 0.3 OR ratio > 2.5)::INTEGER) <= 0.05 FROM rat GROUP BY 1 UNION ALL SELECT area, 'seasonal', avg(sd), avg(sd) <= 0.5 FROM (SELECT area, stddev_samp(ratio) AS sd FROM rat GROUP BY area, isodow(day), period // 2) GROUP BY 1""", use="two rat", rd="value")(
     lambda s, r: P.two_stage_checks(TWO(s, r), RAT(s, r)))
@@ -188,12 +188,12 @@ def x07(s, r):
 
 @query("k02_train_gbt")
 def k02(s, r):
-    m = T.train_gbt(TR(s, r), COLS[:4], "target", iters=3, depth=3)[None]
+    m = T.train_gbt(TR(s, r), COLS, "target")[None]
     return s.createDataFrame([(f, float(v)) for f, v in zip(COLS, m.featureImportances.toArray())], "feature string, importance double")
 
 
 @query("k04_train_rf")
 def k04(s, r):
-    models = T.train_rf(TR(s, r).drop("target"), "load", COLS, [1, 7], 1, tb.DAY, trees=3, depth=3)
+    models = T.train_rf(TR(s, r).drop("target"), "load", COLS, [1, 7], 1, tb.DAY)
     rows = [(h, f, float(v)) for h, (m, feats) in models.items() for f, v in zip(feats, m.featureImportances.toArray())]
     return s.createDataFrame(rows, "horizon int, feature string, importance double")

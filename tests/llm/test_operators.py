@@ -413,6 +413,13 @@ def test_language(spark, docs, empty):
     assert marks[4] == marks[5] == marks[6] == marks[14] == "und" and marks[13] != "und" and marks[7] != "und"
 
 
+def test_no_labelled_text_keeps_the_corpus(docs):
+    from wattline.llm.language import keep_identified
+
+    kept = {r["row"] for r in keep_identified(docs, {}).collect()}
+    assert kept == {n for n, (_, t) in enumerate(ROWS) if t and any(c.isalpha() for c in t)}
+
+
 # 10 ----------------------------------------------------------------- near duplicates
 def simhash(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", lower(t).encode())

@@ -307,7 +307,7 @@ def identify(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", te
 def keep_identified(docs: DataFrame, sample: dict[str, str], text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, whose text has a language (is not ``und``).
 
-    Rows pass through in slices of bounded bytes.
+    With an empty sample no text has one; then only null texts and texts without a letter go. Rows pass through in slices of bounded bytes.
     """
     key = name_of(sample)
     shared = docs.sparkSession.sparkContext.broadcast(sample)
@@ -315,7 +315,8 @@ def keep_identified(docs: DataFrame, sample: dict[str, str], text_col: str = "te
     def run(batches):
         for b in batches:
             for s in slices(b, text_col):
-                lang, _ = model_of(key, shared.value).predict(s.column(text_col).to_pylist())
-                yield s.filter(pa.array([x != UNKNOWN for x in lang], pa.bool_()))
+                model, texts = model_of(key, shared.value), s.column(text_col).to_pylist()
+                keep = [x != UNKNOWN for x in model.predict(texts)[0]] if model.langs else [bool(t) and bool(model.encode(t).any()) for t in texts]
+                yield s.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -141,3 +141,44 @@ def op3(spark: SparkSession, root: str) -> DataFrame:
     from wattline.llm.kdtree import kd_shards
 
     return kd_shards(table(spark, root, "documents"), shards=40).withColumnRenamed("id", "doc_id")
+
+
+@query("op11_packing")
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    import public_tokenizers as P
+
+    from wattline.llm.packing import pack
+
+    return pack(table(spark, root, "documents"), P.path("word_bpe_49k.json")).withColumnRenamed("id", "doc_id")
+
+
+@query("op12_whitening")
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    from wattline.llm.whitening import whiten
+
+    return whiten(table(spark, root, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+@query("op13_hard_negatives", """
+WITH v AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0),
+p AS (
+  SELECT * FROM (
+    SELECT anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) AS n
+    FROM s WHERE alike) WHERE n <= 5),
+c AS (
+  SELECT p.anchor_id, positive_id, positive_score, vec_id AS negative_id, score AS negative_score,
+         CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank
+  FROM p JOIN s ON p.anchor_id = s.anchor_id AND NOT alike AND 30 * positive_score <= 100 * score AND 100 * score <= 90 * positive_score)
+SELECT anchor_id, positive_id, rank, negative_id, positive_score, negative_score FROM c WHERE rank <= 10""")
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    from wattline.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(table(spark, root, "embeddings"), F.col("vec_id") % 100 == 0, label=label)

@@ -40,8 +40,8 @@ from wattline.llm.common import slices, text_of, type_of
 from wattline.llm.tokens import PART_BYTES, parts
 
 CAPACITY = 4096
-MEMO = 1_000_000  # words whose ids a worker remembers
-TEXT_BYTES = 4 << 20  # text that a task splits into words at one time
+MEMO = 400_000  # words whose ids a worker remembers
+TEXT_BYTES = 2 << 20  # text that a task splits into words at one time
 MARKS = ".,!?;:#$%&*+-/=@^_~()[]{}<>|\""  # ASCII marks that a word may end with
 PLAIN = "^[a-zß-öø-ÿ]+$"  # words that the tokenizer neither changes nor splits
 _coders: dict[str, Coder] = {}

@@ -292,7 +292,7 @@ def test_error_model_equals_ridge_on_scaled_columns(spark):
     assert np.allclose([m.intercept, *m.coefficients.toArray()], want, atol=1e-6)
 
 
-def test_training_queries_run_the_published_job(monkeypatch):
+def test_training_queries_give_no_settings(monkeypatch):
     """Operator defaults (rounds, depth, trees, folds, repeats) and every feature and horizon."""
     import inspect
     from unittest.mock import MagicMock
@@ -312,7 +312,7 @@ def test_training_queries_run_the_published_job(monkeypatch):
         def run(*a, **kw):
             given = sig.bind(*a, **kw).arguments
             calls.append(given)
-            for k in ("iters", "depth", "trees", "folds", "repeats", "kw"):
+            for k in ("iters", "depth", "trees", "folds", "repeats", "kw", "settings"):
                 if k in given and module is not C:
                     raise AssertionError(f"{name}: {k} is given")
             if go_on is None:
@@ -325,14 +325,13 @@ def test_training_queries_run_the_published_job(monkeypatch):
     monkeypatch.setattr(q_features, "training_rows", lambda s, r: MagicMock())
     monkeypatch.setattr(q_combine, "SC", lambda s, r: MagicMock())
     monkeypatch.setattr(q_combine, "stable", lambda d: d)
-    monkeypatch.setattr(T, "index_areas", lambda d: MagicMock())
-    for n in ("train_gbt", "train_rf", "train_all", "tune", "train_job"):
+    for n in ("train_gbt", "train_areas", "train_rf", "train_all", "tune", "train_job"):
         stop_at(T, n)
     for n in ("select_rfe", "permutation_importance"):
         stop_at(S, n)
     stop_at(S, "forest_importance", (None, None))
     stop_at(C, "stack_fit")
-    for q in ("k02_train_gbt", "k03_predict_gbt", "k04_train_rf", "k23_train_all", "k24_tune", "k28_train_job", "f04_select_rfe", "f05_permutation_importance", "k05_predict_rf", "m09_stack_fold_scores"):
+    for q in ("k02_train_gbt", "k02_train_gbt_pooled", "k03_predict_gbt", "k04_train_rf", "k23_train_all", "k24_tune", "k28_train_job", "f04_select_rfe", "f05_permutation_importance", "k05_predict_rf", "m09_stack_fold_scores"):
         with pytest.raises(Stop):
             QUERIES[q](None, "")
         given = calls[-1]

@@ -5,13 +5,12 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 import numpy as np
-import pandas as pd
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wattline.functions.ordered import bounded, ema
+from wattline.functions.ordered import bounded, ema, stable
 from wattline.operators.folds import time_folds
 from wattline.operators.joins import pivot_models
 
@@ -103,30 +102,77 @@ def weights_min_mse(df: DataFrame, models: Sequence[str], bounds: tuple[float, f
     return df.sparkSession.createDataFrame([(m, float(x)) for m, x in zip(models, w, strict=True)], "model string, weight double")
 
 
-def simplex_grid(m: int, step: float) -> np.ndarray:
-    n = int(round(1 / step))
-    rows = [()]
-    for left in range(m - 1, 0, -1):
-        rows = [r + (k,) for r in rows for k in range(n - sum(r) + 1)]
-    return np.array([r + (n - sum(r),) for r in rows], dtype=float) / n
+def lowest_mix(cuts: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights (sum 1, none negative) with the smallest maximum of ``cuts @ weights``, and that maximum.
+
+    With all entries shifted above zero this is: maximise sum(u) with cuts @ u <= 1; u / sum(u) are the weights.
+    """
+    shift = 1.0 + max(0.0, -cuts.min()) + np.ptp(cuts)
+    rows, m = cuts.shape
+    size = (cuts + shift).max()
+    t = np.zeros((rows + 1, m + rows + 1))
+    t[:rows, :m], t[:rows, m:-1], t[:rows, -1] = (cuts + shift) / size, np.eye(rows), 1.0
+    t[-1, :m] = -1.0
+    basis = list(range(m, m + rows))
+    for step in range(50 * (m + rows)):
+        worse = np.flatnonzero(t[-1, :-1] < -1e-12)
+        if not len(worse):
+            break
+        c = worse[np.argmin(t[-1, worse])] if step < 10 * (m + rows) else worse[0]  # the first one cannot cycle
+        up = t[:rows, c] > 1e-12
+        r = int(np.argmin(np.where(up, t[:rows, -1] / np.where(up, t[:rows, c], 1.0), np.inf)))
+        t[r] /= t[r, c]
+        others = np.arange(rows + 1) != r
+        t[others] -= np.outer(t[others, c], t[r])
+        basis[r] = int(c)
+    u = np.zeros(m + rows)
+    u[basis] = t[:rows, -1]
+    w = np.maximum(u[:m], 0)
+    w /= w.sum()
+    return w, float((cuts @ w).max())
+
+
+def min_mae_rounds(df: DataFrame, models: Sequence[str], keys: Sequence[str] = KEYS, gap: float = 1e-7, rounds: int = 500) -> tuple[DataFrame, DataFrame]:
+    """Weights of the convex combination with the smallest mean absolute error, and (mae, bound, rounds).
+
+    Cutting planes: the error at a point and its subgradient (two kinds of sums over all rows, one
+    aggregate a round) bound the error at every other point from below. The next point is the one
+    with the lowest bound; a second one halfway to the best point so far keeps it from
+    swinging. Ends when error and bound are within ``gap`` of each other, relatively.
+    """
+    models = list(models)
+    wide = stable(pivot_models(df, models, keys, keep=["y"]).dropna().select(F.col("y").cast("double").alias("y"), *[F.col(m).cast("double").alias(f"x{i}") for i, m in enumerate(models)]))
+    x = [F.col(f"x{i}") for i in range(len(models))]
+    cuts, best, best_w, bound, n = [], np.inf, np.full(len(models), 1 / len(models)), -np.inf, 0
+    points = [best_w]
+    while n < rounds:
+        n += 1
+        aggs = []
+        for p, w in enumerate(points):
+            e = sum((float(a) * c for a, c in zip(w, x, strict=True)), F.lit(0.0)) - F.col("y")
+            aggs += [F.avg(F.abs(e)).alias(f"f{p}"), *[F.avg(F.signum(e) * c).alias(f"g{p}_{i}") for i, c in enumerate(x)]]
+        row = wide.agg(*aggs).head()
+        if row["f0"] is None:
+            raise ValueError("no row has a value of every model")
+        for p, w in enumerate(points):
+            g = np.array([row[f"g{p}_{i}"] for i in range(len(models))])
+            cuts.append(row[f"f{p}"] - g @ w + g)  # the cut's height at each corner of the simplex
+            if row[f"f{p}"] < best:
+                best, best_w = row[f"f{p}"], w
+        low, value = lowest_mix(np.array(cuts))
+        bound = max(bound, value)
+        if best - bound <= gap * max(best, 1e-300):
+            break
+        points = [low, (low + best_w) / 2]
+    spark = df.sparkSession
+    return (
+        spark.createDataFrame([(m, float(v)) for m, v in zip(models, best_w, strict=True)], "model string, weight double"),
+        spark.createDataFrame([(float(best), float(bound), n)], "mae double, bound double, rounds int"),
+    )
 
 
-def weights_min_mae(df: DataFrame, models: Sequence[str], step: float = 0.1, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Every grid point of the weight simplex is scored in one pass; tasks hand on one sum each."""
-    models = list(models)
-    grid = simplex_grid(len(models), step)
-    wide = pivot_models(df, models, keys, keep=["y"]).dropna().select("y", *models)
-
-    def part(batches):
-        total = np.zeros(len(grid))
-        for pdf in batches:
-            e = pdf[models].to_numpy() - pdf[["y"]].to_numpy()
-            for s in range(0, len(e), 20000):
-                total += np.abs(e[s:s + 20000] @ grid.T).sum(axis=0)
-        yield pd.DataFrame({"i": np.arange(len(grid), dtype=np.int32), "s": total})
-
-    best = wide.mapInPandas(part, "i int, s double").groupBy("i").agg(F.sum("s").alias("s")).agg(F.min_by("i", F.struct("s", "i"))).head()[0]
-    return df.sparkSession.createDataFrame([(m, float(x)) for m, x in zip(models, grid[best], strict=True)], "model string, weight double")
+def weights_min_mae(df: DataFrame, models: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
+    return min_mae_rounds(df, models, keys)[0]
 
 
 # --- stacking --------------------------------------------------------------------

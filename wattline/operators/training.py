@@ -1,7 +1,8 @@
 """Tree models over horizons, tuning, and the batch jobs.
 
-One model can serve all areas (``area_index`` as a feature) or one is fitted per area; each
-fit is a distributed MLlib job.
+``train_areas``, ``train_all``, ``tune`` and ``train_job`` fit a model of its own for every area, all of them in
+one pass per tree level (``boosting.py``); folds and grid points are further runs of the same pass.
+``train_gbt`` and ``train_rf`` fit one MLlib model over all areas (``area_index`` as a feature).
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.operators import boosting as B
 from wattline.operators.folds import time_folds
 from wattline.operators.joins import horizon_target
 from wattline.operators.metrics import metrics
@@ -30,24 +32,23 @@ def index_areas(df: DataFrame, by: str = "area"):
     return StringIndexer(inputCol=by, outputCol="area_index", stringOrderType="alphabetAsc").fit(df.select(by))
 
 
-def train_gbt(df: DataFrame, features: Sequence[str], target: str, by: str | None = None, areas: Sequence[str] = (), iters: int = 20, depth: int = 5, **kw) -> dict:
-    """{None: model} for all areas together, or one model per listed area."""
+def train_gbt(df: DataFrame, features: Sequence[str], target: str, iters: int = 20, depth: int = 5, **kw):
+    """One MLlib model for all areas together."""
     x = _vector(df.where(F.col(target).isNotNull()), features)
-    fit = lambda d: GBTRegressor(labelCol=target, maxIter=iters, maxDepth=depth, seed=42, **kw).fit(d)
-    if by is None:
-        return {None: fit(x)}
-    x = x.persist()
-    out = {a: fit(x.where(F.col(by) == a)) for a in areas}
-    x.unpersist()
-    return out
+    return GBTRegressor(labelCol=target, maxIter=iters, maxDepth=depth, seed=42, **kw).fit(x)
 
 
-def predict_gbt(models: Mapping, df: DataFrame, features: Sequence[str], horizon: int, by: str = "area") -> DataFrame:
-    x, out = _vector(df, features), None
-    for a, m in models.items():
-        p = m.transform(x if a is None else x.where(F.col(by) == a)).select(by, "ts", F.lit(horizon).alias("horizon"), F.col("prediction").alias("yhat"))
-        out = p if out is None else out.unionByName(p)
-    return out
+def predict_gbt(model, df: DataFrame, features: Sequence[str], horizon: int, by: str = "area") -> DataFrame:
+    return model.transform(_vector(df, features)).select(by, "ts", F.lit(horizon).alias("horizon"), F.col("prediction").alias("yhat"))
+
+
+def train_areas(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = ("area",), **settings) -> B.Boosted:
+    """A boosted model for every area."""
+    return B.boost(df, features, target, by, runs={"all": settings})
+
+
+def predict_areas(model: B.Boosted, df: DataFrame, horizon: int, run: str = "all") -> DataFrame:
+    return B.predict(model, df, run).select(*model.by, "ts", F.lit(horizon).alias("horizon"), "yhat")
 
 
 def train_rf(df: DataFrame, target: str, features: Sequence[str], horizons: Sequence[int], ppd: int = 48, step: int | None = None, trees: int = 20, depth: int = 6) -> dict:
@@ -77,34 +78,20 @@ def predict_rf(models: Mapping, df: DataFrame, by: str = "area", z: float = 1.96
     return out
 
 
-def cv_score(df: DataFrame, features: Sequence[str], target: str, folds: int, **kw) -> DataFrame:
-    """(area, fold, n, mae) of the all-area model on time-ordered folds."""
-    f, out = time_folds(df, folds).persist(), None
-    for k in range(1, folds + 1):
-        m = train_gbt(f.where(F.col("fold") < k), features, target, **kw)[None]
-        p = m.transform(_vector(f.where((F.col("fold") == k) & F.col(target).isNotNull()), features))
-        s = p.groupBy("area").agg(F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
-        out = s if out is None else out.unionByName(s)
-    return out
-
-
-def train_all(df: DataFrame, features: Sequence[str], target: str, folds: int = 3, **kw) -> tuple[dict, DataFrame]:
-    """One fit over all areas with the area index as a feature, and the MAE per area from the folds."""
-    idx = index_areas(df)
-    x = idx.transform(df)
-    cols = [*features, "area_index"]
-    score = cv_score(x, cols, target, folds, **kw).groupBy("area").agg(F.avg("mae").alias("cv_mae"), F.sum("n").alias("n"))
-    return train_gbt(x, cols, target, **kw), score
+def train_all(df: DataFrame, features: Sequence[str], target: str, folds: int = 3, by: Sequence[str] = ("area",), **settings) -> tuple[B.Boosted, DataFrame]:
+    """A model for every area, and the MAE of each on time-ordered folds: (area, cv_mae, n)."""
+    model = B.boost(time_folds(df, folds, by=by), features, target, by, runs=B.fold_runs(folds, **settings), fold="fold")
+    return model, B.fold_errors(model).groupBy(*by).agg(F.avg("mae").alias("cv_mae"), F.sum("n").alias("n"))
 
 
-def tune(df: DataFrame, features: Sequence[str], target: str, grid: Mapping[str, Sequence], folds: int = 2) -> DataFrame:
-    """Every grid point scored on the time folds, best first."""
-    rows = []
-    for vals in product(*grid.values()):
-        kw = dict(zip(grid, vals, strict=True))
-        s = cv_score(df, features, target, folds, **kw).agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("m")).head()[0]
-        rows.append((str(kw), float(s)))
-    return df.sparkSession.createDataFrame(rows, "params string, mae double").orderBy("mae", "params")
+def tune(df: DataFrame, features: Sequence[str], target: str, grid: Mapping[str, Sequence], folds: int = 2, by: Sequence[str] = ("area",), **settings) -> DataFrame:
+    """Every grid point scored on the time folds of every area, best first: (params, mae). All points and folds grow in one pass."""
+    points = [dict(zip(grid, vals, strict=True)) for vals in product(*grid.values())]
+    runs = {f"{i}:{k}": {**settings, **p, "train_before": k} for i, p in enumerate(points) for k in range(1, folds + 1)}
+    model = B.boost(time_folds(df, folds, by=by), features, target, by, runs=runs, fold="fold")
+    names = F.array(*[F.lit(", ".join(f"{k}={v}" for k, v in p.items())) for p in points])
+    params = F.element_at(names, F.split("run", ":")[0].cast("int") + 1).alias("params")
+    return B.fold_errors(model).groupBy(params).agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("mae")).orderBy("mae", "params")
 
 
 def model_report(df: DataFrame, by: Sequence[str] = ("area", "model")) -> DataFrame:
@@ -126,9 +113,8 @@ def predict_job(fc: DataFrame, edges: DataFrame, root: str, path: str | None = N
     return out
 
 
-def train_job(df: DataFrame, features: Sequence[str], target: str, folds: int = 2, **kw) -> DataFrame:
+def train_job(df: DataFrame, features: Sequence[str], target: str, folds: int = 2, by: Sequence[str] = ("area",), **settings) -> DataFrame:
     """fit -> predict the training rows -> report per area, with the fold MAE."""
-    models, cv = train_all(df, features, target, folds, **kw)
-    x = index_areas(df).transform(df)
-    p = predict_gbt(models, x, [*features, "area_index"], 1).join(x.select("area", "ts", F.col(target).alias("y")), ["area", "ts"]).where("y is not null")
-    return metrics(p, ["area"], symmetric=False).join(cv.select("area", "cv_mae"), "area", "left")
+    model, cv = train_all(df, features, target, folds, by, **settings)
+    p = model.fitted.where("run = 'all'").select(*by, "ts", F.col("target").alias("y"), "yhat")
+    return metrics(p, list(by), symmetric=False).join(cv.select(*by, "cv_mae"), list(by), "left")

@@ -6,6 +6,7 @@ from wattline.functions.ordered import stable
 from wattline.operators import bias as B
 from wattline.operators import combine as C
 from wattline.operators import diversity as V
+from wattline.operators import ensemble as N
 from wattline.operators.features import time_context
 from wattline.plans.base import query
 from wattline.plans.ctes import define
@@ -31,6 +32,7 @@ query("m06_weights_inverse_error", "SELECT area, model, w / sum(w) OVER (PARTITI
     lambda s, r: C.weights_inverse_error(SC(s, r), ["area"], 0.24))
 query("m07_weights_min_mse")(lambda s, r: C.weights_min_mse(SC(s, r), MODELS))
 query("m08_weights_min_mae")(lambda s, r: C.weights_min_mae(SC(s, r), MODELS))
+query("m08_min_mae_certificate")(lambda s, r: C.min_mae_rounds(SC(s, r), MODELS)[1].select("mae", "bound", (F.col("mae") - F.col("bound") <= 1e-6 * F.col("mae")).alias("proven")))
 
 
 @query("m09_stack_fold_scores")
@@ -163,8 +165,8 @@ query("m37_diversity_ranking", "SELECT model, 1 - avg(c) AS diversity, row_numbe
 query("m38_select_subset")(lambda s, r: V.select_subset(SC(s, r), MODELS))
 query("m38_select_subset_backward")(lambda s, r: V.select_subset(SC(s, r), MODELS, "backward", 2))
 query("m39_select_by_cluster")(lambda s, r: V.select_by_cluster(SC(s, r), MODELS))
-query("m40_select_ensemble")(lambda s, r: V.select_ensemble(SC(s, r), MODELS))
-query("m40_select_ensemble_greedy")(lambda s, r: V.select_ensemble(SC(s, r), MODELS, method="greedy"))
+query("m40_select_ensemble")(lambda s, r: N.select_ensemble(SC(s, r), MODELS))
+query("m40_select_ensemble_greedy")(lambda s, r: N.select_ensemble(SC(s, r), MODELS, method="greedy"))
 query("m41_rolling_performance", """SELECT area, model, avg(mape) AS mean, avg(mape) FILTER (i <= n // 2) AS older, avg(mape) FILTER (i > n // 2) AS newer, count(*) AS n, greatest(least((avg(mape) FILTER (i <= n // 2) - avg(mape) FILTER (i > n // 2)) / (avg(mape) FILTER (i <= n // 2) + 1e-8), 1), -1) AS trend FROM (SELECT *, row_number() OVER (PARTITION BY area, model ORDER BY ts) AS i, count(*) OVER (PARTITION BY area, model) AS n FROM pst) GROUP BY 1, 2""", use="pst", rd="mean older newer trend")(
     lambda s, r: V.rolling_performance(PST(s, r), ["area", "model"]))
 query("m42_weight_stability")(lambda s, r: V.weight_stability(SC(s, r)))

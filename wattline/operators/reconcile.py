@@ -1,10 +1,10 @@
 """Forecast reconciliation.
 
 OLS and WLS (diagonal weights) on a tree are solved exactly by a pass up and a pass
-down: what the children say about a parent and the parent's own forecast are
-combined by precision, then the surplus is handed back in proportion to variance. No
-matrix is formed, so the number of nodes is not limited. Full-covariance methods need an
-n x n matrix and use it on the workers for batches of time stamps.
+down over the vector of a time stamp (``treesolve.py``), whatever nodes are missing in it. No
+matrix is formed, so the number of nodes is not limited. So is MinT with a covariance of common factors
+and specific variances. The other full-covariance methods need an n x n matrix and use it on
+the workers for batches of time stamps; beyond DENSE_LIMIT nodes they are refused.
 """
 
 from __future__ import annotations
@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from wattline.functions import tails
 from wattline.functions.ordered import bounded, positions, stable
 from wattline.operators import stattests as T
+from wattline.operators import treesolve as X
 from wattline.operators.folds import time_folds
 from wattline.operators.metrics import metrics
 
@@ -61,65 +62,29 @@ def reconcile_wls(fc: DataFrame, edges: DataFrame, weights: DataFrame | None = N
     """``weights(node, var)`` (or with the keys too); smaller variance counts more. A missing
     forecast is a forecast of unlimited variance; nodes that the rest doesn't determine are null.
 
-    With variances per node the result is linear in the forecasts, with factors that don't depend on the key: they are worked
-    out once, on the node table, and two joins with the closure apply them at any depth. Keys with
-    a missing forecast, and variances per key, need factors of their own and go level by level.
+    A key's nodes are one vector, solved in one pass up and down the tree. Beyond
+    ``treesolve.NODES`` nodes a key goes level by level, as joins.
     """
     keys = list(keys)
     edges = stable(edges.select("parent", "child", "weight"))
     lv = stable(_levels(edges))
     fc = fc.select(*keys, "node", "yhat")
-    if weights is not None and any(k in weights.columns for k in keys):
+    per_key = weights is not None and any(k in weights.columns for k in keys)
+    tree = X.make_tree(lv, edges)
+    if tree is None:
+        if weights is None:
+            weights = lv.select("node", F.lit(1.0).alias("var"))
         return _by_level(fc, edges, lv, weights, keys)
-    if weights is None:
-        weights = lv.select("node", F.lit(1.0).alias("var"))
-    nodes = lv.count()
-    fc = stable(fc.join(lv.select("node"), "node", "left_semi"))
-    part = fc.groupBy(*keys).agg(F.count("yhat").alias("__n")).where(F.col("__n") < nodes).select(*keys)
-    if part.isEmpty():
-        return _by_factors(fc, edges, lv, weights, keys)
-    part = stable(part)
-    whole = _by_factors(fc.join(part, keys, "left_anti"), edges, lv, weights, keys)
-    return whole.unionByName(_by_level(fc.join(part, keys, "left_semi"), edges, lv, weights, keys))
-
-
-def _by_factors(fc: DataFrame, edges: DataFrame, lv: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
-    """Up: what a node's own forecast and its children say, by precision. Down: an ancestor's surplus
-    over its children, in proportion to variance. Both are products along paths."""
-    depth = lv.agg(F.max("level")).head()[0]
-    own = lv.join(weights.select("node", "var"), "node", "left").select("node", "level", F.coalesce("var", F.lit(1.0)).alias("var"))
-    below, done = None, None
-    for level in range(depth, -1, -1):  # node table only
-        cur = own.where(F.col("level") == level)
-        if below is None:
-            cur = cur.withColumn("kv", F.lit(None).cast("double"))
-        else:
-            s = below.join(edges, F.col("node") == F.col("child")).groupBy(F.col("parent").alias("node")).agg(F.sum(F.col("weight") * F.col("weight") * F.col("v")).alias("kv"))
-            cur = cur.join(s, "node", "left")
-        exact = F.col("kv") == 0
-        v = F.when(exact, 0.0).when(F.col("kv").isNull(), F.col("var")).otherwise(1 / (1 / F.col("var") + 1 / F.col("kv")))
-        cur = cur.withColumn("v", v)
-        cur = cur.select("node", "v", "kv", F.when(exact, 0.0).otherwise(F.col("v") / F.col("var")).alias("alpha"),
-                         F.when(exact, 1.0).when(F.col("kv").isNull(), 0.0).otherwise(F.col("v") / F.col("kv")).alias("beta"))
-        below = stable(cur)
-        done = below if done is None else done.unionByName(below)
-    node = done
-    top, kid = node.select(F.col("node").alias("parent"), "beta", F.col("kv").alias("pkv")), node.select(F.col("node").alias("child"), F.col("v").alias("cv"))
-    step = edges.join(top, "parent").join(kid, "child").select(
-        F.col("parent").alias("from"), F.col("child").alias("to"), (F.col("beta") * F.col("weight")).alias("up_step"),
-        F.when(F.col("pkv") > 0, F.col("weight") * F.col("cv") / F.col("pkv")).otherwise(0.0).alias("down_step"))
-    front = node.select(F.col("node").alias("above"), "node", F.lit(1.0).alias("up"), F.lit(1.0).alias("down"))
-    paths = front
-    for _ in range(depth):
-        front = front.join(step, F.col("node") == F.col("from")).select("above", F.col("to").alias("node"), (F.col("up") * F.col("up_step")).alias("up"), (F.col("down") * F.col("down_step")).alias("down"))
-        paths = paths.unionByName(front)
-    paths = stable(paths.join(node.select("node", "alpha"), "node").join(node.select(F.col("node").alias("above"), F.col("beta").alias("above_beta")), "above"))
-    said = F.col("up") * F.col("alpha") * F.col("yhat")
-    rest = F.coalesce(F.sum(F.when(F.col("above") != F.col("node"), said / F.col("above_beta"))), F.lit(0.0))
-    ups = fc.join(paths, "node").groupBy(*keys, "above").agg(F.sum(said).alias("m"), rest.alias("kids_mean"))
-    j = ups.join(paths.select("above", "node", "down"), "above")
-    own_m = F.sum(F.when(F.col("above") == F.col("node"), F.col("m")).otherwise(F.col("down") * (F.col("m") - F.col("kids_mean"))))
-    return j.groupBy(*keys, "node").agg(own_m.alias("yhat"))
+    if per_key:
+        on = [c for c in [*keys, "node"] if c in weights.columns]
+        return X.reconcile(fc.join(weights.select(*on, "var"), on, "left"), tree, keys)
+    var = np.ones(len(tree.names))
+    if weights is not None:
+        at = tree.at
+        for r in weights.select("node", "var").where("var is not null").collect():  # a row per node
+            if r["node"] in at:
+                var[at[r["node"]]] = r["var"]
+    return X.reconcile(fc, tree, keys, var)
 
 
 def _by_level(fc: DataFrame, edges: DataFrame, lv: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
@@ -173,7 +138,7 @@ def reconcile_ols(fc: DataFrame, edges: DataFrame, keys: Sequence[str] = ("ts",)
 def variance_weights(fc: DataFrame, act: DataFrame) -> DataFrame:
     """Residual variance per node."""
     e = fc.join(act, ["ts", "node"]).select("node", (F.col("y") - F.col("yhat")).alias("e"))
-    return e.groupBy("node").agg(F.greatest(F.var_samp("e"), F.lit(1e-10)).alias("var"))
+    return e.groupBy("node").agg(F.when(F.count("e") > 1, F.greatest(F.var_samp("e"), F.lit(1e-10))).alias("var"))
 
 
 def interval_weights(fc: DataFrame, z: float = 1.96) -> DataFrame:
@@ -212,42 +177,56 @@ def node_names(df: DataFrame) -> list[str]:
 
 
 def cross_products(vectors: DataFrame, n: int) -> DataFrame:
-    """(i, j, s): sums of products with a leading 1, added up inside each task first."""
+    """(i, j, c, p, s): over the vectors with both entries, their number, the sums of the first and of the products."""
 
     def part(batches):
-        acc = np.zeros((n + 1, n + 1))
+        acc = np.zeros((3, n, n))
         for pdf in batches:
             if len(pdf):
-                x = np.column_stack([np.ones(len(pdf)), np.vstack(pdf["x"].to_numpy())])
-                acc += x.T @ x
-        i, j = np.triu_indices(n + 1)
-        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "s": acc[i, j]})
+                x = np.array([[np.nan if e is None else e for e in row] for row in pdf["x"]], dtype=float)
+                seen = (~np.isnan(x)).astype(float)
+                x = np.nan_to_num(x)
+                acc += np.stack([seen.T @ seen, x.T @ seen, x.T @ x])
+        i, j = (k.ravel() for k in np.indices((n, n)))
+        yield pd.DataFrame({"i": i.astype(np.int32), "j": j.astype(np.int32), "c": acc[0].ravel(), "p": acc[1].ravel(), "s": acc[2].ravel()})
 
-    return vectors.select("x").mapInPandas(part, "i int, j int, s double").groupBy("i", "j").agg(F.sum("s").alias("s"))
+    return vectors.select("x").mapInPandas(part, "i int, j int, c double, p double, s double").groupBy("i", "j").agg(*[F.sum(k).alias(k) for k in "cps"])
+
+
+def nearest_covariance(c: np.ndarray) -> np.ndarray:
+    """A covariance from pairs of unequal samples need not be one: negative eigenvalues are lifted, variances kept."""
+    w, u = np.linalg.eigh(c)
+    if w[0] >= -1e-12 * max(w[-1], 0.0):
+        return c
+    made = (u * np.maximum(w, 1e-8 * w[-1])) @ u.T
+    scale = np.sqrt(np.diag(c) / np.maximum(np.diag(made), 1e-300))
+    return made * np.outer(scale, scale)
 
 
 def residual_moments(res: DataFrame, v: str = "e") -> tuple[list[str], int, np.ndarray, np.ndarray]:
-    """Names, count, means and covariance over the time stamps at which every node has a residual;
-    a covariance from pairs of unequal samples need not be positive."""
-    names = node_names(res)
-    whole = _vectors(res, names, v).where(~F.exists("x", lambda e: e.isNull()))
-    p = cross_products(whole, len(names)).toPandas()
-    if p.empty or p.loc[(p["i"] == 0) & (p["j"] == 0), "s"].iloc[0] < 2:
-        raise ValueError("fewer than two time stamps have a residual of every node")
-    full = np.zeros((len(names) + 1,) * 2)
-    full[p["i"], p["j"]] = p["s"]
-    full = full + np.triu(full, 1).T
-    n = int(round(full[0, 0]))
-    mean = full[0, 1:] / n
-    return names, n, mean, (full[1:, 1:] - n * np.outer(mean, mean)) / (n - 1)
+    """Names, count, means and covariance. Every pair of nodes uses all time stamps at which both have a
+    residual; a pair without two in common counts as uncorrelated. Nodes with fewer than two residuals are left out."""
+    enough = res.where(F.col(v).isNotNull()).groupBy("node").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    names = node_names(enough)
+    if not names:
+        raise ValueError("no node has two residuals")
+    p = cross_products(_vectors(res, names, v), len(names)).toPandas()
+    count, first, prod = (np.zeros((len(names),) * 2) for _ in range(3))
+    for m, k in ((count, "c"), (first, "p"), (prod, "s")):
+        m[p["i"], p["j"]] = p[k]
+    mean = np.diag(first) / np.diag(count)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        c = np.where(count > 1, (prod - first * first.T / count) / (count - 1), 0.0)
+    return names, int(round(np.diag(count).max())), mean, nearest_covariance(c) if (count != count[0, 0]).any() else c
 
 
 def _fourth(res: DataFrame, names, mean) -> float:
     """Sum over time of the squared norm, squared, of the centred residual vector."""
     m = res.sparkSession.createDataFrame([(a, float(b)) for a, b in zip(names, mean, strict=True)], "node string, mu double")
     d = F.col("e") - F.col("mu")
-    q = res.join(m, "node").groupBy("ts").agg(F.sum(d * d).alias("q"), F.count("e").alias("c")).where(F.col("c") == len(names))
-    return q.agg(F.sum(F.col("q") * F.col("q"))).head()[0]
+    q = res.join(m, "node").groupBy("ts").agg(F.sum(d * d).alias("q"), F.count("e").alias("c")).where("c > 0")
+    full = F.col("q") * len(names) / F.col("c")  # as if the missing ones were like the rest
+    return q.agg(F.sum(full * full)).head()[0]
 
 
 def cov_table(spark, names, c: np.ndarray) -> DataFrame:
@@ -344,9 +323,10 @@ def _s_matrix(S: DataFrame, names: Sequence[str]) -> np.ndarray:
 
 def projection(S: np.ndarray, cov: np.ndarray, ridge: float = 1e-8, seen: np.ndarray | None = None) -> np.ndarray:
     """S (S' W^-1 S)^-1 S' W^-1, with the rows of the nodes that are ``seen`` only (a missing forecast
-    says nothing). A node that the seen ones leave undetermined gets a row of NaN."""
+    says nothing). A node that the seen ones leave undetermined gets a row of NaN. The first rows of S are
+    those of ``cov``; what follows are nodes without a covariance, which only receive values."""
     seen = np.ones(len(cov), dtype=bool) if seen is None else seen
-    part, c = S[seen], cov[np.ix_(seen, seen)]
+    part, c = S[:len(cov)][seen], cov[np.ix_(seen, seen)]
     w = np.linalg.pinv(c + ridge * np.trace(cov) / len(cov) * np.eye(len(c)))
     out = S @ np.linalg.pinv(part.T @ w @ part) @ part.T @ w
     known = np.abs(S @ np.linalg.pinv(part) @ part - S).max(axis=1, initial=0.0) < 1e-8
@@ -354,11 +334,14 @@ def projection(S: np.ndarray, cov: np.ndarray, ridge: float = 1e-8, seen: np.nda
     return out
 
 
-def apply_projection(fc: DataFrame, names: Sequence[str], S: np.ndarray, cov: np.ndarray, keys: Sequence[str] = ("ts",)) -> DataFrame:
+PATTERNS = 64  # sets of missing nodes whose matrix a task keeps
+
+
+def apply_projection(fc: DataFrame, names: Sequence[str], S: np.ndarray, cov: np.ndarray, keys: Sequence[str] = ("ts",), also: Sequence[str] = ()) -> DataFrame:
     """Matrix times the node vectors of a batch of keys; each forecast is shuffled once.
 
-    Every key of the input has a row per node. Keys with the same nodes missing share a matrix,
-    made on the worker; undetermined nodes are null.
+    Every key of the input has a row per node, those of ``also`` (further rows of S) included. Keys with the
+    same nodes missing share a matrix, made on the worker; undetermined nodes are null.
     """
     vec = _vectors(fc, names, "yhat", keys)
     types = dict(vec.dtypes)
@@ -369,10 +352,12 @@ def apply_projection(fc: DataFrame, names: Sequence[str], S: np.ndarray, cov: np
         for pdf in batches:
             if len(pdf):
                 x = np.array([[np.nan if e is None else e for e in row] for row in pdf["x"]], dtype=float)
-                out = np.empty_like(x)
+                out = np.empty((len(x), len(S)))
                 seen, which = np.unique(~np.isnan(x), axis=0, return_inverse=True)
                 for i, mask in enumerate(seen):
                     if (key := mask.tobytes()) not in made:
+                        if len(made) >= PATTERNS:
+                            made.clear()
                         made[key] = projection(S, cov, seen=mask)
                     rows = which.ravel() == i
                     out[rows] = x[rows][:, mask] @ made[key].T
@@ -380,18 +365,38 @@ def apply_projection(fc: DataFrame, names: Sequence[str], S: np.ndarray, cov: np
             yield pdf
 
     out = vec.mapInPandas(part, schema)
-    pairs = F.arrays_zip(F.array(*[F.lit(n) for n in names]).alias("node"), F.col("x").alias("yhat"))
+    pairs = F.arrays_zip(F.array(*[F.lit(n) for n in [*names, *also]]).alias("node"), F.col("x").alias("yhat"))
     return out.select(*keys, F.explode(pairs).alias("p")).select(*keys, F.col("p.node").alias("node"), F.col("p.yhat").alias("yhat"))
 
 
+def _by_matrix(fc: DataFrame, S: DataFrame, names: Sequence[str], c: np.ndarray, keys: Sequence[str]) -> DataFrame:
+    """Nodes that have no residual have no weight; they get what the others determine."""
+    also = [n for n in node_names(S) if n not in set(names)]
+    return apply_projection(fc, names, _s_matrix(S, [*names, *also]), c, keys, also)
+
+
 def reconcile_mint(fc: DataFrame, S: DataFrame, res: DataFrame, method: str = "sample", keys: Sequence[str] = ("ts",)) -> DataFrame:
-    names, c = residual_cov(res, method, S)
-    return apply_projection(fc, names, _s_matrix(S, names), c, keys)
+    return _by_matrix(fc, S, *residual_cov(res, method, S), keys)
 
 
 def reconcile_shrink(fc: DataFrame, S: DataFrame, res: DataFrame, target: str = "diagonal", lam: float | str = "formula", keys: Sequence[str] = ("ts",)) -> DataFrame:
-    names, c, _ = shrink_cov(res, target, lam)
-    return apply_projection(fc, names, _s_matrix(S, names), c, keys)
+    return _by_matrix(fc, S, *shrink_cov(res, target, lam)[:2], keys)
+
+
+def reconcile_factors(fc: DataFrame, edges: DataFrame, res: DataFrame, factors: int = 1, keys: Sequence[str] = ("ts",)) -> DataFrame:
+    """MinT with common factors and specific variances, for any number of nodes up to ``treesolve.NODES``.
+
+    The covariance comes from all residuals by EM; the tree and a factors x factors system per set
+    of missing nodes solve it. A forecast of a node that has no residual has no weight.
+    """
+    edges = stable(edges.select("parent", "child", "weight"))
+    tree = X.make_tree(stable(_levels(edges)), edges)
+    if tree is None:
+        raise ValueError(f"more than {X.NODES} nodes: use reconcile_wls")
+    model = X.fit_factors(res, tree, factors)
+    known = fc.sparkSession.createDataFrame([(n,) for n, v in zip(tree.names, model.var, strict=True) if np.isfinite(v)], "node string")
+    trusted = fc.join(known.withColumn("__known", F.lit(True)), "node", "left").withColumn("yhat", F.when(F.col("__known"), F.col("yhat")))
+    return X.reconcile(trusted, tree, keys, np.where(np.isfinite(model.var), model.var, 1.0), model.loadings)
 
 
 def reconcile_proportional(fc: DataFrame, edges: DataFrame, root: str, keys: Sequence[str] = ("ts",)) -> DataFrame:

@@ -53,6 +53,10 @@ def forecasts_and_actuals(s, r, whole=True):
     return stable(f.join(full, "ts", "left_semi")), y
 
 
+def every_fc(s, r):
+    return forecasts_and_actuals(s, r, whole=False)
+
+
 def node_fc(s, r):
     return forecasts_and_actuals(s, r)[0]
 
@@ -102,23 +106,38 @@ OLS = """WITH lf AS (SELECT f.ts, f.node, r_name AS region, f.yhat AS m, {vl} AS
  rf AS (SELECT rg.ts, rg.region, rg.mm, rg.vv, rg.m + rg.v / tt.vv * (tt.fin - tt.mm) AS fin FROM rg JOIN tt USING (ts))
  SELECT ts, 'TOTAL' AS node, fin AS yhat FROM tt UNION ALL SELECT ts, region, fin FROM rf UNION ALL SELECT lf.ts, lf.node, lf.m + lf.v / rf.vv * (rf.fin - rf.mm) FROM lf JOIN rf USING (ts, region)"""
 OLS1 = OLS.format(vl="1.0::DOUBLE", vr="1.0::DOUBLE", vt="1.0::DOUBLE", jl="", jr="", jt="")
-query("h14_reconcile_ols", OLS1, use="nfc", rd="yhat", digits=4)(lambda s, r: R.reconcile_ols(node_fc(s, r), E(s, r)))
-define("nvar", "res", "SELECT node, greatest(var_samp(e), 1e-10) AS var FROM res GROUP BY 1")
+BOTH = "(yhat / var + km / kv) / (1 / var + 1 / kv)"
+TREE = f"""WITH x AS (SELECT f.ts, f.node, f.yhat, coalesce(w.var, 1.0)::DOUBLE AS var FROM nfa f LEFT JOIN {{w}} w ON w.node = f.node),
+ lf AS (SELECT ts, node, r_name AS region, yhat AS m, CASE WHEN yhat IS NOT NULL THEN var END AS v FROM x JOIN nation ON n_name = node JOIN region ON r_regionkey = n_regionkey),
+ ra AS (SELECT ts, region, sum(m) AS km, sum(v) AS kv, count(*) FILTER (v IS NULL) AS op FROM lf GROUP BY 1, 2),
+ rg AS (SELECT ra.*, CASE WHEN op = 0 AND yhat IS NOT NULL THEN {BOTH} WHEN yhat IS NOT NULL THEN yhat WHEN op = 0 THEN km END AS m,
+   CASE WHEN op = 0 AND yhat IS NOT NULL THEN 1 / (1 / var + 1 / kv) WHEN yhat IS NOT NULL THEN var WHEN op = 0 THEN kv END AS v
+   FROM ra JOIN x ON x.ts = ra.ts AND x.node = ra.region),
+ ta AS (SELECT ts, sum(m) AS km, sum(v) AS kv, count(*) FILTER (v IS NULL) AS op FROM rg GROUP BY 1),
+ tt AS (SELECT ta.*, CASE WHEN op = 0 AND yhat IS NOT NULL THEN {BOTH} WHEN yhat IS NOT NULL THEN yhat WHEN op = 0 THEN km END AS fin
+   FROM ta JOIN x ON x.ts = ta.ts AND x.node = 'TOTAL'),
+ rf AS (SELECT rg.ts, rg.region, rg.km, rg.kv, rg.op, CASE WHEN rg.v IS NOT NULL THEN rg.m + CASE WHEN tt.op = 0 AND tt.kv > 0 THEN rg.v / tt.kv * (tt.fin - tt.km) ELSE 0 END
+   WHEN tt.op = 1 THEN tt.fin - coalesce(tt.km, 0) END AS fin FROM rg JOIN tt USING (ts))
+ SELECT ts, 'TOTAL' AS node, fin AS yhat FROM tt UNION ALL SELECT ts, region, fin FROM rf
+ UNION ALL SELECT lf.ts, lf.node, CASE WHEN lf.v IS NOT NULL THEN lf.m + CASE WHEN rf.op = 0 AND rf.kv > 0 THEN lf.v / rf.kv * (rf.fin - rf.km) ELSE 0 END
+   WHEN rf.op = 1 THEN rf.fin - coalesce(rf.km, 0) END FROM lf JOIN rf USING (ts, region)"""
+define("nfa", "nall nact nodes", "SELECT ts, node, yhat FROM (SELECT DISTINCT ts FROM nact) CROSS JOIN (SELECT node FROM nodes) LEFT JOIN nall USING (ts, node)")
+query("h14_reconcile_ols", TREE.format(w="(SELECT node, 1.0::DOUBLE AS var FROM nodes)"), use="nfa nodes", rd="yhat", digits=4)(lambda s, r: R.reconcile_ols(every_fc(s, r)[0], E(s, r)))
+define("nvar", "nfa nact", "SELECT node, greatest(var_samp(y - yhat), 1e-10) AS var FROM nfa JOIN nact USING (ts, node) GROUP BY 1")
 def _wls(s, r):
-    f, y = forecasts_and_actuals(s, r)
+    f, y = every_fc(s, r)
     return R.reconcile_wls(f, E(s, r), R.variance_weights(f, y))
 
 
 def _with_matrix(s, r, fn):
-    f, y = forecasts_and_actuals(s, r)
+    f, y = every_fc(s, r)
     return fn(f, H.summation_matrix(E(s, r)), R.residuals(f, y))
 
 
-query("h15_reconcile_wls", OLS.format(vl="wv.var", vr="wv.var", vt="wv.var", jl="JOIN nvar wv ON wv.node = f.node", jr="JOIN nvar wv ON wv.node = ra.region", jt="JOIN nvar wv ON wv.node = 'TOTAL'"), use="nfc nvar", rd="yhat", digits=4)(
-    _wls)
-define("ivar", "nfc", "SELECT node, greatest(pow(avg(0.2 * yhat / (2 * 1.96)), 2), 1e-10) AS var FROM nfc GROUP BY 1")
-define("evar", "nfc", "SELECT node, greatest(avg(pow(0.1 * yhat, 2)), 1e-10) AS var FROM nfc GROUP BY 1")
-define("cvar", "nfc", "SELECT node, 1 / greatest(avg(CASE WHEN node = 'TOTAL' THEN 0.9 ELSE 0.5 + 0.001 * length(node) END), 1e-6)::DOUBLE AS var FROM nfc GROUP BY 1")
+query("h15_reconcile_wls", TREE.format(w="nvar"), use="nfa nvar", rd="yhat", digits=4)(_wls)
+define("ivar", "nfa", "SELECT node, greatest(pow(avg(0.2 * yhat / (2 * 1.96)), 2), 1e-10) AS var FROM nfa GROUP BY 1")
+define("evar", "nfa", "SELECT node, greatest(avg(pow(0.1 * yhat, 2)), 1e-10) AS var FROM nfa GROUP BY 1")
+define("cvar", "nfa", "SELECT node, 1 / greatest(avg(CASE WHEN node = 'TOTAL' THEN 0.9 ELSE 0.5 + 0.001 * length(node) END), 1e-6)::DOUBLE AS var FROM nfa GROUP BY 1")
 THREE = lambda: F.explode(F.array(*[F.lit(x) for x in (0.9, 1.0, 1.1)]))
 WEIGHTS = {  # weights of WLS from interval widths, the spread of an ensemble, and stated confidence
     "interval": ("ivar", lambda f: R.interval_weights(f.withColumns({"lo": F.col("yhat") * 0.9, "hi": F.col("yhat") * 1.1}))),
@@ -131,17 +150,17 @@ def _wls_by(kind):
     cte, weigh = WEIGHTS[kind]
 
     def run(s, r):
-        f = stable(node_fc(s, r))
+        f = every_fc(s, r)[0]
         return R.reconcile_wls(f, E(s, r), weigh(f))
 
-    sql = OLS.format(vl="wv.var", vr="wv.var", vt="wv.var", jl=f"JOIN {cte} wv ON wv.node = f.node", jr=f"JOIN {cte} wv ON wv.node = ra.region", jt=f"JOIN {cte} wv ON wv.node = 'TOTAL'")
-    query(f"h15_wls_{kind}", sql, use=f"nfc {cte}", rd="yhat", digits=4)(run)
+    query(f"h15_wls_{kind}", TREE.format(w=cte), use=f"nfa {cte}", rd="yhat", digits=4)(run)
 
 
 for _kind in WEIGHTS:
     _wls_by(_kind)
 query("h16_reconcile_mint")(lambda s, r: _with_matrix(s, r, R.reconcile_mint))
 query("h17_reconcile_shrink")(lambda s, r: _with_matrix(s, r, R.reconcile_shrink))
+query("h16_reconcile_factors")(lambda s, r: (lambda f, y: R.reconcile_factors(f, E(s, r), R.residuals(f, y)))(*every_fc(s, r)))
 
 
 def _incomplete(name, fn):
@@ -158,8 +177,9 @@ _incomplete("h14_ols_incomplete", lambda s, r, f, y: R.reconcile_ols(f, E(s, r))
 _incomplete("h15_wls_incomplete", lambda s, r, f, y: R.reconcile_wls(f, E(s, r), R.variance_weights(f, y)))
 _incomplete("h16_mint_incomplete", lambda s, r, f, y: R.reconcile_mint(f, H.summation_matrix(E(s, r)), R.residuals(f, y)))
 _incomplete("h17_shrink_incomplete", lambda s, r, f, y: R.reconcile_shrink(f, H.summation_matrix(E(s, r)), R.residuals(f, y)))
-query("h18_reconcile_proportional", "SELECT f.ts, f.node, CASE WHEN f.node IN (SELECT r_name FROM region) AND s.s > 0 THEN f.yhat * t.yhat / s.s ELSE f.yhat END AS yhat FROM nfc f JOIN (SELECT ts, sum(yhat) AS s FROM nfc WHERE node IN (SELECT r_name FROM region) GROUP BY 1) s USING (ts) JOIN (SELECT ts, yhat FROM nfc WHERE node = 'TOTAL') t USING (ts)", use="nfc", rd="yhat", digits=4)(
-    lambda s, r: R.reconcile_proportional(node_fc(s, r), E(s, r), "TOTAL"))
+PROP = """SELECT f.ts, f.node, CASE WHEN f.node IN (SELECT r_name FROM region) AND s.s > 0 AND t.yhat IS NOT NULL THEN f.yhat * t.yhat / s.s ELSE f.yhat END AS yhat
+ FROM nfa f JOIN (SELECT ts, sum(yhat) AS s FROM nfa WHERE node IN (SELECT r_name FROM region) GROUP BY 1) s USING (ts) JOIN (SELECT ts, yhat FROM nfa WHERE node = 'TOTAL') t USING (ts)"""
+query("h18_reconcile_proportional", PROP, use="nfa", rd="yhat", digits=4)(lambda s, r: R.reconcile_proportional(every_fc(s, r)[0], E(s, r), "TOTAL"))
 query("h19_check_constraints", "SELECT 'agg:' || node AS constraint, max(abs(yhat - expected)) AS max_violation, avg(abs(yhat - expected)) AS mean_violation, max(abs(yhat - expected)) <= 1e-6 AS satisfied FROM ksum GROUP BY node UNION ALL SELECT 'floor', max(greatest(-yhat, 0)), avg(greatest(-yhat, 0)), max(greatest(-yhat, 0)) <= 1e-6 FROM nfc".replace("AS constraint", 'AS "constraint"'), use="ksum nfc", rd="max_violation mean_violation", digits=4)(
     lambda s, r: R.check_constraints(node_fc(s, r), R.constraint_table(E(s, r))))
 query("h20_enforce_constraints", "SELECT f.ts, s.node, sum(s.w * greatest(f.yhat - 3000, 0)) AS yhat FROM nfc f JOIN smat s ON s.leaf = f.node GROUP BY 1, 2", use="nfc smat", rd="yhat", digits=4)(

@@ -12,7 +12,7 @@ from wattline.operators.quality import load_rules
 from wattline.plans.base import query
 from wattline.plans.ctes import define
 from wattline.plans.q_features import COLS, training_rows
-from wattline.plans.q_hierarchy import E, node_fc
+from wattline.plans.q_hierarchy import PROP, E, every_fc
 from wattline.plans.q_metrics import SC
 from wattline.plans.q_quality import KNOWN
 from wattline.sources import tables as tb
@@ -79,8 +79,8 @@ query("k25_model_report", "SELECT area, model, count(*) AS n, avg(y - yhat) AS m
     lambda s, r: T.model_report(SC(s, r)))
 query("k26_simple_intervals", "SELECT area, ts, model, horizon, yhat, y, yhat - 1.96 * abs(yhat) * 0.05 * (1 + 0.1 * horizon) AS lo, yhat + 1.96 * abs(yhat) * 0.05 * (1 + 0.1 * horizon) AS hi FROM scored", use="scored", rd="yhat y lo hi")(
     lambda s, r: P.simple_intervals(SC(s, r)))
-query("k27_predict_job", "SELECT ts, horizon, node, yhat, yhat - 1.96 * abs(yhat) * 0.05 * 1.1 AS lo, yhat + 1.96 * abs(yhat) * 0.05 * 1.1 AS hi FROM (SELECT f.ts, 1 AS horizon, f.node, CASE WHEN f.node IN (SELECT r_name FROM region) AND s.s > 0 THEN f.yhat * t.yhat / s.s ELSE f.yhat END AS yhat FROM nfc f JOIN (SELECT ts, sum(yhat) AS s FROM nfc WHERE node IN (SELECT r_name FROM region) GROUP BY 1) s USING (ts) JOIN (SELECT ts, yhat FROM nfc WHERE node = 'TOTAL') t USING (ts))", use="nfc", rd="yhat lo hi", digits=4)(
-    lambda s, r: T.predict_job(node_fc(s, r).withColumn("horizon", F.lit(1)), E(s, r), "TOTAL", scratch(s, "predict")))
+query("k27_predict_job", f"SELECT ts, horizon, node, yhat, yhat - 1.96 * abs(yhat) * 0.05 * 1.1 AS lo, yhat + 1.96 * abs(yhat) * 0.05 * 1.1 AS hi FROM (SELECT *, 1 AS horizon FROM ({PROP}))", use="nfa", rd="yhat lo hi", digits=4)(
+    lambda s, r: T.predict_job(every_fc(s, r)[0].withColumn("horizon", F.lit(1)), E(s, r), "TOTAL", scratch(s, "predict")))
 query("k28_train_job")(lambda s, r: T.train_job(TR(s, r), COLS, "target"))
 query("k29_two_stage_checks", """SELECT area, 'energy' AS test, max(abs(total - expected) / expected) AS value, max(abs(total - expected) / expected) <= 0.05 AS passed FROM (SELECT area, day, sum(load) AS total, 48 * max(daily_mean) AS expected FROM two GROUP BY 1, 2) GROUP BY 1
  UNION ALL SELECT area, 'bounds', avg((ratio < 0.3 OR ratio > 2.5)::INTEGER), avg((ratio < 0.3 OR ratio > 2.5)::INTEGER) <= 0.05 FROM rat GROUP BY 1 UNION ALL SELECT area, 'seasonal', avg(sd), avg(sd) <= 0.5 FROM (SELECT area, stddev_samp(ratio) AS sd FROM rat GROUP BY area, isodow(day), period // 2) GROUP BY 1""", use="two rat", rd="value")(

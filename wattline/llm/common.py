@@ -30,6 +30,13 @@ def digest(c: str) -> Column:
     return F.coalesce(F.md5(F.col(c).cast("string")), F.lit("null"))
 
 
+def spread(c: str, limit: int, pieces: int = 8) -> Column:
+    """A text of at most ``limit`` characters: the whole, or ``pieces`` pieces from all over it, the first and last characters included."""
+    text, each = F.col(c), max(limit // pieces - 1, 1)
+    at = [F.floor(i * (F.length(text) - each) / (pieces - 1)).cast("int") + 1 for i in range(pieces)]
+    return F.when(F.length(text) > limit, F.concat_ws(" ", *[F.substring(text, a, F.lit(each)) for a in at])).otherwise(text)
+
+
 def remainder(id_col: str, n: int) -> Column:
     """crc32 of the id as text, modulo n; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % n

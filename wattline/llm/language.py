@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.ordered import stable
-from wattline.llm.common import map_text, slices, type_of
+from wattline.llm.common import map_text, slices, spread, type_of
 
 BLOCK = 256
 UNKNOWN = "und"
@@ -282,7 +282,7 @@ def language_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "la
     first = Window.partitionBy("lang").orderBy("long", "hash")
     chosen = stable(t.select("lang", "long", "hash").distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= docs_per_lang))
     rows = (
-        t.join(chosen, ["lang", "long", "hash"]).withColumn("text", F.left("text", F.lit(doc_chars)))
+        t.join(chosen, ["lang", "long", "hash"]).withColumn("text", spread("text", doc_chars))
         .groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
     )
     by: dict[str, list[tuple[int, str]]] = {}
@@ -304,10 +304,11 @@ def identify(docs: DataFrame, sample: dict[str, str], id_col: str = "doc_id", te
     return map_text(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), "text", f"id {kind}, lang_pred string, score double", run)
 
 
-def keep_identified(docs: DataFrame, sample: dict[str, str], text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, whose text has a language (is not ``und``).
+def keep_identified(docs: DataFrame, sample: dict[str, str], text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs``, all columns, whose text has a language (is not ``und``), with that language in ``lang_col``.
 
-    With an empty sample no text has one; then only null texts and texts without a letter go. Rows pass through in slices of bounded bytes.
+    With an empty sample no text has one; then only null texts and texts without a letter go, and
+    the column keeps what it says. Rows pass through in slices of bounded bytes.
     """
     key = name_of(sample)
     shared = docs.sparkSession.sparkContext.broadcast(sample)
@@ -316,7 +317,14 @@ def keep_identified(docs: DataFrame, sample: dict[str, str], text_col: str = "te
         for b in batches:
             for s in slices(b, text_col):
                 model, texts = model_of(key, shared.value), s.column(text_col).to_pylist()
-                keep = [x != UNKNOWN for x in model.predict(texts)[0]] if model.langs else [bool(t) and bool(model.encode(t).any()) for t in texts]
+                if model.langs:
+                    found = model.predict(texts)[0]
+                    keep = [x != UNKNOWN for x in found]
+                    at = s.schema.get_field_index(lang_col)
+                    if at >= 0:
+                        s = s.set_column(at, s.schema.field(at), pa.array(found).cast(s.schema.field(at).type))
+                else:
+                    keep = [bool(t) and bool(model.encode(t).any()) for t in texts]
                 yield s.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

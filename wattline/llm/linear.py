@@ -5,9 +5,10 @@ of fixed size; its value is the log-count ratio of the slot between the classes,
 of a text has length 1. Scoring needs two numbers per slot, so a model is a table of fixed size,
 whatever it was learned from.
 
-Bound of the sample: ``per_class`` labelled rows of each class, in order of a hash of the id,
-from texts of at most ``doc_bytes`` bytes. Every text, of any length, is scored whole; a long
-one is read in parts, with the n-grams across their seams.
+Bound of the sample: ``per_class`` labelled rows of each class, in order of a hash of the id; of a
+text of more than ``doc_chars`` characters, that many from pieces spread over all of it. Rows are counted per
+range of hashes first, so only the ranges that hold the sample reach the task of a class. Every text, of any
+length, is scored whole; a long one is read in parts, with the n-grams across their seams.
 
 Ids with a null or an unclear label (both values) teach nothing. If a class has no row, every
 score is 0.5. Null texts are scored like empty ones.
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.ordered import stable
-from wattline.llm.common import map_text, text_of, type_of
+from wattline.llm.common import map_text, spread, text_of, type_of
 
 SLOT_BITS = 20
 PART_CHARS = 1 << 18
@@ -82,17 +83,24 @@ def ratios(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     return np.log(share(positive) / share(~positive))
 
 
-def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, per_class: int, doc_bytes: int, id_col: str, text_col: str) -> DataFrame:
+HASH_BITS = 16  # ranges of hashes that are counted
+
+
+def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, per_class: int, doc_chars: int, id_col: str, text_col: str) -> DataFrame:
     """(id, label, text): the bounded sample. ``learn`` says which ids may teach."""
     known = (
         labels.where(learn & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id"))
         .agg(F.min(label_col).cast("int").alias("label"), F.max(label_col).cast("int").alias("top")).where("label = top").select("id", "label")
     )
-    usable = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")).where(F.octet_length("text") <= doc_bytes)
-    order = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    some = known.join(usable.select("id"), "id", "left_semi").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_class)
-    chosen = stable(some.select("id", "label"))
-    return usable.join(chosen, "id").groupBy("id", "label").agg(F.min("text").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
+    held = stable(known.join(rows.select("id"), "id", "left_semi").withColumn("range", F.shiftright(F.xxhash64("id"), 64 - HASH_BITS)))
+    order = Window.partitionBy("label").orderBy("range")  # at most 2 ** HASH_BITS rows
+    ranges = held.groupBy("label", "range").agg(F.count(F.lit(1)).alias("n"))
+    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < per_class)
+    some = held.join(ranges.select("label", "range"), ["label", "range"], "left_semi")
+    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
+    chosen = stable(some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_class).select("id", "label"))
+    return rows.join(chosen, "id").groupBy("id", "label").agg(F.min(spread("text", doc_chars)).alias("text"))
 
 
 def fitted(rows: DataFrame, fit: Callable[[list[np.ndarray], list[np.ndarray], np.ndarray], tuple[np.ndarray, float]], n: int, words: Words) -> tuple[bytes, bytes, float] | None:

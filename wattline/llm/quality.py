@@ -4,7 +4,8 @@ Indicators of n-grams are scaled by the log-count ratios of the classes; a linea
 hinge loss is fitted to them by dual coordinate descent. Letter case counts. A word equal to the
 one before it is read as a mark, so that repetition has n-grams of its own. The score is the logistic function
 of ``SLOPE`` times the margin. The bounded sample, nulls, empty and long texts are as
-wattline.llm.linear says. Repeated rows are scored each; empty tables give no rows.
+wattline.llm.linear says. Repeated rows are scored each, equal texts alike (no ties to break); empty
+tables give no rows.
 """
 
 from __future__ import annotations
@@ -23,11 +24,11 @@ def words(found: list[str], before: str) -> list[str]:
     return [MARK if w == b else w for w, b in zip(found, [before, *found], strict=False)]
 
 
-def hinge(values: list[np.ndarray], slots: list[np.ndarray], positive: np.ndarray, cost: float = 1.0, epochs: int = 30, eps: float = 0.02) -> tuple[np.ndarray, float]:
+def hinge(values: list[np.ndarray], slots: list[np.ndarray], positive: np.ndarray, cost: float = 1.0, epochs: int = 2000, eps: float = 0.02) -> tuple[np.ndarray, float]:
     """Weights and bias by dual coordinate descent: one multiplier per row, clipped to [0, cost].
 
     Rows are visited in a new order, from a fixed seed, in every epoch; ends when no multiplier is
-    further than ``eps`` from its optimum. The bias is the weight of a feature that all rows have.
+    further than ``eps`` from its optimum; not to get there is an error. The bias is the weight of a feature that all rows have.
     """
     w, b = np.zeros(1 << linear.SLOT_BITS), 0.0
     y = np.where(positive, 1.0, -1.0)
@@ -47,12 +48,12 @@ def hinge(values: list[np.ndarray], slots: list[np.ndarray], positive: np.ndarra
                 w[slots[i]] += d * values[i]
                 b += d
         if worst < eps:
-            break
-    return w, b
+            return w, b
+    raise ArithmeticError(f"no optimum within {eps} after {epochs} epochs")
 
 
-def quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, per_class: int = 1500, doc_bytes: int = 16384) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", *, per_class: int = 1500, doc_chars: int = 16384) -> DataFrame:
     """One row per row of ``docs``: id, score."""
-    rows = linear.sample(docs, labels, label_col, learn, per_class, doc_bytes, id_col, text_col)
+    rows = linear.sample(docs, labels, label_col, learn, per_class, doc_chars, id_col, text_col)
     model = linear.fitted(rows, hinge, N, words)
     return linear.scored(docs, model, SLOPE, N, words, id_col, text_col)

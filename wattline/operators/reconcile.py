@@ -360,7 +360,7 @@ def apply_projection(fc: DataFrame, names: Sequence[str], S: np.ndarray, cov: np
                             made.clear()
                         made[key] = projection(S, cov, seen=mask)
                     rows = which.ravel() == i
-                    out[rows] = x[rows][:, mask] @ made[key].T
+                    out[rows] = x[rows][:, mask] @ made[key].T if mask.any() else np.nan
                 pdf["x"] = [[None if np.isnan(e) else e for e in row] for row in out.tolist()]
             yield pdf
 

@@ -41,13 +41,24 @@ query("w07_baseline_correction", f"SELECT area, ts, load, baseline, {', '.join(f
     lambda s, r: W.baseline_correction(BLF(s, r), step=30))
 query("w08_hourly_profile", "SELECT area, ts, load, avg(load) OVER (PARTITION BY area, hour(ts)) AS hourly_profile, load - avg(load) OVER (PARTITION BY area, hour(ts)) AS profile_deviation FROM series", use="series", rd="load hourly_profile profile_deviation")(
     lambda s, r: W.hourly_profile(tb.series(s, r)))
-query("w09_loess", """SELECT j.area, j.ts, j.load, my + CASE WHEN vx > 0 THEN cxy / vx * (j.i - mx) ELSE 0 END AS load_smooth, j.load - (my + CASE WHEN vx > 0 THEN cxy / vx * (j.i - mx) ELSE 0 END) AS load_residual FROM (
- SELECT area, ts, load, i, sum(w * xj) / sum(w) AS mx, sum(w * yj) / sum(w) AS my, sum(w * (xj - i) * yj) - sum(w * (xj - i)) * sum(w * yj) / sum(w) AS cxy, sum(w * (xj - i) * (xj - i)) - sum(w * (xj - i)) * sum(w * (xj - i)) / sum(w) AS vx FROM (
-  SELECT a.area, a.ts, a.load, a.i, b.i AS xj, b.load AS yj, pow(1 - pow(abs(b.i - a.i) / greatest(a.i - a.lo, a.lo + a.k - 1 - a.i)::DOUBLE, 3), 3) AS w
-  FROM (SELECT *, greatest(1, least(i - k // 2, n - k + 1)) AS lo FROM pos) a JOIN pos b ON b.area = a.area AND b.i BETWEEN a.lo AND a.lo + a.k - 1) GROUP BY ALL) j""", use="pos", rd="load load_smooth load_residual", digits=5)(
-    lambda s, r: X.loess(tb.filled(s, r), frac=0.05, iterations=1))
-define("pos", "filled", f"SELECT *, ceil(0.05 * n)::BIGINT AS k FROM (SELECT *, row_number() OVER ({P}) AS i, count(*) OVER (PARTITION BY area) AS n FROM filled)")
-query("w09_loess_robust")(lambda s, r: X.loess(tb.filled(s, r), frac=0.02, degree=2, iterations=2))
+LOESS = """SELECT area, i, my + CASE WHEN vx > 0 THEN cxy / vx * (i - mx) ELSE 0 END AS s FROM (
+ SELECT area, i, sum(w * xj) / sum(w) AS mx, sum(w * yj) / sum(w) AS my, sum(w * (xj - i) * yj) - sum(w * (xj - i)) * sum(w * yj) / sum(w) AS cxy,
+  sum(w * (xj - i) * (xj - i)) - sum(w * (xj - i)) * sum(w * (xj - i)) / sum(w) AS vx FROM (
+  SELECT a.area, a.i, b.i AS xj, b.load AS yj, b.rob * pow(1 - pow(abs(b.i - a.i) / greatest(a.i - a.lo, a.lo + a.k - 1 - a.i)::DOUBLE, 3), 3) AS w
+  FROM (SELECT *, greatest(1, least(i - k // 2, n - k + 1)) AS lo FROM {src}) a JOIN {src} b ON b.area = a.area AND b.i BETWEEN a.lo AND a.lo + a.k - 1) GROUP BY ALL)"""
+ROBUST = """SELECT area, ts, load, i, n, k, CASE WHEN mad = 0 THEN 1.0 ELSE pow(1 - pow(least(r / (6 * mad), 1), 2), 2) END::DOUBLE AS rob FROM (
+ SELECT p.*, abs(load - s) AS r FROM {src} p JOIN {fit} USING (area, i)) JOIN (SELECT area, quantile_cont(abs(load - s), 0.5) AS mad FROM {src} JOIN {fit} USING (area, i) GROUP BY 1) USING (area)"""
+define("pos", "filled", f"SELECT *, greatest(3, ceil(0.1 * n))::BIGINT AS k, 1.0::DOUBLE AS rob FROM (SELECT *, row_number() OVER ({P}) AS i, count(*) OVER (PARTITION BY area) AS n FROM filled)")
+define("fit1", "pos", LOESS.format(src="pos"))
+define("pos2", "pos fit1", ROBUST.format(src="pos", fit="fit1"))
+define("fit2", "pos2", LOESS.format(src="pos2"))
+define("pos3", "pos2 fit2", ROBUST.format(src="pos2", fit="fit2"))
+define("fit3", "pos3", LOESS.format(src="pos3"))
+query("w09_loess", "SELECT area, ts, load, s AS load_smooth, load - s AS load_residual FROM pos JOIN fit3 USING (area, i)", use="pos fit3", rd="load load_smooth load_residual", digits=5)(
+    lambda s, r: X.loess(tb.filled(s, r)))
+query("w09_loess_single", "SELECT area, ts, load, s AS load_smooth, load - s AS load_residual FROM pos JOIN fit1 USING (area, i)", use="pos fit1", rd="load load_smooth load_residual", digits=5)(
+    lambda s, r: X.loess(tb.filled(s, r), iterations=1))
+query("w09_loess_robust")(lambda s, r: X.loess(tb.filled(s, r), degree=2))
 query("w10_wavelet_haar", f"""SELECT area, ts, load, (x0 + x1) / 2 AS load_approx, CASE WHEN i % 2 = 0 THEN (x0 - x1) / 2 ELSE (x1 - x0) / 2 END AS load_detail_1 FROM (
  SELECT area, ts, load, i, CASE WHEN i % 2 = 0 THEN load ELSE lag(load) OVER w END AS x0, CASE WHEN i % 2 = 1 THEN load ELSE coalesce(lead(load) OVER w, load) END AS x1 FROM (SELECT *, row_number() OVER ({P}) - 1 AS i FROM filled) WINDOW w AS ({P}))""", use="filled", rd="load load_approx load_detail_1")(
     lambda s, r: X.wavelet(tb.filled(s, r), wavelet="haar", level=1))

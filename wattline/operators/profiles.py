@@ -1,7 +1,6 @@
 """Daily profiles and daily-mean models.
 
-A series has one row per day (or per day and period), so a series sorted into an array is
-bounded by the calendar: 366 entries a year.
+Exponential smoothing composes blocks of a series (``smoothing.py``).
 """
 
 from __future__ import annotations
@@ -18,6 +17,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 from wattline.functions.ordered import bounded, quantiles
 from wattline.operators.impute import daily_mean
 from wattline.operators.joins import attach_daily
+from wattline.operators.smoothing import holt_winters
 from wattline.operators.timeparts import period_features, period_of_day
 
 Z = {50: 0.674, 80: 1.282, 90: 1.645, 95: 1.96, 99: 2.576}
@@ -84,48 +84,6 @@ def fit_daily_ar(daily: DataFrame, by: Sequence[str] = ("area",), horizons: Sequ
 
 
 # --- exponential smoothing ----------------------------------------------------------
-GRID = [(a, b, g) for a in (0.1, 0.3, 0.6) for b in (0.01, 0.1) for g in (0.05, 0.2, 0.4)]
-
-
-def holt_winters(df: DataFrame, by: Sequence[str], t: str = "ts", c: str = "load", season: int = 7, allow_multiplicative: bool = False) -> DataFrame:
-    """Trend + season smoothing; the grid point with the least squared error per series.
-
-    With ``allow_multiplicative`` a series of positive values uses a multiplicative season.
-    """
-    cells = F.array_sort(F.collect_list(F.struct(F.col(t).alias("t"), F.col(c).cast("double").alias("v"))))
-    arr = df.where(F.col(c).isNotNull()).groupBy(*by).agg(cells.alias("__c"), F.min(c).alias("__min"))
-    arr = arr.withColumn("__x", F.col("__c").getField("v")).where(F.size("__x") >= 2 * season)
-    mean = lambda a: F.aggregate(a, F.lit(0.0), lambda s, v: s + v) / season
-    arr = arr.withColumns({
-        "__l0": mean(F.slice("__x", 1, season)), "__b0": (mean(F.slice("__x", season + 1, season)) - mean(F.slice("__x", 1, season))) / season,
-        "__mul": (F.lit(allow_multiplicative) & (F.col("__min") > 0)),
-    })
-    s0 = F.transform(F.slice("__x", 1, season), lambda v: F.when(F.col("__mul"), v / F.col("__l0")).otherwise(v - F.col("__l0")))
-    grid = F.explode(F.array(*[F.struct(F.lit(a).alias("alpha"), F.lit(b).alias("beta"), F.lit(g).alias("gamma")) for a, b, g in GRID]))
-    arr = arr.withColumn("__s0", s0).withColumn("__g", grid)
-    a, b, g, mul = F.col("__g.alpha"), F.col("__g.beta"), F.col("__g.gamma"), F.col("__mul")
-    start = F.struct(F.col("__l0").alias("l"), F.col("__b0").alias("b"), F.col("__s0").alias("s"), F.lit(0.0).alias("sse"), F.lit(0).alias("i"))
-
-    def step(st, x):
-        k = st["i"] % season
-        s = F.get(st["s"], k)
-        fc = F.when(mul, (st["l"] + st["b"]) * s).otherwise(st["l"] + st["b"] + s)
-        base = F.when(mul, x / s).otherwise(x - s)
-        lv = a * base + (1 - a) * (st["l"] + st["b"])
-        tr = b * (lv - st["l"]) + (1 - b) * st["b"]
-        ns = g * F.when(mul, x / lv).otherwise(x - lv) + (1 - g) * s
-        return F.struct(lv.alias("l"), tr.alias("b"), F.transform(st["s"], lambda v, j: F.when(j == k, ns).otherwise(v)).alias("s"),
-                        (st["sse"] + (x - fc) * (x - fc)).alias("sse"), (st["i"] + 1).alias("i"))
-
-    arr = arr.withColumn("__st", F.aggregate(F.slice("__x", F.lit(season + 1), F.size("__x")), start, step))
-    pick = F.struct("__st", "__g", F.size("__x").alias("n"), F.element_at("__c", -1)["t"].alias("origin"), "__mul")
-    best = arr.groupBy(*by).agg(F.min_by(pick, F.struct(F.col("__st.sse"), F.col("__g"))).alias("m"))
-    return best.select(
-        *by, "m.origin", "m.n", F.col("m.__g.alpha").alias("alpha"), F.col("m.__g.beta").alias("beta"), F.col("m.__g.gamma").alias("gamma"),
-        F.col("m.__st.l").alias("level"), F.col("m.__st.b").alias("trend"), F.col("m.__st.s").alias("season"), F.col("m.__st.sse").alias("sse"),
-        F.col("m.__st.i").alias("steps"), F.col("m.__mul").alias("multiplicative"))
-
-
 def hw_forecast(m: DataFrame, horizons: Sequence[int] = (1, 2, 3), season: int = 7) -> DataFrame:
     x = m.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons])))
     s = F.get("season", (F.col("steps") + F.col("horizon") - 1) % season)

@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -308,23 +309,21 @@ def keep_identified(docs: DataFrame, sample: dict[str, str], text_col: str = "te
     """The rows of ``docs``, all columns, whose text has a language (is not ``und``), with that language in ``lang_col``.
 
     With an empty sample no text has one; then only null texts and texts without a letter go, and
-    the column keeps what it says. Rows pass through in slices of bounded bytes.
+    the column keeps what it says.
     """
     key = name_of(sample)
     shared = docs.sparkSession.sparkContext.broadcast(sample)
 
-    def run(batches):
+    @F.arrow_udf("string")
+    def language_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for b in batches:
-            for s in slices(b, text_col):
-                model, texts = model_of(key, shared.value), s.column(text_col).to_pylist()
-                if model.langs:
-                    found = model.predict(texts)[0]
-                    keep = [x != UNKNOWN for x in found]
-                    at = s.schema.get_field_index(lang_col)
-                    if at >= 0:
-                        s = s.set_column(at, s.schema.field(at), pa.array(found).cast(s.schema.field(at).type))
-                else:
-                    keep = [bool(t) and bool(model.encode(t).any()) for t in texts]
-                yield s.filter(pa.array(keep, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+            found = []
+            for s in slices(pa.record_batch([b], names=["text"]), "text"):
+                model, texts = model_of(key, shared.value), s.column("text").to_pylist()
+                found += model.predict(texts)[0] if model.langs else ["" if t and model.encode(t).any() else UNKNOWN for t in texts]
+            yield pa.array(found, pa.string())
+
+    # only texts go to Python and only languages come back; not deterministic, so that it is worked out once
+    named = docs.select(F.struct("*").alias("row"), language_of.asNondeterministic()(F.col(text_col).cast("string")).alias("found"))
+    new = F.when(F.col("found") != "", F.col("found")).otherwise(F.col("row")[lang_col]).cast(type_of(docs, lang_col)) if lang_col in docs.columns else None
+    return named.where(F.col("found") != UNKNOWN).select(*[(new if c == lang_col else F.col("row")[c]).alias(c) for c in docs.columns])

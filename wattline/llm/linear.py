@@ -7,7 +7,7 @@ whatever it was learned from.
 
 Bound of the sample: ``per_class`` labelled rows of each class, in order of a hash of the id; of a
 text of more than ``doc_chars`` characters, that many from pieces spread over all of it. Rows are counted per
-range of hashes first, so only the ranges that hold the sample reach the task of a class. Every text, of any
+range of hashes first, so only the ranges that hold the sample are sorted. Every text, of any
 length, is scored whole; a long one is read in parts, with the n-grams across their seams.
 
 Ids with a null or an unclear label (both values) teach nothing. If a class has no row, every
@@ -21,7 +21,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.ordered import stable
@@ -83,7 +83,7 @@ def ratios(rows: list[np.ndarray], positive: np.ndarray) -> np.ndarray:
     return np.log(share(positive) / share(~positive))
 
 
-HASH_BITS = 16  # ranges of hashes that are counted
+HASH_BITS = 14  # ranges of hashes that are counted
 
 
 def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, per_class: int, doc_chars: int, id_col: str, text_col: str) -> DataFrame:
@@ -94,12 +94,17 @@ def sample(docs: DataFrame, labels: DataFrame, label_col: str, learn: Column, pe
     )
     rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     held = stable(known.join(rows.select("id"), "id", "left_semi").withColumn("range", F.shiftright(F.xxhash64("id"), 64 - HASH_BITS)))
-    order = Window.partitionBy("label").orderBy("range")  # at most 2 ** HASH_BITS rows
-    ranges = held.groupBy("label", "range").agg(F.count(F.lit(1)).alias("n"))
-    ranges = ranges.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).where(F.col("before") < per_class)
-    some = held.join(ranges.select("label", "range"), ["label", "range"], "left_semi")
-    first = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id")
-    chosen = stable(some.withColumn("n", F.row_number().over(first)).where(F.col("n") <= per_class).select("id", "label"))
+    counts = {0: [], 1: []}
+    for r in held.groupBy("label", "range").agg(F.count(F.lit(1)).alias("n")).collect():  # at most 2 ** (HASH_BITS + 1) rows
+        counts[r["label"]].append((r["range"], r["n"]))
+    parts = []
+    for label, found in counts.items():
+        total, last = 0, -(1 << HASH_BITS)
+        for at, n in sorted(found):
+            if total < per_class:
+                total, last = total + n, at
+        parts.append(held.where((F.col("label") == label) & (F.col("range") <= last)).orderBy(F.xxhash64("id"), "id").limit(per_class))
+    chosen = stable(parts[0].unionByName(parts[1]).select("id", "label"))
     return rows.join(chosen, "id").groupBy("id", "label").agg(F.min(spread("text", doc_chars)).alias("text"))
 
 

@@ -8,6 +8,7 @@ from math import gcd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattline.functions.ordered import bounded, running, stable
 from wattline.operators.metrics import metric_aggs
 from wattline.operators.timeparts import period_of_day
 
@@ -65,6 +66,48 @@ def backtest(df: DataFrame, windows: DataFrame, step: int, train_days: int, by:
     return long.where("y is not null and yhat is not null").groupBy("window_id", *by, "horizon", "model").agg(*metric_aggs())
 
 
+def week_lag(lead: int) -> int:
+    """Days from a target back to the same weekday, not after the origin ``lead`` days before it."""
+    return 7 * -(-lead // 7)
+
+
+def backtest_fitted(df: DataFrame, windows: DataFrame, max_horizon: int = 8, by: Sequence[str] = ("area",), t: str = "ts", c: str = "load", ridge: float = 1.0, step: int = 1440) -> DataFrame:
+    """A ridge model per window, group and horizon on daily data: the last value before the window's end and the value of the
+    same weekday, trained on the targets inside the window. (window_id, by, horizon, n, y, yhat, abs_error).
+
+    Products of the regressors are added up along each series once. A window's normal equations are the
+    difference of the sums at its two ends, two joins on equal keys, however many windows there are.
+    """
+    from wattline.operators.profiles import _solve
+
+    by = list(by)
+    leads = range(1, max_horizon + 2)
+    far = max(week_lag(h) for h in leads)
+
+    def make(w):
+        out = {f"__l{h}": F.lag(c, h).over(w) for h in leads}
+        return out | {f"__w{d}": F.lag(c, d).over(w) for d in {week_lag(h) for h in leads}}
+
+    x = bounded(df.select(*by, t, F.col(c).cast("double").alias(c)), by, t, make, back=far, step=step)
+    cells = F.array(*[F.struct(F.lit(h - 1).alias("horizon"), F.col(f"__l{h}").alias("last"), F.col(f"__w{week_lag(h)}").alias("week")) for h in leads])
+    rows = stable(x.select(*by, F.col(t).alias("__t"), F.to_date(t).alias("__day"), F.col(c).alias("y"), F.explode(cells).alias("z")).select(*by, "__t", "__day", "y", "z.*"))
+    cols = [F.lit(1.0), F.col("last"), F.col("week"), F.col("y")]
+    known = F.col("last").isNotNull() & F.col("week").isNotNull() & F.col("y").isNotNull()
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    sums = {f"g{i}{j}": ("sum", F.when(known, cols[i] * cols[j]).otherwise(0.0)) for i, j in pairs}
+    gram = stable(running(rows, [*by, "horizon"], "__t", sums).select(*by, "horizon", "__day", *sums))
+    ends = windows.select("window_id", F.date_sub("train_end", 1).alias("__day"), F.date_sub("train_start", 1).alias("__before"), "train_end")
+    late = gram.join(ends, "__day").drop("__day")
+    early = gram.select(*by, "horizon", F.col("__day").alias("__before"), *[F.col(g).alias(f"b{g}") for g in sums])
+    both = late.join(early, [*by, "horizon", "__before"], "left")  # no row before the first day: sums start at 0
+    flat = F.array(*[F.col(g) - F.coalesce(f"b{g}", F.lit(0.0)) for g in sums])
+    fitted = both.select("window_id", *by, "horizon", F.date_add("train_end", F.col("horizon")).alias("__day"), flat.alias("flat")).where(F.get("flat", F.lit(0)) > 3)
+    fitted = fitted.select("window_id", *by, "horizon", "__day", F.get("flat", F.lit(0)).cast("long").alias("n"), _solve("flat", F.lit(float(ridge))).alias("coef"))
+    test = rows.where(known).select(*by, "horizon", "__day", "y", "last", "week").join(fitted, [*by, "horizon", "__day"])
+    yhat = F.get("coef", F.lit(0)) + F.get("coef", F.lit(1)) * F.col("last") + F.get("coef", F.lit(2)) * F.col("week")
+    return test.select("window_id", *by, "horizon", "n", "y", yhat.alias("yhat"), F.abs(F.col("y") - yhat).alias("abs_error"))
+
+
 def backtest_summary(m: DataFrame, by: str = "area", metrics: Sequence[str] = SUMMARY) -> DataFrame:
     """mean, std, min, max over windows: overall, by horizon and by group in one pass."""
     aggs = [F.count(F.lit(1)).alias("n")]

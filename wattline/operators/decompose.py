@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from math import comb
 
@@ -10,9 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattline.functions.ordered import BLOCK_ROWS, bounded, positions, quantiles, stable
+from wattline.functions.ordered import BLOCK_ROWS, bounded, positions, quantiles, seconds, stable
 
 BY = ("area",)
+YEARLY = {"yearly": (365.25, 3)}  # days, waves
+EPOCH_DAYS = 10_000  # origin of the trend, which keeps its numbers small
 
 # Orthonormal low-pass taps; the high-pass is the quadrature mirror.
 TAPS = {
@@ -236,11 +239,39 @@ def decompose(df: DataFrame, c: str = "load", period: int = 48, by: Sequence[str
     return out.withColumn("residual", F.col(c) - F.col("trend") - F.col(name)).drop("__rn", "__ph", "__d")
 
 
+def harmonic_season(df: DataFrame, c: str, days: float, k: int, by: Sequence[str] = BY, t: str = "ts", name: str = "seasonal", ridge: float = 0.0) -> DataFrame:
+    """Season of a period of ``days`` that a series may hold only once or twice: ``k`` harmonics, fitted together with
+    a level and a straight trend, so that the season takes nothing of either.
+
+    The normal equations are sums per group, one aggregate; no phase needs a second sight of the
+    period. The season is centred on its mean over the series. A group that spans less than one period has none (0).
+    """
+    from wattline.operators.profiles import least_squares
+
+    by = list(by)
+    at = seconds(t) / 86400.0
+    waves = {f"__{f}{j}": (F.cos if f == "c" else F.sin)(2 * math.pi * j / days * at) for j in range(1, k + 1) for f in "cs"}
+    x = df.withColumns({**waves, "__slope": (at - EPOCH_DAYS) / days})
+    names = [*waves, "__slope"]
+    coef = least_squares(x, by, names, c, ridge).select(*by, "coef")
+    spans = x.where(F.col(c).isNotNull()).groupBy(*by).agg((F.max("__slope") - F.min("__slope")).alias("__span"), *[F.avg(w).alias(f"{w}m") for w in waves])
+    season = sum((F.get("coef", F.lit(i + 1)) * (F.col(w) - F.col(f"{w}m")) for i, w in enumerate(waves)), F.lit(0.0))
+    fitted = x.join(coef.join(spans, by), by, "left").withColumn(name, F.when(F.col("__span") >= 1, season).otherwise(F.lit(0.0)))
+    return fitted.drop(*names, *[f"{w}m" for w in waves], "coef", "__span")
+
+
 def decompose_multi(df: DataFrame, c: str = "load", periods: Mapping[str, int] | None = None, by: Sequence[str] = BY,
-                    t: str = "ts", step: int | None = None) -> DataFrame:
-    """Shortest period first, the next one from what is left."""
+                    t: str = "ts", step: int | None = None, harmonics: Mapping[str, tuple[float, int]] | None = None) -> DataFrame:
+    """Shortest period first, the next one from what is left.
+
+    ``periods`` (rows) are seasons of phase means, which need many periods; ``harmonics`` (days, number of
+    waves) are seasons by regression, taken out first: a yearly one by default, where a series spans a year.
+    """
     periods = periods or {"daily": 48, "weekly": 336}
     out = df.withColumn("__x", F.col(c))
+    for name, (days, k) in (YEARLY if harmonics is None else harmonics).items():
+        out = harmonic_season(out, "__x", days, k, by, t, f"seasonal_{name}")
+        out = out.withColumn("__x", F.col("__x") - F.col(f"seasonal_{name}"))
     for name, p in sorted(periods.items(), key=lambda kv: kv[1]):
         out = out.drop("trend", "residual")
         out = decompose(out, "__x", p, by, t, name=f"seasonal_{name}", step=step)

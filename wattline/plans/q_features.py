@@ -1,5 +1,7 @@
 """Window features, decomposition, importance."""
 
+import math
+
 from pyspark.sql import functions as F
 
 from wattline.operators import decompose as X
@@ -68,7 +70,7 @@ TREND = f"""(sum({{c}}) OVER f - coalesce(lag({{c}}, {{h}}) OVER w, 0) / 2 - coa
 
 
 def _dec(src, c, p):
-    tr = TREND.format(c=c, h=p // 2)
+    tr = f"avg({c}) OVER f AS trend" if p % 2 else TREND.format(c=c, h=p // 2)
     return f"""SELECT a.* EXCLUDE (rn), m.s - n.c AS seasonal, a.{c} - a.trend - (m.s - n.c) AS residual FROM (
  SELECT *, {tr}, row_number() OVER w AS rn FROM {src} WINDOW w AS ({P}), f AS ({P} ROWS BETWEEN {p // 2} PRECEDING AND {p // 2} FOLLOWING)) a
  JOIN (SELECT area, (rn - 1) % {p} AS ph, avg({c} - trend) AS s FROM (SELECT *, {tr}, row_number() OVER w AS rn FROM {src} WINDOW w AS ({P}), f AS ({P} ROWS BETWEEN {p // 2} PRECEDING AND {p // 2} FOLLOWING)) GROUP BY 1, 2) m ON m.area = a.area AND m.ph = (a.rn - 1) % {p}
@@ -81,8 +83,35 @@ query("w11_decompose_robust")(lambda s, r: X.decompose(tb.filled(s, r), robust=T
 define("dec1", "dec", "SELECT area, ts, load, seasonal AS seasonal_daily, load - seasonal AS x FROM dec")
 define("dec2", "dec1", _dec("dec1", "x", 336))
 define("multi", "dec2", "SELECT area, ts, load, seasonal_daily, seasonal AS seasonal_weekly, trend, x - seasonal - trend AS residual FROM dec2")
-MULTI = lambda s, r: X.decompose_multi(tb.filled(s, r), step=30)
+MULTI = lambda s, r: X.decompose_multi(tb.filled(s, r), step=30, harmonics={})
 query("w12_decompose_multi", "SELECT * FROM multi", use="multi", rd="load seasonal_daily seasonal_weekly trend residual")(MULTI)
+
+
+def _yearly_sql(k: int) -> str:
+    """Regression on waves and a trend, one column at a time: each later column gives up what it shares with an earlier one."""
+    cols = [f"{f}{j}" for j in range(1, k + 1) for f in ("co", "si")]
+    at = "(epoch(ts) / 86400.0)::DOUBLE"
+    start = ", ".join(f"{'cos' if c[:2] == 'co' else 'sin'}({2 * math.pi} * {c[2:]} / 365.25 * {at}) AS {c}" for c in cols)
+    names = [*cols, "tr", "r"]
+    mean = lambda c: f"{c} - avg({c}) OVER (PARTITION BY area) AS {c}"
+    sql = f"SELECT area, ts, load, tr AS x, {', '.join(mean(c) for c in names)} FROM (SELECT area, ts, load, load AS r, ({at} - 10000) / 365.25 AS tr, {start} FROM dfilled)"
+    for i, q in enumerate(names[:-1]):
+        less = ", ".join(f"{c} - {q} * sum({c} * {q}) OVER (PARTITION BY area) / sum({q} * {q}) OVER (PARTITION BY area) AS {c}" for c in names[i + 1:])
+        slope = f", sum(r * {q}) OVER (PARTITION BY area) / sum({q} * {q}) OVER (PARTITION BY area) AS slope" if q == "tr" else ""
+        sql = f"SELECT area, ts, load, x, {less}{slope} FROM ({sql})"
+    return f"SELECT area, ts, load, load - avg(load) OVER (PARTITION BY area) - r - slope * (x - avg(x) OVER (PARTITION BY area)) AS seasonal_yearly FROM ({sql})"
+
+
+define("yearly", "dfilled", _yearly_sql(3))
+define("yx", "yearly", "SELECT area, ts, load, seasonal_yearly, load - seasonal_yearly AS x FROM yearly")
+define("ydec", "yx", _dec("yx", "x", 7))
+YEAR = lambda s, r: X.decompose_multi(tb.daily_filled(s, r), periods={"weekly": 7}, step=tb.DAY)
+query("w12_decompose_yearly", "SELECT area, ts, load, seasonal_yearly, seasonal AS seasonal_weekly, trend, residual FROM ydec", use="ydec", rd="load seasonal_yearly seasonal_weekly trend residual", digits=4)(YEAR)
+query("w13_yearly_features", f"""SELECT area, ts, load, seasonal_yearly, seasonal_weekly, trend, residual, lag(seasonal_weekly) OVER w AS seasonal_weekly_lag_1, seasonal_weekly - lag(seasonal_weekly, 7) OVER w AS seasonal_weekly_diff,
+ lag(seasonal_yearly) OVER w AS seasonal_yearly_lag_1, seasonal_yearly - lag(seasonal_yearly, 365) OVER w AS seasonal_yearly_diff, seasonal_weekly + seasonal_yearly + residual AS detrended, trend + residual AS deseasonalized
+ FROM (SELECT *, seasonal AS seasonal_weekly FROM ydec) WINDOW w AS ({P})""", use="ydec", digits=4,
+      rd="load seasonal_yearly seasonal_weekly trend residual seasonal_weekly_lag_1 seasonal_weekly_diff seasonal_yearly_lag_1 seasonal_yearly_diff detrended deseasonalized")(
+    lambda s, r: X.component_features(YEAR(s, r), {"weekly": 7, "yearly": 365}, step=tb.DAY))
 query("w13_component_features", f"""SELECT *, lag(seasonal_daily) OVER w AS seasonal_daily_lag_1, seasonal_daily - lag(seasonal_daily, 48) OVER w AS seasonal_daily_diff, lag(seasonal_weekly) OVER w AS seasonal_weekly_lag_1, seasonal_weekly - lag(seasonal_weekly, 336) OVER w AS seasonal_weekly_diff,
  seasonal_daily + seasonal_weekly + residual AS detrended, trend + residual AS deseasonalized FROM multi WINDOW w AS ({P})""", use="multi",
       rd="load seasonal_daily seasonal_weekly trend residual seasonal_daily_lag_1 seasonal_daily_diff seasonal_weekly_lag_1 seasonal_weekly_diff detrended deseasonalized")(

@@ -243,6 +243,14 @@ query("t02_walk_forward", """SELECT period_id, train_start, train_end, test_star
     .join(B.walk_forward(s, "1995-01-01", "2001-07-01", 60, 365).withColumn("d", F.explode(F.sequence("test_start", "test_end"))), "d")
     .groupBy("period_id", "train_start", "train_end", "test_start", "test_end").agg(F.sum("c").alias("n")))
 query("t03_backtest", "SELECT * FROM bt", use="bt", rd=RD)(BT)
+BTX = " UNION ALL ".join(f"SELECT area, ts::DATE AS day, {h - 1} AS horizon, load AS y, lag(load, {h}) OVER w AS last, lag(load, {B.week_lag(h)}) OVER w AS week FROM dfilled WINDOW w AS (PARTITION BY area ORDER BY ts)" for h in range(1, 10))
+define("btx", "dfilled", f"SELECT * FROM ({BTX}) WHERE last IS NOT NULL AND week IS NOT NULL")
+query("t03_backtest_fitted", """SELECT f.window_id, f.area, f.horizon, f.n, t.y, f.my + f.b1 * (t.last - f.ml) + f.b2 * (t.week - f.mw) AS yhat, abs(t.y - (f.my + f.b1 * (t.last - f.ml) + f.b2 * (t.week - f.mw))) AS abs_error FROM (
+ SELECT *, (sly * (sww + 1) - swy * slw) / ((sll + 1) * (sww + 1) - slw * slw) AS b1, (swy * (sll + 1) - sly * slw) / ((sll + 1) * (sww + 1) - slw * slw) AS b2 FROM (
+  SELECT window_id, train_end, area, horizon, count(*) AS n, avg(y) AS my, avg(last) AS ml, avg(week) AS mw, covar_pop(y, last) * count(*) AS sly, covar_pop(y, week) * count(*) AS swy, covar_pop(last, week) * count(*) AS slw,
+   var_pop(last) * count(*) AS sll, var_pop(week) * count(*) AS sww FROM win JOIN btx ON day >= train_start AND day < train_end GROUP BY 1, 2, 3, 4) WHERE n > 3) f
+ JOIN btx t ON t.area = f.area AND t.horizon = f.horizon AND t.day = f.train_end + f.horizon""", use="win btx", rd="y yhat abs_error", digits=3)(
+    lambda s, r: B.backtest_fitted(tb.daily_filled(s, r), WIN(s), 8))
 T4 = ", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_std, min({c}) AS {c}_min, max({c}) AS {c}_max" for c in B.SUMMARY)
 query("t04_backtest_summary", f"SELECT model, horizon, area, count(*) AS n, {T4}, CASE WHEN horizon IS NOT NULL THEN 'horizon' WHEN area IS NOT NULL THEN 'area' ELSE 'overall' END AS scope FROM bt GROUP BY GROUPING SETS ((model), (model, horizon), (model, area))", use="bt",
       rd=" ".join(f"{c}_{x}" for c in B.SUMMARY for x in ("mean", "std", "min", "max")))(lambda s, r: B.backtest_summary(BT(s, r)))

@@ -18,6 +18,7 @@ from wattline.plans.q_quality import KNOWN
 from wattline.sources import tables as tb
 from wattline.sources.readers import scratch
 from wattline.streaming import feeds as X
+from wattline.streaming import keyed as K
 
 query("k01_time_folds", """SELECT area, ts, load, greatest(b, 1) + k.k AS fold, CASE WHEN b = greatest(b, 1) + k.k THEN 'test' ELSE 'train' END AS role FROM (SELECT *, least(floor((rn - 1) / greatest(floor(n / 4.0::DOUBLE), 1)), 3)::INTEGER AS b FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY ts) AS rn, count(*) OVER (PARTITION BY area) AS n FROM series)), (SELECT unnest([0, 1, 2])::INTEGER AS k) k WHERE greatest(b, 1) + k.k <= 3""", use="series", rd="load")(
     lambda s, r: fold_rows(tb.series(s, r), 3))
@@ -187,6 +188,32 @@ query("k02_train_gbt_pooled")(lambda s, r: (lambda m: s.createDataFrame([(f, flo
     T.train_gbt(TR(s, r), COLS, "target")))
 
 
+DRIFT = """SELECT a.area, page_hinkley, max_cusum FROM (
+ SELECT area, max(u - m) AS page_hinkley FROM (SELECT area, u, min(u) OVER (PARTITION BY area ORDER BY ts, event_id) AS m FROM (
+  SELECT area, ts, event_id, sum(value - mean - 0.005) OVER (PARTITION BY area ORDER BY ts, event_id) AS u FROM (
+   SELECT event_type AS area, ts, event_id, value, avg(value) OVER (PARTITION BY event_type ORDER BY ts, event_id) AS mean FROM {src}))) GROUP BY 1) a
+ JOIN (SELECT area, max(greatest(cp - least(0, mp), cn - least(0, mn), 0)) AS max_cusum FROM (SELECT *, min(cp) OVER w AS mp, min(cn) OVER w AS mn FROM (
+  SELECT event_type AS area, ts, event_id, sum(value - 50 - 25) OVER w AS cp, sum(50 - value - 25) OVER w AS cn FROM {src} WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id))
+  WINDOW w AS (PARTITION BY area ORDER BY ts, event_id)) GROUP BY 1) b USING (area)"""
+PASSED = "(SELECT * FROM events WHERE time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR)"
+
+
+@query("x07_stream_drift_keyed", DRIFT.format(src=PASSED), rd="page_hinkley max_cusum")
+def x07_keyed(s, r):
+    """Hours that the watermark has passed; state variables and timers."""
+    hourly = K.run_keyed(K.keyed_drift(X.event_stream(s, r).select(F.col("event_type").alias("area"), "ts", F.col("event_id").alias("id"), "value"), 50.0, 50.0))
+    return hourly.groupBy("area").agg(F.max_by(F.struct("page_hinkley", "max_cusum"), "hour").alias("l")).select("area", "l.*")
+
+
+@query("x04_stream_correction_keyed", "SELECT area, period, factor, n FROM cfac7", use="cfac7", rd="factor")
+def x04_keyed(s, r):
+    src = scratch(s, "obs")
+    OBS(s, r).where("model = 'ma' and horizon = 1").select("area", F.col("ts").cast("timestamp").alias("ts"), "observed", "predicted").write.parquet(src)
+    made = K.run_keyed(K.keyed_correction(s.readStream.schema("area string, ts timestamp, observed double, predicted double").parquet(src)))
+    newest = made.groupBy("area").agg(F.max("asof").alias("asof"))
+    return made.join(newest, ["area", "asof"]).select("area", F.col("period").cast("bigint").alias("period"), "factor", "n")
+
+
 @query("k04_train_rf")
 def k04(s, r):
     models = T.train_rf(TR(s, r).drop("target"), "load", COLS, [1, 7], 1, tb.DAY)

@@ -37,24 +37,55 @@ query("e05_metrics_cube", " UNION ALL ".join(f"SELECT model, '{k}' AS kind, {LAB
     lambda s, r: M.metrics_cube(SC(s, r), by=["model"]))
 query("e06_bootstrap_ci")(lambda s, r: M.bootstrap_ci(SC(s, r), ["model"], ["area", "ts", "horizon"], n=200))
 
+
+
+# Tail probabilities by Simpson's rule over the densities, independent of the closed forms the operators use.
+def _simpson(f, start: str, span: float, n: int) -> str:
+    h = f"{span / n!r}::DOUBLE"
+    weight = f"(CASE WHEN i = 0 OR i = {n} THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END)"
+    return f"list_sum(list_transform(range(0, {n + 1}), lambda i: {weight} * {f(f'({start} + i * {h})')})) * {h} / 3"
+
+
+def _p_t(t: str, df: str) -> str:
+    scale = f"exp(lgamma(({df} + 1) / 2.0::DOUBLE) - lgamma({df} / 2.0::DOUBLE)) / sqrt({df} * pi())"
+    return f"2 * {scale} * {_simpson(lambda u: f'pow(1 + {u} * {u} / {df}, -({df} + 1) / 2.0::DOUBLE)', f'abs({t})', 60.0, 6000)}"
+
+
+def _p_normal(z: str) -> str:
+    return f"2 / sqrt(2 * pi()) * {_simpson(lambda u: f'exp(-{u} * {u} / 2)', f'abs({z})', 40.0, 4000)}"
+
+
+def _p_chi2(x: str, k: str) -> str:
+    return f"exp(-lgamma({k} / 2.0::DOUBLE) - {k} / 2.0::DOUBLE * ln(2)) * {_simpson(lambda u: f'pow({u}, {k} / 2.0::DOUBLE - 1) * exp(-{u} / 2)', x, 200.0, 8000)}"
+
+
+def _p_f(x: str, d1: str, d2: str) -> str:
+    scale = f"exp(lgamma(({d1} + {d2}) / 2.0::DOUBLE) - lgamma({d1} / 2.0::DOUBLE) - lgamma({d2} / 2.0::DOUBLE)) * pow({d1} / ({d2})::DOUBLE, {d1} / 2.0::DOUBLE)"
+    return f"{scale} * {_simpson(lambda u: f'pow({u}, {d1} / 2.0::DOUBLE - 1) * pow(1 + {d1} * {u} / ({d2})::DOUBLE, -({d1} + {d2}) / 2.0::DOUBLE)', x, 60.0, 6000)}"
+
+
+def with_p(sql: str, p: str) -> str:
+    return f"SELECT *, {p} AS p_value FROM ({sql})"
+
+
 PAIR = """SELECT a.ts, a.area, a.horizon, a.model AS model_a, b.model AS model_b, a.yhat AS yhat_a, b.yhat AS yhat_b, a.y, abs(a.y - a.yhat) AS a, abs(a.y - b.yhat) AS b, abs(a.y - a.yhat) - abs(a.y - b.yhat) AS d
 FROM scored a JOIN scored b ON a.ts = b.ts AND a.area = b.area AND a.horizon = b.horizon AND a.model < b.model"""
 define("pairs", "scored", PAIR)
 PR = lambda s, r: C.pair_rows(SC(s, r), MODELS).withColumns({"a": F.abs(F.col("y") - F.col("yhat_a")), "b": F.abs(F.col("y") - F.col("yhat_b"))})
 PK = ["model_a", "model_b"]
-query("e07_paired_t", "SELECT model_a, model_b, count(*) AS n, avg(d) AS mean_diff, stddev_samp(d) AS std_diff, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, avg(d) / stddev_samp(d) AS effect_size FROM pairs GROUP BY 1, 2", use="pairs", rd="mean_diff std_diff t effect_size")(
-    lambda s, r: S.paired_t(PR(s, r), PK).drop("p_value"))
+query("e07_paired_t", with_p("SELECT model_a, model_b, count(*) AS n, avg(d) AS mean_diff, stddev_samp(d) AS std_diff, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, avg(d) / stddev_samp(d) AS effect_size FROM pairs GROUP BY 1, 2", _p_t("t", "(n - 1)")), use="pairs", rd="mean_diff std_diff t effect_size p_value")(
+    lambda s, r: S.paired_t(PR(s, r), PK))
 define("wil", "pairs", """SELECT model_a, model_b, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(tie_c) AS tie FROM (
  SELECT model_a, model_b, d, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0::DOUBLE AS rk,
  pow(count(*) OVER (PARTITION BY model_a, model_b, abs(d)), 2) - 1 AS tie_c FROM pairs WHERE d <> 0) GROUP BY 1, 2""")
-query("e08_wilcoxon", "SELECT model_a, model_b, n, w_plus, least(w_plus, n * (n + 1) / 2.0::DOUBLE - w_plus) AS statistic, (least(w_plus, n * (n + 1) / 2.0::DOUBLE - w_plus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - tie / 48) AS z FROM wil", use="wil", rd="w_plus statistic z")(
-    lambda s, r: S.wilcoxon(PR(s, r), PK).drop("p_value"))
+query("e08_wilcoxon", with_p("SELECT model_a, model_b, n, w_plus, least(w_plus, n * (n + 1) / 2.0::DOUBLE - w_plus) AS statistic, (least(w_plus, n * (n + 1) / 2.0::DOUBLE - w_plus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - tie / 48) AS z FROM wil", _p_normal("z")), use="wil", rd="w_plus statistic z p_value")(
+    lambda s, r: S.wilcoxon(PR(s, r), PK))
 LI = lambda s, r: tb.load(s, r, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber")
 ISA = lambda: F.col("l_linestatus") == "O"
-query("e09_two_sample_t", """SELECT l_returnflag, na AS n_a, nb AS n_b, ma AS mean_a, mb AS mean_b, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0::DOUBLE / na + 1.0::DOUBLE / nb)) AS statistic FROM (
+query("e09_two_sample_t", with_p("""SELECT l_returnflag, na AS n_a, nb AS n_b, ma AS mean_a, mb AS mean_b, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0::DOUBLE / na + 1.0::DOUBLE / nb)) AS statistic FROM (
  SELECT l_returnflag, count(*) FILTER (l_linestatus = 'O') AS na, count(*) FILTER (l_linestatus <> 'O') AS nb, avg(l_extendedprice) FILTER (l_linestatus = 'O') AS ma, avg(l_extendedprice) FILTER (l_linestatus <> 'O') AS mb,
- var_samp(l_extendedprice) FILTER (l_linestatus = 'O') AS va, var_samp(l_extendedprice) FILTER (l_linestatus <> 'O') AS vb FROM lineitem GROUP BY 1)""", rd="mean_a mean_b statistic")(
-    lambda s, r: S.two_sample(LI(s, r), ["l_returnflag"], "l_extendedprice", ISA()).drop("p_value"))
+ var_samp(l_extendedprice) FILTER (l_linestatus = 'O') AS va, var_samp(l_extendedprice) FILTER (l_linestatus <> 'O') AS vb FROM lineitem GROUP BY 1)""", _p_t("statistic", "(n_a + n_b - 2)")), rd="mean_a mean_b statistic p_value")(
+    lambda s, r: S.two_sample(LI(s, r), ["l_returnflag"], "l_extendedprice", ISA()))
 query("e09_mann_whitney", """SELECT l_returnflag, count(*) FILTER (a) AS n_a, count(*) FILTER (NOT a) AS n_b, sum(CASE WHEN a THEN rk ELSE 0 END) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0::DOUBLE AS statistic FROM (
  SELECT l_returnflag, l_linestatus = 'O' AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS rk FROM lineitem) GROUP BY 1""", rd="statistic")(
     lambda s, r: S.two_sample(LI(s, r), ["l_returnflag"], "l_quantity", ISA(), "mann_whitney").drop("p_value"))
@@ -67,16 +98,16 @@ query("e10_mean_ci", "SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mea
 ANOVA = """SELECT l_returnflag, count(*) AS groups, sum(n)::BIGINT AS n, ((sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS statistic FROM (
  SELECT l_returnflag, month(l_shipdate) AS g, count(*) AS n, avg({v}) AS m, var_pop({v}) * count(*) AS ss FROM {src} GROUP BY 1, 2) GROUP BY 1"""
 MON = lambda s, r: LI(s, r).withColumn("g", F.month("ts"))
-query("e11_anova", ANOVA.format(v="l_quantity", src="lineitem"), rd="statistic")(
-    lambda s, r: S.anova(MON(s, r), ["l_returnflag"], "g", "l_quantity").drop("p_value"))
-query("e12_kruskal", """SELECT l_returnflag, count(*) AS groups, max(nn) AS n, (12.0::DOUBLE / (max(nn) * (max(nn) + 1.0::DOUBLE)) * sum(r * r / c) - 3 * (max(nn) + 1)) / (1 - max(tie) / (pow(max(nn), 3) - max(nn))) AS statistic FROM (
+query("e11_anova", with_p(ANOVA.format(v="l_quantity", src="lineitem"), _p_f("statistic", "(groups - 1)", "(n - groups)")), rd="statistic p_value")(
+    lambda s, r: S.anova(MON(s, r), ["l_returnflag"], "g", "l_quantity"))
+query("e12_kruskal", with_p("""SELECT l_returnflag, count(*) AS groups, max(nn) AS n, (12.0::DOUBLE / (max(nn) * (max(nn) + 1.0::DOUBLE)) * sum(r * r / c) - 3 * (max(nn) + 1)) / (1 - max(tie) / (pow(max(nn), 3) - max(nn))) AS statistic FROM (
  SELECT l_returnflag, g, sum(rk) AS r, count(*) AS c, max(nn) AS nn, max(tie) AS tie FROM (
   SELECT *, sum(tc) OVER (PARTITION BY l_returnflag) AS tie FROM (
   SELECT l_returnflag, month(l_shipdate) AS g, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY l_returnflag) AS nn,
-   pow(count(*) OVER (PARTITION BY l_returnflag, l_quantity), 2) - 1 AS tc FROM lineitem)) GROUP BY 1, 2) GROUP BY 1""", rd="statistic")(
-    lambda s, r: S.kruskal(MON(s, r), ["l_returnflag"], "g", "l_quantity").drop("p_value"))
-query("e13_levene", "WITH z AS (SELECT l_returnflag, l_shipdate, abs(l_quantity - med) AS v FROM lineitem JOIN (SELECT l_returnflag, month(l_shipdate) AS g, median(l_quantity) AS med FROM lineitem GROUP BY 1, 2) USING (l_returnflag) WHERE g = month(l_shipdate)) " + ANOVA.format(v="v", src="z"), rd="statistic")(
-    lambda s, r: S.levene(MON(s, r), ["l_returnflag"], "g", "l_quantity").drop("p_value"))
+   pow(count(*) OVER (PARTITION BY l_returnflag, l_quantity), 2) - 1 AS tc FROM lineitem)) GROUP BY 1, 2) GROUP BY 1""", _p_chi2("statistic", "(groups - 1)")), rd="statistic p_value")(
+    lambda s, r: S.kruskal(MON(s, r), ["l_returnflag"], "g", "l_quantity"))
+query("e13_levene", with_p("WITH z AS (SELECT l_returnflag, l_shipdate, abs(l_quantity - med) AS v FROM lineitem JOIN (SELECT l_returnflag, month(l_shipdate) AS g, median(l_quantity) AS med FROM lineitem GROUP BY 1, 2) USING (l_returnflag) WHERE g = month(l_shipdate)) " + ANOVA.format(v="v", src="z"), _p_f("statistic", "(groups - 1)", "(n - groups)")), rd="statistic p_value")(
+    lambda s, r: S.levene(MON(s, r), ["l_returnflag"], "g", "l_quantity"))
 KS = """SELECT l_returnflag, max(abs(fa - fb)) AS {n} FROM (SELECT l_returnflag, {v}, sum(na) OVER w / sum(na) OVER t AS fa, sum(nb) OVER w / sum(nb) OVER t AS fb FROM (
  SELECT l_returnflag, {v}, count(*) FILTER ({a})::DOUBLE AS na, count(*) FILTER (NOT ({a}))::DOUBLE AS nb FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_returnflag ORDER BY {v}), t AS (PARTITION BY l_returnflag)) GROUP BY 1"""
 query("e14_ks_two_sample", KS.format(n="statistic", v="l_extendedprice", a="l_linestatus = 'O'"), rd="statistic")(
@@ -85,9 +116,9 @@ query("e15_normality")(lambda s, r: S.normality(LI(s, r), ["l_returnflag"], "l_e
 query("e15_jarque_bera", """SELECT l_returnflag, count(*) AS n, count(*) / 6.0::DOUBLE * (pow(m3 / pow(v, 1.5), 2) + pow(m4 / (v * v) - 3, 2) / 4) AS jb FROM (
  SELECT l_returnflag, avg(v) OVER p AS v, avg(pow(d, 3)) OVER p AS m3, avg(pow(d, 4)) OVER p AS m4 FROM (SELECT l_returnflag, l_extendedprice - avg(l_extendedprice) OVER p AS d, var_pop(l_extendedprice) OVER p AS v FROM lineitem WINDOW p AS (PARTITION BY l_returnflag)) WINDOW p AS (PARTITION BY l_returnflag)) GROUP BY l_returnflag, v, m3, m4""", rd="jb", digits=4)(
     lambda s, r: S.normality(LI(s, r), ["l_returnflag"], "l_extendedprice").select("l_returnflag", "n", "jb"))
-query("e16_diebold_mariano", """SELECT model_a, model_b, count(*) AS n, avg(d) AS mean_loss_diff, avg(d) / sqrt(greatest(var_samp(d) + 2 * (covar_samp(d, d1) + covar_samp(d, d2)), 1e-10) / count(*)) AS dm FROM (
- SELECT *, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM (SELECT model_a, model_b, ts, area, horizon, (y - yhat_a) * (y - yhat_a) - (y - yhat_b) * (y - yhat_b) AS d FROM pairs) WINDOW w AS (PARTITION BY model_a, model_b ORDER BY ts, area, horizon)) GROUP BY 1, 2""", use="pairs", rd="mean_loss_diff dm")(
-    lambda s, r: S.diebold_mariano(PR(s, r), PK, h=3, tie=["area", "horizon"]).drop("p_value"))
+query("e16_diebold_mariano", with_p("""SELECT model_a, model_b, count(*) AS n, avg(d) AS mean_loss_diff, avg(d) / sqrt(greatest(var_samp(d) + 2 * (covar_samp(d, d1) + covar_samp(d, d2)), 1e-10) / count(*)) AS dm FROM (
+ SELECT *, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM (SELECT model_a, model_b, ts, area, horizon, (y - yhat_a) * (y - yhat_a) - (y - yhat_b) * (y - yhat_b) AS d FROM pairs) WINDOW w AS (PARTITION BY model_a, model_b ORDER BY ts, area, horizon)) GROUP BY 1, 2""", _p_normal("dm")), use="pairs", rd="mean_loss_diff dm p_value")(
+    lambda s, r: S.diebold_mariano(PR(s, r), PK, h=3, tie=["area", "horizon"]))
 query("e17_compare_pairs")(lambda s, r: C.compare_pairs(SC(s, r), MODELS))
 query("e18_rank_models", "SELECT *, row_number() OVER (PARTITION BY area ORDER BY smape, model) AS rank FROM met", use="met", rd=RD)(
     lambda s, r: C.rank_models(AM(s, r)))

@@ -15,7 +15,8 @@ from pyspark.sql import SparkSession  # noqa: E402
 HEADLINE = [
     "x01_series_batch", "q01_complete_days", "i03_interpolate_linear", "i11_winsorize", "w02_rolling_features", "w09_loess",
     "w10_wavelet_haar", "e01_metrics", "e05_metrics_cube", "e08_wilcoxon", "e14_ks_two_sample", "e18_rank_models",
-    "e25_error_distribution", "h07_bottom_up", "h14_reconcile_ols", "k02_train_gbt", "k06_fit_daily_ar", "k12_profile_ratios", "k27_predict_job", "m02_combine_weighted",
+    "e25_error_distribution", "h07_bottom_up", "h14_reconcile_ols", "k02_train_gbt", "k06_fit_daily_ar", "k12_profile_ratios", "k23_train_all",
+    "k27_predict_job", "k28_train_job", "m02_combine_weighted",
     "m32_corr_pairs", "r01_psi", "r06_cusum", "t03_backtest", "b02_correction_factors", "x01_stream_load",
 ]
 

@@ -87,17 +87,19 @@ def main(argv: list[str]) -> int:
     sf = "0.01"
     if argv[:1] == ["--sf"]:
         sf, argv = argv[1], argv[2:]
-    from wattline.plans.registry import ORACLES, QUERIES
+    import __spark_entry__ as entry
+
+    queries, oracles = entry.queries(), entry.oracle_sql()
 
     root = f"/root/testdata/sf{sf}"
     spark, con = session(), duck(root)
     failed = 0
-    for name, fn in QUERIES.items():
+    for name, fn in queries.items():
         if argv and not any(name.startswith(p) for p in argv):
             continue
         t0 = time.time()
         try:
-            status, n = compare(spark, con, fn, ORACLES.get(name), root)
+            status, n = compare(spark, con, fn, oracles.get(name), root)
         except Exception as e:  # noqa: BLE001
             status, n = f"ERROR {type(e).__name__}: {str(e)[:1500]}", 0
         good = status in ("ok", "rows-only")

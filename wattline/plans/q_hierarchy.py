@@ -62,6 +62,15 @@ def node_fc(s, r):
 
 
 query("h01_hierarchy", "SELECT node, level, node_type FROM nodes", use="nodes")(lambda s, r: H.hierarchy(E(s, r)))
+
+
+@query("h01_from_config", "SELECT node, level, node_type FROM nodes UNION ALL SELECT r_name || '_Losses', NULL, 'calculated' FROM region", use="nodes")
+def h01_config(s, r):
+    """The tree from a configuration: a region and its nations as lists, and a loss node for each region."""
+    rows = tb.load(s, r, "nation").join(tb.load(s, r, "region"), F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_name").agg(F.sort_array(F.collect_list("n_name")).alias("n")).collect()
+    return H.from_config(s, "TOTAL", {x["r_name"]: x["n"] for x in rows}, [f"{x['r_name']}_Losses" for x in rows])[0]
+
+
 query("h02_add_node", "SELECT node, level, node_type FROM nodes UNION ALL SELECT 'NATION_X', 2, 'bottom'", use="nodes")(
     lambda s, r: H.add_node(H.hierarchy(E(s, r)), E(s, r), "NATION_X", "ASIA")[0])
 query("h03_summation_matrix", "WITH RECURSIVE e AS (SELECT 'TOTAL' AS parent, r_name AS child FROM region UNION ALL SELECT r_name, n_name FROM nation JOIN region ON r_regionkey = n_regionkey), c AS (SELECT node, node AS d FROM (SELECT parent AS node FROM e UNION SELECT child FROM e) UNION ALL SELECT c.node, e.child FROM c JOIN e ON e.parent = c.d) SELECT node, d AS leaf, 1.0::DOUBLE AS w FROM c WHERE d NOT IN (SELECT parent FROM e)", rd="")(
@@ -201,6 +210,22 @@ def energy(s, r):
 
 ROLES = lambda s, r: L.by_role(energy(s, r))
 LRD = "generation consumption losses"
+ENERGY_FC = lambda s, r: energy(s, r).select("ts", "node", F.col("y").alias("yhat"))
+ENERGY_ROLES = lambda s, r: energy(s, r).select("node", "role").distinct()
+query("h19_check_energy", """SELECT 'energy' AS "constraint", max(v) AS max_violation, avg(v) AS mean_violation, max(v) <= 1e-6 AS satisfied FROM (
+ SELECT ts, abs(sum(CASE role WHEN 'generation' THEN y ELSE -y END)) AS v FROM energy GROUP BY 1)""", use="energy", rd="max_violation mean_violation", digits=4)(
+    lambda s, r: R.check_constraints(ENERGY_FC(s, r), R.constraint_table(E(s, r), ENERGY_ROLES(s, r)), floor=None))
+
+
+@query("h20_enforce_energy", """SELECT e.ts, e.node, CASE WHEN e.role <> 'losses' THEN e.y WHEN n.l > 0 THEN greatest(e.y / n.l * (n.g - n.c), 0) ELSE greatest((n.g - n.c) / n.k, 0) END AS yhat
+ FROM energy e JOIN (SELECT ts, sum(y) FILTER (role = 'generation') AS g, sum(y) FILTER (role = 'consumption') AS c, sum(y) FILTER (role = 'losses') AS l, count(*) FILTER (role = 'losses') AS k FROM energy GROUP BY 1) n USING (ts)""", use="energy", rd="yhat", digits=4)
+def h20_energy(s, r):
+    """Loss nodes are scaled to what generation leaves over consumption; the other nodes are leaves of their own."""
+    roles = stable(ENERGY_ROLES(s, r))
+    own = roles.where("role <> 'losses'").select("node", F.col("node").alias("leaf"), F.lit(1.0).alias("w"))
+    return R.enforce_constraints(stable(ENERGY_FC(s, r)), own, roles)
+
+
 query("h21_losses_percentage", "SELECT ts, g AS generation, c AS consumption, g * 0.08 AS losses, abs(g - c - g * 0.08) < 1e-6 * greatest(abs(g), 1) AS balanced FROM roles", use="roles", rd=LRD)(lambda s, r: L.losses(energy(s, r)))
 query("h21_losses_absolute", "SELECT ts, g AS generation, c AS consumption, greatest(g - c, 0) AS losses, true AS balanced FROM roles", use="roles", rd=LRD)(lambda s, r: L.losses(energy(s, r), "absolute"))
 query("h21_losses_historical", "SELECT ts, g AS generation, c AS consumption, g * greatest(least((SELECT avg(x) FROM (SELECT l / g AS x FROM roles ORDER BY ts DESC LIMIT 168)), 0.15), 0.0) AS losses FROM roles", use="roles", rd=LRD)(

@@ -35,7 +35,7 @@ query("e04_metrics_by_period", f"SELECT *, row_number() OVER (PARTITION BY model
 _kinds = ["weekday", "season", "hour", "month", "quarter", "day_type", "holiday_proximity"]
 query("e05_metrics_cube", " UNION ALL ".join(f"SELECT model, '{k}' AS kind, {LABEL_SQL[k]} AS period, count(*) AS n, {SMAPE} AS smape, avg(abs(y-yhat)) AS mae, sqrt(avg((y-yhat)*(y-yhat))) AS rmse, {R2} AS r2 FROM (SELECT *, ts::DATE AS d FROM scored) GROUP BY ALL" for k in _kinds), use="scored", rd="smape mae rmse r2")(
     lambda s, r: M.metrics_cube(SC(s, r), by=["model"]))
-query("e06_bootstrap_ci")(lambda s, r: M.bootstrap_ci(SC(s, r), ["model"], ["area", "ts", "horizon"], n=200))
+query("e06_bootstrap_ci")(lambda s, r: M.bootstrap_ci(SC(s, r), ["model"], ["area", "ts", "horizon"]))
 
 
 

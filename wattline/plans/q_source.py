@@ -110,13 +110,14 @@ def s10(spark, root):
     return tb.series(spark, root).select("area", "ts", R.file_date(F.date_format("ts", "'pred_'yyyy_MM_dd'.parquet'")).alias("file_date"))
 
 
-@query("s10_scan_dated_files", "SELECT area, ts, load, ts::DATE AS file_date FROM series WHERE ts::DATE BETWEEN '2024-01-03' AND '2024-01-06'", use="series", rd="load")
+@query("s10_scan_dated_files", "SELECT area, ts, load, ts::DATE AS file_date FROM series WHERE ts::DATE BETWEEN (SELECT min(ts::DATE) + 1 FROM series) AND (SELECT max(ts::DATE) - 1 FROM series)", use="series", rd="load")
 def s10_scan(spark, root):
     p = R.scratch(spark, "dated")
     d = stable(tb.series(spark, root))
-    for day in ("2024-01-02", "2024-01-03", "2024-01-04", "2024-01-05", "2024-01-06", "2024-01-07"):
-        d.where(F.to_date("ts") == day).write.parquet(f"{p}/pred_{day.replace('-', '_')}.parquet")
-    return R.scan_dated_files(spark, p, "2024-01-03", "2024-01-06").select("area", "ts", "load", "file_date")
+    days = [r[0] for r in d.select(F.to_date("ts").alias("day")).distinct().orderBy("day").collect()]  # one file per day of the series
+    for day in days:
+        d.where(F.to_date("ts") == F.lit(day)).write.parquet(f"{p}/pred_{day:%Y_%m_%d}.parquet")
+    return R.scan_dated_files(spark, p, str(days[1]), str(days[-2])).select("area", "ts", "load", "file_date")
 
 
 @query("s11_append_importance", "SELECT p_brand AS feature, avg(p_retailprice) AS score, 'tree' AS type, p_type AS model_id, TIMESTAMP '2024-01-01' AS timestamp FROM part GROUP BY ALL", rd="score")

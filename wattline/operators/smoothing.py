@@ -18,6 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
 from wattline.functions.ordered import positions, stable
 
@@ -128,7 +129,8 @@ def holt_winters(df: DataFrame, by: Sequence[str], t: str = "ts", c: str = "load
     """
     by, rows = list(by), rows or ROWS
     x = F.col(c).cast("double")
-    p = positions(df.where(x.isNotNull()), by, t, name="__rn", total="__n").where(F.col("__n") >= 2 * season)
+    numbered = isinstance(df.schema[t].dataType, NumericType)  # else a date or a time
+    p = positions(df.where(x.isNotNull()), by, t, name="__rn", total="__n", block=F.floor(F.col(t) / rows) if numbered else None).where(F.col("__n") >= 2 * season)
     p = stable(p.select(*by, F.col(t).alias("__t"), x.alias("__v"), F.col("__rn").cast("long").alias("__rn"), F.col("__n").cast("long").alias("__n")))
     head = F.when(F.col("__rn") <= 2 * season, F.struct("__rn", "__v"))
     start = p.groupBy(*by).agg(

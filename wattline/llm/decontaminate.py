@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.functions.ordered import stable
-from wattline.llm.common import digest, drop_listed, map_text, text_of, type_of
+from wattline.llm.common import SLICE_BYTES, digest, drop_listed, map_text, slices, text_of, type_of
 from wattline.llm.tokens import parts
 
 WINDOW = 13
+LISTED = 2000  # occurrences in one row
 SLOTS = 1 << 22
 _KEEP = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -118,8 +119,8 @@ def index_rows(sequences: DataFrame, counts: DataFrame) -> DataFrame:
     return whole.mapInArrow(run, "word string, seq string, left string, right string, need int")
 
 
-def places(text: bytes, bits: bytes) -> tuple[int, list[dict]]:
-    """Number of words, and the occurrences of marked words with up to 12 words on either side.
+def places(text: bytes, bits: bytes):
+    """Occurrences of marked words with up to 12 words on either side, at most LISTED at a time, and last the number of words.
 
     A long text is read in parts; words at their seams wait until their neighbours are there.
     """
@@ -131,26 +132,64 @@ def places(text: bytes, bits: bytes) -> tuple[int, list[dict]]:
         end = len(words) if n == len(pieces) else max(todo, len(words) - side)
         some = {w for w in set(words) if _marked(bits, w)}
         if some:
-            out += [
-                {"word": words[i].decode(), "pos": first + i, "left": b" ".join(words[max(0, i - side):i]).decode(), "right": b" ".join(words[i + 1:i + WINDOW]).decode()}
-                for i in range(todo, end) if words[i] in some
-            ]
+            for i in range(todo, end):
+                if words[i] in some:
+                    out.append({"word": words[i].decode(), "pos": first + i, "left": b" ".join(words[max(0, i - side):i]).decode(), "right": b" ".join(words[i + 1:i + WINDOW]).decode()})
+                    if len(out) == LISTED:
+                        yield out
+                        out = []
         cut = max(0, end - side)
         words, first, todo = words[cut:], first + cut, end - cut
-    return first + len(words), out
+    yield out
+    yield first + len(words)
 
 
 def occurrences(docs: DataFrame, bits: bytes, id_col: str, text_col: str) -> DataFrame:
-    """(id, key, n_words, found): found lists where words of the bitmap stand, with their neighbours."""
+    """(row, id, key, n_words, found): found lists where words of the bitmap stand, with their neighbours. A document whose
+    list is long has further rows, with n_words null, so no row outgrows LISTED occurrences."""
+    from pyspark.sql.types import StructType
+
     shared = docs.sparkSession.sparkContext.broadcast(bits)
+    kind = type_of(docs, id_col)
+    target = StructType.fromDDL(f"row long, id {kind}, key string, n_words long, found array<struct<word:string,pos:long,left:string,right:string>>")
 
-    def run(batch: pa.RecordBatch) -> dict:
-        n_words, found = zip(*(places(t, shared.value) for t in batch.column("text").cast(pa.binary()).to_pylist()), strict=True)
-        return {"id": batch.column("id"), "key": batch.column("key"), "n_words": list(n_words), "found": list(found)}
+    def run(batches):
+        from pyspark.sql.pandas.types import to_arrow_schema
 
-    kind = type_of(docs, id_col)
-    rows = docs.select(F.col(id_col).alias("id"), digest(text_col).alias("key"), text_of(text_col).alias("text"))
-    return map_text(rows, "text", f"id {kind}, key string, n_words long, found array<struct<word:string,pos:long,left:string,right:string>>", run)
+        arrow = to_arrow_schema(target)
+
+        def batch(at: list[int], n_words: list, found: list, s: pa.RecordBatch) -> pa.RecordBatch:
+            take = pa.array(at, pa.int64())
+            held = {"row": s.column("row").take(take), "id": s.column("id").take(take), "key": s.column("key").take(take), "n_words": pa.array(n_words, pa.int64())}
+            return pa.RecordBatch.from_arrays([held[f.name].cast(f.type) if f.name in held else pa.array(found, f.type) for f in arrow], schema=arrow)
+
+        for b in batches:
+            for s in slices(b, "text"):
+                at, n_words, found, size = [], [], [], 0
+                for i, t in enumerate(s.column("text").cast(pa.binary()).to_pylist()):
+                    *lists, total = places(t, shared.value) if len(t) <= SLICE_BYTES else (None,)
+                    if total is None:  # a long text: its lists leave as they are made
+                        last = []
+                        for x in places(t, shared.value):
+                            if isinstance(x, int):
+                                at, n_words, found = [*at, i], [*n_words, x], [*found, last]
+                            else:
+                                if last:
+                                    yield batch([i], [None], [last], s)
+                                last = x
+                        continue
+                    for k, x in enumerate(lists):
+                        at.append(i)
+                        n_words.append(total if k == len(lists) - 1 else None)
+                        found.append(x)
+                        size += len(x)
+                    if size > 4 * LISTED:
+                        yield batch(at, n_words, found, s)
+                        at, n_words, found, size = [], [], [], 0
+                yield batch(at, n_words, found, s)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), digest(text_col).alias("key"), text_of(text_col).alias("text"))
+    return rows.mapInArrow(run, target)
 
 
 def runs(pairs: DataFrame) -> DataFrame:
@@ -184,8 +223,9 @@ def contamination(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", tex
     sequences = pairs.select("seq", "words").distinct()
     counts = rarity(docs, _bitmap(sequences.select(F.explode(F.split("words", " ")).alias("word"))), text_col)
     index = stable(index_rows(sequences, counts))
-    rows = stable(occurrences(docs, _bitmap(index.select("word")), id_col, text_col).withColumn("row", F.monotonically_increasing_id()))
-    places = rows.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
+    listed = stable(occurrences(docs, _bitmap(index.select("word")), id_col, text_col))
+    rows = listed.where("n_words is not null")
+    places = listed.where(F.size("found") > 0).select("row", F.explode("found").alias("f")).select("row", "f.*")
     found = stable(runs(places.join(index.withColumnsRenamed({"left": "i_left", "right": "i_right"}), "word").select("row", "seq", "pos", "left", "right", "i_left", "i_right", "need")).distinct())
 
     from pyspark.sql import Window

@@ -325,13 +325,14 @@ def test_training_queries_give_no_settings(monkeypatch):
     monkeypatch.setattr(q_features, "training_rows", lambda s, r: MagicMock())
     monkeypatch.setattr(q_combine, "SC", lambda s, r: MagicMock())
     monkeypatch.setattr(q_combine, "stable", lambda d: d)
-    for n in ("train_gbt", "train_areas", "train_rf", "train_all", "tune", "train_job"):
+    monkeypatch.setattr(T, "index_areas", lambda d: MagicMock())
+    for n in ("train_gbt", "train_areas", "train_rf", "train_all", "train_pooled", "tune_pooled", "train_job_pooled"):
         stop_at(T, n)
     for n in ("select_rfe", "permutation_importance"):
         stop_at(S, n)
     stop_at(S, "forest_importance", (None, None))
     stop_at(C, "stack_fit")
-    for q in ("k02_train_gbt", "k02_train_gbt_pooled", "k03_predict_gbt", "k04_train_rf", "k23_train_all", "k24_tune", "k28_train_job", "f04_select_rfe", "f05_permutation_importance", "k05_predict_rf", "m09_stack_fold_scores"):
+    for q in ("k02_train_gbt", "k02_train_areas", "k03_predict_gbt", "k03_predict_areas", "k23_train_areas", "k04_train_rf", "k23_train_all", "k24_tune", "k28_train_job", "f04_select_rfe", "f05_permutation_importance", "k05_predict_rf", "m09_stack_fold_scores"):
         with pytest.raises(Stop):
             QUERIES[q](None, "")
         given = calls[-1]

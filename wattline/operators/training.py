@@ -42,6 +42,43 @@ def predict_gbt(model, df: DataFrame, features: Sequence[str], horizon: int, by:
     return model.transform(_vector(df, features)).select(by, "ts", F.lit(horizon).alias("horizon"), F.col("prediction").alias("yhat"))
 
 
+def cv_score_pooled(df: DataFrame, features: Sequence[str], target: str, folds: int, **kw) -> DataFrame:
+    """(area, fold, n, mae) of the all-area model on time-ordered folds."""
+    f, out = time_folds(df, folds).persist(), None
+    for k in range(1, folds + 1):
+        m = train_gbt(f.where(F.col("fold") < k), features, target, **kw)
+        p = m.transform(_vector(f.where((F.col("fold") == k) & F.col(target).isNotNull()), features))
+        s = p.groupBy("area").agg(F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
+        out = s if out is None else out.unionByName(s)
+    return out
+
+
+def train_pooled(df: DataFrame, features: Sequence[str], target: str, folds: int = 3, **kw) -> tuple:
+    """One fit over all areas with the area index as a feature, and the MAE per area from the folds."""
+    x = index_areas(df).transform(df)
+    cols = [*features, "area_index"]
+    score = cv_score_pooled(x, cols, target, folds, **kw).groupBy("area").agg(F.avg("mae").alias("cv_mae"), F.sum("n").alias("n"))
+    return train_gbt(x, cols, target, **kw), score
+
+
+def tune_pooled(df: DataFrame, features: Sequence[str], target: str, grid: Mapping[str, Sequence], folds: int = 2) -> DataFrame:
+    """Every grid point scored on the time folds by the all-area model, best first."""
+    rows = []
+    for vals in product(*grid.values()):
+        kw = dict(zip(grid, vals, strict=True))
+        s = cv_score_pooled(df, features, target, folds, **kw).agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("m")).head()[0]
+        rows.append((str(kw), float(s)))
+    return df.sparkSession.createDataFrame(rows, "params string, mae double").orderBy("mae", "params")
+
+
+def train_job_pooled(df: DataFrame, features: Sequence[str], target: str, folds: int = 2, **kw) -> DataFrame:
+    """fit -> predict the training rows -> report per area, with the fold MAE, by the all-area model."""
+    model, cv = train_pooled(df, features, target, folds, **kw)
+    x = index_areas(df).transform(df)
+    p = predict_gbt(model, x, [*features, "area_index"], 1).join(x.select("area", "ts", F.col(target).alias("y")), ["area", "ts"]).where("y is not null")
+    return metrics(p, ["area"], symmetric=False).join(cv.select("area", "cv_mae"), "area", "left")
+
+
 def train_areas(df: DataFrame, features: Sequence[str], target: str, by: Sequence[str] = ("area",), **settings) -> B.Boosted:
     """A boosted model for every area."""
     return B.boost(df, features, target, by, runs={"all": settings})

@@ -25,7 +25,14 @@ query("k01_time_folds", """SELECT area, ts, load, greatest(b, 1) + k.k AS fold,
 TR = lambda s, r: stable(training_rows(s, r))
 
 
-query("k03_predict_gbt")(lambda s, r: (lambda d: T.predict_areas(T.train_areas(d, COLS, "target"), d, 1))(TR(s, r)))
+@query("k03_predict_gbt")
+def k03(s, r):
+    d = TR(s, r)
+    x = T.index_areas(d).transform(d)
+    return T.predict_gbt(T.train_gbt(x, [*COLS, "area_index"], "target"), x, [*COLS, "area_index"], 1)
+
+
+query("k03_predict_areas")(lambda s, r: (lambda d: T.predict_areas(T.train_areas(d, COLS, "target"), d, 1))(TR(s, r)))
 
 
 @query("k05_predict_rf")
@@ -74,15 +81,16 @@ query("k21_seasonal_consistency", "SELECT area, avg(sd) AS mean_std, max(sd) AS
     lambda s, r: P.seasonal_consistency(RAT(s, r)))
 query("k22_decompose_forecast", "SELECT area, ts, load, avg(load) OVER p AS daily_mean, greatest(least(load / (avg(load) OVER p + 1e-8), 10), 0.01) AS ratio FROM filled WINDOW p AS (PARTITION BY area, ts::DATE)", use="filled", rd="load daily_mean ratio")(
     lambda s, r: P.decompose_forecast(tb.filled(s, r)))
-query("k23_train_all")(lambda s, r: T.train_all(TR(s, r), COLS, "target")[1])
-query("k24_tune")(lambda s, r: T.tune(TR(s, r), COLS, "target", {"depth": [3, 5], "rate": [0.05, 0.1], "l2": [0.0, 10.0]}))
+query("k23_train_all")(lambda s, r: T.train_pooled(TR(s, r), COLS, "target")[1])
+query("k23_train_areas")(lambda s, r: T.train_all(TR(s, r), COLS, "target")[1])
+query("k24_tune")(lambda s, r: T.tune_pooled(TR(s, r), COLS, "target", {"depth": [2, 4]}))
 query("k25_model_report", "SELECT area, model, count(*) AS n, avg(y - yhat) AS mean_error, stddev_samp(y - yhat) AS std_error, avg(abs(y - yhat)) AS mae, max(abs(y - yhat)) AS max_error, min(ts) AS first, max(ts) AS last FROM scored GROUP BY 1, 2", use="scored", rd="mean_error std_error mae max_error")(
     lambda s, r: T.model_report(SC(s, r)))
 query("k26_simple_intervals", "SELECT area, ts, model, horizon, yhat, y, yhat - 1.96 * abs(yhat) * 0.05 * (1 + 0.1 * horizon) AS lo, yhat + 1.96 * abs(yhat) * 0.05 * (1 + 0.1 * horizon) AS hi FROM scored", use="scored", rd="yhat y lo hi")(
     lambda s, r: P.simple_intervals(SC(s, r)))
 query("k27_predict_job", f"SELECT ts, horizon, node, yhat, yhat - 1.96 * abs(yhat) * 0.05 * 1.1 AS lo, yhat + 1.96 * abs(yhat) * 0.05 * 1.1 AS hi FROM (SELECT *, 1 AS horizon FROM ({PROP}))", use="nfa", rd="yhat lo hi", digits=4)(
     lambda s, r: T.predict_job(every_fc(s, r)[0].withColumn("horizon", F.lit(1)), E(s, r), "TOTAL", scratch(s, "predict")))
-query("k28_train_job")(lambda s, r: T.train_job(TR(s, r), COLS, "target"))
+query("k28_train_job")(lambda s, r: T.train_job_pooled(TR(s, r), COLS, "target"))
 query("k29_two_stage_checks", """SELECT area, 'energy' AS test, max(abs(total - expected) / expected) AS value, max(abs(total - expected) / expected) <= 0.05 AS passed FROM (SELECT area, day, sum(load) AS total, 48 * max(daily_mean) AS expected FROM two GROUP BY 1, 2) GROUP BY 1
  UNION ALL SELECT area, 'bounds', avg((ratio < 0.3 OR ratio > 2.5)::INTEGER), avg((ratio < 0.3 OR ratio > 2.5)::INTEGER) <= 0.05 FROM rat GROUP BY 1 UNION ALL SELECT area, 'seasonal', avg(sd), avg(sd) <= 0.5 FROM (SELECT area, stddev_samp(ratio) AS sd FROM rat GROUP BY area, isodow(day), period // 2) GROUP BY 1""", use="two rat", rd="value")(
     lambda s, r: P.two_stage_checks(TWO(s, r), RAT(s, r)))
@@ -183,8 +191,8 @@ def x07(s, r):
     return X.latest(s, table, "state").select("area", "page_hinkley", "max_cusum")
 
 
-query("k02_train_gbt")(lambda s, r: B.importance(T.train_areas(TR(s, r), COLS, "target")))
-query("k02_train_gbt_pooled")(lambda s, r: (lambda m: s.createDataFrame([(f, float(v)) for f, v in zip(COLS, m.featureImportances.toArray())], "feature string, importance double"))(
+query("k02_train_areas")(lambda s, r: B.importance(T.train_areas(TR(s, r), COLS, "target")))
+query("k02_train_gbt")(lambda s, r: (lambda m: s.createDataFrame([(f, float(v)) for f, v in zip(COLS, m.featureImportances.toArray())], "feature string, importance double"))(
     T.train_gbt(TR(s, r), COLS, "target")))
 
 

@@ -67,15 +67,24 @@ def _tree_arrays(levels: Sequence[DataFrame], keys: Sequence[str], depth: int) -
     return made.select(*keys, "__v", F.transform(F.sequence(F.lit(0), F.lit(2**depth - 2)), lambda i: F.element_at("__m", i)).alias("__t"))
 
 
+def _step(state: Column, heap: Column) -> Column:
+    """One level down from ``state(node, v)``; it stays where nothing splits."""
+    s = F.get(heap, state["node"])
+    right = F.get("bins", s["feature"]) > s["bin"]  # null at a leaf
+    v = F.coalesce(F.when(right, s["right_value"]).when(~right, s["left_value"]), state["v"])
+    return F.struct(F.coalesce(2 * state["node"] + 1 + right.cast("int"), state["node"]).alias("node"), v.alias("v"))
+
+
+def _walk(heap: Column, value: Column, depth: int) -> Column:
+    """(node, v) reached from the root; a fold over the levels, so the plan doesn't grow with depth."""
+    start = F.struct(F.lit(0).alias("node"), value.alias("v"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(depth)), start, lambda state, _: _step(state, heap))
+
+
 def _descend(df: DataFrame, depth: int) -> DataFrame:
     """Adds ``__node`` (heap position reached) and ``__v`` (its value) from ``__t``, ``__v`` and ``bins``."""
-    out = df.withColumn("__node", F.lit(0))
-    for _ in range(depth):
-        out = out.withColumn("__s", F.get("__t", F.col("__node")))
-        out = out.withColumn("__right", F.get("bins", F.col("__s.feature")) > F.col("__s.bin"))  # null at a leaf
-        out = out.withColumn("__v", F.coalesce(F.when(F.col("__right"), F.col("__s.right_value")).when(~F.col("__right"), F.col("__s.left_value")), F.col("__v")))
-        out = out.withColumn("__node", F.coalesce(2 * F.col("__node") + 1 + F.col("__right").cast("int"), F.col("__node")))
-    return out.drop("__s", "__right", "__t")
+    out = df.withColumn("__at", _walk(F.col("__t"), F.col("__v"), depth))
+    return out.withColumns({"__node": F.col("__at.node"), "__v": F.col("__at.v")}).drop("__at", "__t")
 
 
 def _grow(state: DataFrame, tree: DataFrame | None, level: int, keys: Sequence[str], runs: Mapping[str, Mapping]) -> DataFrame:
@@ -154,17 +163,7 @@ def predict(model: Boosted, df: DataFrame, run: str = "all") -> DataFrame:
     heap = F.transform(F.sequence(F.lit(0), F.lit(2**depth - 2)), lambda i: F.element_at("m", i))
     forest = tree.groupBy(*model.by).agg(F.collect_list(F.struct(heap.alias("t"), "v")).alias("__forest"))
 
-    def step(state: Column, heap: Column) -> Column:
-        s = F.get(heap, state["node"])
-        right = F.get("bins", s["feature"]) > s["bin"]
-        v = F.coalesce(F.when(right, s["right_value"]).when(~right, s["left_value"]), state["v"])
-        return F.struct(F.coalesce(2 * state["node"] + 1 + right.cast("int"), state["node"]).alias("node"), v.alias("v"))
-
-    def value(one: Column) -> Column:
-        at = F.struct(F.lit(0).alias("node"), one["v"].alias("v"))
-        levels = F.sequence(F.lit(1), F.lit(depth))
-        return F.aggregate(levels, at, lambda state, _: step(state, one["t"]))["v"]
-
+    value = lambda one: _walk(one["t"], one["v"], depth)["v"]
     start = model.base.where(F.col("run") == run).drop("run")
     return rows.join(forest, model.by).join(start, model.by).withColumn(
         "yhat", F.col("base") + F.aggregate("__forest", F.lit(0.0), lambda acc, one: acc + F.coalesce(value(one), F.lit(0.0)))).drop("bins", "__forest", "base")

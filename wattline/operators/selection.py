@@ -38,6 +38,21 @@ def leakage_report(spark: SparkSession, cols: Sequence[str], h: int, ppd: int =
     return spark.createDataFrame(rows, "feature string, horizon int, reason string").withColumn("is_safe", F.col("reason").isNull())
 
 
+def leakage_check(df: DataFrame, features: Sequence[str], target: str, h: int, ppd: int = 48, near: float = 0.999) -> DataFrame:
+    """The report with what the table says, from one aggregate: rows that have feature and target, their
+    correlation, and a warning for a feature that isn't known yet or nearly equals the target."""
+    cells = []
+    for c in features:
+        reason = _leak_reason(c, h, ppd, target)
+        x, y = F.col(c).cast("double"), F.col(target).cast("double")
+        cells.append(F.struct(
+            F.lit(c).alias("feature"), F.lit(h).alias("horizon"), F.lit(reason).cast("string").alias("reason"), F.lit(reason is None).alias("is_safe"),
+            F.count_if(x.isNotNull() & y.isNotNull()).alias("n"), F.corr(x, y).alias("correlation")))
+    rows = df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
+    late = F.when(F.col("reason").isNotNull(), F.lit(f"not known at horizon {h}"))
+    return rows.withColumn("warning", late.when(F.abs("correlation") >= near, F.lit("nearly equals the target")))
+
+
 def _assembled(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
     keep = df.select(*[F.col(f).cast("double").alias(f) for f in features], F.col(target).cast("double").alias("label")).dropna()
     return VectorAssembler(inputCols=list(features), outputCol="features").transform(keep)

@@ -9,8 +9,8 @@ from wattline.operators import diversity as V
 from wattline.operators import ensemble as N
 from wattline.operators.features import time_context
 from wattline.plans.base import query
-from wattline.plans.ctes import define
-from wattline.plans.q_metrics import SC
+from wattline.plans.ctes import CTES, define
+from wattline.plans.q_metrics import SC, p_normal, p_t, with_p
 from wattline.sources import tables as tb
 from wattline.sources.tables import MODELS
 
@@ -74,12 +74,45 @@ define("boff", "scored", "SELECT model, greatest(least(avg(y - yhat), avg(abs(y
 define("bfac", "scored", """SELECT model, greatest(least(avg(x), 1.2), 0.8) AS factor FROM (SELECT model, y / (yhat + 1e-8) AS x, quantile_cont(y / (yhat + 1e-8), 0.25) OVER (PARTITION BY model) AS q1, quantile_cont(y / (yhat + 1e-8), 0.75) OVER (PARTITION BY model) AS q3 FROM scored) WHERE x BETWEEN q1 - 1.5 * (q3 - q1) AND q3 + 1.5 * (q3 - q1) GROUP BY 1""")
 query("m14_bias_additive", 'SELECT model, bias_off AS "offset" FROM boff', use="boff", rd='"offset"')(lambda s, r: B.bias_additive(SC(s, r)))
 query("m15_bias_multiplicative", "SELECT * FROM bfac", use="bfac", rd="factor")(lambda s, r: B.bias_multiplicative(SC(s, r)))
-for _k, _p, _need, _spread in (("monthly", "month(ts)", 6, 0.10), ("half_hour", "hour(ts) * 2 + minute(ts) // 30", 24, 0.05)):
+PART_SQL = {"monthly": ("month(ts)", 6, 0.10), "weekday": ("isodow(ts) - 1", 5, None), "half_hour": ("hour(ts) * 2 + minute(ts) // 30", 24, 0.05)}
+
+
+def _time_table(kind: str, src: str, alpha: float = 0.05) -> str:
+    """Calendar table of mean errors: months and half-hours kept by their spread, weekdays by a weekend t-test."""
+    part, need, spread = PART_SQL[kind]
+    groups = f"SELECT model, ({part})::INTEGER AS part, avg(y - yhat) AS bias, count(*) AS n FROM {src} GROUP BY 1, 2 HAVING count(*) >= 20"
+    if spread is None:
+        t = f"""SELECT model, na AS n_a, nb AS n_b, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0::DOUBLE / na + 1.0::DOUBLE / nb)) AS statistic FROM (
+ SELECT model, count(*) FILTER (w) AS na, count(*) FILTER (NOT w) AS nb, avg(e) FILTER (w) AS ma, avg(e) FILTER (NOT w) AS mb, var_samp(e) FILTER (w) AS va, var_samp(e) FILTER (NOT w) AS vb
+ FROM (SELECT model, isodow(ts) > 5 AS w, y - yhat AS e FROM {src}) GROUP BY 1)"""
+        keep = f"SELECT model FROM ({with_p(t, p_t('statistic', '(n_a + n_b - 2)'))}) JOIN (SELECT model, count(*) AS c FROM ({groups}) GROUP BY 1) USING (model) WHERE c >= {need} AND p_value < {alpha}"
+    else:
+        keep = f"""SELECT model FROM (SELECT model, count(*) AS c, stddev_pop(bias) AS sd FROM ({groups}) GROUP BY 1)
+ JOIN (SELECT model, abs(avg(y - yhat)) AS m FROM {src} GROUP BY 1) USING (model) WHERE c >= {need} AND sd > {spread} * m"""
+    return f"SELECT g.model, '{kind}' AS kind, part, bias, n FROM ({groups}) g JOIN ({keep}) k USING (model)"
+
+
+for _k in ("monthly", "half_hour"):
     _src, _fn = ("dscored", tb.daily_scored) if _k == "monthly" else ("scored", SC)
-    query(f"m16_bias_{_k}", f"""SELECT g.model, '{_k}' AS kind, part, bias, n FROM (SELECT model, ({_p})::INTEGER AS part, avg(y - yhat) AS bias, count(*) AS n FROM {_src} GROUP BY 1, 2 HAVING count(*) >= 20) g
- JOIN (SELECT model FROM (SELECT model, count(*) AS c, stddev_pop(bias) AS sd FROM (SELECT model, ({_p})::INTEGER AS part, avg(y - yhat) AS bias FROM {_src} GROUP BY 1, 2 HAVING count(*) >= 20) GROUP BY 1) JOIN (SELECT model, abs(avg(y - yhat)) AS m FROM {_src} GROUP BY 1) USING (model) WHERE c >= {_need} AND sd > {_spread} * m) k USING (model)""", use=_src, rd="bias")(
-        lambda s, r, k=_k, f=_fn: B.bias_by_time(f(s, r), k))
-query("m16_bias_weekday")(lambda s, r: B.bias_by_time(tb.daily_scored(s, r), "weekday", alpha=0.9))
+    query(f"m16_bias_{_k}", _time_table(_k, _src), use=_src, rd="bias")(lambda s, r, k=_k, f=_fn: B.bias_by_time(f(s, r), k))
+query("m16_bias_weekday", _time_table("weekday", "dscored", 0.9), use="dscored", rd="bias")(lambda s, r: B.bias_by_time(tb.daily_scored(s, r), "weekday", alpha=0.9))
+for _k in PART_SQL:
+    define(f"cal_{_k}", "dscored", _time_table(_k, "dscored", 0.9))
+define("dboff", "dscored", CTES["boff"][1].replace("FROM scored", "FROM dscored"))
+define("dbfac", "dscored", CTES["bfac"][1].replace("FROM scored", "FROM dscored"))
+CAL_JOIN = " ".join(f"LEFT JOIN (SELECT model, part, bias AS b_{k} FROM cal_{k}) {k} ON {k}.model = d.model AND {k}.part = {p.replace('(ts)', '(d.ts)')}" for k, (p, _, _) in PART_SQL.items())
+CAL_SUM = " + ".join(f"coalesce(b_{k}, 0)" for k in PART_SQL)
+CAL_USE = " ".join(f"cal_{k}" for k in PART_SQL)
+CALENDAR = lambda d: [B.bias_by_time(d, k, alpha=0.9) for k in B.PARTS]
+
+
+@query("m17_apply_bias_calendar", f"""SELECT d.ts, d.area, d.model, d.horizon, greatest((d.yhat + bias_off) * factor + {CAL_SUM}, 0) AS yhat, d.y
+ FROM dscored d JOIN dboff o ON o.model = d.model JOIN dbfac f ON f.model = d.model {CAL_JOIN}""", use=f"dscored dboff dbfac {CAL_USE}", rd="yhat y", digits=4)
+def m17_calendar(s, r):
+    d = stable(tb.daily_scored(s, r))
+    return B.apply_bias(d, B.bias_additive(d), B.bias_multiplicative(d), CALENDAR(d))
+
+
 query("m17_apply_bias", "SELECT ts, area, model, horizon, greatest((yhat + bias_off) * factor, 0) AS yhat, y FROM scored JOIN boff USING (model) JOIN bfac USING (model)", use="scored boff bfac", rd="yhat y")(
     lambda s, r: B.apply_bias(SC(s, r), B.bias_additive(SC(s, r)), B.bias_multiplicative(SC(s, r))))
 query("m18_bias_report", "SELECT model, avg(y - yhat) AS bias_before, avg(y - yhat - bias_off) AS bias_after, avg(abs(y - yhat)) AS mae_before, avg(abs(y - greatest(yhat + bias_off, 0))) AS mae_after, 100 * (avg(abs(y - yhat)) - avg(abs(y - greatest(yhat + bias_off, 0)))) / avg(abs(y - yhat)) AS mae_improvement_pct FROM scored JOIN boff USING (model) GROUP BY 1".replace("avg(y - yhat - bias_off)", "avg(y - greatest(yhat + bias_off, 0))"), use="scored boff", rd="bias_before bias_after mae_before mae_after mae_improvement_pct")(
@@ -93,9 +126,12 @@ def m20(s, r):
     return B.corrected(d, *B.bias_tree(d, ["hour", "dow"]))
 
 
-query("m21_bias_trend", """SELECT model, origin, slope, intercept, r2, n, sqrt(r2 * (n - 2) / (1 - r2)) AS t FROM (SELECT model, min(origin) AS origin, regr_slope(e, x) AS slope, regr_intercept(e, x) AS intercept, regr_r2(e, x) AS r2, count(*) AS n FROM (
- SELECT model, min(ts) OVER (PARTITION BY model) AS origin, y - yhat AS e, epoch(ts - min(ts) OVER (PARTITION BY model)) / 86400.0::DOUBLE AS x FROM scored) GROUP BY 1)""", use="scored", rd="slope intercept r2 t")(
-    lambda s, r: B.bias_trend(SC(s, r)).drop("p_value", "kept"))
+TREND_T = """SELECT model, origin, slope, intercept, r2, n, sqrt(r2 * (n - 2) / (1 - r2)) AS t FROM (
+ SELECT model, min(origin) AS origin, regr_slope(e, x) AS slope, regr_intercept(e, x) AS intercept, regr_r2(e, x) AS r2, count(*) AS n FROM (
+ SELECT model, min(ts) OVER (PARTITION BY model) AS origin, y - yhat AS e, epoch(ts - min(ts) OVER (PARTITION BY model)) / 86400.0::DOUBLE AS x FROM {src}) GROUP BY 1)"""
+for _pre in ("", "d"):
+    define(f"{_pre}trend", f"{_pre}scored", f"SELECT *, p_value < 0.05 AS kept FROM ({with_p(TREND_T.format(src=f'{_pre}scored'), p_t('t', '(n - 2)'))})")
+query("m21_bias_trend", "SELECT * FROM trend", use="trend", rd="slope intercept r2 t p_value")(lambda s, r: B.bias_trend(SC(s, r)))
 query("m22_temporal_share", """SELECT model, (mo + wd) / v AS temporal_share FROM (SELECT model, var_pop(y - yhat) AS v FROM scored GROUP BY 1) JOIN (SELECT model, sum(k * pow(a - m, 2)) / max(n) AS mo FROM (SELECT model, month(ts), avg(y - yhat) AS a, count(*) AS k FROM scored GROUP BY 1, 2) JOIN (SELECT model, avg(y - yhat) AS m, count(*) AS n FROM scored GROUP BY 1) USING (model) GROUP BY 1) USING (model)
  JOIN (SELECT model, sum(k * pow(a - m, 2)) / max(n) AS wd FROM (SELECT model, isodow(ts), avg(y - yhat) AS a, count(*) AS k FROM scored GROUP BY 1, 2) JOIN (SELECT model, avg(y - yhat) AS m, count(*) AS n FROM scored GROUP BY 1) USING (model) GROUP BY 1) USING (model)""", use="scored", rd="temporal_share")(
     lambda s, r: B.temporal_share(SC(s, r)))
@@ -104,8 +140,17 @@ query("m22_bias_select")(lambda s, r: B.bias_select(stable(SC(s, r))))
 
 @query("m23_bias_advanced")
 def m23(s, r):
-    d = stable(SC(s, r))
-    return B.bias_advanced(d, B.bias_trend(d), B.bias_spline(d))
+    """Every part: trend, spline, tree on hour and weekday, the three calendar tables."""
+    d = stable(SC(s, r).withColumns({"hour": F.hour("ts"), "dow": F.weekday("ts")}))
+    return B.bias_advanced(d, B.bias_trend(d), B.bias_spline(d), B.bias_tree(d, ["hour", "dow"]), CALENDAR(d)).drop("hour", "dow")
+
+
+@query("m23_bias_trend_calendar", f"""SELECT ts, area, model, horizon, y, yhat + greatest(least(v - yhat, 0.3 * abs(yhat)), -0.3 * abs(yhat)) AS yhat FROM (
+ SELECT d.*, greatest(d.yhat + CASE WHEN kept THEN intercept + slope * (epoch(d.ts - origin) / 86400.0::DOUBLE) ELSE 0 END + {CAL_SUM}, 0) AS v
+ FROM dscored d JOIN dtrend t ON t.model = d.model {CAL_JOIN})""", use=f"dscored dtrend {CAL_USE}", rd="yhat y", digits=4)
+def m23_calendar(s, r):
+    d = stable(tb.daily_scored(s, r))
+    return B.bias_advanced(d, B.bias_trend(d), times=CALENDAR(d))
 
 
 # --- states ------------------------------------------------------------------------
@@ -174,13 +219,20 @@ query("m43_weight_checks", "SELECT model, weight, weight > 0.8 AS is_extreme, we
     lambda s, r: V.weight_checks(MW(s, r)))
 define("cmean", "scored", "SELECT ts, area, horizon, avg(yhat) AS c FROM scored GROUP BY 1, 2, 3")
 COMB = lambda s, r: C.combine_mean(SC(s, r))
-query("m44_combination_significance", "SELECT model, count(*) AS n, avg(d) AS mean_diff, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM (SELECT model, abs(y - yhat) - abs(y - c) AS d FROM scored JOIN cmean USING (ts, area, horizon)) GROUP BY 1", use="scored cmean", rd="mean_diff t")(
-    lambda s, r: V.combination_significance(SC(s, r), COMB(s, r)).select("model", "n", "mean_diff", "t"))
+define("cdiff", "scored cmean", "SELECT model, abs(y - yhat) - abs(y - c) AS d FROM scored JOIN cmean USING (ts, area, horizon)")
+define("csig", "cdiff", f"""SELECT *, mean_diff > 0 AND greatest(t_p, coalesce(wilcoxon_p, 0)) < 0.05 AS combination_better FROM (
+ SELECT *, {p_t("t", "(n - 1)")} AS t_p FROM (SELECT model, count(*) AS n, avg(d) AS mean_diff, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t FROM cdiff GROUP BY 1)) LEFT JOIN (
+ SELECT model, {p_normal("z")} AS wilcoxon_p FROM (SELECT model, (least(wp, n * (n + 1) / 2.0::DOUBLE - wp) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - tie / 48) AS z FROM (
+  SELECT model, count(*)::DOUBLE AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS wp, sum(tc) AS tie FROM (
+   SELECT model, d, rank() OVER (PARTITION BY model ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model, abs(d)) - 1) / 2.0::DOUBLE AS rk,
+    pow(count(*) OVER (PARTITION BY model, abs(d)), 2) - 1 AS tc FROM cdiff WHERE d <> 0) GROUP BY 1))) USING (model)""")
+query("m44_combination_significance", "SELECT * FROM csig", use="csig", rd="mean_diff t t_p wilcoxon_p")(
+    lambda s, r: V.combination_significance(SC(s, r), COMB(s, r)))
 query("m45_weight_drift", """SELECT area, model, mean, std, count(*) FILTER (weight > mean + 2 * std OR weight < mean - 2 * std) AS out_of_control, count(*) FILTER (weight > mean + 2 * std OR weight < mean - 2 * std) > 0 AS drift FROM (
  SELECT *, avg(weight) OVER p AS mean, stddev_pop(weight) OVER p AS std, row_number() OVER (PARTITION BY area, model ORDER BY ts DESC) AS i FROM mkw WINDOW p AS (PARTITION BY area, model)) WHERE i <= 5 GROUP BY 1, 2, 3, 4""", use="mkw", rd="mean std")(
     lambda s, r: V.weight_drift(MKW(s, r), 2.0, ["area", "model"]))
-query("m46_combination_gain", "SELECT *, single_mape - combined_mape AS gain, 100 * (single_mape - combined_mape) / single_mape AS gain_pct FROM (SELECT model, 100 * avg(abs((y - yhat) / y)) FILTER (y <> 0) AS single_mape, 100 * avg(abs((y - c) / y)) FILTER (y <> 0) AS combined_mape FROM scored JOIN cmean USING (ts, area, horizon) GROUP BY 1 ORDER BY 2, 1 LIMIT 1)", use="scored cmean", rd="single_mape combined_mape gain gain_pct")(
-    lambda s, r: V.combination_gain(SC(s, r), COMB(s, r)).drop("combination_better", "passed"))
+query("m46_combination_gain", "SELECT *, single_mape - combined_mape AS gain, 100 * (single_mape - combined_mape) / single_mape AS gain_pct, single_mape - combined_mape > 0.01 AND combination_better AS passed FROM (SELECT model, combination_better FROM csig) JOIN (SELECT model, 100 * avg(abs((y - yhat) / y)) FILTER (y <> 0) AS single_mape, 100 * avg(abs((y - c) / y)) FILTER (y <> 0) AS combined_mape FROM scored JOIN cmean USING (ts, area, horizon) GROUP BY 1 ORDER BY 2, 1 LIMIT 1) USING (model)", use="scored cmean csig", rd="single_mape combined_mape gain gain_pct")(
+    lambda s, r: V.combination_gain(SC(s, r), COMB(s, r)))
 query("m47_weight_suite")(lambda s, r: V.weight_suite(stable(SC(s, r)), COMB(s, r), MKW(s, r)))
 query("m48_model_profile", """SELECT model, mape, diversity, CASE WHEN model = 'ma' THEN 2.0 ELSE 1.0 END::DOUBLE AS cost FROM (SELECT model, avg(m) AS mape FROM (SELECT model, horizon, 100 * avg(abs((y - yhat) / y)) FILTER (y <> 0) AS m FROM scored GROUP BY 1, 2) GROUP BY 1) JOIN (
  SELECT model, 1 - avg(abs(c)) AS diversity FROM (SELECT model_a AS model, avg(c) AS c FROM (SELECT model_a, model_b, horizon, corr(yhat_a, yhat_b) AS c FROM pairs GROUP BY 1, 2, 3) GROUP BY 1, model_b UNION ALL SELECT model_b, avg(c) FROM (SELECT model_a, model_b, horizon, corr(yhat_a, yhat_b) AS c FROM pairs GROUP BY 1, 2, 3) GROUP BY 1, model_a) GROUP BY 1) USING (model)""", use="scored pairs", rd="mape diversity")(

@@ -161,6 +161,26 @@ def f01(s, r):
     return d.select("area", "ts", *keep)
 
 
+LEAKS = {
+    "load_lag_24": ("lag(load, 24) OVER w", "lag"), "load_lag_48": ("lag(load, 48) OVER w", "lag"), "load_lag_96": ("lag(load, 96) OVER w", None),
+    "hour": ("hour(ts)::DOUBLE", None), "future_load": ("load + hour(ts)", "name"), "load_doubled": ("2 * load", None),
+}
+define("leaks", "filled", f"SELECT load, {', '.join(f'{e} AS {c}' for c, (e, _) in LEAKS.items())} FROM filled WINDOW w AS (PARTITION BY area ORDER BY ts)")
+
+
+def _leak_sql(c: str, reason: str | None) -> str:
+    why = f"'{reason}'" if reason else "NULL::VARCHAR"
+    return f"""SELECT '{c}' AS feature, 2::INTEGER AS horizon, {why} AS reason, {why} IS NULL AS is_safe, count({c}) AS n, corr({c}, load) AS correlation,
+ CASE WHEN {why} IS NOT NULL THEN 'not known at horizon 2' WHEN abs(corr({c}, load)) >= 0.999 THEN 'nearly equals the target' END AS warning FROM leaks"""
+
+
+@query("f02_leakage_report", " UNION ALL ".join(_leak_sql(c, why) for c, (_, why) in LEAKS.items()), use="leaks", rd="correlation")
+def f02(s, r):
+    d = W.lag_features(tb.filled(s, r), ["load"], [24, 48, 96], step=30)
+    d = d.withColumns({"hour": F.hour("ts"), "future_load": F.col("load") + F.hour("ts"), "load_doubled": 2 * F.col("load")})
+    return S.leakage_check(d, list(LEAKS), "load", 2)
+
+
 for _h, _e in {"mean": "avg(score)", "median": "median(score)", "max": "max(score)"}.items():
     query(f"f08_importance_{_h}", f"SELECT feature, {_e} AS importance FROM implog GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 4", use="implog", rd="importance")(
         lambda s, r, h=_h: S.importance_agg(log(s, r), h, 4))

@@ -46,24 +46,31 @@ def _simpson(f, start: str, span: float, n: int) -> str:
     return f"list_sum(list_transform(range(0, {n + 1}), lambda i: {weight} * {f(f'({start} + i * {h})')})) * {h} / 3"
 
 
-def _p_t(t: str, df: str) -> str:
+def p_t(t: str, df: str) -> str:
     scale = f"exp(lgamma(({df} + 1) / 2.0::DOUBLE) - lgamma({df} / 2.0::DOUBLE)) / sqrt({df} * pi())"
     return f"2 * {scale} * {_simpson(lambda u: f'pow(1 + {u} * {u} / {df}, -({df} + 1) / 2.0::DOUBLE)', f'abs({t})', 60.0, 6000)}"
 
 
-def _p_normal(z: str) -> str:
+def p_normal(z: str) -> str:
     return f"2 / sqrt(2 * pi()) * {_simpson(lambda u: f'exp(-{u} * {u} / 2)', f'abs({z})', 40.0, 4000)}"
 
 
-def _p_chi2(x: str, k: str) -> str:
+def p_chi2(x: str, k: str) -> str:
     return f"exp(-lgamma({k} / 2.0::DOUBLE) - {k} / 2.0::DOUBLE * ln(2)) * {_simpson(lambda u: f'pow({u}, {k} / 2.0::DOUBLE - 1) * exp(-{u} / 2)', x, 200.0, 8000)}"
 
 
-def _p_f(x: str, d1: str, d2: str) -> str:
+def p_f(x: str, d1: str, d2: str) -> str:
     scale = f"exp(lgamma(({d1} + {d2}) / 2.0::DOUBLE) - lgamma({d1} / 2.0::DOUBLE) - lgamma({d2} / 2.0::DOUBLE)) * pow({d1} / ({d2})::DOUBLE, {d1} / 2.0::DOUBLE)"
     return f"{scale} * {_simpson(lambda u: f'pow({u}, {d1} / 2.0::DOUBLE - 1) * pow(1 + {d1} * {u} / ({d2})::DOUBLE, -({d1} + {d2}) / 2.0::DOUBLE)', x, 60.0, 6000)}"
 
 
+def p_ks(d: str, n1: str, n2: str) -> str:
+    """Tail of the Kolmogorov distribution by its theta series."""
+    en = f"sqrt({n1} / ({n1} + {n2})::DOUBLE * {n2})"
+    lam = f"greatest({d} * ({en} + 0.12 + 0.11 / {en}), 0.01)"
+    return f"1 - sqrt(2 * pi()) / {lam} * list_sum(list_transform(range(0, 500), lambda i: exp(-pow((2 * i + 1) * pi() / {lam}, 2) / 8)))"
+
+
 def with_p(sql: str, p: str) -> str:
     return f"SELECT *, {p} AS p_value FROM ({sql})"
 
@@ -73,22 +80,28 @@ FROM scored a JOIN scored b ON a.ts = b.ts AND a.area = b.area AND a.horizon = b
 define("pairs", "scored", PAIR)
 PR = lambda s, r: C.pair_rows(SC(s, r), MODELS).withColumns({"a": F.abs(F.col("y") - F.col("yhat_a")), "b": F.abs(F.col("y") - F.col("yhat_b"))})
 PK = ["model_a", "model_b"]
-query("e07_paired_t", with_p("SELECT model_a, model_b, count(*) AS n, avg(d) AS mean_diff, stddev_samp(d) AS std_diff, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, avg(d) / stddev_samp(d) AS effect_size FROM pairs GROUP BY 1, 2", _p_t("t", "(n - 1)")), use="pairs", rd="mean_diff std_diff t effect_size p_value")(
+query("e07_paired_t", with_p("SELECT model_a, model_b, count(*) AS n, avg(d) AS mean_diff, stddev_samp(d) AS std_diff, avg(d) / (stddev_samp(d) / sqrt(count(*))) AS t, avg(d) / stddev_samp(d) AS effect_size FROM pairs GROUP BY 1, 2", p_t("t", "(n - 1)")), use="pairs", rd="mean_diff std_diff t effect_size p_value")(
     lambda s, r: S.paired_t(PR(s, r), PK))
 define("wil", "pairs", """SELECT model_a, model_b, count(*) AS n, sum(CASE WHEN d > 0 THEN rk ELSE 0 END) AS w_plus, sum(tie_c) AS tie FROM (
  SELECT model_a, model_b, d, rank() OVER (PARTITION BY model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY model_a, model_b, abs(d)) - 1) / 2.0::DOUBLE AS rk,
  pow(count(*) OVER (PARTITION BY model_a, model_b, abs(d)), 2) - 1 AS tie_c FROM pairs WHERE d <> 0) GROUP BY 1, 2""")
-query("e08_wilcoxon", with_p("SELECT model_a, model_b, n, w_plus, least(w_plus, n * (n + 1) / 2.0::DOUBLE - w_plus) AS statistic, (least(w_plus, n * (n + 1) / 2.0::DOUBLE - w_plus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - tie / 48) AS z FROM wil", _p_normal("z")), use="wil", rd="w_plus statistic z p_value")(
+query("e08_wilcoxon", with_p("SELECT model_a, model_b, n, w_plus, least(w_plus, n * (n + 1) / 2.0::DOUBLE - w_plus) AS statistic, (least(w_plus, n * (n + 1) / 2.0::DOUBLE - w_plus) - n * (n + 1) / 4.0::DOUBLE) / sqrt(n * (n + 1) * (2 * n + 1) / 24.0::DOUBLE - tie / 48) AS z FROM wil", p_normal("z")), use="wil", rd="w_plus statistic z p_value")(
     lambda s, r: S.wilcoxon(PR(s, r), PK))
 LI = lambda s, r: tb.load(s, r, "lineitem").select("l_returnflag", "l_linestatus", "l_quantity", "l_extendedprice", "l_discount", "l_tax", F.col("l_shipdate").alias("ts"), "l_orderkey", "l_linenumber")
 ISA = lambda: F.col("l_linestatus") == "O"
 query("e09_two_sample_t", with_p("""SELECT l_returnflag, na AS n_a, nb AS n_b, ma AS mean_a, mb AS mean_b, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2) * (1.0::DOUBLE / na + 1.0::DOUBLE / nb)) AS statistic FROM (
  SELECT l_returnflag, count(*) FILTER (l_linestatus = 'O') AS na, count(*) FILTER (l_linestatus <> 'O') AS nb, avg(l_extendedprice) FILTER (l_linestatus = 'O') AS ma, avg(l_extendedprice) FILTER (l_linestatus <> 'O') AS mb,
- var_samp(l_extendedprice) FILTER (l_linestatus = 'O') AS va, var_samp(l_extendedprice) FILTER (l_linestatus <> 'O') AS vb FROM lineitem GROUP BY 1)""", _p_t("statistic", "(n_a + n_b - 2)")), rd="mean_a mean_b statistic p_value")(
+ var_samp(l_extendedprice) FILTER (l_linestatus = 'O') AS va, var_samp(l_extendedprice) FILTER (l_linestatus <> 'O') AS vb FROM lineitem GROUP BY 1)""", p_t("statistic", "(n_a + n_b - 2)")), rd="mean_a mean_b statistic p_value")(
     lambda s, r: S.two_sample(LI(s, r), ["l_returnflag"], "l_extendedprice", ISA()))
-query("e09_mann_whitney", """SELECT l_returnflag, count(*) FILTER (a) AS n_a, count(*) FILTER (NOT a) AS n_b, sum(CASE WHEN a THEN rk ELSE 0 END) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0::DOUBLE AS statistic FROM (
- SELECT l_returnflag, l_linestatus = 'O' AS a, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS rk FROM lineitem) GROUP BY 1""", rd="statistic")(
-    lambda s, r: S.two_sample(LI(s, r), ["l_returnflag"], "l_quantity", ISA(), "mann_whitney").drop("p_value"))
+MW_Z = """(abs(statistic - n_a / 2.0::DOUBLE * n_b) - 0.5)
+ / sqrt(n_a / 12.0::DOUBLE * n_b * ((n_a + n_b + 1) - tie / ((n_a + n_b)::DOUBLE * (n_a + n_b - 1))))"""
+query("e09_mann_whitney", f"""SELECT l_returnflag, n_a, n_b, statistic, least({p_normal("z")}, 1) AS p_value FROM (SELECT *, {MW_Z} AS z FROM (
+ SELECT l_returnflag, count(*) FILTER (a) AS n_a, count(*) FILTER (NOT a) AS n_b, sum(tc) AS tie,
+  sum(CASE WHEN a THEN rk ELSE 0 END) - count(*) FILTER (a) * (count(*) FILTER (a) + 1) / 2.0::DOUBLE AS statistic FROM (
+  SELECT l_returnflag, l_linestatus = 'O' AS a, pow(count(*) OVER (PARTITION BY l_returnflag, l_quantity), 2) - 1 AS tc,
+   rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS rk
+  FROM lineitem) GROUP BY 1))""", rd="statistic p_value")(
+    lambda s, r: S.two_sample(LI(s, r), ["l_returnflag"], "l_quantity", ISA(), "mann_whitney"))
 query("e10_effect_size", """SELECT l_returnflag, (ma - mb) / sqrt(((na - 1) * va + (nb - 1) * vb) / (na + nb - 2)) AS cohens_d FROM (
  SELECT l_returnflag, count(*) FILTER (l_linestatus = 'O') AS na, count(*) FILTER (l_linestatus <> 'O') AS nb, avg(l_quantity) FILTER (l_linestatus = 'O') AS ma, avg(l_quantity) FILTER (l_linestatus <> 'O') AS mb,
  var_samp(l_quantity) FILTER (l_linestatus = 'O') AS va, var_samp(l_quantity) FILTER (l_linestatus <> 'O') AS vb FROM lineitem GROUP BY 1)""", rd="cohens_d")(
@@ -98,26 +111,27 @@ query("e10_mean_ci", "SELECT l_returnflag, count(*) AS n, avg(l_quantity) AS mea
 ANOVA = """SELECT l_returnflag, count(*) AS groups, sum(n)::BIGINT AS n, ((sum(n * m * m) - pow(sum(n * m), 2) / sum(n)) / (count(*) - 1)) / (sum(ss) / (sum(n) - count(*))) AS statistic FROM (
  SELECT l_returnflag, month(l_shipdate) AS g, count(*) AS n, avg({v}) AS m, var_pop({v}) * count(*) AS ss FROM {src} GROUP BY 1, 2) GROUP BY 1"""
 MON = lambda s, r: LI(s, r).withColumn("g", F.month("ts"))
-query("e11_anova", with_p(ANOVA.format(v="l_quantity", src="lineitem"), _p_f("statistic", "(groups - 1)", "(n - groups)")), rd="statistic p_value")(
+query("e11_anova", with_p(ANOVA.format(v="l_quantity", src="lineitem"), p_f("statistic", "(groups - 1)", "(n - groups)")), rd="statistic p_value")(
     lambda s, r: S.anova(MON(s, r), ["l_returnflag"], "g", "l_quantity"))
 query("e12_kruskal", with_p("""SELECT l_returnflag, count(*) AS groups, max(nn) AS n, (12.0::DOUBLE / (max(nn) * (max(nn) + 1.0::DOUBLE)) * sum(r * r / c) - 3 * (max(nn) + 1)) / (1 - max(tie) / (pow(max(nn), 3) - max(nn))) AS statistic FROM (
  SELECT l_returnflag, g, sum(rk) AS r, count(*) AS c, max(nn) AS nn, max(tie) AS tie FROM (
   SELECT *, sum(tc) OVER (PARTITION BY l_returnflag) AS tie FROM (
   SELECT l_returnflag, month(l_shipdate) AS g, rank() OVER (PARTITION BY l_returnflag ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_returnflag, l_quantity) - 1) / 2.0::DOUBLE AS rk, count(*) OVER (PARTITION BY l_returnflag) AS nn,
-   pow(count(*) OVER (PARTITION BY l_returnflag, l_quantity), 2) - 1 AS tc FROM lineitem)) GROUP BY 1, 2) GROUP BY 1""", _p_chi2("statistic", "(groups - 1)")), rd="statistic p_value")(
+   pow(count(*) OVER (PARTITION BY l_returnflag, l_quantity), 2) - 1 AS tc FROM lineitem)) GROUP BY 1, 2) GROUP BY 1""", p_chi2("statistic", "(groups - 1)")), rd="statistic p_value")(
     lambda s, r: S.kruskal(MON(s, r), ["l_returnflag"], "g", "l_quantity"))
-query("e13_levene", with_p("WITH z AS (SELECT l_returnflag, l_shipdate, abs(l_quantity - med) AS v FROM lineitem JOIN (SELECT l_returnflag, month(l_shipdate) AS g, median(l_quantity) AS med FROM lineitem GROUP BY 1, 2) USING (l_returnflag) WHERE g = month(l_shipdate)) " + ANOVA.format(v="v", src="z"), _p_f("statistic", "(groups - 1)", "(n - groups)")), rd="statistic p_value")(
+query("e13_levene", with_p("WITH z AS (SELECT l_returnflag, l_shipdate, abs(l_quantity - med) AS v FROM lineitem JOIN (SELECT l_returnflag, month(l_shipdate) AS g, median(l_quantity) AS med FROM lineitem GROUP BY 1, 2) USING (l_returnflag) WHERE g = month(l_shipdate)) " + ANOVA.format(v="v", src="z"), p_f("statistic", "(groups - 1)", "(n - groups)")), rd="statistic p_value")(
     lambda s, r: S.levene(MON(s, r), ["l_returnflag"], "g", "l_quantity"))
-KS = """SELECT l_returnflag, max(abs(fa - fb)) AS {n} FROM (SELECT l_returnflag, {v}, sum(na) OVER w / sum(na) OVER t AS fa, sum(nb) OVER w / sum(nb) OVER t AS fb FROM (
+KS = """SELECT l_returnflag, max(abs(fa - fb)) AS {n}, max(ta)::BIGINT AS n_a, max(tb)::BIGINT AS n_b FROM (
+ SELECT l_returnflag, {v}, sum(na) OVER w / sum(na) OVER t AS fa, sum(nb) OVER w / sum(nb) OVER t AS fb, sum(na) OVER t AS ta, sum(nb) OVER t AS tb FROM (
  SELECT l_returnflag, {v}, count(*) FILTER ({a})::DOUBLE AS na, count(*) FILTER (NOT ({a}))::DOUBLE AS nb FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_returnflag ORDER BY {v}), t AS (PARTITION BY l_returnflag)) GROUP BY 1"""
-query("e14_ks_two_sample", KS.format(n="statistic", v="l_extendedprice", a="l_linestatus = 'O'"), rd="statistic")(
-    lambda s, r: S.ks_two_sample(LI(s, r), ["l_returnflag"], "l_extendedprice", ISA()).select("l_returnflag", "statistic"))
+query("e14_ks_two_sample", with_p(KS.format(n="statistic", v="l_extendedprice", a="l_linestatus = 'O'"), p_ks("statistic", "n_a", "n_b")), rd="statistic p_value")(
+    lambda s, r: S.ks_two_sample(LI(s, r), ["l_returnflag"], "l_extendedprice", ISA()))
 query("e15_normality")(lambda s, r: S.normality(LI(s, r), ["l_returnflag"], "l_extendedprice"))
 query("e15_jarque_bera", """SELECT l_returnflag, count(*) AS n, count(*) / 6.0::DOUBLE * (pow(m3 / pow(v, 1.5), 2) + pow(m4 / (v * v) - 3, 2) / 4) AS jb FROM (
  SELECT l_returnflag, avg(v) OVER p AS v, avg(pow(d, 3)) OVER p AS m3, avg(pow(d, 4)) OVER p AS m4 FROM (SELECT l_returnflag, l_extendedprice - avg(l_extendedprice) OVER p AS d, var_pop(l_extendedprice) OVER p AS v FROM lineitem WINDOW p AS (PARTITION BY l_returnflag)) WINDOW p AS (PARTITION BY l_returnflag)) GROUP BY l_returnflag, v, m3, m4""", rd="jb", digits=4)(
     lambda s, r: S.normality(LI(s, r), ["l_returnflag"], "l_extendedprice").select("l_returnflag", "n", "jb"))
 query("e16_diebold_mariano", with_p("""SELECT model_a, model_b, count(*) AS n, avg(d) AS mean_loss_diff, avg(d) / sqrt(greatest(var_samp(d) + 2 * (covar_samp(d, d1) + covar_samp(d, d2)), 1e-10) / count(*)) AS dm FROM (
- SELECT *, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM (SELECT model_a, model_b, ts, area, horizon, (y - yhat_a) * (y - yhat_a) - (y - yhat_b) * (y - yhat_b) AS d FROM pairs) WINDOW w AS (PARTITION BY model_a, model_b ORDER BY ts, area, horizon)) GROUP BY 1, 2""", _p_normal("dm")), use="pairs", rd="mean_loss_diff dm p_value")(
+ SELECT *, lag(d, 1) OVER w AS d1, lag(d, 2) OVER w AS d2 FROM (SELECT model_a, model_b, ts, area, horizon, (y - yhat_a) * (y - yhat_a) - (y - yhat_b) * (y - yhat_b) AS d FROM pairs) WINDOW w AS (PARTITION BY model_a, model_b ORDER BY ts, area, horizon)) GROUP BY 1, 2""", p_normal("dm")), use="pairs", rd="mean_loss_diff dm p_value")(
     lambda s, r: S.diebold_mariano(PR(s, r), PK, h=3, tie=["area", "horizon"]))
 query("e17_compare_pairs")(lambda s, r: C.compare_pairs(SC(s, r), MODELS))
 query("e18_rank_models", "SELECT *, row_number() OVER (PARTITION BY area ORDER BY smape, model) AS rank FROM met", use="met", rd=RD)(
@@ -208,15 +222,17 @@ query("r01_psi", "SELECT l_returnflag, sum((q - p) * ln(q / p)) AS score, sum((q
     lambda s, r: R.psi(LI(s, r), ["l_returnflag"], "l_extendedprice", REF()))
 query("r02_kl", "SELECT l_returnflag, sum((p - q) * ln(p / q)) / 2 AS score, sum((p - q) * ln(p / q)) / 2 >= 0.1 AS drift_detected FROM shares GROUP BY 1", use="shares", rd="score")(
     lambda s, r: R.kl(LI(s, r), ["l_returnflag"], "l_extendedprice", REF()))
-query("r03_chi_square", "SELECT l_returnflag, sum(pow(test * nr / nt + 1e-10 - (ref + 1e-10), 2) / (ref + 1e-10)) AS score FROM shares GROUP BY 1", use="shares", rd="score")(
-    lambda s, r: R.chi_square(LI(s, r), ["l_returnflag"], "l_extendedprice", REF()).select("l_returnflag", "score"))
+DETECT = "SELECT *, p_value < 0.05 AS drift_detected FROM ({})"
+query("r03_chi_square", DETECT.format(with_p("SELECT l_returnflag, sum(pow(test * nr / nt + 1e-10 - (ref + 1e-10), 2) / (ref + 1e-10)) AS score FROM shares GROUP BY 1", p_chi2("score", "9"))), use="shares", rd="score p_value")(
+    lambda s, r: R.chi_square(LI(s, r), ["l_returnflag"], "l_extendedprice", REF()))
 query("r04_wasserstein", """SELECT l_returnflag, d AS raw_distance, d / sd AS score, d / sd >= 0.5 AS drift_detected FROM (SELECT l_returnflag, sum(abs(fa - fb) * (nv - l_extendedprice)) AS d FROM (
  SELECT l_returnflag, l_extendedprice, lead(l_extendedprice) OVER w AS nv, sum(na) OVER w / sum(na) OVER t AS fa, sum(nb) OVER w / sum(nb) OVER t AS fb FROM (
  SELECT l_returnflag, l_extendedprice, count(*) FILTER (l_shipdate < TIMESTAMP '1998-06-01')::DOUBLE AS na, count(*) FILTER (NOT l_shipdate < TIMESTAMP '1998-06-01')::DOUBLE AS nb FROM lineitem GROUP BY 1, 2) WINDOW w AS (PARTITION BY l_returnflag ORDER BY l_extendedprice), t AS (PARTITION BY l_returnflag)) GROUP BY 1)
  JOIN (SELECT l_returnflag, stddev_samp(l_extendedprice) AS sd FROM lineitem WHERE l_shipdate < TIMESTAMP '1998-06-01' GROUP BY 1) USING (l_returnflag)""", rd="raw_distance score")(
     lambda s, r: R.wasserstein(LI(s, r), ["l_returnflag"], "l_extendedprice", REF()))
-query("r05_ks_drift", KS.format(n="score", v="l_extendedprice", a="l_returnflag IS NOT NULL AND v_ref").replace("FROM lineitem GROUP BY", "FROM (SELECT *, l_shipdate < TIMESTAMP '1998-06-01' AS v_ref FROM lineitem) GROUP BY"), rd="score")(
-    lambda s, r: R.ks_drift(LI(s, r), ["l_returnflag"], "l_extendedprice", REF()).select("l_returnflag", "score"))
+KS_REF = KS.format(n="score", v="l_extendedprice", a="l_shipdate < TIMESTAMP '1998-06-01'")
+query("r05_ks_drift", f"SELECT * EXCLUDE (n_a, n_b) FROM ({DETECT.format(with_p(KS_REF, p_ks('score', 'n_a', 'n_b')))})", rd="score p_value")(
+    lambda s, r: R.ks_drift(LI(s, r), ["l_returnflag"], "l_extendedprice", REF()))
 SREF = lambda: F.col("ts") < F.lit("2024-01-16").cast("timestamp_ntz")
 query("r06_cusum", """WITH s AS (SELECT area, avg(load) AS m, stddev_samp(load) AS sd FROM filled WHERE ts < TIMESTAMP '2024-01-16' GROUP BY 1),
  c AS (SELECT area, ts, sd, sum(load - m - 0.5 * sd) OVER w AS cp, sum(m - load - 0.5 * sd) OVER w AS cn FROM filled JOIN s USING (area) WHERE ts >= TIMESTAMP '2024-01-16' WINDOW w AS (PARTITION BY area ORDER BY ts)),
@@ -233,18 +249,23 @@ define("shares2", "hist2", "SELECT l_returnflag, ref, test, (ref + 1e-10) / (sum
 
 
 def _ksf(c):
-    return f"""SELECT '{c}' AS feature, max(abs(fa - fb)) AS score FROM (SELECT sum(na) OVER (ORDER BY v) / sum(na) OVER () AS fa, sum(nb) OVER (ORDER BY v) / sum(nb) OVER () AS fb FROM (
+    return f"""SELECT '{c}' AS feature, max(abs(fa - fb)) AS score, max(ta)::BIGINT AS n_a, max(tb)::BIGINT AS n_b FROM (
+ SELECT sum(na) OVER (ORDER BY v) / sum(na) OVER () AS fa, sum(nb) OVER (ORDER BY v) / sum(nb) OVER () AS fb, sum(na) OVER () AS ta, sum(nb) OVER () AS tb FROM (
  SELECT {c} AS v, count(*) FILTER (l_shipdate < TIMESTAMP '1998-06-01')::DOUBLE AS na, count(*) FILTER (NOT l_shipdate < TIMESTAMP '1998-06-01')::DOUBLE AS nb FROM lineitem GROUP BY 1))"""
 
 
-query("r09_drift_multi", " UNION ALL ".join(_ksf(c) for c in ("l_quantity", "l_discount", "l_tax")), rd="score")(
-    lambda s, r: R.drift_multi(LI(s, r), ["l_quantity", "l_discount", "l_tax"], REF(), "ks_test")[0].select("feature", "score"))
-query("r09_drift_overall", "SELECT max(score) AS max_score, arg_max(feature, score) AS worst_feature FROM (" + " UNION ALL ".join(_ksf(c) for c in ("l_quantity", "l_discount", "l_tax")) + ")", rd="max_score")(
-    lambda s, r: R.drift_multi(LI(s, r), ["l_quantity", "l_discount", "l_tax"], REF(), "ks_test")[1].select("max_score", "worst_feature"))
-query("r10_performance_drift", """SELECT model, score, rm AS reference_mean, tm AS test_mean, (tm - rm) / (rm + 1e-10) AS mean_increase, CASE WHEN (tm - rm) / (rm + 1e-10) > 0.2 THEN 'high' WHEN (tm - rm) / (rm + 1e-10) > 0.1 THEN 'medium' END AS alert FROM (
- SELECT model, max(abs(fa - fb)) AS score FROM (SELECT model, sum(na) OVER w / sum(na) OVER t AS fa, sum(nb) OVER w / sum(nb) OVER t AS fb FROM (SELECT model, abs(e) AS v, count(*) FILTER (ts < TIMESTAMP '2024-01-16')::DOUBLE AS na, count(*) FILTER (NOT ts < TIMESTAMP '2024-01-16')::DOUBLE AS nb FROM errs GROUP BY 1, 2) WINDOW w AS (PARTITION BY model ORDER BY v), t AS (PARTITION BY model)) GROUP BY 1)
- JOIN (SELECT model, avg(abs(e)) FILTER (ts < TIMESTAMP '2024-01-16') AS rm, avg(abs(e)) FILTER (NOT ts < TIMESTAMP '2024-01-16') AS tm FROM errs GROUP BY 1) USING (model)""", use="errs", rd="score reference_mean test_mean mean_increase")(
-    lambda s, r: R.performance_drift(ERR(s, r).withColumn("ae", F.abs("e")), ["model"], "ae", SREF()).drop("p_value", "drift_detected"))
+define("ksmulti", "", DETECT.format(with_p(" UNION ALL ".join(_ksf(c) for c in ("l_quantity", "l_discount", "l_tax")), p_ks("score", "n_a", "n_b"))))
+query("r09_drift_multi", "SELECT feature, score, p_value, drift_detected FROM ksmulti", use="ksmulti", rd="score p_value")(
+    lambda s, r: R.drift_multi(LI(s, r), ["l_quantity", "l_discount", "l_tax"], REF(), "ks_test")[0])
+query("r09_drift_overall", "SELECT max(score) AS max_score, arg_max(feature, score) AS worst_feature, bool_or(drift_detected) AS any_drift FROM ksmulti", use="ksmulti", rd="max_score")(
+    lambda s, r: R.drift_multi(LI(s, r), ["l_quantity", "l_discount", "l_tax"], REF(), "ks_test")[1])
+PERF = """SELECT model, score, n_a, n_b, rm AS reference_mean, tm AS test_mean, (tm - rm) / (rm + 1e-10) AS mean_increase, CASE WHEN (tm - rm) / (rm + 1e-10) > 0.2 THEN 'high' WHEN (tm - rm) / (rm + 1e-10) > 0.1 THEN 'medium' END AS alert FROM (
+ SELECT model, max(abs(fa - fb)) AS score, max(ta)::BIGINT AS n_a, max(tb)::BIGINT AS n_b FROM (
+  SELECT model, sum(na) OVER w / sum(na) OVER t AS fa, sum(nb) OVER w / sum(nb) OVER t AS fb, sum(na) OVER t AS ta, sum(nb) OVER t AS tb FROM (SELECT model, abs(e) AS v, count(*) FILTER (ts < TIMESTAMP '2024-01-16')::DOUBLE AS na, count(*) FILTER (NOT ts < TIMESTAMP '2024-01-16')::DOUBLE AS nb FROM errs GROUP BY 1, 2) WINDOW w AS (PARTITION BY model ORDER BY v), t AS (PARTITION BY model)) GROUP BY 1)
+ JOIN (SELECT model, avg(abs(e)) FILTER (ts < TIMESTAMP '2024-01-16') AS rm, avg(abs(e)) FILTER (NOT ts < TIMESTAMP '2024-01-16') AS tm FROM errs GROUP BY 1) USING (model)"""
+query("r10_performance_drift", f"SELECT * EXCLUDE (n_a, n_b), p_value < 0.05 OR mean_increase > 0.1 AS drift_detected FROM ({with_p(PERF, p_ks('score', 'n_a', 'n_b'))})", use="errs",
+      rd="score p_value reference_mean test_mean mean_increase")(
+    lambda s, r: R.performance_drift(ERR(s, r).withColumn("ae", F.abs("e")), ["model"], "ae", SREF()))
 query("r11_drift_summary")(lambda s, r: R.drift_summary(tb.filled(s, r), ["area"], "load", SREF()))
 query("r12_ref_stats", "SELECT l_returnflag, avg(l_extendedprice) AS mean, stddev_samp(l_extendedprice) AS std, min(l_extendedprice) AS min, max(l_extendedprice) AS max, count(*) AS n_samples, median(l_extendedprice) AS median, quantile_cont(l_extendedprice, 0.25) AS q25, quantile_cont(l_extendedprice, 0.75) AS q75 FROM lineitem GROUP BY 1", rd="mean std min max median q25 q75", digits=5)(
     lambda s, r: R.ref_stats(LI(s, r), ["l_returnflag"], "l_extendedprice"))

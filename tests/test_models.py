@@ -340,3 +340,54 @@ def test_training_queries_give_no_settings(monkeypatch):
             assert given["horizons"] == [1, 2, 3]
         elif q != "k05_predict_rf":
             assert set(q_features.COLS) <= set(given["features"]), q
+
+
+def test_leakage_check_by_hand(spark):
+    """Names, counts of usable rows, correlations and both warnings; an empty table gives a row per feature."""
+    rows = [(float(i), None if i < 4 else float(i * i), 3.0, 2.0 * i) for i in range(10)]
+    df = spark.createDataFrame(rows, "y double, x_lag_24 double, flat double, twice double")
+    df = df.withColumn("actual_y", -F.col("y"))
+    got = {r["feature"]: r for r in S.leakage_check(df, ["x_lag_24", "flat", "twice", "actual_y"], "y", 2).collect()}
+    want = np.corrcoef([i * i for i in range(4, 10)], range(4, 10))[0, 1]
+    assert got["x_lag_24"]["reason"] == "lag" and got["x_lag_24"]["n"] == 6 and abs(got["x_lag_24"]["correlation"] - want) < 1e-12
+    assert got["flat"]["is_safe"] and got["flat"]["warning"] is None and got["flat"]["correlation"] is None
+    assert got["twice"]["is_safe"] and got["twice"]["warning"] == "nearly equals the target"
+    assert got["actual_y"]["reason"] == "name" and got["actual_y"]["warning"] == "not known at horizon 2"
+    empty = S.leakage_check(df.where("y < 0"), ["flat", "twice"], "y", 2).collect()
+    assert [(r["feature"], r["n"], r["warning"]) for r in empty] == [("flat", 0, None), ("twice", 0, None)]
+
+
+def test_advanced_bias_removes_planted_parts(spark):
+    """A trend, a step in the forecast's context and monthly means are found; the cap holds on every row."""
+    from wattline.operators import bias as B
+
+    rng = np.random.default_rng(11)
+    n = 800
+    base, flag = rng.uniform(80, 120, n), rng.integers(0, 2, n)
+    month = np.array([5.0, -5, 8, -8, 4, -4, 6, -6, 9, -9, 3, -3])
+    day = F.lit("2022-01-01 00:00:00").cast("timestamp_ntz")
+    when = np.datetime64("2022-01-01") + np.arange(n)
+    e = 0.02 * np.arange(n) + 10.0 * flag + month[when.astype("datetime64[M]").astype(int) % 12] + rng.normal(0, 0.2, n)
+    df = spark.createDataFrame([(i, "m", float(b), int(f), float(b + x)) for i, (b, f, x) in enumerate(zip(base, flag, e))], "i int, model string, yhat double, flag int, y double")
+    df = df.withColumn("ts", day + F.make_dt_interval(days=F.col("i"))).persist()
+    flat = B.bias_advanced(df, B.bias_trend(df))
+    full = B.bias_advanced(flat, tree=B.bias_tree(flat, ["flag"], depth=2))
+    full = B.bias_advanced(full, times=[B.bias_by_time(full, "monthly")])
+    mae = lambda d: d.agg(F.avg(F.abs(F.col("y") - F.col("yhat")))).head()[0]
+    assert mae(flat) < 0.8 * mae(df) and mae(full) < 0.2 * mae(df)
+    small = B.bias_advanced(df, B.bias_trend(df), tree=B.bias_tree(df, ["flag"]), times=[B.bias_by_time(df, "monthly")], cap=0.01)
+    both = small.select("i", F.col("yhat").alias("new")).join(df, "i").select(F.abs(F.col("new") - F.col("yhat")) / F.col("yhat"))
+    assert both.agg(F.max(both.columns[0])).head()[0] <= 0.01 + 1e-12
+
+
+def test_constant_forecasts_have_no_correlation(spark):
+    """A flat model among others: its correlations are null, the rest are numpy's, nothing fails."""
+    from wattline.operators import diversity as V
+
+    rng = np.random.default_rng(13)
+    y = rng.normal(50, 5, 60)
+    fc = {"a": y + rng.normal(0, 1, 60), "b": y + rng.normal(0, 3, 60), "flat": np.full(60, 50.1)}
+    df = spark.createDataFrame([(i, "x", 1, m, float(v[i]), float(y[i])) for m, v in fc.items() for i in range(60)], "ts int, area string, horizon int, model string, yhat double, y double")
+    got = {(r["model_a"], r["model_b"]): r["correlation"] for r in V.pair_diversity(df, list(fc)).collect()}
+    assert abs(got["a", "b"] - np.corrcoef(fc["a"], fc["b"])[0, 1]) < 1e-9
+    assert got["a", "flat"] is None and got["b", "flat"] is None

@@ -10,6 +10,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from wattline.functions.moments import correlation
 from wattline.functions.ordered import bounded, ema, stable
 from wattline.operators.folds import time_folds
 from wattline.operators.joins import pivot_models
@@ -333,7 +334,7 @@ def context_weights_apply(fitted: Mapping, ctx: DataFrame, features: Sequence[st
 def context_relationships(ctx: DataFrame, w: DataFrame, features: Sequence[str], k: int = 5) -> DataFrame:
     """Correlation of each feature with each model's weight, top ``k`` per model, and weight std."""
     wide = w.join(ctx.select("ts", "area", *[F.col(f).cast("double").alias(f) for f in features]), ["ts", "area"])
-    a = wide.groupBy("model").agg(F.stddev_samp("weight").alias("weight_std"), *[F.corr(f, "weight").alias(f) for f in features])
+    a = wide.groupBy("model").agg(F.stddev_samp("weight").alias("weight_std"), *[correlation(f, "weight").alias(f) for f in features])
     long = a.unpivot(["model", "weight_std"], list(features), "feature", "correlation").where("correlation is not null and not isnan(correlation)")
     r = F.row_number().over(Window.partitionBy("model").orderBy(F.abs("correlation").desc(), "feature"))  # one row per feature
     return long.withColumn("rank", r).where(F.col("rank") <= k)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wattline.functions.moments import correlation
 from wattline.functions.ordered import positions
 
 
@@ -95,7 +96,7 @@ def loss_stats(x: DataFrame) -> DataFrame:
     ok = F.col("consumption") > 0
     a = s.agg(
         F.avg("pct").alias("mean_pct"), F.stddev_pop("pct").alias("std_pct"), F.min("pct").alias("min_pct"), F.max("pct").alias("max_pct"),
-        F.corr(F.when(ok, F.col("consumption")), F.when(ok, F.col("pct"))).alias("load_correlation"))
+        correlation(F.when(ok, F.col("consumption")), F.when(ok, F.col("pct"))).alias("load_correlation"))
     rng = lambda part, n: s.groupBy(part.alias("k")).agg(F.avg("pct").alias("m")).agg((F.max("m") - F.min("m")).alias(n))
     return a.join(rng(F.hour("ts"), "hourly_range")).join(rng(F.weekday("ts"), "weekly_range"))  # frames of one row
 

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions import tails
+from wattline.functions.moments import correlation
 from wattline.functions.ordered import bounded, positions, stable
 from wattline.operators import stattests as T
 from wattline.operators import treesolve as X
@@ -492,7 +493,7 @@ def recon_consistency(base: DataFrame, rec: DataFrame) -> DataFrame:
     keep = max(0.0, 1.0 - float(np.nanmean(np.abs(cor(cb) - cor(cr))))) if len(names) > 1 else 1.0
     j = base.select("ts", "node", F.col("yhat").alias("b")).join(rec.select("ts", "node", F.col("yhat").alias("r")), ["ts", "node"])
     d = bounded(j, ["node"], "ts", lambda w: {"db": F.col("b") - F.lag("b").over(w), "dr": F.col("r") - F.lag("r").over(w)}, back=1)
-    s = d.groupBy("node").agg(F.corr("db", "dr").alias("c")).where("c is not null and not isnan(c)").agg(F.coalesce(F.avg(F.greatest("c", F.lit(0.0))), F.lit(1.0)).alias("temporal_stability"))
+    s = d.groupBy("node").agg(correlation("db", "dr").alias("c")).where("c is not null and not isnan(c)").agg(F.coalesce(F.avg(F.greatest("c", F.lit(0.0))), F.lit(1.0)).alias("temporal_stability"))
     return s.select(F.lit(keep).alias("correlation_preservation"), "temporal_stability", (0.5 * F.lit(keep) + 0.5 * F.col("temporal_stability")).alias("consistency"))
 
 

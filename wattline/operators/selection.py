@@ -11,6 +11,7 @@ from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattline.functions.moments import correlation
 from wattline.functions.ordered import quantiles, stable
 from wattline.operators.folds import time_folds
 
@@ -47,7 +48,7 @@ def leakage_check(df: DataFrame, features: Sequence[str], target: str, h: int, p
         x, y = F.col(c).cast("double"), F.col(target).cast("double")
         cells.append(F.struct(
             F.lit(c).alias("feature"), F.lit(h).alias("horizon"), F.lit(reason).cast("string").alias("reason"), F.lit(reason is None).alias("is_safe"),
-            F.count_if(x.isNotNull() & y.isNotNull()).alias("n"), F.corr(x, y).alias("correlation")))
+            F.count_if(x.isNotNull() & y.isNotNull()).alias("n"), correlation(x, y).alias("correlation")))
     rows = df.agg(F.array(*cells).alias("c")).select(F.inline("c"))
     late = F.when(F.col("reason").isNotNull(), F.lit(f"not known at horizon {h}"))
     return rows.withColumn("warning", late.when(F.abs("correlation") >= near, F.lit("nearly equals the target")))

@@ -110,15 +110,17 @@ def complete_days(df: DataFrame, by=("area",), t="ts", value_cols=(), expected:
 
 
 def filter_report(df: DataFrame, by=("area",), t="ts", value_cols=(), expected: int | DataFrame = 48, max_missing_pct: float = 0.0) -> DataFrame:
+    """One row of totals; ``affected_areas`` is null if every day is complete, the rate NaN if there is no day."""
     s = day_stats(df, by, t, value_cols, expected, max_missing_pct)
     n = F.count(F.lit(1))
+    affected = F.array_sort(F.collect_set(F.when(F.col("reason").isNotNull(), F.col(by[0]))))
     return s.agg(
         n.alias("total_days"), F.count_if(F.col("reason").isNull()).alias("complete_days"),
         F.count_if(F.col("reason").isNotNull()).alias("incomplete_days"),
         *[F.count_if(F.coalesce(F.col("reason") == r, F.lit(False))).alias(r)
           for r in ("insufficient_records", "excess_records", "too_many_missing")],
-        F.array_sort(F.collect_set(F.when(F.col("reason").isNotNull(), F.col(by[0])))).alias("affected_areas"),
-        (F.count_if(F.col("reason").isNull()) / n).alias("retention_rate"),
+        F.when(F.count("reason") > 0, affected).alias("affected_areas"),
+        F.when(n > 0, F.count_if(F.col("reason").isNull()) / n).otherwise(float("nan")).alias("retention_rate"),
     )
 
 

@@ -5,6 +5,8 @@ them grow together: one level of one tree is one aggregate over (group, run, nod
 the number of groups. Values are binned once, at quantiles of their group; rows hold a byte-sized
 bin per feature, the target and the prediction so far. Sums of a bin are added up in the tasks before
 the shuffle, so a group with a third of the rows is no hot key, and no task or driver holds a group.
+Where all nodes of one level fit MAX_NODES, rows are dealt in blocks and a level is one small job
+(``treeblocks.py``); beyond that, levels are tables and joins. Both give the same trees.
 
 Squared loss: the residual's sum G and count n of a node give the gain GL^2/(nL+l2) + GR^2/(nR+l2)
 - G^2/(n+l2) of a split and the value rate * G/(n+l2) of a leaf. Ties go to the first feature and the
@@ -21,9 +23,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattline.functions.ordered import stable
+from wattline.operators import treeblocks
 
 DEFAULTS = {"rounds": 20, "depth": 5, "rate": 0.1, "l2": 1.0, "min_rows": 20, "train_before": None}
-MIN_GAIN = 1e-12
+MIN_GAIN = treeblocks.MIN_GAIN
+MAX_NODES = 1 << 17  # groups x runs x nodes of a tree that a broadcast may hold: 3 MB a tree
 
 
 @dataclass
@@ -122,16 +126,29 @@ def boost(
         raise ValueError("bins must be 2 to 126")
     by, features = list(by), list(features)
     runs = {name: {**DEFAULTS, **given} for name, given in (runs or {"all": {}}).items()}
-    keys, row = [*by, "run"], list(row)
+    row = list(row)
     rows = df.where(F.col(target).isNotNull())
     cuts = stable(quantile_cuts(rows, features, by, bins))
-    rows = binned(rows, features, by, cuts).select(*by, F.struct(*row).alias("row"), F.col(target).cast("double").alias("target"), "bins", *([F.col(fold).alias("__fold")] if fold else []))
+    rows = binned(rows, features, by, cuts).select(*by, F.struct(*row).alias("row"), F.col(target).cast("double").alias("target"), "bins", F.col(fold).cast("int").alias("__fold") if fold else F.lit(None).cast("int").alias("__fold"))
+    if not fold:
+        runs = {name: {**p, "train_before": None} for name, p in runs.items()}
+    groups = cuts.count()
+    if 0 < groups * len(runs) * 2 ** max(p["depth"] for p in runs.values()) <= MAX_NODES:
+        rows = stable(rows)
+        base, grown, fitted = treeblocks.grow(rows, treeblocks.grouped(rows, by, runs), groups, by, runs, len(features), bins)
+        return Boosted(by, features, cuts, base, grown, fitted)
+    return _boost_joined(rows, cuts, by, features, runs, fold)
+
+
+def _boost_joined(rows: DataFrame, cuts: DataFrame, by: list[str], features: list[str], runs: Mapping[str, Mapping], fold: str | None) -> Boosted:
+    """Any number of groups: trees and predictions are tables, every level is an aggregate and a join."""
+    keys = [*by, "run"]
     rows = rows.withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs])))
     if fold:
         before = _param(runs, "train_before", "int")
         rows = rows.where(F.coalesce(F.col("__fold") <= before, F.lit(True))).withColumn("train", F.coalesce(F.col("__fold") < before, F.lit(True))).drop("__fold")
     else:
-        rows = rows.withColumn("train", F.lit(True))
+        rows = rows.withColumn("train", F.lit(True)).drop("__fold")
     rows = stable(rows)
     base = stable(rows.where("train").groupBy(*keys).agg(F.avg("target").alias("base")))
     state, trees = rows.join(base, keys).withColumnRenamed("base", "pred"), []

@@ -2,12 +2,32 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Sequence
+from multiprocessing.pool import ThreadPool
+from typing import Any
 
-from pyspark.sql import DataFrame
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattline.functions.ordered import positions
+from wattline.functions.ordered import positions, stable
+
+PART_ROWS = 20_000  # rows of a partition of a training table
+FITS = 4  # fits that run beside each other
+
+
+def dealt(df: DataFrame, keys: Sequence[str] = ("area", "ts"), rows: int = PART_ROWS) -> DataFrame:
+    """The frame, computed once and kept, in as many partitions as its rows ask for. An iterative fit runs a
+    task a partition in hundreds of small jobs, so partitions left by a shuffle would make its time."""
+    once = stable(df)
+    return once.repartition(max(1, -(-once.count() // rows)), *keys).sortWithinPartitions(*keys).persist()
+
+
+def beside(spark: SparkSession, fit: Callable[[Any], Any], over: Iterable) -> list:
+    """Independent fits from a few driver threads, results in order; the cluster shares out their tasks."""
+    over = list(over)
+    with ThreadPool(max(1, min(FITS, len(over)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(fit), over)
 
 
 def time_folds(df: DataFrame, k: int, gap: int = 0, t: str = "ts", by: Sequence[str] = ("area",), name: str = "fold") -> DataFrame:

@@ -8,6 +8,7 @@ one pass per tree level (``boosting.py``); folds and grid points are further run
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import product
 
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wattline.operators import boosting as B
-from wattline.operators.folds import time_folds
+from wattline.operators.folds import beside, dealt, time_folds
 from wattline.operators.joins import horizon_target
 from wattline.operators.metrics import metrics
 from wattline.operators.selection import safe_features
@@ -44,30 +45,35 @@ def predict_gbt(model, df: DataFrame, features: Sequence[str], horizon: int, by:
 
 def cv_score_pooled(df: DataFrame, features: Sequence[str], target: str, folds: int, **kw) -> DataFrame:
     """(area, fold, n, mae) of the all-area model on time-ordered folds."""
-    f, out = time_folds(df, folds).persist(), None
-    for k in range(1, folds + 1):
-        m = train_gbt(f.where(F.col("fold") < k), features, target, **kw)
+    return _cv_pooled(dealt(time_folds(df, folds)), features, target, folds, [kw])[0]
+
+
+def _cv_pooled(f: DataFrame, features: Sequence[str], target: str, folds: int, settings: Sequence[Mapping]) -> list[DataFrame]:
+    """``cv_score_pooled`` of every setting on one table with folds; the fits run beside each other."""
+    def score(at: tuple[int, int]) -> DataFrame:
+        i, k = at
+        m = train_gbt(f.where(F.col("fold") < k), features, target, **settings[i])
         p = m.transform(_vector(f.where((F.col("fold") == k) & F.col(target).isNotNull()), features))
-        s = p.groupBy("area").agg(F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
-        out = s if out is None else out.unionByName(s)
-    return out
+        return p.groupBy("area").agg(F.lit(k).alias("fold"), F.count(F.lit(1)).alias("n"), F.avg(F.abs(F.col(target) - F.col("prediction"))).alias("mae"))
+
+    made = beside(f.sparkSession, score, product(range(len(settings)), range(1, folds + 1)))
+    return [reduce(DataFrame.unionByName, made[i * folds:(i + 1) * folds]) for i in range(len(settings))]
 
 
 def train_pooled(df: DataFrame, features: Sequence[str], target: str, folds: int = 3, **kw) -> tuple:
     """One fit over all areas with the area index as a feature, and the MAE per area from the folds."""
     x = index_areas(df).transform(df)
-    cols = [*features, "area_index"]
-    score = cv_score_pooled(x, cols, target, folds, **kw).groupBy("area").agg(F.avg("mae").alias("cv_mae"), F.sum("n").alias("n"))
-    return train_gbt(x, cols, target, **kw), score
+    cols, f = [*features, "area_index"], dealt(time_folds(x, folds))
+    score, model = beside(f.sparkSession, lambda make: make(), [
+        lambda: _cv_pooled(f, cols, target, folds, [kw])[0], lambda: train_gbt(f.drop("fold"), cols, target, **kw)])
+    return model, score.groupBy("area").agg(F.avg("mae").alias("cv_mae"), F.sum("n").alias("n"))
 
 
 def tune_pooled(df: DataFrame, features: Sequence[str], target: str, grid: Mapping[str, Sequence], folds: int = 2) -> DataFrame:
     """Every grid point scored on the time folds by the all-area model, best first."""
-    rows = []
-    for vals in product(*grid.values()):
-        kw = dict(zip(grid, vals, strict=True))
-        s = cv_score_pooled(df, features, target, folds, **kw).agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("m")).head()[0]
-        rows.append((str(kw), float(s)))
+    points = [dict(zip(grid, vals, strict=True)) for vals in product(*grid.values())]
+    scores = _cv_pooled(dealt(time_folds(df, folds)), features, target, folds, points)
+    rows = [(str(kw), float(s.agg((F.sum(F.col("mae") * F.col("n")) / F.sum("n")).alias("m")).head()[0])) for kw, s in zip(points, scores, strict=True)]
     return df.sparkSession.createDataFrame(rows, "params string, mae double").orderBy("mae", "params")
 
 
@@ -93,7 +99,7 @@ def train_rf(df: DataFrame, target: str, features: Sequence[str], horizons: Sequ
     out = {}
     for h in horizons:
         safe = safe_features(features, h, ppd, f"target_h{h}")
-        x = _vector(horizon_target(df, h, ppd, y=target, step=step).where(F.col(f"target_h{h}").isNotNull()), safe)
+        x = _vector(dealt(horizon_target(df, h, ppd, y=target, step=step).where(F.col(f"target_h{h}").isNotNull())), safe)
         out[h] = (RandomForestRegressor(labelCol=f"target_h{h}", numTrees=trees, maxDepth=depth, seed=42).fit(x), safe)
     return out
 

@@ -22,7 +22,7 @@ from wattline.streaming import keyed as K
 
 query("k01_time_folds", """SELECT area, ts, load, greatest(b, 1) + k.k AS fold, CASE WHEN b = greatest(b, 1) + k.k THEN 'test' ELSE 'train' END AS role FROM (SELECT *, least(floor((rn - 1) / greatest(floor(n / 4.0::DOUBLE), 1)), 3)::INTEGER AS b FROM (SELECT *, row_number() OVER (PARTITION BY area ORDER BY ts) AS rn, count(*) OVER (PARTITION BY area) AS n FROM series)), (SELECT unnest([0, 1, 2])::INTEGER AS k) k WHERE greatest(b, 1) + k.k <= 3""", use="series", rd="load")(
     lambda s, r: fold_rows(tb.series(s, r), 3))
-TR = lambda s, r: stable(training_rows(s, r))
+TR = lambda s, r: training_rows(s, r)
 
 
 @query("k03_predict_gbt")
